@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules, sharding, sql
+from . import chat, jaccard, mixing, quality_rules, sharding, sql
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
