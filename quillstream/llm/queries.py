@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, quality_rules, sharding, sql
+from . import chat, jaccard, mixing, quality_rules, sharding, sql, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_topk_search": topk.op4_topk_search,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_sharding": sharding.op8_sharding,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mixing": sql.OP2,
+    "op4_topk_search": sql.OP4,
     "op5_chat_formatting": sql.OP5,
     "op8_sharding": sql.OP8,
     "op9_quality_rules": sql.OP9,

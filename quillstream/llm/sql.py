@@ -130,3 +130,16 @@ judged as (
   from m join used u on m.l = u.l and m.s = u.s group by m.rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from judged
 """
+
+OP4 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as e, len(embedding) as dim from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.dim = c.dim and q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 10
+"""
