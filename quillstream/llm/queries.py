@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, quality_rules, sharding, sql, topk
+from . import chat, html_text, jaccard, mixing, quality_rules, sharding, sql, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLES = {
     "op2_mixing": sql.OP2,
