@@ -44,35 +44,33 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
-    """Every root-to-leaf path of every reply tree: ``tree_, leaf_, path_ (ids, root first), score_ (sum)``.
+    """Every root-to-leaf path of every reply tree, a row per message: ``tree_, leaf_, id_, up_`` (steps above the leaf).
 
-    ``messages`` has non-null ``tree_, id_``, nullable ``parent_`` and ``score_``.  Pointer doubling: each round is one
-    self-join in which the paths of leaves, and the jump of every message, get twice as long; the number
-    of rounds is the logarithm of the deepest tree.  A message whose parent is missing is a root; messages
-    on a cycle have no root, so they are on no path.
+    ``messages`` has non-null ``tree_, id_`` and nullable ``parent_``.  A self-join of the jumps of 2^k steps with themselves gives
+    those of 2^(k+1) steps, until no message is that deep.  Starting from the leaves, the jumps are then taken from the longest
+    to the shortest: each round adds the messages one such jump above all that are reached, so every ancestor is reached
+    once.  Rounds are the logarithm of the depth, rows those of the result.  A message whose parent is missing is a root;
+    messages on a cycle of replies, and below one, have no root and are on no path.
     """
-    has_parent = messages.select("tree_", F.col("id_").alias("parent_")).distinct().withColumn("found_", F.lit(True))
-    nodes = messages.join(has_parent, ["tree_", "parent_"], "left").select(
-        "tree_", "id_", F.when(F.col("found_"), F.col("parent_")).alias("up_"), F.coalesce("score_", F.lit(0.0)).alias("score_")
-    )
+    ids = messages.select("tree_", F.col("id_").alias("parent_"))
+    jump = messages.select("tree_", "id_", "parent_").join(ids, ["tree_", "parent_"]).select("tree_", "id_", F.col("parent_").alias("to_"))
+    jump = written(jump, "chat-jumps")
     replied = messages.select("tree_", F.col("parent_").alias("id_")).where("id_ is not null").distinct()
-    jumps = written(nodes.select("tree_", "id_", "up_", F.array("id_").alias("path_"), "score_"), "chat-jumps")
-    paths = jumps.join(replied, ["tree_", "id_"], "left_anti").withColumnRenamed("id_", "leaf_")
-    paths = written(paths, "chat-paths")
-    bound = 1
-    while not paths.where("up_ is not null").isEmpty():
-        ahead = jumps.select("tree_", F.col("id_").alias("up_"), F.col("up_").alias("next_"), F.col("path_").alias("more_"), F.col("score_").alias("add_"))
-        merged = [
-            F.col("next_").alias("up_"),
-            F.when(F.col("more_").isNull(), F.col("path_")).otherwise(F.concat("more_", "path_")).alias("path_"),
-            (F.col("score_") + F.coalesce("add_", F.lit(0.0))).alias("score_"),
-        ]
-        paths = written(paths.join(ahead, ["tree_", "up_"], "left").select("tree_", "leaf_", *merged), "chat-paths")
-        jumps = written(jumps.join(ahead, ["tree_", "up_"], "left").select("tree_", "id_", *merged), "chat-jumps")
-        bound *= 2
-        if bound > 1 << 40:  # pragma: no cover - deeper than any table has rows
-            raise ValueError("reply trees are deeper than 2^40")
-    return paths.select("tree_", "leaf_", "path_", "score_")
+    leaves = messages.select("tree_", "id_").join(replied, ["tree_", "id_"], "left_anti")
+    most, jumps = messages.count(), []
+    while not jump.isEmpty():
+        if 1 << len(jumps) > most:
+            leaves = leaves.join(jump.select("tree_", "id_"), ["tree_", "id_"], "left_anti")  # below a cycle
+            break
+        jumps.append(jump)
+        on = jump.select("tree_", F.col("id_").alias("to_"), F.col("to_").alias("next_"))
+        jump = written(jump.join(on, ["tree_", "to_"]).select("tree_", "id_", F.col("next_").alias("to_")), "chat-jumps")
+    reached = leaves.select("tree_", F.col("id_").alias("leaf_"), "id_", F.lit(0).cast("long").alias("up_"))
+    for k in range(len(jumps) - 1, -1, -1):
+        reached = written(reached, "chat-paths")
+        above = reached.join(jumps[k], ["tree_", "id_"]).select("tree_", "leaf_", F.col("to_").alias("id_"), (F.col("up_") + (1 << k)).alias("up_"))
+        reached = reached.unionByName(above)
+    return reached
 
 
 def format_reply_trees(
@@ -107,15 +105,15 @@ def format_reply_trees(
     rows = rows.withColumn("tree_", tree_key)
     first = F.min(F.struct("parent_", "role_", "text_", "score_"))
     rows = written(rows.groupBy("tree_", "id_").agg(first.alias("m_")).select("tree_", "id_", "m_.*"), "chat-rows")
-    paths = root_to_leaf_paths(rows.select("tree_", "id_", "parent_", "score_"))
-    best = Window.partitionBy("tree_").orderBy(F.desc("score_"), "leaf_")
-    ranked = paths.withColumn("branch", F.row_number().over(best))
+    paths = written(root_to_leaf_paths(rows.select("tree_", "id_", "parent_")), "chat-paths")
+    scores = paths.join(rows.select("tree_", "id_", "score_"), ["tree_", "id_"]).groupBy("tree_", "leaf_").agg(F.sum("score_").alias("score"))
+    ranked = scores.withColumn("branch", F.row_number().over(Window.partitionBy("tree_").orderBy(F.desc("score"), "leaf_")))
     if branches is not None:
         ranked = ranked.where(F.col("branch") <= branches)
     turns = (
-        ranked.select("tree_", "leaf_", "branch", F.col("score_").alias("score"), F.posexplode("path_").alias("pos_", "id_"))
+        paths.join(ranked, ["tree_", "leaf_"])
         .join(rows.select("tree_", "id_", "role_", "text_"), ["tree_", "id_"])
-        .withColumn("turn_", _turn(F.col("role_"), F.col("text_")))
+        .select("tree_", "leaf_", "branch", "score", (-F.col("up_")).alias("pos_"), "role_", _turn(F.col("role_"), F.col("text_")).alias("turn_"))
     )
     lines = turns.groupBy("tree_", "leaf_", "branch", "score").agg(
         F.array_sort(F.collect_list(F.struct("pos_", (F.col("role_") == "assistant").alias("loss_"), "turn_"))).alias("t_")
