@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, jaccard, mixing, quality_rules, sharding, sql, topk
+from . import chat, html_text, jaccard, mixing, quality_rules, sharding, sql, suffix_dedup, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_topk_search": topk.op4_topk_search,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
