@@ -237,15 +237,15 @@ def _runs(length: int, parts: int, run_entries: int):
 
     def flush(entries: dict) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[Entry]] = {}
+        gone: dict[int, list[bytes]] = {}
         for (suffix, left, windows, at), (part, holders) in entries.items():
-            doc = min(holders)
-            by_part.setdefault(part, []).append((suffix, left, windows, at, doc, holders.pop(doc)))
+            least, mask = min(holders)[0], ((1 << windows) - 1) << at
+            for doc, fingerprint in holders:
+                if doc == least:
+                    by_part.setdefault(part, []).append((suffix, left, windows, at, doc, fingerprint))
+                else:
+                    gone.setdefault(doc % parts, []).append(struct.pack(_PAIR, doc, fingerprint, mask))
         rows: list[tuple[int, int, bytes]] = []
-        gone: dict[int, list[bytes]] = {}
-        for (_, _, windows, at), (part, holders) in entries.items():
-            mask = ((1 << windows) - 1) << at
-            for doc, fingerprint in holders.items():
-                gone.setdefault(doc % parts, []).append(struct.pack(_PAIR, doc, fingerprint, mask))
         for part, own in by_part.items():
             own.sort(key=lambda e: e[0])
             rows.append((part, 0, front_coded(own)))
@@ -284,11 +284,10 @@ def _runs(length: int, parts: int, run_entries: int):
                             for j in range(k):
                                 w = raw[s + j : s + j + length]
                                 hashed = int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big")
-                                held = entries.setdefault((w, b"", 1, j), (hashed % parts, {}))[1]
-                                held[doc] = fingerprint
+                                entries.setdefault((w, b"", 1, j), (hashed % parts, set()))[1].add((doc, fingerprint))
                         else:
                             key_ = (raw[q : s + k - 1 + length], raw[s:q], k, 0)
-                            entries.setdefault(key_, (int(b.anchor[i]) % parts, {}))[1][doc] = fingerprint
+                            entries.setdefault(key_, (int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
                 if len(entries) >= run_entries:
                     yield from flush(entries)
         yield from flush(entries)
