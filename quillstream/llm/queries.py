@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, jaccard, mixing, quality_rules, sharding, sql, suffix_dedup, topk
+from . import chat, html_text, jaccard, mixing, quality_classifier, quality_rules, sharding, sql, suffix_dedup, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_topk_search": topk.op4_topk_search,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
