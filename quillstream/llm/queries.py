@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, jaccard, mixing, quality_classifier, quality_rules, sharding, sql, suffix_dedup, topk
+from . import chat, html_text, jaccard, mixing, quality_classifier, quality_rules, sentencepiece_ops, sharding, sql, suffix_dedup, topk
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_topk_search": topk.op4_topk_search,
