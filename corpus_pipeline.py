@@ -1,12 +1,68 @@
-"""Corpus cleaning: the stages that turn ``documents`` into training data."""
+"""Corpus cleaning: the stages that turn ``documents`` into training data.
+
+Each stage takes (spark, docs, folder of tables) and returns a DataFrame; all but the last return the columns of
+``documents``.  Rows with a null id pass the stages that decide by id unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstream.llm.common import table, written
+from quillstream.llm.jaccard import jaccard_join
+from quillstream.llm.mixing import mixed_documents
+from quillstream.llm.quality_classifier import quality_scores
+from quillstream.llm.sentencepiece_ops import encoded_documents
+from quillstream.llm.suffix_dedup import suffix_dedup
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose id is in ``ids``, columns unchanged."""
+    gone = ids.select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier accepts."""
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 0"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component of 5-word shingle Jaccard 0.8 or more."""
+    components = jaccard_join(docs, percent=80, k=5)
+    return _without(docs, components.where("doc_id <> component_id"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that smaller ids have too; documents of which nothing is left go."""
+    cut = suffix_dedup(docs, with_text=True).where("n_removed > 0 and doc_id is not null")
+    cut = written(cut.select(F.col("doc_id").alias("cut_id_"), F.col("kept").alias("cut_text_")), "pipeline-cut")
+    joined = docs.join(cut, docs["doc_id"] == cut["cut_id_"], "left").where("cut_id_ is null or cut_text_ <> ''")
+    is_cut = F.col("cut_id_").isNotNull()
+    new = {"text": F.when(is_cut, F.col("cut_text_")).otherwise(F.col("text")), "n_chars": F.when(is_cut, F.length("cut_text_").cast("long")).otherwise(F.col("n_chars"))}
+    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole copies of documents at the sources' target weights."""
+    return mixed_documents(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row."""
+    return encoded_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality-classifier", drop_low_quality),
+    ("jaccard-join", drop_near_copies),
+    ("suffix-dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_texts),
+]
+#: SQL can express neither the classifier nor the encoding.
 ORACLE_SQL = None
 
 
@@ -15,4 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
