@@ -1,10 +1,8 @@
-"""Registered queries of the stream-quality operators: name -> (query, oracle SQL or None)."""
+"""All registered queries of the stream-quality operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import stream_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
