@@ -18,17 +18,17 @@ _TOKENS = "regexp_extract_all(translate(lower({c}), '" + tx.MARKED + "', '" + tx
 
 def _ranks(by: str, source: str, value: str = "value") -> str:
     at = lambda p: f"list_sort(list({value}))[cast(least(count(*) - 1, floor({p} * count(*))) as integer) + 1]"
-    return f"select {by}, count(*) as n, min({value}) as min, max({value}) as max, round(sum({value}) / count(*), 4) as avg, {at(0.5)} as p50, {at(0.95)} as p95, {at(0.99)} as p99 from {source} where {value} is not null group by {by}"
+    return f"select {by}, count(*) as n, min({value}) as min, max({value}) as max, round(sum({value}) / count(*), 8) as avg, {at(0.5)} as p50, {at(0.95)} as p95, {at(0.99)} as p99 from {source} where {value} is not null group by {by}"
 
 
 @query(f"with {TELEMETRY} {_ranks('stage', 'telemetry')}")
 def b4_floor_rank_summary(spark, d):
-    return core.floor_rank_summary(tables.telemetry(spark, d), ["stage"], "value").withColumn("avg", F.round("avg", 4))
+    return core.floor_rank_summary(tables.telemetry(spark, d), ["stage"], "value").withColumn("avg", F.round("avg", 8))
 
 
 @query(f"with {TELEMETRY}, newest as (select *, row_number() over (partition by stream_id, stage order by ts_ms desc, seq desc) as no from telemetry) {_ranks('stream_id, stage', '(select * from newest where no <= 50)')}")
 def b5_last_n_stats(spark, d):
-    return metrics.last_n_stats(tables.telemetry(spark, d), ["stream_id", "stage"], 50).withColumn("avg", F.round("avg", 4))
+    return metrics.last_n_stats(tables.telemetry(spark, d), ["stream_id", "stage"], 50).withColumn("avg", F.round("avg", 8))
 
 
 @query(f"with {TELEMETRY} select stream_id, seq, ts_ms, cast(place as integer) as place from (select *, row_number() over (partition by stream_id order by ts_ms desc, seq desc) as place from telemetry) where place <= 10")
@@ -205,7 +205,7 @@ def q8_objective_score(spark, d):
     return out.withColumn("score", F.round("score", 3)).withColumn("weighted_score", F.round("weighted_score", 3))
 
 
-@query(f"""with {TELEMETRY} select coalesce(cast(stream_id as varchar), 'all') as stream, coalesce(stage, 'all') as lang, count(*) as n, min(value) as least, max(value) as most, round(avg(value), 4) as mean from telemetry group by rollup (stream_id, stage)""")
+@query(f"""with {TELEMETRY} select coalesce(cast(stream_id as varchar), 'all') as stream, coalesce(stage, 'all') as lang, count(*) as n, min(value) as least, max(value) as most, round(avg(value), 8) as mean from telemetry group by rollup (stream_id, stage)""")
 def q10_language_report(spark, d):
-    r = tables.telemetry(spark, d).rollup("stream_id", "stage").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean"))
+    r = tables.telemetry(spark, d).rollup("stream_id", "stage").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 8).alias("mean"))
     return r.select(F.coalesce(F.col("stream_id").cast("string"), F.lit("all")).alias("stream"), F.coalesce("stage", F.lit("all")).alias("lang"), "n", "least", "most", "mean")
