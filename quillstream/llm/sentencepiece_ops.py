@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ _WORDS = f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words encoded inside a task that it remembers at most.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -247,63 +248,166 @@ def best_path(word: str, score: dict[str, float], longest: int, unknown: float)
     return out[::-1]
 
 
+class PairTable:
+    """Values of pairs of ids, looked up many at a time: open addressing with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)
+            placed = left[first[self.keys[slot[left[first]]] < 0]]
+            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Value of each pair; 0 for pairs that aren't there or have a negative id."""
+        keys = np.where((a >= 0) & (b >= 0), a << 24 | b, -2).ravel()
+        slot, out = self._slot(keys), np.zeros(keys.size, dtype=np.int64)
+        todo = np.flatnonzero(keys >= 0)
+        while len(todo):
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out.reshape(np.shape(a))
+
+
+@dataclass(frozen=True)
+class _Tables:
+    """What a task needs of a model, made once a worker."""
+
+    score: dict[str, float]
+    ids: dict[str, bytes]  # little-endian int32
+    symbols: np.ndarray  # id of the piece of each code point, -1 without one
+    pairs: PairTable
+    starts: np.ndarray  # of each id in ``text``
+    sizes: np.ndarray
+    text: np.ndarray
+
+
+@lru_cache(maxsize=2)
+def _tables(model: PieceModel) -> _Tables:
+    score = {model.pieces[i]: model.scores[i] for i in model.normal}
+    number = {model.pieces[i]: i for i in model.normal}
+    place = {s: k for k, s in enumerate(sorted(set(score.values())), 1)}
+    keys, values = [], []
+    for piece, i in number.items():
+        for cut in range(1, len(piece)):
+            left, right = number.get(piece[:cut]), number.get(piece[cut:])
+            if left is not None and right is not None:
+                keys.append(left << 24 | right)
+                values.append(place[score[piece]] << 24 | i)
+    symbols = np.full(0x110000, -1, dtype=np.int32)
+    for p, i in number.items():
+        if len(p) == 1:
+            symbols[ord(p)] = i
+    raw = [
+        p.replace(SPACE, " ").encode() if k == _NORMAL else bytes([int(p[3:5], 16)]) if k == _BYTE else " ⁇ ".encode() if k == _UNKNOWN else b""
+        for p, k in zip(model.pieces, model.kinds, strict=True)
+    ]
+    sizes = np.array([len(x) for x in raw], dtype=np.int64)
+    return _Tables(
+        score, {p: struct.pack("<i", i) for p, i in number.items()}, symbols, PairTable(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64)),
+        np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(raw), dtype=np.uint8),
+    )
+
+
+def merge_many(words: list[str], t: _Tables) -> list[bytes | None]:
+    """Ids (little-endian int32) of many short words by merging, all words a step at a time; None for words that ``merge_symbols`` must take.
+
+    A row holds a word's symbols and the place of each neighbouring pair's merged piece in the order of scores; in each step every
+    row merges its leftmost best pair.  Words with a character that has no piece, with two spaces (whose pieces have
+    equal scores) or over 32 characters are left out.
+    """
+    out: list[bytes | None] = [None] * len(words)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    symbols = t.symbols[codes]
+    starts = np.cumsum(sizes) - sizes
+    doubled = np.zeros(len(codes), dtype=bool)
+    doubled[1:] = (codes[1:] == ord(SPACE)) & (codes[:-1] == ord(SPACE))
+    bad = np.add.reduceat((symbols < 0) | doubled, starts) > 0 if len(words) else np.zeros(0, dtype=bool)
+    for low, high in ((0, 6), (6, 10), (10, 14), (14, 20), (20, 32)):
+        mine = np.flatnonzero((sizes > low) & (sizes <= high) & ~bad)
+        if not len(mine):
+            continue
+        column = np.arange(high)
+        inside = column < sizes[mine][:, None]
+        rows = np.where(inside, symbols[np.minimum(starts[mine][:, None] + column, len(symbols) - 1)], -1).astype(np.int64)
+        best = t.pairs.find(rows[:, :-1], rows[:, 1:])
+        left = np.arange(len(mine))
+        while len(left):
+            at = best.argmax(axis=1)
+            most = best[np.arange(len(left)), at]
+            on = most > 0
+            done = rows[~on]
+            ids = done[done >= 0].astype("<i4").tobytes()
+            ends = (4 * np.cumsum((done >= 0).sum(axis=1))).tolist()
+            for w, a, b in zip(mine[left[~on]].tolist(), [0, *ends], ends, strict=False):
+                out[w] = ids[a:b]
+            left, rows, best, at, most = left[on], rows[on], best[on], at[on], most[on]
+            if not len(left):
+                break
+            here, new = np.arange(len(left)), most & 0xFFFFFF
+            rows[here, at] = new
+            rows = np.concatenate((np.take_along_axis(rows, column[:-1] + (column[:-1] > at[:, None]), axis=1), np.full((len(left), 1), -1)), axis=1)
+            best = np.concatenate((np.take_along_axis(best, column[:-2] + (column[:-2] >= at[:, None]), axis=1), np.zeros((len(left), 1), dtype=np.int64)), axis=1)
+            before = at > 0
+            best[here[before], at[before] - 1] = t.pairs.find(rows[here[before], at[before] - 1], new[before])
+            behind = at < high - 1
+            best[here[behind], at[behind]] = t.pairs.find(new[behind], rows[here[behind], at[behind] + 1])
+    return out
+
+
 def _encoder(model: PieceModel, known):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = re.compile(_WORDS)
-        score = {model.pieces[i]: model.scores[i] for i in model.normal}
-        ids_of = {model.pieces[i]: [i] for i in model.normal}
-        longest, unknown, bytes_ = max(map(len, score), default=1), model.unknown_score, model.bytes_
+        t = _tables(model)
+        longest, unknown = max(map(len, t.score), default=1), model.unknown_score
+        bytes_ = [struct.pack("<i", i) for i in model.bytes_]
         frequent, own = known.value, {}
 
-        def rare(word: str) -> list[int]:
-            parts = best_path(word, score, longest, unknown) if model.unigram else merge_symbols(word, score)
-            out: list[int] = []
-            for p in parts:
-                got = ids_of.get(p)
-                out += got if got else [bytes_[b] for b in p.encode("utf-8", "surrogatepass")]
-            if len(own) >= REMEMBERED:
-                own.clear()
-            own[word] = out
-            return out
-
-        for batch in batches:
-            counts, flat, back = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids: list[int] = []
-                if text:
-                    for w in words.findall(SPACE + text.replace(" ", SPACE)):
-                        ids += frequent.get(w) or own.get(w) or rare(w)
-                counts.append(len(ids))
-                flat.append(np.array(ids, dtype=np.int32))
-                back.append(decode_ids(ids, model))
-            cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(cuts, pa.array(values)), pa.array(back, pa.string())], schema=schema)
+        def slow(word: str) -> bytes:
+            parts = best_path(word, t.score, longest, unknown) if model.unigram else merge_symbols(word, t.score)
+            return b"".join([t.ids.get(p) or b"".join([bytes_[b] for b in p.encode("utf-8", "surrogatepass")]) for p in parts])
+
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                found = [words.findall(SPACE + text.replace(" ", SPACE)) if text else () for text in batch.column("text").to_pylist()]
+                if len(own) >= REMEMBERED:
+                    own.clear()
+                new = list(set().union(*found) - frequent.keys() - own.keys())
+                fast = [None] * len(new) if model.unigram else merge_many(new, t)
+                own.update({w: slow(w) if x is None else x for w, x in zip(new, fast, strict=True)})
+                flat = [b"".join([frequent.get(w) or own[w] for w in ws]) for ws in found]
+                ids = np.frombuffer(b"".join(flat), dtype="<i4")
+                cuts = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
+                yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.array(decode_ids(ids, cuts, model), pa.string())], schema=schema)
 
     return run
 
 
-def decode_ids(ids: list[int], model: PieceModel) -> str:
-    """Text of a sequence of ids: byte pieces join into characters (broken ones become U+FFFD), the first space goes."""
-    table_ = _pieces_as_bytes(model)
-    text = b"".join([table_[i] for i in ids if 0 <= i < len(table_)]).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
-
-
-_decoded: dict[int, tuple[PieceModel, list[bytes]]] = {}
-
-
-def _pieces_as_bytes(model: PieceModel) -> list[bytes]:
-    held = _decoded.get(id(model))
-    if held is None:
-        own = [
-            p.replace(SPACE, " ").encode() if k == _NORMAL else bytes([int(p[3:5], 16)]) if k == _BYTE else " ⁇ ".encode() if k == _UNKNOWN else b""
-            for p, k in zip(model.pieces, model.kinds, strict=True)
-        ]
-        held = _decoded[id(model)] = (model, own)
-    return held[1]
+def decode_ids(ids: np.ndarray, cuts: np.ndarray, model: PieceModel) -> list[str]:
+    """Texts of runs of ids: byte pieces join into characters (broken ones become U+FFFD), the first space goes."""
+    t = _tables(model)
+    sizes = t.sizes[ids]
+    ends = np.cumsum(sizes)
+    spread = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(t.starts[ids] - ends + sizes, sizes)
+    text = t.text[spread].tobytes()
+    at = np.concatenate(([0], ends))[cuts].tolist()
+    out = [text[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+    return [x[1:] if x.startswith(" ") else x for x in out]
 
 
 def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -312,7 +416,9 @@ def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [decode_ids([i for i in x or () if i is not None], model) for x in batch.column("ids").to_pylist()]
+            rows = [[i for i in x or () if i is not None and 0 <= i < len(model.pieces)] for x in batch.column("ids").to_pylist()]
+            cuts = np.cumsum([0, *map(len, rows)])
+            texts = decode_ids(np.array([i for r in rows for i in r], dtype=np.int64), cuts, model)
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     few = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
@@ -336,7 +442,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, *, id_col: str = "d
     counts = few.where(F.length("text") > 0).select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # longer words than these are not worth a lattice of rows
     frequent = counts.where((F.col("n") >= least) & (F.length("word") <= 64)).select("word")
-    known = {r["word"]: list(r["ids"]) for r in encode_words(frequent, model).collect()}
+    known = {r["word"]: np.array(r["ids"], dtype="<i4").tobytes() for r in encode_words(frequent, model).collect()}
     return few.mapInArrow(_encoder(model, docs.sparkSession.sparkContext.broadcast(known)), "doc_id long, ids array<int>, decoded string")
 
 

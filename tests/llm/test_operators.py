@@ -266,7 +266,7 @@ def unigram_model():
     out = b""
     for field, value in sentencepiece_ops._fields(content):
         if field == 2:
-            value = packed(3, 1) + b"".join(packed(f, v) for f, v in sentencepiece_ops._fields(value) if f in (4,) and isinstance(v, int))
+            value = packed(3, 1) + b"".join(packed(f, v) for f, v in sentencepiece_ops._fields(value) if f != 3 and isinstance(v, int))
         out += packed(field, value)
     return out
 
