@@ -273,14 +273,14 @@ def i13_revision_relation(spark, d):
     return spans.revision_relation(s.where("b_start is not null")).select("space", "id", "word", "relation")
 
 
-@query(f"""with {SPANS}, r as (select * from spans where word % 2 = 1), o as (select *, max("end") over (partition by space order by start, "end" rows between unbounded preceding and 1 preceding) as reach from r where "end" > start),
+@query(f"""with {SPANS}, r as (select * from spans where "end" - start > 400), o as (select *, max("end") over (partition by space order by start, "end" rows between unbounded preceding and 1 preceding) as reach from r where "end" > start),
 i as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (partition by space order by start, "end" rows between unbounded preceding and current row) as island from o),
 m as (select space, min(start) as start, max("end") as "end" from i group by space, island),
 c as (select s.space, s.id, s.word, exists (select 1 from m where m.space = s.space and m.start <= s.start and m."end" >= s."end") as inside from spans s)
 select space, id, count(*) as n_words, coalesce(min(word) filter (not inside) - 1, max(word)) as committed from c group by space, id""")
 def j3_committed_prefix(spark, d):
     s = tables.spans(spark, d)
-    return spans.committed_prefix(s, s.where("word % 2 = 1").select("space", "start", "end"), ["space"], ["id"])
+    return spans.committed_prefix(s, s.where(F.col("end") - F.col("start") > 400).select("space", "start", "end"), ["space"], ["id"])
 
 
 @query("""with l as (select l_orderkey as release, l_linenumber - 1 as sentence_index, count(*) over (partition by l_orderkey) as total, l_returnflag <> 'R' as started, l_tax > 0.07 as conflicted from lineitem),

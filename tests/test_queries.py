@@ -1,6 +1,7 @@
 """Every registered query that has SQL gives the rows of that SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillstream.plans.queries import ORACLES, QUERIES
@@ -18,7 +19,7 @@ def db(sf):
 
 def canonical(frame, columns):
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
