@@ -6,7 +6,8 @@ in two neighbours.  From the larger size of a class follows the most shingles, d
 can differ.  Columns are cut into d + 1 blocks: of these, one at least holds the same shingles in both
 rows.  Only row pairs that share such a block enter the product; their overlap counts are then summed
 block after block, and a pair is dropped as soon as its count so far plus the smaller block sizes still to come is
-below what its sizes require.
+below what its sizes require.  Columns that one row alone holds add to no overlap, so a row's other entries bound its
+overlaps before any pair is formed; and 256 parity bits of each row bound the difference of two rows from below.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -75,21 +76,34 @@ def block_keys(values: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the shingles that hash to it: two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((mix(values ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_PARITY = ["p1", "p2", "p3", "p4"]
+
+
 def _rows(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    names = ["doc_id", "n", "f1", "f2", *_PARITY]
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, keys = [], [], [], []
+            n, f1, f2, bits, keys = [], [], [], [], []
             for values in shingle_sets(batch.column("text"), k):
                 n.append(len(values))
                 spread = mix(values ^ np.uint64(0x5851F42D4C957F2D))
                 f1.append(int(values.sum().astype(np.int64)) if len(values) else 0)
                 f2.append(int(spread.sum().astype(np.int64)) if len(values) else 0)
+                bits.append(parity(values))
                 keys.append(block_keys(values, percent).astype(np.int64))
             cuts = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(flat))], schema=schema)
+            odd = np.array(bits, dtype=np.int64).reshape(-1, 4)
+            own = [pa.array(x, pa.int64()) for x in (n, f1, f2, *odd.T)]
+            yield pa.record_batch([batch.column("doc_id"), *own, pa.ListArray.from_arrays(cuts, pa.array(flat))], schema=schema)
 
     return run
 
@@ -104,6 +118,15 @@ def _sets(k: int):
     return run
 
 
+def _incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every entry of the incidence matrix: document and shingle."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+        flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        yield pa.record_batch([pa.array(np.repeat(ids, [len(x) for x in sets])), pa.array(flat)], names=["doc_id", "shingle"])
+
+
 _EDGES = (np.arange(1, PRODUCT_BLOCKS, dtype=np.float64) * (2.0**64 / PRODUCT_BLOCKS)).astype(np.uint64)
 
 
@@ -145,7 +168,7 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
     """Component of every document under links of Jaccard similarity ``percent`` / 100 or more.
 
     Sets are the distinct ``k``-word shingles of the lower-cased (A-Z) whole text.  Equal sets collapse to their smallest id first.  In
-    each round every shared block offers its smallest rows as pivots (1, then 4, 16, ... of them): rows that are not yet
+    each round every shared block offers its smallest rows as pivots (1, then 16, 256, ... of them): rows that are not yet
     in a pivot's component are compared with it, links join components, pivots leave the block, and blocks whose rows all
     lie in one component are finished.  So a group of n near copies costs about n comparisons, every pair that
     shares a block and isn't connected already is compared, and no link between components is lost.
@@ -157,35 +180,45 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n long, f1 long, f2 long, keys array<long>"
+    schema = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, p3 long, p4 long, keys array<long>"
     rows = written(few.mapInArrow(_rows(k, percent), schema), "jaccard-rows")
-    some = rows.where("doc_id is not null and n > 0")
-    sets_of = some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    all_ids = written(rows.drop("keys"), "jaccard-ids")
+    sets_of = all_ids.where("doc_id is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     sets_of = written(sets_of, "jaccard-sets")
-    keyed = some.select("doc_id", "n", "keys").join(sets_of.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"])
-    keyed = keyed.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = written(keyed.join(shared.select("key"), "key").select("key", "doc_id", "n"), "jaccard-members")
-    nodes = written(members.select("doc_id").distinct(), "jaccard-nodes")
-    sets = written(few.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "jaccard-shingles")
-    sets = sets.dropDuplicates(["doc_id"])
+    keyed = rows.select("doc_id", "n", "keys").join(sets_of.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"])
+    keyed = keyed.select("doc_id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows_")).where("rows_ > 1")
+    members = written(keyed.join(shared.select("key"), "key").select("key", "doc_id"), "jaccard-members")
+    discard(rows)
+    about = all_ids.where("n > 0").select("doc_id", F.struct("n", *_PARITY).alias("s_"))
+    nodes = members.select("doc_id").distinct().join(about, "doc_id").groupBy("doc_id").agg(F.max("s_").alias("s_")).select("doc_id", "s_.*")
+    nodes = written(nodes, "jaccard-nodes")
+    sets = few.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    sets = written(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "jaccard-shingles")
+    # columns with one entry add to no overlap: what is left of a row's size bounds every overlap of the row
+    columns = sets.mapInArrow(_incidence, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = columns.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    able = nodes.join(alone, "doc_id", "left").select("doc_id", "n", *_PARITY, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    members = written(members.join(able.where(F.col("most") * 100 >= F.col("n") * percent), "doc_id"), "jaccard-members")
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
     tested = None
     pivots = 1
     while True:
         now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
-        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct("doc_id", "n", "label")).alias("p")).where("l1 < l2")
+        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct("doc_id", "n", "most", "label", *_PARITY)).alias("p")).where("l1 < l2")
         if pivots == 1:
             chosen = open_.select("key", "p")
         else:
             ranked = now.join(open_.select("key"), "key").withColumn("r_", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-            chosen = ranked.where(F.col("r_") <= pivots).select("key", F.struct("doc_id", "n", "label").alias("p"))
+            chosen = ranked.where(F.col("r_") <= pivots).select("key", F.struct("doc_id", "n", "most", "label", *_PARITY).alias("p"))
         chosen = written(chosen, "jaccard-pivots")
         if chosen.isEmpty():
             break
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in _PARITY), F.lit(0))
         pairs = now.join(chosen, "key").where(
             (F.col("doc_id") > F.col("p.doc_id")) & (F.col("label") != F.col("p.label"))
-            & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
+            & (F.least("most", "p.most") * (100 + percent) >= (F.col("n") + F.col("p.n")) * percent)
+            & ((F.col("n") + F.col("p.n") - differ) * (100 + percent) >= (F.col("n") + F.col("p.n")) * (2 * percent))
         ).select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -195,9 +228,10 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
         used = chosen.select("key", F.col("p.doc_id").alias("doc_id"))
         unfinished = chosen.select("key").distinct()
         members = written(members.join(unfinished, "key", "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members")
-        pivots *= 4
+        pivots *= 16
     component = sets_of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("c_"))
-    joined = rows.select("doc_id", "n", "f1", "f2").join(component, ["n", "f1", "f2"], "left")
+    discard(sets, members)
+    joined = all_ids.join(component, ["n", "f1", "f2"], "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("c_", "doc_id")).alias("component_id"),

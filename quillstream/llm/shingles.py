@@ -17,7 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Bytes of text hashed in one go; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
