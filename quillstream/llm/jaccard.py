@@ -199,12 +199,13 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
     columns = sets.mapInArrow(_incidence, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     alone = columns.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     able = nodes.join(alone, "doc_id", "left").select("doc_id", "n", *_PARITY, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    members = written(members.join(able.where(F.col("most") * 100 >= F.col("n") * percent), "doc_id"), "jaccard-members")
+    able = written(able.where(F.col("most") * 100 >= F.col("n") * percent), "jaccard-able")
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
     tested = None
     pivots = 1
     while True:
-        now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
+        # what a round compares is put to the members once
+        now = written(members.join(able.join(labels.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id"), "jaccard-now")
         open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct("doc_id", "n", "most", "label", *_PARITY)).alias("p")).where("l1 < l2")
         if pivots == 1:
             chosen = open_.select("key", "p")
@@ -227,7 +228,8 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
         labels = connected_components(written(_linked(pairs, sets, percent), "jaccard-links"), labels)
         used = chosen.select("key", F.col("p.doc_id").alias("doc_id"))
         unfinished = chosen.select("key").distinct()
-        members = written(members.join(unfinished, "key", "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members")
+        members = written(now.select("key", "doc_id").join(unfinished, "key", "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members")
+        discard(now)
         pivots *= 16
     component = sets_of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("c_"))
     discard(sets, members)
