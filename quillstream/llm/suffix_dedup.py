@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 from .shingles import mix, utf8_slices
 
 #: Bytes of an anchor's gram.
@@ -39,8 +40,6 @@ _rng = np.random.Generator(np.random.PCG64(977))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_HEAD = "<BBBBBqQ"  # shared and own bytes, left bytes, windows, first window, document, fingerprint
-_PAIR = "<qQQ"  # document, fingerprint, mask
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,10 +86,10 @@ class Blocks:
         self.start, self.windows, self.place, self.row = start, ends - start, place[start], row[start]
         self.anchor = grams[self.place] >> np.uint64(16)
         tails = ends + length - 1
-        self.print_ = mix((sums[tails] - sums[start]) * back[start] + (tails - start).astype(np.uint64))
+        self.print_ = mix((sums[tails] - sums[start]) * back[start] + (tails - start).astype(np.uint64)) >> np.uint64(16)
 
 
-def _anchors(length: int):
+def _anchors(length: int, bits: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +97,9 @@ def _anchors(length: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for at, _, data, offsets in utf8_slices(batch.column("text")):
                 b = Blocks(data, offsets, length)
-                order = np.lexsort((b.anchor, b.row))
-                anchor, row = b.anchor[order], b.row[order]
+                anchor = b.anchor >> np.uint64(48 - bits)
+                order = np.lexsort((anchor, b.row))
+                anchor, row = anchor[order], b.row[order]
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 yield pa.record_batch([pa.array(anchor[new].astype(np.int64)), pa.array(ids[at + row[new]], pa.int64())], schema=schema)
@@ -118,26 +118,44 @@ def common_prefix(x: bytes, y: bytes, known: int) -> int:
 Entry = tuple[bytes, bytes, int, int, int, int]  # suffix, left context, windows, first window, document, fingerprint
 
 
+def _pack(*columns: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(c if isinstance(c, bytes) else c.tobytes() for c in columns))
+
+
+def _unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def front_coded(entries: list[Entry]) -> bytes:
-    """A sorted run as one string: of each suffix only what follows the prefix it shares with the one before."""
-    out, last = [], b""
-    for suffix, left, windows, first, doc, fingerprint in entries:
-        shared = common_prefix(last, suffix, 0)
-        out += (struct.pack(_HEAD, shared, len(suffix) - shared, len(left), windows, first, doc, fingerprint), suffix[shared:], left)
-        last = suffix
-    return b"".join(out)
+    """A sorted run as one packed string, column by column: of each suffix only what follows the prefix it shares with the one before."""
+    shared, rests, last = bytearray(), [], b""
+    for e in entries:
+        n = common_prefix(last, e[0], 0)
+        shared.append(n)
+        rests.append(e[0][n:])
+        last = e[0]
+    column = lambda j, kind: np.array([e[j] for e in entries], dtype=kind)
+    lefts = [e[1] for e in entries]
+    return _pack(
+        struct.pack("<q", len(entries)), bytes(shared), bytes(map(len, rests)), bytes(map(len, lefts)), column(2, np.uint8), column(3, np.uint8),
+        column(4, np.int64), column(5, np.uint64), b"".join(rests), b"".join(lefts),
+    )
 
 
 def decoded(run: bytes) -> Iterator[tuple[int, Entry]]:
     """The entries of a front-coded run, each with its common prefix with the one before."""
-    at, last, size = 0, b"", struct.calcsize(_HEAD)
-    while at < len(run):
-        shared, rest, left, windows, first, doc, fingerprint = struct.unpack_from(_HEAD, run, at)
-        at += size
-        last = last[:shared] + run[at : at + rest]
-        at += rest
-        yield shared, (last, run[at : at + left], windows, first, doc, fingerprint)
-        at += left
+    raw = _unpack(run)
+    n = struct.unpack_from("<q", raw)[0]
+    shared, rest, left, windows, first = (raw[8 + j * n : 8 + (j + 1) * n] for j in range(5))
+    docs = np.frombuffer(raw, np.int64, n, 8 + 5 * n).tolist()
+    prints = np.frombuffer(raw, np.uint64, n, 8 + 13 * n).tolist()
+    a = 8 + 21 * n
+    b, last = a + sum(rest), b""
+    for j in range(n):
+        last = last[: shared[j]] + raw[a : a + rest[j]]
+        a += rest[j]
+        yield shared[j], (last, raw[b : b + left[j]], windows[j], first[j], docs[j], prints[j])
+        b += left[j]
 
 
 def merged(runs: list[bytes]) -> Iterator[tuple[int, Entry]]:
@@ -232,25 +250,44 @@ def removed_windows(group: list[Entry], reach: list[int], length: int) -> Iterat
                 yield doc, fingerprint, mask << at
 
 
-def _runs(length: int, parts: int, run_entries: int):
+def _runs(length: int, bits: int, parts: int, run_entries: int):
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
 
-    def flush(entries: dict) -> Iterator[pa.RecordBatch]:
+    def flush(blocks: dict) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[Entry]] = {}
-        gone: dict[int, list[bytes]] = {}
-        for (suffix, left, windows, at), (part, holders) in entries.items():
-            least, mask = min(holders)[0], ((1 << windows) - 1) << at
+        gone: dict[int, list[tuple[int, int, int]]] = {}
+
+        def deal(key: tuple[bytes, bytes, int, int], part: int, holders: set) -> None:
+            """The holders of the smallest document stay; from the others a smaller document takes all windows."""
+            least, mask = min(holders)[0], ((1 << key[2]) - 1) << key[3]
             for doc, fingerprint in holders:
                 if doc == least:
-                    by_part.setdefault(part, []).append((suffix, left, windows, at, doc, fingerprint))
+                    by_part.setdefault(part, []).append((*key, doc, fingerprint))
+                else:
+                    gone.setdefault(doc % parts, []).append((doc, fingerprint, mask))
+
+        windows: dict = {}
+        for (suffix, left, k), (part, holders) in blocks.items():
+            if part >= 0:
+                deal((suffix, left, k, 0), part, holders)
+                continue
+            least, whole = min(holders)[0], left + suffix
+            for doc, fingerprint in holders:
+                if doc != least:
+                    gone.setdefault(doc % parts, []).append((doc, fingerprint, (1 << k) - 1))
                 else:
-                    gone.setdefault(doc % parts, []).append(struct.pack(_PAIR, doc, fingerprint, mask))
+                    for j in range(k):
+                        windows.setdefault((whole[j : j + length], j), set()).add((doc, fingerprint))
+        for (w, j), holders in windows.items():
+            deal((w, b"", 1, j), int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big") % parts, holders)
         rows: list[tuple[int, int, bytes]] = []
         for part, own in by_part.items():
             own.sort(key=lambda e: e[0])
             rows.append((part, 0, front_coded(own)))
-        rows += [(part, 1, b"".join(x)) for part, x in gone.items()]
-        entries.clear()
+        for part, own in gone.items():
+            docs, prints, masks = zip(*sorted(own), strict=True)
+            rows.append((part, 1, _pack(struct.pack("<q", len(own)), np.array(docs, dtype=np.int64), np.array(prints, dtype=np.uint64), np.array(masks, dtype=np.uint64))))
+        blocks.clear()
         for i in range(0, len(rows), 1000):
             part, kind, run = zip(*rows[i : i + 1000], strict=True)
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(run, pa.binary())], schema=schema)
@@ -272,7 +309,7 @@ def _runs(length: int, parts: int, run_entries: int):
                     if lo == hi or not len(mine):
                         continue
                     mine = np.sort(mine)
-                    key = b.anchor[lo:hi].astype(np.int64) << 1
+                    key = ((b.anchor[lo:hi] >> np.uint64(48 - bits)) & np.uint64((1 << 30) - 1)).astype(np.int64) << 1
                     spot = np.searchsorted(mine, key)
                     near = mine[np.minimum(spot, len(mine) - 1)]
                     hit = np.flatnonzero((near >> 1) == (key >> 1))
@@ -280,14 +317,8 @@ def _runs(length: int, parts: int, run_entries: int):
                     for i, hot in zip((lo + hit).tolist(), (near[hit] & 1).tolist(), strict=True):
                         s, k, q = int(b.start[i]), int(b.windows[i]), int(b.place[i])
                         fingerprint = int(b.print_[i])
-                        if hot:
-                            for j in range(k):
-                                w = raw[s + j : s + j + length]
-                                hashed = int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big")
-                                entries.setdefault((w, b"", 1, j), (hashed % parts, set()))[1].add((doc, fingerprint))
-                        else:
-                            key_ = (raw[q : s + k - 1 + length], raw[s:q], k, 0)
-                            entries.setdefault(key_, (int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
+                        key_ = (raw[q : s + k - 1 + length], raw[s:q], k)
+                        entries.setdefault(key_, (-1 if hot else int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
                 if len(entries) >= run_entries:
                     yield from flush(entries)
         yield from flush(entries)
@@ -299,7 +330,10 @@ def _merge(length: int):
     def run(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         for blob in blobs.loc[blobs["kind"] == 1, "run"]:
-            found += struct.iter_unpack(_PAIR, blob)
+            raw = _unpack(blob)
+            n = struct.unpack_from("<q", raw)[0]
+            columns = (np.frombuffer(raw, kind, n, 8 + 8 * n * j).tolist() for j, kind in enumerate((np.int64, np.uint64, np.uint64)))
+            found += zip(*columns, strict=True)
         group: list[Entry] = []
         shared: list[int] = []
 
@@ -388,19 +422,26 @@ def suffix_dedup(
     long = few.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     size = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     parts = max(48, -(-size // part_bytes))
+    # wide enough that few anchors meet by chance: an anchor for every 18 bytes or so, 4 values for every byte
+    bits = min(48, max(16, size.bit_length() + 2))
 
-    anchors = long.mapInArrow(_anchors(length), "anchor long, doc_id long")
+    anchors = long.mapInArrow(_anchors(length, bits), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    flagged = anchors.join(shared, "anchor").select("doc_id", (F.col("anchor") * 2 + (F.col("n") >= hot_documents).cast("long")).alias("a"))
+    # 30 bits tell the anchors of one document apart well enough: one taken for another only adds a suffix to sort
+    flagged = anchors.join(shared, "anchor").select("doc_id", (F.col("anchor") % (1 << 30) * 2 + (F.col("n") >= hot_documents).cast("long")).cast("int").alias("a"))
     lists = flagged.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
-    runs = long.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_runs(length, parts, run_entries), "part int, kind int, run binary")
-    marks = written(runs.groupBy("part").applyInPandas(_merge(length), "doc_id long, print long, mask long"), "suffix-marks")
+    # both joins read one and the same shuffle of the texts by id: for the runs, and again for the cutting
+    texts = few.where("doc_id is not null")
+    runs = texts.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_runs(length, bits, parts, run_entries), "part int, kind int, run binary")
+    marks = runs.groupBy("part").applyInPandas(_merge(length), "doc_id long, print long, mask long")
 
     per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mask")).alias("marks"))
     none = F.array().cast("array<struct<print:bigint,mask:bigint>>")
-    ready = few.join(per_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("marks", none).alias("marks"))
-    kept = ", kept string" if with_text else ""
-    return ready.mapInArrow(_marked(length, with_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string{kept}")
+    ready = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("marks", none).alias("marks"))
+    nameless = few.where("doc_id is null").select("doc_id", "text", none.alias("marks"))
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string" + (", kept string" if with_text else "")
+    cut = lambda df: df.mapInArrow(_marked(length, with_text), schema)
+    return cut(ready).unionByName(cut(nameless))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

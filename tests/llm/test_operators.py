@@ -188,7 +188,7 @@ def test_loser_tree_merges_runs_with_right_prefixes():
 def test_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], "a") for i in range(300)]
-    rows += [(i, rows[7][1], "b") for i in range(300, 330)] + [(400, None, "c"), (401, [1.0, None, 0, 0, 0, 0], "c"), (402, [float("nan")] * 6, "c"), (None, rows[3][1], "d"), (500, [0.5, 0.5], "e"), (600, [], "f")]
+    rows += [(i, rows[7][1], "b") for i in range(300, 330)] + [(400, None, "c"), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], "c"), (402, [float("nan")] * 6, "c"), (None, rows[3][1], "d"), (500, [0.5, 0.5], "e"), (600, [], "f")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim string").withColumn("rank", F.lit(1))
     out = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=8, block_rows=4).collect()
     import numpy as np
