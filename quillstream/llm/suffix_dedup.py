@@ -267,8 +267,8 @@ def _runs(length: int, bits: int, parts: int, run_entries: int):
                     gone.setdefault(doc % parts, []).append((doc, fingerprint, mask))
 
         windows: dict = {}
-        for (suffix, left, k), (part, holders) in blocks.items():
-            if part >= 0:
+        for (suffix, left, k, hot), (part, holders) in blocks.items():
+            if not hot:
                 deal((suffix, left, k, 0), part, holders)
                 continue
             least, whole = min(holders)[0], left + suffix
@@ -308,17 +308,17 @@ def _runs(length: int, bits: int, parts: int, run_entries: int):
                     mine = values[cuts[at + r] : cuts[at + r + 1]]
                     if lo == hi or not len(mine):
                         continue
-                    mine = np.sort(mine)
+                    mine = np.sort(mine).astype(np.int64)
                     key = ((b.anchor[lo:hi] >> np.uint64(48 - bits)) & np.uint64((1 << 30) - 1)).astype(np.int64) << 1
-                    spot = np.searchsorted(mine, key)
-                    near = mine[np.minimum(spot, len(mine) - 1)]
-                    hit = np.flatnonzero((near >> 1) == (key >> 1))
                     doc = int(ids[at + r])
-                    for i, hot in zip((lo + hit).tolist(), (near[hit] & 1).tolist(), strict=True):
-                        s, k, q = int(b.start[i]), int(b.windows[i]), int(b.place[i])
-                        fingerprint = int(b.print_[i])
-                        key_ = (raw[q : s + k - 1 + length], raw[s:q], k)
-                        entries.setdefault(key_, (-1 if hot else int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
+                    # a cold and a hot anchor may look alike: the block then goes both ways, so that it meets all blocks of its anchor on either
+                    for hot in (0, 1):
+                        spot = np.minimum(np.searchsorted(mine, key + hot), len(mine) - 1)
+                        for i in (lo + np.flatnonzero(mine[spot] == key + hot)).tolist():
+                            s, k, q = int(b.start[i]), int(b.windows[i]), int(b.place[i])
+                            fingerprint = int(b.print_[i])
+                            key_ = (raw[q : s + k - 1 + length], raw[s:q], k, hot)
+                            entries.setdefault(key_, (int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
                 if len(entries) >= run_entries:
                     yield from flush(entries)
         yield from flush(entries)
@@ -427,7 +427,7 @@ def suffix_dedup(
 
     anchors = long.mapInArrow(_anchors(length, bits), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    # 30 bits tell the anchors of one document apart well enough: one taken for another only adds a suffix to sort
+    # 30 bits tell the anchors of one document apart well enough: one taken for another only adds a suffix to sort or windows to deal
     flagged = anchors.join(shared, "anchor").select("doc_id", (F.col("anchor") % (1 << 30) * 2 + (F.col("n") >= hot_documents).cast("long")).cast("int").alias("a"))
     lists = flagged.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
     # both joins read one and the same shuffle of the texts by id: for the runs, and again for the cutting
