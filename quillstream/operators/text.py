@@ -84,6 +84,22 @@ def text_identity(df: DataFrame, text: str = "text") -> DataFrame:
     return out.join(counts, "identity")
 
 
+def phrases_within(texts: DataFrame, phrases: DataFrame, key: list[str], head: int = 4) -> DataFrame:
+    """Distinct rows of ``key``, ``text_`` and the phrase's columns where the phrase's tokens lie in a row in the text.
+
+    ``texts``: key and tokens ``t_``; ``phrases``: tokens ``p_`` and other columns.  Joined on the phrase's first ``head`` tokens (all
+    of a shorter phrase), then the whole phrase is checked.  The phrases' size is left to the optimiser.
+    """
+    p = phrases.where(F.size("p_") > 0).withColumn("head_", F.array_join(F.slice("p_", 1, head), " ")).withColumn("norm_", F.array_join("p_", " ")).drop("p_")
+    t = texts.where(F.size("t_") > 0)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size("t_"), F.lit(head))), lambda n: F.transform(F.sequence(F.lit(1), F.size("t_") - n + 1), lambda i: F.array_join(F.slice(F.col("t_"), i, n), " "))))
+    near = t.select(*[F.col(c).alias(f"key_{c}") for c in key], F.explode(F.array_distinct(grams)).alias("head_")).join(p, "head_").drop("head_").distinct()
+    whole = t.select(*key, F.array_join("t_", " ").alias("text_"))
+    same = [F.col(c).eqNullSafe(F.col(f"key_{c}")) for c in key]
+    found = near.join(whole, same).where(F.contains(F.concat(F.lit(" "), "text_", F.lit(" ")), F.concat(F.lit(" "), "norm_", F.lit(" "))))
+    return found.select(*key, "text_", *[c for c in p.columns if c not in ("head_", "norm_")]).distinct()
+
+
 def match_terms(df: DataFrame, terms: DataFrame, key: list[str], longest: int, k: int = 25) -> DataFrame:
     """Whole-word terms in each text, longest first, at most ``k`` (the feature's limit): token n-grams joined to the terms by equality.
 
@@ -96,3 +112,45 @@ def match_terms(df: DataFrame, terms: DataFrame, key: list[str], longest: int, k
     found = spans.select(*key, F.array_join(F.slice("t_", F.col("at"), F.col("n")), " ").alias("norm")).distinct().join(terms, "norm")
     w = Window.partitionBy(*key).orderBy(F.desc(F.length("norm")), "norm", "term_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+#: Tiers of a phrase match, best first.
+TIERS = ("exact", "normalized", "contained", "contains")
+
+
+def match_phrases(df: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of text and phrase (``phrase_id, text``) with their best tier; ``place`` 1 is the text's answer.
+
+    exact: equal in lower case; normalized: equal without punctuation; contained: the text holds a phrase of over 15 characters;
+    contains: a text of 5 characters or more, and of at least 0.6 of the phrase's length, lies in the phrase.  ``place`` orders a
+    text's phrases by tier, then ``phrase_id``.  Containment joins on the part's first characters and then checks the whole part.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    low = bare(F.lower("text"))
+    norm = bare(F.regexp_replace(F.regexp_replace(F.lower("text"), "[.,!?;:'\"]", ""), r"\s+", " "))
+    t = df.where("text is not null").select(*key, low.alias("low_"), norm.alias("norm_")).distinct()
+    p = phrases.where("text is not null").select("phrase_id", low.alias("plow_"), norm.alias("pnorm_")).distinct()
+    tier = lambda rows, n: rows.select(*key, "phrase_id", F.lit(n).alias("tier_"))
+
+    def heads(rows: DataFrame, ids: list[str], text: str, size: int | F.Column) -> DataFrame:
+        """A row per distinct substring of ``size`` characters."""
+        size = F.lit(size) if isinstance(size, int) else size
+        places = rows.where(F.length(text) >= size).select(*ids, text, size.alias("size_")).withColumn("at_", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("size_") + 1)))
+        return places.select(*ids, "size_", F.substring(F.col(text), F.col("at_"), F.col("size_")).alias("head_")).distinct()
+
+    long = p.where(F.length("plow_") > 15).withColumn("head_", F.substring("plow_", 1, 16))
+    near = heads(t, key, "low_", 16).join(long, "head_").select(*key, "phrase_id", "plow_").distinct()
+    contained = near.join(t, key).where(F.contains("low_", "plow_"))
+    # a text's head: 5 characters, or the greatest power of two from 8 on that it has; a phrase's parts of at least 0.6 have at most two such sizes
+    power = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
+    short = t.where(F.length("norm_") >= 5).withColumn("size_", F.when(F.length("norm_") < 8, 5).otherwise(power(F.length("norm_")))).withColumn("head_", F.expr("substring(norm_, 1, size_)"))
+    n = F.length("pnorm_")
+    sizes = F.filter(F.concat(F.array(F.lit(5)), F.when(n >= 8, F.transform(F.sequence(F.lit(3), F.floor(F.log2(n)).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))).otherwise(F.array().cast("array<int>"))), lambda x: (x <= n) & (x > 0.3 * n))
+    parts = heads(p.withColumn("each_", F.explode(sizes)), ["phrase_id"], "pnorm_", F.col("each_")).join(short, ["size_", "head_"]).select(*key, "norm_", "phrase_id").distinct()
+    contains = parts.join(p, "phrase_id").where(F.contains("pnorm_", "norm_") & (F.length("norm_") / n >= 0.6))
+
+    found = tier(t.join(p, F.col("low_") == F.col("plow_")), 0).unionByName(tier(t.join(p, F.col("norm_") == F.col("pnorm_")), 1)).unionByName(tier(contained, 2)).unionByName(tier(contains, 3))
+    best = found.groupBy(*key, "phrase_id").agg(F.min("tier_").alias("tier_"))
+    w = Window.partitionBy(*key).orderBy("tier_", "phrase_id")
+    named = F.element_at(F.array(*[F.lit(x) for x in TIERS]), F.col("tier_") + 1)
+    return best.select(*key, "phrase_id", named.alias("tier"), F.row_number().over(w).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import lineage, metrics, policy, stabilize
+from ..operators import lineage, metrics, policy, stabilize, text
 from ..sources import tables
 from ..sources.tables import DECISIONS, EMISSIONS, SPANS, TELEMETRY, TEXTS
 from .registry import query
@@ -94,12 +94,10 @@ _TOKENS = "regexp_extract_all(translate(lower({c}), '" + tx.MARKED + "', '" + tx
 @query(f"""with {TEXTS}, t as (select doc_id, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from texts), p as (select item_id, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from benchmark)
 select doc_id, item_id, case when t.norm = p.norm then 'exact' else 'contains' end as tier from t join p on contains(' ' || t.norm || ' ', ' ' || p.norm || ' ') where length(p.norm) > 15""")
 def e12_match_phrases(spark, d):
-    """Phrases of over 15 characters in texts, by joining on their first four tokens and checking the rest."""
+    """Phrases of over 15 characters in texts, by joining on their first four tokens (or all) and checking the rest."""
     tokens = tx.tokens(F.col("text"))
-    p = tables.read(spark, d, "benchmark").select("item_id", tokens.alias("p_")).withColumn("norm", F.array_join("p_", " ")).where("length(norm) > 15").withColumn("head", F.array_join(F.slice("p_", 1, 4), " "))
-    sizes = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t_")), lambda i: F.array_join(F.slice(F.col("t_"), i, 4), " "))))
-    t = tables.texts(spark, d).select("doc_id", tokens.alias("t_")).where(F.size("t_") > 0).withColumn("text_", F.array_join("t_", " ")).select("doc_id", "text_", sizes.alias("head"))
-    met = t.join(p.select("item_id", "norm", "head"), "head").where(F.contains(F.concat(F.lit(" "), "text_", F.lit(" ")), F.concat(F.lit(" "), "norm", F.lit(" "))))
+    p = tables.read(spark, d, "benchmark").select("item_id", tokens.alias("p_")).withColumn("norm", F.array_join("p_", " ")).where("length(norm) > 15")
+    met = text.phrases_within(tables.texts(spark, d).select("doc_id", tokens.alias("t_")), p, ["doc_id"])
     return met.select("doc_id", "item_id", F.when(F.col("text_") == F.col("norm"), "exact").otherwise("contains").alias("tier")).distinct()
 
 
