@@ -100,16 +100,13 @@ def phrases_within(texts: DataFrame, phrases: DataFrame, key: list[str], head: i
     return found.select(*key, "text_", *[c for c in p.columns if c not in ("head_", "norm_")]).distinct()
 
 
-def match_terms(df: DataFrame, terms: DataFrame, key: list[str], longest: int, k: int = 25) -> DataFrame:
-    """Whole-word terms in each text, longest first, at most ``k`` (the feature's limit): token n-grams joined to the terms by equality.
+def match_terms(df: DataFrame, terms: DataFrame, key: list[str], k: int = 25) -> DataFrame:
+    """Whole-word terms of any length in each text, longest first, at most ``k`` (the feature's limit).
 
-    ``terms``: ``term_id, norm`` with the tokens joined by spaces, of at most ``longest`` tokens.  The dictionary's size is
-    left to the optimiser: it is broadcast only below the session's threshold.
+    ``terms``: ``term_id, norm`` with the tokens joined by spaces.
     """
-    t = tokens(F.col("text"))
-    grams = df.select(*key, F.col("t_"), F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")) if "t_" in df.columns else df.select(*key, t.alias("t_"), F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"))
-    spans = grams.where(F.size("t_") >= F.col("n")).select(*key, "t_", "n", F.explode(F.sequence(F.lit(1), F.size("t_") - F.col("n") + 1)).alias("at"))
-    found = spans.select(*key, F.array_join(F.slice("t_", F.col("at"), F.col("n")), " ").alias("norm")).distinct().join(terms, "norm")
+    t = df if "t_" in df.columns else df.select(*key, tokens(F.col("text")).alias("t_"))
+    found = phrases_within(t, terms.select("term_id", "norm", F.split("norm", " ").alias("p_")), key).select(*key, "norm", "term_id")
     w = Window.partitionBy(*key).orderBy(F.desc(F.length("norm")), "norm", "term_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

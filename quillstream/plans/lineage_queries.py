@@ -76,7 +76,7 @@ terms as (select item_id as term_id, array_to_string(({_TOKENS.format(c='text')}
 select doc_id, norm, term_id, cast(place as integer) as place from p where place <= 25""")
 def e10_match_terms(spark, d):
     terms = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 2), " ").alias("norm"))
-    return text.match_terms(tables.texts(spark, d), terms, ["doc_id"], 3).select("doc_id", "norm", "term_id", "place")
+    return text.match_terms(tables.texts(spark, d), terms, ["doc_id"]).select("doc_id", "norm", "term_id", "place")
 
 
 @query(f"with {SPANS} select space, id, word, case when start % 7 = 0 then 'missing' when start % 11 = 0 then 'negative' when lag(start) over (partition by space, id order by word, start, \"end\") > start then 'not_monotone' end as reason from spans")

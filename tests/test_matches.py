@@ -47,3 +47,16 @@ def test_phrase_tiers_equal_brute_force(spark):
     for i in {i for i, _ in want}:
         first = min((text.TIERS.index(x), j) for (d, j), x in want.items() if d == i)[1]
         assert [r.phrase_id for r in got if r.doc_id == i and r.place == 1] == [first]
+
+
+def test_terms_of_any_length_are_found_whole(spark):
+    rng = random.Random(9)
+    words = ["ka", "lo", "mi", "su"]
+    terms = [(i, " ".join(rng.choice(words) for _ in range(1 + i % 9))) for i in range(30)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(12)) + ", " + terms[i % 30][1].upper() + ".") for i in range(60)] + [(60, None), (61, "")]
+    got = text.match_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(terms, "term_id long, norm string"), ["doc_id"], k=100).collect()
+    flat = {i: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " " for i, t in texts}
+    assert sorted((r.doc_id, r.term_id) for r in got) == sorted((i, j) for i, t in flat.items() for j, term in terms if f" {term} " in t)
+    for i in flat:
+        own = [r for r in sorted(got, key=lambda r: r.place) if r.doc_id == i]
+        assert [len(r.norm) for r in own] == sorted((len(r.norm) for r in own), reverse=True)
