@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import null_last_key, table, written
 
-#: Bins of a sketch: each metric is an integer 0 .. BINS - 1 (larger values count in the last bin).
-BINS = 1001
+#: Leading binary digits of a sketch's bins: integers below 2 ** DIGITS have bins of their own, wider ones lose their last digits.
+DIGITS = 11
 
 #: metric -> (margin: least distance of a threshold from the upper quartile, also a lower threshold?)
 METRICS = {
@@ -90,7 +90,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _with_metrics(features: DataFrame) -> DataFrame:
     def ratio(up: str, by: int, down: str):
-        return F.when(F.col(down) > 0, F.least(F.expr(f"({up} * {by}) div {down}"), F.lit(BINS - 1))).otherwise(0).cast("int")
+        return F.when(F.col(down) > 0, F.expr(f"({up} * {by}) div {down}")).otherwise(0).cast("long")
 
     return features.select(
         "*",
@@ -105,13 +105,16 @@ def _with_metrics(features: DataFrame) -> DataFrame:
 
 
 def sketches(metrics: DataFrame) -> DataFrame:
-    """Quantile sketches per language, source and metric: counts of at most ``BINS`` integer bins.
+    """Quantile sketches per language, source and metric: counts of integer bins, each named by its least value.
 
     Two sketches merge by adding the counts of equal bins, in any order, so they combine before the shuffle and the
-    result doesn't depend on the partitions; a quantile read from one is off by less than a bin.
+    result doesn't depend on the partitions; a quantile read from one is exact below 2 ** DIGITS, and less than
+    one part in 2 ** (DIGITS - 1) too low from there on.
     """
-    stacked = "stack({}, {}) as (metric, bin)".format(len(METRICS), ", ".join(f"'{m}', {m}" for m in METRICS))
-    return metrics.select("l_", "s_", F.expr(stacked)).groupBy("l_", "s_", "metric", "bin").agg(F.count("*").alias("n"))
+    stacked = "stack({}, {}) as (metric, value)".format(len(METRICS), ", ".join(f"'{m}', {m}" for m in METRICS))
+    lost = f"length(bin(value)) - {DIGITS}"
+    least = F.when(F.col("value") < 1 << DIGITS, F.col("value")).otherwise(F.expr(f"shiftleft(shiftright(value, {lost}), {lost})"))
+    return metrics.select("l_", "s_", F.expr(stacked)).withColumn("bin", least).groupBy("l_", "s_", "metric", "bin").agg(F.count("*").alias("n"))
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:

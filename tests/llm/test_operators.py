@@ -106,6 +106,26 @@ def test_quality_rules(spark, rows):
     assert quality_rules.quality_rules(docs_of(spark, [])).count() == 0
 
 
+def test_quality_rules_judge_long_words(spark):
+    text = lambda chars: " ".join("ab"[j % 2] + chr(97 + j // 2 % 26) * (chars - 2) + chr(97 + j % 25) for j in range(60))
+    rows = [(i, text(8), "de", "s0") for i in range(60)] + [(100, text(11), "de", "s0"), (101, text(12), "de", "s0"), (102, text(400), "de", "s0")]
+    rows += [(200 + i, text(300), "ja", "s0") for i in range(60)] + [(300, text(150), "ja", "s0"), (301, text(299), "ja", "s0"), (302, text(320), "ja", "s0")]
+    out = {r.doc_id: r.failed_rules for r in quality_rules.quality_rules(docs_of(spark, rows)).collect()}
+    assert {i: x for i, x in out.items() if x} == {101: ["word_length"], 102: ["word_length"], 300: ["word_length_low"], 302: ["word_length"]}
+
+
+def test_quality_sketch_bins(spark):
+    values = [0, 1000, 1001, 2047, 2048, 2049, 2050, 4095, 4097, 123_456_789]
+    same = [F.lit(0).cast("long").alias(m) for m in quality_rules.METRICS if m != "word_length"]
+    metrics = spark.createDataFrame([(v,) for v in values], "word_length long").select(F.lit("l").alias("l_"), F.lit("s").alias("s_"), "word_length", *same)
+    bins = quality_rules.sketches(metrics).where("metric = 'word_length'").collect()
+    want = {}
+    for v in values:
+        lost = max(0, v.bit_length() - 11)
+        want[v >> lost << lost] = want.get(v >> lost << lost, 0) + 1
+    assert {r.bin: r.n for r in bins} == want
+
+
 def brute_components(rows, percent, k):
     sets = {}
     for i, t, *_ in rows:
