@@ -9,21 +9,42 @@ from ..functions.text import words
 
 #: Function words of a comma burst.
 FUNCTION_WORDS = ("die", "der", "das", "des", "dem", "den", "wobei", "dass", "weil", "wenn", "obwohl")
+#: White space as in the reference's patterns: Unicode's.
+_SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters, digits, white space and quotes of a comma list's item; combining marks stand for composed letters.
+_ITEM = rf"[\p{{L}}\p{{M}}\p{{N}}_{_SPACE}\u00c0-\u024f\u00ab\u00bb\u201e\u201c\u201a\u2018]"
 #: Reason and pattern, in order; the first that is found is the reason.
 PATTERNS = (
-    ("subtitles", r"[Ss]ubtitles?\s*(by|created|provided)|[Aa]mara\.org|[Tt]hanks?\s*for\s*watching|[Pp]lease\s*(like|subscribe|comment)|[Ss]ubscribe\s*(to|now|here)"),
-    ("repetition", r"(.{5,}?)\1{3,}"),
-    ("music", r"[♪♫]|[Mm]usic\s*playing"),
-    ("bracketed", r"\[.*\]"),
-    ("punctuation", r"^[\s\.\,\!\?]+$"),
+    ("subtitles", rf"[Ss]ubtitles?[{_SPACE}]*(by|created|provided)"),
+    ("subtitles", r"[Aa]mara\.org"),
+    ("subtitles", rf"[Tt]hanks?[{_SPACE}]*for[{_SPACE}]*watching"),
+    ("subtitles", rf"[Pp]lease[{_SPACE}]*(like|subscribe|comment)"),
+    ("subtitles", rf"[Ss]ubscribe[{_SPACE}]*(to|now|here)"),
+    ("repetition", r"(?d)(.{5,}?)\1{3,}"),
+    ("music", rf"[♪♫]|[Mm]usic[{_SPACE}]*playing"),
+    ("bracketed", r"(?d)\[.*\]"),
+    ("punctuation", rf"^[{_SPACE}\.\,\!\?]+$"),
+    ("comma_list", rf"^{_ITEM}++(?:,{_ITEM}++){{4,}}+\.{{0,4}}$"),
 )
 
 
-def detect_patterns(text: Column) -> Column:
-    """First reason whose pattern is found in a text of 3 or more characters."""
-    t = F.trim(text)
-    found = F.coalesce(*[F.when(t.rlike(p), F.lit(reason)) for reason, p in PATTERNS])
-    return F.when(F.length(t) >= 3, found)
+def detect_patterns(text: Column, guard: bool = True) -> Column:
+    """First reason whose pattern is found in a text of 3 or more characters: ``reason, span, loop_start``, or null.
+
+    ``span`` is the match, cut to 200 characters; ``loop_start`` is where a repetition begins, from 0.  With ``guard`` (a flag
+    of the reference), a comma list that is prose is no reason.
+    """
+    t = F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+    def hit(reason: str, pattern: str) -> Column:
+        is_hit = t.rlike(pattern)
+        if reason == "comma_list" and guard:
+            is_hit = is_hit & ~prose_guard(t)
+        match = F.regexp_extract(t, pattern, 0)
+        start = F.instr(t, match) - 1 if reason == "repetition" else F.lit(None).cast("int")
+        return F.when(is_hit, F.struct(F.lit(reason).alias("reason"), F.substring(match, 1, 200).alias("span"), start.alias("loop_start")))
+
+    return F.when(F.length(t) >= 3, F.coalesce(*[hit(reason, p) for reason, p in PATTERNS]))
 
 
 def comma_items(text: Column) -> Column:

@@ -88,7 +88,7 @@ def e15_text_identity(spark, d):
 
 @query()
 def f1_detect_patterns(spark, d):
-    return tables.texts(spark, d).select("doc_id", detect.detect_patterns(F.col("text")).alias("reason"))
+    return tables.texts(spark, d).select("doc_id", detect.detect_patterns(F.col("text")).alias("found")).select("doc_id", "found.reason", "found.span", "found.loop_start")
 
 
 _ITEMS = "list_filter(list_transform(string_split(text, ','), lambda s: " + _TRIM.format(c="s") + "), lambda s: s <> '')"
