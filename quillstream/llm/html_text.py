@@ -194,9 +194,8 @@ def main_text(page: str | None) -> str:
     if best > 0 and tree.tag[best] not in ("article", "main", "body", "html"):
         for i in range(n):
             if i != best and tree.parent[i] == tree.parent[best] and not tree.pruned[i] and chars[i]:
-                dense = linked[i] / chars[i]
                 good = score[i] >= max(3.0, 0.2 * score[best])
-                if good or (tree.tag[i] in ("p", "h1", "h2", "h3", "blockquote", "pre") and dense < 0.25):
+                if good or linked[i] / chars[i] < 0.25:
                     kept.add(i)
     inside = [False] * n
     for i in range(n):

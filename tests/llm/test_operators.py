@@ -341,3 +341,9 @@ def test_sentencepiece_equals_the_library(spark, rows, tmp_path, unigram):
     back = sentencepiece_ops.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in out], "doc_id long, ids array<int>"), path)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(i), t or "") for i, t, *_ in more)
     assert sentencepiece_ops.encode(docs_of(spark, []), path).count() == 0
+
+
+def test_html_text_keeps_short_sections_beside_the_best():
+    long = "Words of the article, one after the other. " * 70
+    page = f"<html><body><div><div><p>{long}</p></div><div><p>Short close.</p></div><ul><li>A point</li></ul><div><a href='x'>More like this</a></div></div></body></html>"
+    assert html_text.main_text(page).split("\n\n") == [long.strip(), "Short close.", "A point"]
