@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,25 +17,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a fresh local folder is
-    made and set, so that ``checkpoint()`` works too.
+    Only on a local master that names none (tests, a single machine) a fresh local folder is made and set, so that
+    ``checkpoint()`` works too; elsewhere executors could not see it, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that ``written`` makes inside are deleted at the end, but for those that the given function writes.
+
+    A lazy result that leaves must read no other table made inside.
+    """
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept = _scopes[-1].pop()
+        if len(_scopes) > 1:
+            _scopes[-2].append(kept)
+        return out
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
@@ -41,7 +77,25 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
             if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, path.toString())
+
+
+#: A key with more than this part of all rows is joined by broadcast: there are fewer than this many such keys.
+HEAVY = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str) -> DataFrame:
+    """Inner join of ``rows`` with one row of facts per key, where a few keys may hold most rows.
+
+    ``n_col`` of the facts says how many rows a key has, so at most ``HEAVY`` keys have a ``HEAVY``-th of all rows: these facts are
+    broadcast and their rows stay where they are; all others are joined by key as the optimiser likes.  Both inputs are
+    read twice and should be written tables.  Keys must not be null.
+    """
+    total = facts.agg(F.coalesce(F.sum(n_col), F.lit(0)).alias("n")).first()["n"]
+    heavy = F.broadcast(facts.where(F.col(n_col) * HEAVY > total))
+    light = facts.where(F.col(n_col) * HEAVY <= total)
+    rest = rows.join(F.broadcast(facts.where(F.col(n_col) * HEAVY > total).select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,79 +1,51 @@
 """Exact n-gram Jaccard join as a blocked sparse matrix product.
 
-Rows of the incidence matrix are distinct shingle sets, columns are shingle hashes.  Sizes of two sets that link
-differ by a bounded factor, so rows fall into geometric size classes, and a linked pair lies in one class or
-in two neighbours.  From the larger size of a class follows the most shingles, d, in which two linked sets
-can differ.  Columns are cut into d + 1 blocks: of these, one at least holds the same shingles in both
-rows.  Only row pairs that share such a block enter the product; their overlap counts are then summed
-block after block, and a pair is dropped as soon as its count so far plus the smaller block sizes still to come is
-below what its sizes require.  Columns that one row alone holds add to no overlap, so a row's other entries bound its
-overlaps before any pair is formed; and 256 parity bits of each row bound the difference of two rows from below.
+Rows of the incidence matrix are distinct shingle sets, columns are shingle hashes.  Two sets of sizes a and b link if they
+share at least p (a + b) / (100 + p) columns, so each lacks at most e = n - ceil(p n / 100) of its own n columns in the other.
+The product is taken where it can be that large, and nowhere else:
+
+1. *Columns of one row go first.*  Of any e + l columns taken in one order over all rows, two linked rows share l.  Each row sends
+   its least e + l hashes; a row of which fewer than l have a second row leaves.  Columns that several rows of
+   one slice hold are counted there and sent once, so a frequent column sends as many rows as there are slices.
+2. *Rarity.*  All columns of the rows left are counted.  Columns of one row come first in the order by count, then by hash; a row
+   with more than e of them leaves, and the columns up to place e + 1 are the row's part of the product.
+3. *Product by rounds.*  Each column offers its first rows as pivots (1, then 16, 256, ...).  Products of pivots and rows that are
+   not connected yet are summed over the columns; sizes and 256 parity bits bound the overlap from above, and
+   for pairs within the bound the overlap is accumulated over the remaining columns block by block until it is
+   reached or out of reach.  Links join components, and columns whose rows lie in one component are finished.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, join_facts, scratch, table, written
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-#: Column blocks over which the product of a pair is summed.
+#: Column blocks over which the overlap of a pair is accumulated.
 PRODUCT_BLOCKS = 8
+#: Entries in which a task looks for columns that several of its rows share.
+SLICE_ENTRIES = 1 << 20
+#: Rows of one column that a task multiplies with the column's pivots.
+PART_ROWS = 4096
+_PARITY = ["p1", "p2", "p3", "p4"]
 
 
-def size_classes(upto: int, percent: int) -> np.ndarray:
-    """First sizes of the size classes up to ``upto`` and one more: two sizes that can link are in one or in neighbours."""
-    firsts = [1]
-    while firsts[-1] <= upto:
-        firsts.append(firsts[-1] * 100 // percent + 1)
-    firsts.append(firsts[-1] * 100 // percent + 1)
-    return np.array(firsts, dtype=np.int64)
-
-
-@lru_cache
-def size_classes(percent: int) -> np.ndarray:
-    """First sizes of the size classes: two sizes that can link are in one class or in neighbours."""
-    firsts = [1]
-    while firsts[-1] < 1 << 40:
-        firsts.append(firsts[-1] * 100 // percent + 1)
-    return np.array(firsts, dtype=np.int64)
+def lacking(n: int, percent: int) -> int:
+    """Most of the ``n`` columns of a row that a linked row can lack."""
+    return n * (100 - percent) // 100
 
 
-def block_count(largest: int, percent: int) -> int:
-    """One more than the most shingles in which two linked sets differ, the smaller having at most ``largest``.
-
-    Sizes a <= b <= a * 100 / p and overlap >= p (a + b) / (100 + p) leave a difference of at most a (100 - p) / p.
-    """
-    return largest * (100 - percent) // percent + 1
-
-
-def block_keys(values: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's column blocks, for its own size class and the one below."""
-    n = len(values)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    firsts = size_classes(percent)
-    own = int(np.searchsorted(firsts, n, side="right")) - 1
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(values))))
-    keys = []
-    for c in (own, own - 1):
-        if c < 0:
-            continue
-        m = block_count(int(firsts[c + 1]) - 1, percent)
-        edges = (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m))[1:-1].astype(np.uint64)
-        cuts = np.concatenate(([0], np.searchsorted(values, edges), [n]))
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        place = np.array([c], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(m, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        keys.append(mix(content ^ mix(place + np.uint64(1))))
-    return np.concatenate(keys)
+def sure(n: int, percent: int) -> int:
+    """How many of a row's first ``lacking + sure`` columns each linked row has among its own first."""
+    e = lacking(n, percent)
+    return min(n - e, e // 2 + 1)
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -82,162 +54,221 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_PARITY = ["p1", "p2", "p3", "p4"]
+def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], pa.RecordBatch, list[np.ndarray]]]:
+    """Places in the batch, the batch and the sets of runs of rows with about ``SLICE_ENTRIES`` entries."""
+    for batch in batches:
+        places, sets, held = [], [], 0
+        for i, values in enumerate(shingle_sets(batch.column("text"), k)):
+            places.append(i)
+            sets.append(values)
+            held += len(values)
+            if held >= SLICE_ENTRIES:
+                yield places, batch, sets
+                places, sets, held = [], [], 0
+        if places:
+            yield places, batch, sets
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.astype(np.int64)))
+
+
+def fingerprints(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, in two signed numbers."""
+    spread = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    return int(values.sum(dtype=np.uint64).astype(np.int64)), int(spread.sum(dtype=np.uint64).astype(np.int64))
 
 
 def _rows(k: int, percent: int):
-    names = ["doc_id", "n", "f1", "f2", *_PARITY]
-    schema = pa.schema([(c, pa.int64()) for c in names] + [("keys", pa.list_(pa.int64()))])
+    names = ["doc_id", "n", "f1", "f2", *_PARITY, "credit"]
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("of_slice", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, f1, f2, bits, keys = [], [], [], [], []
-            for values in shingle_sets(batch.column("text"), k):
-                n.append(len(values))
-                spread = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-                f1.append(int(values.sum().astype(np.int64)) if len(values) else 0)
-                f2.append(int(spread.sum().astype(np.int64)) if len(values) else 0)
-                bits.append(parity(values))
-                keys.append(block_keys(values, percent).astype(np.int64))
-            cuts = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            odd = np.array(bits, dtype=np.int64).reshape(-1, 4)
-            own = [pa.array(x, pa.int64()) for x in (n, f1, f2, *odd.T)]
-            yield pa.record_batch([batch.column("doc_id"), *own, pa.ListArray.from_arrays(cuts, pa.array(flat))], schema=schema)
+        for places, batch, sets in _slices(batches, k):
+            least = [v[: lacking(len(v), percent) + sure(len(v), percent)] for v in sets]
+            flat, row = np.concatenate(least), np.repeat(np.arange(len(sets)), [len(v) for v in least])
+            _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+            local = times[which] > 1
+            prints = np.array([fingerprints(v) for v in sets], dtype=np.int64)
+            bits = np.array([parity(v) for v in sets], dtype=np.int64)
+            credit = np.bincount(row[local], minlength=len(sets))
+            own = np.bincount(row[~local], minlength=len(sets))
+            columns = [pa.array(x, pa.int64()) for x in ([len(v) for v in sets], *prints.T, *bits.T, credit)]
+            rows = [batch.column("doc_id").take(pa.array(places)), *columns, pa.array(np.zeros(len(sets), dtype=bool)), _lists(flat[~local], own)]
+            yield pa.record_batch(rows, schema=schema)
+            again = np.unique(flat[local])
+            yield pa.record_batch([pa.nulls(1, pa.int64())] * len(names) + [pa.array([True]), _lists(again, np.array([len(again)]))], schema=schema)
 
     return run
 
 
-def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+def _entries(k: int):
+    """A row for every column of a slice: the column, a row that has it, and the other rows of the slice that do."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("more", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array([v.tobytes() for v in shingle_sets(batch.column("text"), k)], pa.binary())], schema=schema)
+        for places, batch, sets in _slices(batches, k):
+            expected = np.stack([batch.column(c).to_numpy()[places] for c in ("f1", "f2")], axis=1).tolist()
+            sets = [v if list(fingerprints(v)) == e else v[:0] for v, e in zip(sets, expected, strict=True)]  # another row of the same id
+            flat, docs = np.concatenate(sets), np.repeat(batch.column("doc_id").to_numpy()[places], [len(v) for v in sets])
+            order = np.argsort(flat, kind="stable")
+            flat, docs = flat[order], docs[order]
+            first = np.ones(len(flat), dtype=bool)
+            first[1:] = flat[1:] != flat[:-1]
+            others = np.diff(np.append(np.flatnonzero(first), len(flat))) - 1
+            yield pa.record_batch([pa.array(flat[first].astype(np.int64)), pa.array(docs[first]), _lists(docs[~first], others)], schema=schema)
 
     return run
 
 
-def _incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every entry of the incidence matrix: document and shingle."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
-        flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-        yield pa.record_batch([pa.array(np.repeat(ids, [len(x) for x in sets])), pa.array(flat)], names=["doc_id", "shingle"])
-
-
-_EDGES = (np.arange(1, PRODUCT_BLOCKS, dtype=np.float64) * (2.0**64 / PRODUCT_BLOCKS)).astype(np.uint64)
-
-
-def blocked_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> int:
-    """Overlap of two sorted sets, summed over column blocks; -1 once it can't reach what the sizes require."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    cut_a = np.concatenate(([0], np.searchsorted(a, _EDGES), [len(a)]))
-    cut_b = np.concatenate(([0], np.searchsorted(b, _EDGES), [len(b)]))
-    at_most = np.minimum(np.diff(cut_a), np.diff(cut_b))
-    rest = int(at_most.sum())
-    got = 0
-    for i in range(PRODUCT_BLOCKS):
-        if got + rest < need:
-            return -1
-        x, y = a[cut_a[i] : cut_a[i + 1]], b[cut_b[i] : cut_b[i + 1]]
-        if len(x) and len(y):
-            both = np.concatenate((x, y))
-            both.sort()
-            got += int((both[1:] == both[:-1]).sum())
-        rest -= int(at_most[i])
-    return got if got >= need else -1
-
-
-def _product(percent: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            overlap = [blocked_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(f["x"], f["y"], strict=True)]
-            yield f[["a", "b"]].assign(overlap=np.array(overlap, dtype="int64"))[lambda g: g["overlap"] >= 0]
+def _blocks(k: int):
+    """Each set cut into column blocks, which are equal ranges of the hash."""
+    edges = (np.arange(1, PRODUCT_BLOCKS, dtype=np.float64) * (2.0**64 / PRODUCT_BLOCKS)).astype(np.uint64)
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("blocks", pa.list_(pa.list_(pa.int64())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for places, batch, sets in _slices(batches, k):
+            cuts = np.array([np.concatenate(([0], np.searchsorted(v, edges), [len(v)])) for v in sets])
+            blocks = _lists(np.concatenate(sets), np.diff(cuts, axis=1).ravel())
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PRODUCT_BLOCKS, pa.int32()), blocks)
+            prints = np.array([fingerprints(v) for v in sets], dtype=np.int64)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(places)), *(pa.array(x) for x in prints.T), outer], schema=schema)
 
     return run
 
 
+def accumulated(x: Column, y: Column, need: Column) -> Column:
+    """Overlap of two sets summed over their column blocks; -1 as soon as the blocks still to come can't bring it to ``need``."""
+
+    def add(acc: Column, i: Column) -> Column:
+        a, b = F.get(x, i), F.get(y, i)
+        rest = acc["rest"] - F.least(F.size(a), F.size(b))
+        return F.when(acc["got"] + acc["rest"] < need, F.struct(F.lit(-1).alias("got"), F.lit(0).alias("rest"))).otherwise(
+            F.struct((acc["got"] + F.size(F.array_intersect(a, b))).alias("got"), rest.alias("rest"))
+        )
+
+    most = F.aggregate(F.sequence(F.lit(0), F.lit(PRODUCT_BLOCKS - 1)), F.lit(0), lambda n, i: n + F.least(F.size(F.get(x, i)), F.size(F.get(y, i))))
+    start = F.struct(F.lit(0).alias("got"), most.alias("rest"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(PRODUCT_BLOCKS - 1)), start, add)["got"]
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInPandas(_product(percent), "a long, b long, overlap long")
+    """Pairs (with the sum ``n`` of their sizes) whose overlap is as large as their sizes require."""
+    of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("blocks").alias(s))
+    need = F.expr(f"cast((n * {percent} + {99 + percent}) div {100 + percent} as int)")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", accumulated(F.col("x"), F.col("y"), need).alias("overlap"), need.alias("need"))
+    return both.where("overlap >= need").select("a", "b")
+
+
+def _entering(few: DataFrame, distinct: DataFrame, k: int, percent: int) -> DataFrame:
+    """``key, parts, doc_id, place``: the columns with which each row enters the product, and their place in its order by rarity.
+
+    ``distinct`` has ``doc_id, n, f1, f2`` of the rows; ``parts``: into how many parts the column's rows are dealt.
+    """
+    texts = few.join(distinct.select("doc_id", "f1", "f2"), "doc_id")
+    entries = texts.mapInArrow(_entries(k), "key long, doc_id long, more array<long>")
+    counted = entries.withColumn("rows_", F.sum(F.array_size("more") + 1).over(Window.partitionBy("key"))).where("rows_ > 1")
+    shared = counted.select("key", "rows_", F.explode(F.concat(F.array("doc_id"), "more")).alias("doc_id"))
+    # a row's columns in order: those that it has alone (no entry here), then by count and hash
+    ordered = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("rows_", "key"))).alias("c_"))
+    ordered = ordered.join(distinct.select("doc_id", "n"), "doc_id").withColumn("alone", F.col("n") - F.size("c_"))
+    lack = F.expr(f"n * {100 - percent} div 100")
+    ordered = ordered.where(F.col("alone") <= lack).select("doc_id", "alone", F.posexplode(F.slice("c_", 1, (lack + 1 - F.col("alone")).cast("int"))).alias("at", "c_"))
+    parts = F.ceil(F.col("c_.rows_") / PART_ROWS).cast("int")
+    return ordered.select(F.col("c_.key").alias("key"), parts.alias("parts"), "doc_id", (F.col("alone") + F.col("at") + 1).alias("place"))
 
 
 def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of every document under links of Jaccard similarity ``percent`` / 100 or more.
 
-    Sets are the distinct ``k``-word shingles of the lower-cased (A-Z) whole text.  Equal sets collapse to their smallest id first.  In
-    each round every shared block offers its smallest rows as pivots (1, then 16, 256, ... of them): rows that are not yet
-    in a pivot's component are compared with it, links join components, pivots leave the block, and blocks whose rows all
-    lie in one component are finished.  So a group of n near copies costs about n comparisons, every pair that
-    shares a block and isn't connected already is compared, and no link between components is lost.
+    Sets are the distinct ``k``-word shingles of the lower-cased (A-Z) whole text.  Equal sets collapse to their smallest id.
+    Every pair of rows that can link meets in a column, where one of them becomes a pivot before the other leaves, so
+    each pair is multiplied unless links connect it already: a group of n near copies costs about n
+    products, and no link between components is lost.
 
     Returns ``doc_id, n_shingles, component_id``: one row per input row.  Null or wordless texts have no shingles
     and link with nothing; rows with a null id link with nothing and have a null component; rows that share
-    an id count as one document; an empty table gives no rows.  Other columns are ignored.
+    an id are one document (where their texts differ, the one with the largest set and fingerprint counts); an empty table gives no rows.
+    Other columns are ignored.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    with scratch() as keep:
+        return keep(_components(docs, percent, k, id_col, text_col), "jaccard-result")
+
+
+def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n long, f1 long, f2 long, p1 long, p2 long, p3 long, p4 long, keys array<long>"
-    rows = written(few.mapInArrow(_rows(k, percent), schema), "jaccard-rows")
-    all_ids = written(rows.drop("keys"), "jaccard-ids")
-    sets_of = all_ids.where("doc_id is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    sets_of = written(sets_of, "jaccard-sets")
-    keyed = rows.select("doc_id", "n", "keys").join(sets_of.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"])
-    keyed = keyed.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("rows_")).where("rows_ > 1")
-    members = written(keyed.join(shared.select("key"), "key").select("key", "doc_id"), "jaccard-members")
+    named = few.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    numbers = ["n", "f1", "f2", *_PARITY, "credit"]
+    rows = few.mapInArrow(_rows(k, percent), "doc_id long, " + ", ".join(f"{c} long" for c in numbers) + ", of_slice boolean, keys array<long>")
+    rows = written(rows, "jaccard-rows")
+    all_ids = written(rows.where("not of_slice").select("doc_id", *numbers), "jaccard-ids")
+
+    # 1. columns of one row go: sharing few of its least columns, a row leaves
+    sent = rows.where("of_slice or doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
+    second = sent.withColumn("rows_", F.count("*").over(Window.partitionBy("key"))).where("rows_ > 1 and doc_id is not null")
+    met = second.groupBy("doc_id").agg(F.count("*").alias("met"))
+    lack = f"n * {100 - percent} div 100"
+    able = all_ids.where("doc_id is not null and n > 0").join(met, "doc_id", "left").where(f"credit + coalesce(met, 0) >= least(n - {lack}, {lack} div 2 + 1)")
+    able = able.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2", *_PARITY)).alias("s_")).select("doc_id", "s_.*")
+    about = written(able, "jaccard-able")
+    distinct = about.groupBy("n", "f1", "f2", *_PARITY).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    distinct = written(distinct, "jaccard-distinct")
     discard(rows)
-    about = all_ids.where("n > 0").select("doc_id", F.struct("n", *_PARITY).alias("s_"))
-    nodes = members.select("doc_id").distinct().join(about, "doc_id").groupBy("doc_id").agg(F.max("s_").alias("s_")).select("doc_id", "s_.*")
-    nodes = written(nodes, "jaccard-nodes")
-    sets = few.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
-    sets = written(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "jaccard-shingles")
-    # columns with one entry add to no overlap: what is left of a row's size bounds every overlap of the row
-    columns = sets.mapInArrow(_incidence, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    alone = columns.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    able = nodes.join(alone, "doc_id", "left").select("doc_id", "n", *_PARITY, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    able = written(able.where(F.col("most") * 100 >= F.col("n") * percent), "jaccard-able")
+
+    # 2. the rows' rarest columns
+    members = written(_entering(named, distinct, k, percent), "jaccard-entering")
+    nodes = written(members.select("doc_id").distinct().join(distinct, "doc_id").select("doc_id", "n", "f1", "f2", *_PARITY), "jaccard-nodes")
+    sets = named.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_blocks(k), "doc_id long, f1 long, f2 long, blocks array<array<long>>")
+    sets = sets.join(nodes.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").groupBy("doc_id").agg(F.first("blocks").alias("blocks"))
+    sets = written(sets, "jaccard-sets")
+
+    # 3. product by rounds of pivots
+    dealt = members.withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int"))
+    members, entering = written(dealt.join(nodes.drop("f1", "f2"), "doc_id"), "jaccard-members"), members
+    discard(entering)
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    p = F.col("p")
+    facts = ["doc_id", "place", "label", "n", *_PARITY]
     tested = None
     pivots = 1
     while True:
-        # what a round compares is put to the members once
-        now = written(members.join(able.join(labels.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id"), "jaccard-now")
-        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct("doc_id", "n", "most", "label", *_PARITY)).alias("p")).where("l1 < l2")
-        if pivots == 1:
-            chosen = open_.select("key", "p")
-        else:
-            ranked = now.join(open_.select("key"), "key").withColumn("r_", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-            chosen = ranked.where(F.col("r_") <= pivots).select("key", F.struct("doc_id", "n", "most", "label", *_PARITY).alias("p"))
-        chosen = written(chosen, "jaccard-pivots")
+        now = written(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id"), "jaccard-now")
+        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct(*facts)).alias("p"), F.first("parts").alias("parts")).where("l1 < l2")
+        if pivots > 1:
+            ranked = now.withColumn("r_", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("r_") <= pivots)
+            open_ = ranked.select("key", "parts", F.struct(*facts).alias("p")).join(open_.select("key"), "key")
+        chosen = written(open_.select("key", "parts", "p"), "jaccard-pivots")
         if chosen.isEmpty():
             break
-        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in _PARITY), F.lit(0))
-        pairs = now.join(chosen, "key").where(
-            (F.col("doc_id") > F.col("p.doc_id")) & (F.col("label") != F.col("p.label"))
-            & (F.least("most", "p.most") * (100 + percent) >= (F.col("n") + F.col("p.n")) * percent)
-            & ((F.col("n") + F.col("p.n") - differ) * (100 + percent) >= (F.col("n") + F.col("p.n")) * (2 * percent))
-        ).select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        spread = chosen.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "p")
+        both = F.col("n") + p["n"]
+        # the columns before, at and behind this one; and those in which parity bits differ
+        most = F.least(F.col("place"), p["place"]) + F.least(F.col("n") - F.col("place"), p["n"] - p["place"])
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(p[c])) for c in _PARITY), F.lit(0))
+        pairs = now.join(spread, ["key", "part"]).where((F.col("doc_id") > p["doc_id"]) & (F.col("label") != p["label"]))
+        pairs = pairs.select(p["doc_id"].alias("a"), F.col("doc_id").alias("b"), both.alias("n"), F.least(most, F.floor((both - differ) / 2)).alias("most"))
+        # the product's entries: columns so far, and the least bound of what all columns can give
+        summed = pairs.where(F.col("most") * (100 + percent) >= F.col("n") * percent).groupBy("a", "b", "n").agg(F.count("*").alias("so_far"), F.min("most").alias("most"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            summed = summed.join(tested, ["a", "b"], "left_anti")
+        pairs = written(summed.select("a", "b", "n"), "jaccard-pairs")
+        done = pairs.select("a", "b")
+        tested = done if tested is None else tested.unionByName(done)
         labels = connected_components(written(_linked(pairs, sets, percent), "jaccard-links"), labels)
-        used = chosen.select("key", F.col("p.doc_id").alias("doc_id"))
-        unfinished = chosen.select("key").distinct()
-        members = written(now.select("key", "doc_id").join(unfinished, "key", "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members")
-        discard(now)
+        used = chosen.select("key", p["doc_id"].alias("doc_id"))
+        still = spread.select("key", "part").distinct()
+        members, before = written(now.drop("label").join(still, ["key", "part"], "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members"), members
+        discard(now, before, chosen)
         pivots *= 16
-    component = sets_of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("c_"))
-    discard(sets, members)
-    joined = all_ids.join(component, ["n", "f1", "f2"], "left")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("c_", "doc_id")).alias("component_id"),
-    )
+
+    component = distinct.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    component = written(component.select("n", "f1", "f2", F.coalesce("label", "doc_id").alias("component_id"), "copies"), "jaccard-components")
+    # a row that is not able has no link, and no equal row
+    found = join_facts(about, component, ["n", "f1", "f2"], "copies").select("doc_id", "component_id")
+    out = all_ids.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,18 +153,24 @@ def test_jaccard_components(spark, rows, percent, k):
     assert jaccard.jaccard_join(docs_of(spark, [])).count() == 0
 
 
-def test_linked_sets_share_a_block_key():
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(rng.integers(1, 90))
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        drop = int(rng.integers(0, 1 + len(a) // 10))
-        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64))))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert set(jaccard.block_keys(a, 90)) & set(jaccard.block_keys(b, 90))
+@pytest.mark.parametrize(("percent", "k"), [(90, 3), (80, 5), (60, 2)])
+def test_jaccard_components_of_large_groups(spark, percent, k, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_ROWS", 8)
+    monkeypatch.setattr(jaccard, "SLICE_ENTRIES", 700)
+    rng = random.Random(percent)
+    line = " ".join(f"licence{j}" for j in range(30))
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    many = []
+    for i in range(240):  # near copies of six texts, a line that most share, texts of their own
+        w = list(base[i % 6]) if i % 4 else [f"v{rng.randrange(900)}" for _ in range(40)]
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        many.append((i, (line + " " if i % 3 else "") + " ".join(w), "en", "s0"))
+    many += [(300 + i, many[5][1], "en", "s0") for i in range(20)] + [(7, many[7][1], "en", "s0")]
+    label = brute_components(many, percent, k)
+    out = jaccard.jaccard_join(docs_of(spark, many), percent=percent, k=k).collect()
+    assert len(out) == len(many)
+    assert {r.doc_id: r.component_id for r in out} == label
 
 
 def brute_suffix(rows, length):
