@@ -160,12 +160,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where("overlap >= need").select("a", "b")
 
 
-def _entering(few: DataFrame, distinct: DataFrame, k: int, percent: int) -> DataFrame:
+def _entering(texts: DataFrame, distinct: DataFrame, k: int, percent: int) -> DataFrame:
     """``key, parts, doc_id, place``: the columns with which each row enters the product, and their place in its order by rarity.
 
     ``distinct`` has ``doc_id, n, f1, f2`` of the rows; ``parts``: into how many parts the column's rows are dealt.
     """
-    texts = few.join(distinct.select("doc_id", "f1", "f2"), "doc_id")
     entries = texts.mapInArrow(_entries(k), "key long, doc_id long, more array<long>")
     counted = entries.withColumn("rows_", F.sum(F.array_size("more") + 1).over(Window.partitionBy("key"))).where("rows_ > 1")
     shared = counted.select("key", "rows_", F.explode(F.concat(F.array("doc_id"), "more")).alias("doc_id"))
@@ -218,11 +217,13 @@ def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: st
     discard(rows)
 
     # 2. the rows' rarest columns
-    members = written(_entering(named, distinct, k, percent), "jaccard-entering")
+    texts = written(named.join(distinct.select("doc_id", "f1", "f2"), "doc_id"), "jaccard-texts")
+    members = written(_entering(texts, distinct, k, percent), "jaccard-entering")
     nodes = written(members.select("doc_id").distinct().join(distinct, "doc_id").select("doc_id", "n", "f1", "f2", *_PARITY), "jaccard-nodes")
-    sets = named.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_blocks(k), "doc_id long, f1 long, f2 long, blocks array<array<long>>")
+    sets = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_blocks(k), "doc_id long, f1 long, f2 long, blocks array<array<long>>")
     sets = sets.join(nodes.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").groupBy("doc_id").agg(F.first("blocks").alias("blocks"))
     sets = written(sets, "jaccard-sets")
+    discard(texts)
 
     # 3. product by rounds of pivots
     dealt = members.withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int"))

@@ -4,8 +4,10 @@ Every window of ``length`` bytes has an anchor: its 16-byte gram of least hash,
 have equal anchors at equal places.  Consecutive windows with one anchor form a block, and a block is one suffix
 (from its anchor on) with its left context, so the suffixes to sort are the anchors' rather than one for every byte.
 
-1. Anchors are counted over all documents; suffixes whose anchor lies in one document only leave.
-2. Each task sorts the suffixes of its documents into a run, where equal blocks collapse to the smallest document, and
+1. Blocks meet by anchor, each as a fingerprint of its bytes.  Those of an anchor that lies in one document only leave.  Of equal
+   blocks only that of the smallest document stays, since all windows of the others are in a smaller one; so a passage
+   that many documents share whole is one suffix.  An anchor with one block needs no sorting.
+2. Each task sorts the suffixes of its documents that are left into a run and
    front-codes the run: the length of the prefix shared with the suffix before, and the rest.
 3. Runs are exchanged by a hash of the anchor and merged by a loser tree that carries common-prefix lengths:
    two suffixes whose lengths of common prefix with the last winner differ are ordered by these alone, others are
@@ -13,7 +15,7 @@ have equal anchors at equal places.  Consecutive windows with one anchor form a
 4. In merged order, suffixes with one anchor are neighbours.  Windows that reach no farther than the common prefix with a
    neighbour are looked up by their bytes; those that a smaller document has too are removed.
 
-Suffixes of an anchor that very many documents have go through steps 2 to 4 window by window, dealt by a
+Suffixes of an anchor with very many blocks go through steps 2 to 4 window by window, dealt by a
 hash of the window, so that one frequent passage is spread over all tasks.
 """
 
@@ -22,15 +24,16 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .shingles import mix, utf8_slices
 
 #: Bytes of an anchor's gram.
@@ -86,27 +89,68 @@ class Blocks:
         self.start, self.windows, self.place, self.row = start, ends - start, place[start], row[start]
         self.anchor = grams[self.place] >> np.uint64(16)
         tails = ends + length - 1
-        self.print_ = mix((sums[tails] - sums[start]) * back[start] + (tails - start).astype(np.uint64)) >> np.uint64(16)
+        self.print_ = mix((sums[tails] - sums[start]) * back[start] + (tails - start).astype(np.uint64)) >> np.uint64(8)
 
 
-def _anchors(length: int, bits: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+#: Blocks among which a task looks for equal ones.
+SLICE_BLOCKS = 1 << 20
+#: What a document's list says of a block: a smaller document has it, or it is to be sorted (window by window if hot).
+GONE, COLD, HOT = 0, 1, 2
+
+
+def _found(length: int, bits: int):
+    """Distinct blocks of a slice: ``key`` (anchor, even), fingerprint, smallest document; and the others' (odd key), which are gone."""
+    schema = pa.schema([("key", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64())])
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, print_, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((doc, print_, anchor))
+        anchor, print_, doc = anchor[order], print_[order], doc[order]
+        block = np.ones(len(order), dtype=bool)
+        block[1:] = (anchor[1:] != anchor[:-1]) | (print_[1:] != print_[:-1])
+        new = block.copy()
+        new[1:] |= doc[1:] != doc[:-1]
+        least = doc[np.flatnonzero(block)][np.cumsum(block) - 1] == doc
+        key = np.where(least, anchor << 1, ((print_ & ((1 << 40) - 1)) << 1) | 1)
+        order = np.argsort(doc[new], kind="stable")  # runs of one document pack better
+        return pa.record_batch([pa.array(x[new][order]) for x in (key, print_, doc)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            held, n = [], 0
             for at, _, data, offsets in utf8_slices(batch.column("text")):
                 b = Blocks(data, offsets, length)
-                anchor = b.anchor >> np.uint64(48 - bits)
-                order = np.lexsort((anchor, b.row))
-                anchor, row = anchor[order], b.row[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-                yield pa.record_batch([pa.array(anchor[new].astype(np.int64)), pa.array(ids[at + row[new]], pa.int64())], schema=schema)
+                if len(b.row):
+                    held.append(((b.anchor >> np.uint64(48 - bits)).astype(np.int64), b.print_.astype(np.int64), ids[at + b.row].astype(np.int64)))
+                    n += len(b.row)
+                if n >= SLICE_BLOCKS:
+                    yield flush(held)
+                    held, n = [], 0
+            if held:
+                yield flush(held)
 
     return run
 
 
+def _blocks_of_documents(long: DataFrame, length: int, bits: int, hot_blocks: int) -> DataFrame:
+    """``doc_id, blocks``: fingerprints of a document's blocks that matter, four times, plus what is to be done with each."""
+    found = long.mapInArrow(_found(length, bits), "key long, print long, doc_id long")
+    dealt = found.repartition("key").sortWithinPartitions("key", "print", "doc_id")
+    of_anchor, of_block = Window.partitionBy("key"), Window.partitionBy("key", "print")
+    said = (
+        F.when((F.col("key") % 2 == 1) | (F.col("doc_id") > F.col("owner")), GONE)
+        .when((F.col("low") < F.col("high")) & (F.col("first") < F.col("last")), F.when(F.col("n") >= hot_blocks, HOT).otherwise(COLD))
+    )
+    told = (
+        dealt.withColumn("low", F.min("doc_id").over(of_anchor)).withColumn("high", F.max("doc_id").over(of_anchor))
+        .withColumn("first", F.min("print").over(of_anchor)).withColumn("last", F.max("print").over(of_anchor))
+        .withColumn("n", F.count("*").over(of_anchor)).withColumn("owner", F.min("doc_id").over(of_block))
+        .select("doc_id", (F.col("print") * 4 + said).alias("b")).where("b is not null")
+    )
+    return told.groupBy("doc_id").agg(F.collect_list("b").alias("blocks"))
+
+
 def common_prefix(x: bytes, y: bytes, known: int) -> int:
     """Length of the common prefix of two strings that share ``known`` bytes."""
     a, b = x[known:], y[known:]
@@ -250,78 +294,69 @@ def removed_windows(group: list[Entry], reach: list[int], length: int) -> Iterat
                 yield doc, fingerprint, mask << at
 
 
-def _runs(length: int, bits: int, parts: int, run_entries: int):
+def _runs(length: int, parts: int, run_entries: int):
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
 
-    def flush(blocks: dict) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[Entry]] = {}
+    def flush(by_part: dict[int, list[Entry]], windows: dict[tuple[bytes, int], set[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
         gone: dict[int, list[tuple[int, int, int]]] = {}
-
-        def deal(key: tuple[bytes, bytes, int, int], part: int, holders: set) -> None:
-            """The holders of the smallest document stay; from the others a smaller document takes all windows."""
-            least, mask = min(holders)[0], ((1 << key[2]) - 1) << key[3]
+        for (w, j), holders in windows.items():
+            # the holders of the smallest document stay; from the others a smaller document takes the window
+            least, part = min(holders)[0], int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big") % parts
             for doc, fingerprint in holders:
                 if doc == least:
-                    by_part.setdefault(part, []).append((*key, doc, fingerprint))
-                else:
-                    gone.setdefault(doc % parts, []).append((doc, fingerprint, mask))
-
-        windows: dict = {}
-        for (suffix, left, k, hot), (part, holders) in blocks.items():
-            if not hot:
-                deal((suffix, left, k, 0), part, holders)
-                continue
-            least, whole = min(holders)[0], left + suffix
-            for doc, fingerprint in holders:
-                if doc != least:
-                    gone.setdefault(doc % parts, []).append((doc, fingerprint, (1 << k) - 1))
+                    by_part.setdefault(part, []).append((w, b"", 1, j, doc, fingerprint))
                 else:
-                    for j in range(k):
-                        windows.setdefault((whole[j : j + length], j), set()).add((doc, fingerprint))
-        for (w, j), holders in windows.items():
-            deal((w, b"", 1, j), int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "big") % parts, holders)
+                    gone.setdefault(doc % parts, []).append((doc, fingerprint, 1 << j))
         rows: list[tuple[int, int, bytes]] = []
         for part, own in by_part.items():
-            own.sort(key=lambda e: e[0])
+            own.sort(key=itemgetter(0))
             rows.append((part, 0, front_coded(own)))
         for part, own in gone.items():
             docs, prints, masks = zip(*sorted(own), strict=True)
             rows.append((part, 1, _pack(struct.pack("<q", len(own)), np.array(docs, dtype=np.int64), np.array(prints, dtype=np.uint64), np.array(masks, dtype=np.uint64))))
-        blocks.clear()
+        by_part.clear()
+        windows.clear()
         for i in range(0, len(rows), 1000):
             part, kind, run = zip(*rows[i : i + 1000], strict=True)
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(run, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: dict = {}
+        by_part: dict[int, list[Entry]] = {}
+        windows: dict[tuple[bytes, int], set[tuple[int, int]]] = {}
+        held = 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            shared = batch.column("anchors")
-            cuts = shared.offsets.to_numpy()
-            values = shared.values.to_numpy(zero_copy_only=False)
+            known = batch.column("blocks")
+            cuts = known.offsets.to_numpy()
+            values = known.values.to_numpy(zero_copy_only=False)
             for at, rows, data, offsets in utf8_slices(batch.column("text")):
+                sought = [values[cuts[at + r] : cuts[at + r + 1]] for r in range(rows)]
+                sought = [np.sort(v[(v & 3) != GONE]) for v in sought]
+                if not any(map(len, sought)):
+                    continue
                 b = Blocks(data, offsets, length)
                 raw = data.tobytes()
                 bounds = np.searchsorted(b.row, np.arange(rows + 1))
-                for r in range(rows):
-                    lo, hi = bounds[r], bounds[r + 1]
-                    mine = values[cuts[at + r] : cuts[at + r + 1]]
-                    if lo == hi or not len(mine):
-                        continue
-                    mine = np.sort(mine).astype(np.int64)
-                    key = ((b.anchor[lo:hi] >> np.uint64(48 - bits)) & np.uint64((1 << 30) - 1)).astype(np.int64) << 1
+                for r in np.flatnonzero([len(v) > 0 for v in sought]).tolist():
+                    lo, hi, mine = bounds[r], bounds[r + 1], sought[r]
+                    print_, which = np.unique(b.print_[lo:hi].astype(np.int64), return_index=True)  # a block that comes again is one
+                    spot = np.minimum(np.searchsorted(mine >> 2, print_), len(mine) - 1)
+                    hit = np.flatnonzero(mine[spot] >> 2 == print_)
+                    i = lo + which[hit]
                     doc = int(ids[at + r])
-                    # a cold and a hot anchor may look alike: the block then goes both ways, so that it meets all blocks of its anchor on either
-                    for hot in (0, 1):
-                        spot = np.minimum(np.searchsorted(mine, key + hot), len(mine) - 1)
-                        for i in (lo + np.flatnonzero(mine[spot] == key + hot)).tolist():
-                            s, k, q = int(b.start[i]), int(b.windows[i]), int(b.place[i])
-                            fingerprint = int(b.print_[i])
-                            key_ = (raw[q : s + k - 1 + length], raw[s:q], k, hot)
-                            entries.setdefault(key_, (int(b.anchor[i]) % parts, set()))[1].add((doc, fingerprint))
-                if len(entries) >= run_entries:
-                    yield from flush(entries)
-        yield from flush(entries)
+                    columns = (b.start[i], b.windows[i], b.place[i], b.anchor[i] % np.uint64(parts), print_[hit], mine[spot[hit]] & 3)
+                    for s, k, q, part, fingerprint, what in zip(*(c.tolist() for c in columns), strict=True):
+                        if what == COLD:
+                            by_part.setdefault(part, []).append((raw[q : s + k - 1 + length], raw[s:q], k, 0, doc, fingerprint))
+                            held += 1
+                        else:
+                            for j in range(k):
+                                windows.setdefault((raw[s + j : s + j + length], j), set()).add((doc, fingerprint))
+                            held += k
+                if held >= run_entries:
+                    yield from flush(by_part, windows)
+                    held = 0
+        yield from flush(by_part, windows)
 
     return run
 
@@ -364,26 +399,31 @@ def _marked(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            marks = batch.column("marks")
-            cuts = marks.offsets.to_numpy()
+            marks, blocks = batch.column("marks"), batch.column("blocks")
+            cuts, ends = marks.offsets.to_numpy(), blocks.offsets.to_numpy()
             prints = marks.values.field("print").to_numpy(zero_copy_only=False)
             masks = marks.values.field("mask").to_numpy(zero_copy_only=False)
+            values = blocks.values.to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").to_pylist()
             for at, rows, data, offsets in utf8_slices(batch.column("text")):
-                b = Blocks(data, offsets, length)
+                touched = cuts[at + rows] > cuts[at] or ends[at + rows] > ends[at]
+                b = Blocks(data if touched else data[:0], offsets, length)
                 bounds = np.searchsorted(b.row, np.arange(rows + 1))
                 for r in range(rows):
                     text = data[offsets[r] : offsets[r + 1]]
                     lo, hi, x, y = bounds[r], bounds[r + 1], cuts[at + r], cuts[at + r + 1]
+                    whole = values[ends[at + r] : ends[at + r + 1]]
+                    whole = whole[(whole & 3) == GONE] >> 2
                     gone = np.zeros(len(text), dtype=bool)
-                    if hi > lo and y > x:
-                        known, inverse = np.unique(prints[x:y], return_inverse=True)
+                    if hi > lo and (y > x or len(whole)):
+                        known, inverse = np.unique(np.concatenate((prints[x:y], whole)), return_inverse=True)
                         bits = np.zeros(len(known), dtype=np.int64)
-                        np.bitwise_or.at(bits, inverse, masks[x:y])
+                        np.bitwise_or.at(bits, inverse, np.concatenate((masks[x:y], np.full(len(whole), -1, dtype=np.int64))))
                         mine = b.print_[lo:hi].astype(np.int64)
                         spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                         hit = np.flatnonzero(known[spot] == mine)
-                        on = (bits[spot[hit]][:, None] >> np.arange(length, dtype=np.int64)) & 1
+                        spread = np.arange(length, dtype=np.int64)
+                        on = (bits[spot[hit]][:, None] >> spread) & (spread < b.windows[lo:hi][hit][:, None])
                         which, j = np.nonzero(on)
                         p = b.start[lo:hi][hit[which]] + j - offsets[r]
                         step = np.zeros(len(text) + 1, dtype=np.int64)
@@ -404,7 +444,7 @@ def _marked(length: int, with_text: bool):
 
 def suffix_dedup(
     docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-    hot_documents: int = 4096, part_bytes: int = 16 << 20, run_entries: int = 250_000,
+    hot_blocks: int = 4096, part_bytes: int = 16 << 20, run_entries: int = 250_000,
 ) -> DataFrame:
     """Each whole text without the bytes covered by a ``length``-byte string that also starts in a smaller document.
 
@@ -413,7 +453,7 @@ def suffix_dedup(
     input.  Null or short texts lose nothing; rows with a null id lose nothing and take nothing; rows that share an id
     are one document to each other: they take nothing from each other; an empty table gives no rows.  Other columns are ignored.
 
-    ``hot_documents``: an anchor in at least so many documents is handled window by window.  ``part_bytes``: text per
+    ``hot_blocks``: an anchor with at least so many blocks is handled window by window.  ``part_bytes``: text per
     merge partition.  ``run_entries``: suffixes that a task holds before it writes a sorted run.
     """
     if not GRAM < length <= 63:
@@ -425,20 +465,17 @@ def suffix_dedup(
     # wide enough that few anchors meet by chance: an anchor for every 18 bytes or so, 4 values for every byte
     bits = min(48, max(16, size.bit_length() + 2))
 
-    anchors = long.mapInArrow(_anchors(length, bits), "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    # 30 bits tell the anchors of one document apart well enough: one taken for another only adds a suffix to sort or windows to deal
-    flagged = anchors.join(shared, "anchor").select("doc_id", (F.col("anchor") % (1 << 30) * 2 + (F.col("n") >= hot_documents).cast("long")).cast("int").alias("a"))
-    lists = flagged.groupBy("doc_id").agg(F.collect_list("a").alias("anchors"))
+    blocks = written(_blocks_of_documents(long, length, bits, hot_blocks), "suffix-blocks")
     # both joins read one and the same shuffle of the texts by id: for the runs, and again for the cutting
     texts = few.where("doc_id is not null")
-    runs = texts.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_runs(length, bits, parts, run_entries), "part int, kind int, run binary")
+    runs = texts.join(blocks, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_runs(length, parts, run_entries), "part int, kind int, run binary")
     marks = runs.groupBy("part").applyInPandas(_merge(length), "doc_id long, print long, mask long")
 
     per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mask")).alias("marks"))
+    no_block = F.array().cast("array<bigint>")
     none = F.array().cast("array<struct<print:bigint,mask:bigint>>")
-    ready = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("marks", none).alias("marks"))
-    nameless = few.where("doc_id is null").select("doc_id", "text", none.alias("marks"))
+    ready = texts.join(blocks, "doc_id", "left").join(per_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("blocks", no_block).alias("blocks"), F.coalesce("marks", none).alias("marks"))
+    nameless = few.where("doc_id is null").select("doc_id", "text", no_block.alias("blocks"), none.alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string" + (", kept string" if with_text else "")
     cut = lambda df: df.mapInArrow(_marked(length, with_text), schema)
     return cut(ready).unionByName(cut(nameless))

@@ -193,7 +193,7 @@ def brute_suffix(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("params", [{}, {"hot_documents": 3, "run_entries": 40, "part_bytes": 2000}, {"length": 20}])
+@pytest.mark.parametrize("params", [{}, {"hot_blocks": 3, "run_entries": 40, "part_bytes": 2000}, {"length": 20}])
 def test_suffix_dedup(spark, rows, params):
     more = rows + [(60, "abc " * 300, "en", "s"), (61, "x" + "abc " * 200 + "y", "en", "s"), (62, "bc a" * 90, "en", "s")]
     out = suffix_dedup.suffix_dedup(docs_of(spark, more), **params).collect()
@@ -201,39 +201,6 @@ def test_suffix_dedup(spark, rows, params):
     assert suffix_dedup.suffix_dedup(docs_of(spark, [])).count() == 0
 
 
-def test_suffix_dedup_where_a_cold_and_a_hot_anchor_look_alike():
-    import numpy as np
-    import pandas as pd
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8)
-    noise = letters(1 << 21)
-    b = suffix_dedup.Blocks(noise, np.array([0, len(noise)]), 50)
-    wide = np.flatnonzero(b.windows >= 5)
-    low = b.anchor[wide] & np.uint64((1 << 30) - 1)
-    order = np.argsort(low, kind="stable")
-    same = np.flatnonzero((np.diff(low[order]) == 0) & (b.anchor[wide[order[1:]]] != b.anchor[wide[order[:-1]]]))[0]
-    cold, hot = (noise[b.start[i] : b.start[i] + b.windows[i] + 49].tobytes().decode() for i in wide[order[same : same + 2]])
-    plain = lambda: letters(80).tobytes().decode()
-    docs = [(1, cold)] + [(i, plain() + hot[:50] + plain()) for i in range(2, 6)] + [(9, plain() + cold + plain() + hot + plain())]
-
-    batch = pa.record_batch({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
-    pairs = [(a, i) for out in suffix_dedup._anchors(50, 48)(iter([batch])) for a, i in zip(*(c.to_pylist() for c in out.columns), strict=True)]
-    n = {}
-    for a, _ in pairs:
-        n[a] = n.get(a, 0) + 1
-    listed = [[a % (1 << 30) * 2 + (n[a] >= 4) for a, i in pairs if i == doc and n[a] > 1] for doc, _ in docs]
-    assert any(x ^ 1 in own for own in listed for x in own)
-    runs = suffix_dedup._runs(50, 48, 48, 1000)(iter([batch.append_column("anchors", pa.array(listed, pa.list_(pa.int32())))]))
-    parts = pd.concat(r.to_pandas() for r in runs).groupby("part")
-    found = pd.concat(suffix_dedup._merge(50)(key, blobs) for key, blobs in parts)
-    marks = [[{"print": p, "mask": m} for d, p, m in found.itertuples(index=False) if d == doc] for doc, _ in docs]
-    column = pa.array(marks, pa.list_(pa.struct([("print", pa.int64()), ("mask", pa.int64())])))
-    out = [r for part in suffix_dedup._marked(50, False)(iter([batch.append_column("marks", column)])) for r in part.to_pylist()]
-    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in out), key=str) == brute_suffix(docs, 50)
-
-
 def test_loser_tree_merges_runs_with_right_prefixes():
     rng = random.Random(11)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(16, 22))) for _ in range(rng.randrange(0, 30))) for _ in range(7)]
