@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,15 +26,23 @@ _RAW = frozenset("script style title textarea noscript iframe noembed noframes x
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_DROPPED = frozenset("nav header footer aside form button select option menu dialog object audio video canvas svg map fieldset input label".split())
-_KEPT = frozenset(("html", "body", "article", "main"))
+_DROPPED = frozenset("nav footer aside button select option menu dialog object audio video canvas svg map fieldset input label".split())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NAMES = re.compile(
-    r"(?:^|[\s_:-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|header|masthead|foot(?:er)?|comments?|comment-?list|disqus|repl(?:y|ies)|respond"
-    r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscri\w*|newsletter|sign-?up|login|share\w*|sharing|social|related|recommend\w*|more-?stories|widget|pagination|pager|toolbar|skip)"
-    r"(?=$|[\s_:-])",
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|sidebar|menu|nav\w*|breadcrumbs?|masthead|foot(?:er)?|comments?|disqus|repl(?:y|ies)|respond"
+    r"|cookies?|consent|gdpr|popup|modal|overlay|subscri\w*|newsletter|signup|login|share\w*|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip)",
     re.I,
 )
+#: Names that say so alone, or with a word for a box.
+_BOXES = re.compile(
+    r"(?:header|notices?|alerts?)(?:-(?:box|bar|area|wrap|wrapper|container|inner|outer|top|main|section|content|message|msg|text|info|warning|success|danger|error|block|list|item|\d+))*"
+    r"|(?:\w+-)*(?:notices?|alerts?)|(?:site|page|top|main|global|app)-header(?:-\w+)*|side-bar(?:-\w+)*|sign-up(?:-\w+)*|more-stories",
+    re.I,
+)
+#: Tokens that speak of the page around: a site that has a sidebar isn't one.
+_STATES = re.compile(r"(?:has|with|without|no|not|is|hide|show|one|two)-.*|.*-(?:open|opened|closed|enabled|disabled|allowed|on|off|active|visible|left|right)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_END = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in _RAW}
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -45,33 +54,52 @@ _CLOSES = {
 }
 
 
+def _suspected(tag: str, values: dict[str, str], in_article: bool) -> bool:
+    """Do class and id say that the element is no part of the text?  Headings are judged by their text alone."""
+    if tag in _HEADINGS:
+        return False
+    for token in f"{values.get('class', '')} {values.get('id', '')}".split():
+        token = re.sub(r"[_:-]+", "-", token).strip("-")
+        if _STATES.fullmatch(token) or in_article and "header" in token.lower():
+            continue
+        if _BOXES.fullmatch(token) or any(_NAMES.fullmatch(part) for part in token.split("-")):
+            return True
+    return False
+
+
 class _Page:
-    """Parallel lists: nodes in page order with parent, tag and whether they are pruned; blocks of text with their node."""
+    """Parallel lists: nodes in page order with parent, tag, pruned or suspected; blocks of text with their node.
+
+    One pass; each step costs the same however deep the page is nested.
+    """
 
     def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.pruned = [-1], ["#"], [False]
+        self.parent, self.tag, self.pruned, self.suspect, self.block_of = [-1], ["#"], [False], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters inside links
-        stack, pieces, linked, at, in_link = [0], [], 0, 0, 0
+        self.stack, self.open = [0], Counter()
+        pieces: list[str] = []
+        linked, at, block_node = 0, 0, 0
 
         def flush() -> None:
             nonlocal linked
             if pieces:
-                text = " ".join(html.unescape("".join(pieces)).split())
+                text = " ".join("".join(pieces).split())
                 pieces.clear()
                 if text:
                     self.blocks.append((block_node, text, min(linked, len(text))))
                 linked = 0
 
-        block_node = 0
-        for m in _TOKEN.finditer(page):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                piece = page[at : m.start()]
+        while True:
+            # from here on only: what a script holds is passed over unread
+            m = _TOKEN.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at:
                 if not pieces:
-                    block_node = self._block(stack)
-                pieces.append(piece)
-                linked += len(piece) if in_link else 0
+                    block_node = self.block_of[self.stack[-1]]
+                pieces.append(html.unescape(page[at:end]))  # a reference ends with its text
+                linked += end - at if self.open["a"] else 0
+            if not m:
+                break
             at = m.end()
             name = m[2] or m[5]
             if not name:
@@ -83,72 +111,91 @@ class _Page:
             if tag not in _INLINE:
                 flush()
             if closing:
-                self._close(stack, tag)
-            else:
-                if tag in _RAW:
-                    end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                    continue
-                if tag in _VOID:
-                    continue
-                self._open(stack, tag, m[3] or m[6] or "")
-            in_link = any(self.tag[n] == "a" for n in stack)
-        if at < len(page):
-            if not pieces:
-                block_node = self._block(stack)
-            pieces.append(page[at:])
-            linked += len(page) - at if in_link else 0
+                self._close(tag)
+            elif tag in _RAW:
+                over = _END[tag].search(page, at)
+                at = over.end() if over else len(page)
+            elif tag not in _VOID:
+                self._open(tag, m[3] or m[6] or "")
         flush()
 
-    def _block(self, stack: list[int]) -> int:
-        """The innermost open element that isn't inline: the one that the text's block belongs to."""
-        for n in reversed(stack):
-            if self.tag[n] not in _INLINE or self.pruned[n] and not self.pruned[self.parent[n]]:
-                return n
-        return 0
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == tag:
-                del stack[i:]
+    def _cut(self, i: int) -> None:
+        """Close the open elements from the ``i``-th on."""
+        for n in self.stack[i:]:
+            self.open[self.tag[n]] -= 1
+        del self.stack[i:]
+
+    def _close(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            own = self.tag[self.stack[i]]
+            if own == tag:
+                self._cut(i)
                 return
-            if tag in _INLINE and self.tag[stack[i]] not in _INLINE:
+            if tag in _INLINE and own not in _INLINE:
                 return
 
-    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag not in _INLINE:
+    def _open(self, tag: str, attributes: str) -> None:
+        if tag not in _INLINE and self.open["p"]:
             # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[i]] == "p":
-                    del stack[i:]
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.tag[self.stack[i]] == "p":
+                    self._cut(i)
                     break
-                if self.tag[stack[i]] not in _INLINE:
+                if self.tag[self.stack[i]] not in _INLINE:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(self.open[x] for x in _CLOSES[tag][0]):
             ends, within = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[i]] in within:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.tag[self.stack[i]] in within:
                     break
-                if self.tag[stack[i]] in ends:
-                    del stack[i:]
-        parent = stack[-1]
-        drop = self.pruned[parent]
-        if not drop and tag not in _KEPT:
-            drop = tag in _DROPPED and not (tag == "header" and any(self.tag[n] in ("article", "main") for n in stack))
+                if self.tag[self.stack[i]] in ends:
+                    self._cut(i)
+                    break
+        parent = self.stack[-1]
+        drop, suspect = self.pruned[parent], False
+        if not drop and tag not in ("html", "body"):
+            in_article = self.open["article"] + self.open["main"] > 0
+            drop = tag in _DROPPED
+            suspect = tag == "form" or tag == "header" and not in_article
             if not drop and attributes:
                 values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+                role = values.get("role", "").lower()
                 drop = (
-                    bool(_NAMES.search(f"{values.get('class', '')} {values.get('id', '')}"))
-                    and not (tag in ("h1", "header"))
-                    or values.get("role", "").lower() in _ROLES
-                    or values.get("aria-hidden", "").lower() == "true"
+                    values.get("aria-hidden", "").lower() == "true"
                     or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None
                     or "display:none" in values.get("style", "").replace(" ", "").lower()
                 )
+                suspect = suspect or role in _ROLES or _suspected(tag, values, in_article)
+        if suspect and tag in _INLINE:
+            drop, suspect = True, False
+        here = len(self.tag)
+        own_block = tag not in _INLINE or drop and not self.pruned[parent]
         self.parent.append(parent)
         self.tag.append(tag)
         self.pruned.append(drop)
-        stack.append(len(self.tag) - 1)
+        self.suspect.append(suspect)
+        self.block_of.append(here if own_block else self.block_of[parent])
+        self.stack.append(here)
+        self.open[tag] += 1
+
+    def prune(self) -> None:
+        """Drop the suspected elements, but for those that hold the article or nearly all of the page's text."""
+        n = len(self.tag)
+        nearest, holds, own = [0] * n, [False] * n, [0.0] * n
+        for i in range(1, n):
+            nearest[i] = i if self.suspect[i] else nearest[self.parent[i]]
+        for node, text, in_links in self.blocks:
+            if not self.pruned[node]:
+                own[nearest[node]] += len(text) - in_links
+        for i in range(n - 1, 0, -1):
+            article = self.tag[i] in ("article", "main") and not self.suspect[i] and not self.pruned[i]
+            if article or holds[i] and not (self.suspect[i] and self.tag[i] in ("article", "main")):
+                holds[i] = holds[self.parent[i]] = True
+        for i in range(1, n):
+            wraps = holds[i] or own[i] > 10 * own[0]
+            self.pruned[i] = self.pruned[i] or self.pruned[self.parent[i]] or self.suspect[i] and not wraps
 
 
 def main_text(page: str | None) -> str:
@@ -156,6 +203,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _Page(page)
+    tree.prune()
     blocks = [b for b in tree.blocks if not tree.pruned[b[0]]]
     if not blocks:
         return ""
@@ -164,18 +212,18 @@ def main_text(page: str | None) -> str:
     for node, text, in_links in blocks:
         points = 1.0 + len(text) / 100 + text.count(",") + text.count("、") + text.count("，")
         points *= 1 - in_links / len(text)
-        if tree.tag[node] in ("div", "section", "article", "main", "body", "td"):
+        if tree.tag[node] in ("div", "section", "article", "main", "body", "td", "form"):
             score[node] += points  # bare text of a container
         share, up = 1.0, tree.parent[node]
         while up > 0 and share > 0.1:
             score[up] += points * share
             share /= 2
             up = tree.parent[up]
-        at = node
-        while at >= 0:
-            chars[at] += len(text)
-            linked[at] += in_links
-            at = tree.parent[at]
+        chars[node] += len(text)
+        linked[node] += in_links
+    for i in range(n - 1, 0, -1):  # parents come before their children
+        chars[tree.parent[i]] += chars[i]
+        linked[tree.parent[i]] += linked[i]
     for i in range(n):
         if tree.tag[i] in ("article", "main"):
             score[i] *= 1.5
@@ -217,11 +265,12 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     Each block of text passes points for its length and commas to its ancestors, halved at each step and discounted by
     the share of its characters that lie in links; the element with most points, its article if it lies in
     one, and its good siblings are kept.  Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-    hidden elements and reader comments are left out before.  Character references are decoded, white space in a block
+    hidden elements and reader comments are left out before, by tag, role or name; an element so named that holds the article, or ten times
+    the text of all that isn't suspected, is a wrapper and stays.  Character references are decoded, white space in a block
     becomes one space, blocks keep their page order and are joined by an empty line.
 
     Null or empty html gives an empty text; pages are independent rows, so repeated rows and null ids stay; tags that are
-    never closed or cut off are read as browsers do; an empty table gives no rows.  Other columns are ignored.
+    never closed or cut off are read as browsers do; the work grows with the page's length, however deep it is nested; an empty table gives no rows.  Other columns are ignored.
     """
     few = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),

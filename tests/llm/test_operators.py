@@ -320,3 +320,45 @@ def test_html_text_keeps_short_sections_beside_the_best():
     long = "Words of the article, one after the other. " * 70
     page = f"<html><body><div><div><p>{long}</p></div><div><p>Short close.</p></div><ul><li>A point</li></ul><div><a href='x'>More like this</a></div></div></body></html>"
     assert html_text.main_text(page).split("\n\n") == [long.strip(), "Short close.", "A point"]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<script>// if x<y don't stop\n</script><div><p>He said it's fine, really.</p></div>", "He said it's fine, really."),
+    ('<div class="site has-sidebar"><div class="post comments-open"><p>Text, long enough.</p></div><div class="sidebar"><p>Side, text.</p></div></div>', "Text, long enough."),
+    ("<form><div><p>A page, inside a form.</p></div></form>", "A page, inside a form."),
+    ('<article><h2 class="post-header">Head</h2><p>Words, words.</p><div class="alert-level"><p>Level, five.</p></div></article>', "Head\n\nWords, words.\n\nLevel, five."),
+    ("<p>&am<b>p;lt;</b></p>", "&amp;lt;"),
+    ('<div><p>Main, text, of, the, page.</p></div><ol class="comment-list"><li><article class="comment"><p>Nice, nice, nice, nice, nice, nice.</p></article></li></ol>', "Main, text, of, the, page."),
+    ('<div class="wrap"><article><p>Body, of it.</p></article><div id="comments"><p>One, two, three, four, five, six, seven.</p></div></div>', "Body, of it."),
+    ('<div class="cookie-notice">Cookies, all</div><div class="alert alert-info">Alert, now</div><div class="site-header">Name, of site</div><p>Text, here.</p>', "Text, here."),
+])
+def test_html_pages_from_the_wild(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>deep, text</p>" + "</span></div>" * n + "<b>" * n + "x" + "</i>" * n
+        start = time.perf_counter()
+        assert "deep, text" in html_text.main_text(page)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.02)
+
+
+def test_html_equals_a_plain_reading_of_all_pages(sf):
+    """The tables' pages have one article and nothing nested in it but inline marks: cut it out with expressions."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).column("html").to_pylist():
+        article = re.search(r"(?s)<article[^>]*>(.*?)</article>", page)[1]
+        article = re.sub(r"(?s)<(script|style)[^>]*>.*?</\1>|<div[^>]*class=\"ad\".*?</div>", "", article)
+        parts = re.split(r"</?(?:h1|h2|h3|p|li|ul|div)(?:\s[^>]*)?>", article)
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br */?>", " ", t))).split()) for t in parts]
+        assert html_text.main_text(page) == "\n\n".join(t for t in texts if t)
