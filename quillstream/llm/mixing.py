@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, null_last_key, seeded_hash, table, written
+from .common import WORD, join_facts, null_last_key, seeded_hash, table, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -43,22 +43,26 @@ def pareto_mix(
     text_col: str = "text",
     source_col: str = "source",
     odds_weight: Column | None = None,
+    short_words: int = 100,
     seed: str = "mix",
     buckets: int = 2048,
 ) -> DataFrame:
     """How many whole copies of each document the mixture takes.
 
-    A document's expected copies are its source's target over the source's size, times its
-    ``odds_weight`` relative to the source's size-weighted mean (default: every word alike), at most ``most``.
-    Whole expected copies are certain; the fraction is an inclusion probability p.  Documents are ranked
+    A source's expected copies are its target over its size.  The whole part is certain for each of its documents; the
+    fraction f is its documents' mean inclusion probability.  Single probabilities differ: p = f + min(f, 1 - f) * (w - mean of w), with w
+    the document's ``odds_weight`` over the source's largest and the mean taken by size, so that the expected words stay the target
+    and no p leaves 0 to 1.  By default w is size / (size + ``short_words``): of a source that isn't taken whole, very short
+    documents come less often.  Documents are ranked
     within the source by the Pareto key (u / (1 - u)) / (p / (1 - p)) with u a seeded hash of the id, and taken in
     that order until the words reach the source's target, so the sample's size is fixed.  Reruns agree.
 
-    Rank ranges (``buckets`` per source) are summed before rows are put in order, so no task holds a source.
+    Rank ranges (``buckets`` per source) are summed before rows are put in order, and rows of sources that hold much of
+    the table meet their source's facts where they are, so no task holds a source.
 
     Returns ``doc_id, source, size, source_size, target, copies, taken``.  Null text has size 0 and is
-    never counted; null source is a source of its own; repeated rows are sampled as rows;
-    an empty table gives no rows.  Other columns are ignored.
+    never counted; null source is a source of its own; a source without words has target 0; null and negative odds weights count
+    as 0; repeated rows are sampled as rows; an empty table gives no rows.  Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -67,29 +71,27 @@ def pareto_mix(
         null_last_key(F.col(source_col)).alias("s_"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         ((seeded_hash(F.col(id_col), seed) + 0.5) / F.lit(float(1 << 60))).alias("u_"),
-        (F.lit(1.0) if odds_weight is None else F.coalesce(odds_weight.cast("double"), F.lit(0.0))).alias("w_"),
+        (F.lit(None) if odds_weight is None else F.greatest(F.lit(0.0), F.coalesce(odds_weight.cast("double"), F.lit(0.0)))).cast("double").alias("w_"),
     )
+    if odds_weight is None:
+        rows = rows.withColumn("w_", F.col("size") / (F.col("size") + F.lit(float(short_words))))
     rows = written(rows, "mix-sizes")
-    sizes = rows.groupBy("s_").agg(F.sum("size").alias("source_size"), F.sum(F.col("w_") * F.col("size")).alias("ws_"))
-    sources = source_targets(sizes.select("s_", "source_size"), weights, share, float(most)).join(sizes.select("s_", "ws_"), "s_")
-
-    expected = F.least(
-        F.lit(float(most)),
-        F.when((F.col("ws_") > 0), F.col("target") * F.col("w_") / F.col("ws_")).otherwise(F.lit(0.0)),
-    )
-    drawn = (
-        rows.join(sources, "s_")
-        .withColumn("e_", expected)
-        .withColumn("sure_", F.floor("e_"))
-        .withColumn("p_", F.col("e_") - F.col("sure_"))
-    )
-    per_source = drawn.groupBy("s_").agg(
-        (F.first("target") - F.sum(F.col("sure_") * F.col("size"))).alias("open_"), F.avg("p_").alias("mean_")
+    sizes = rows.groupBy("s_").agg(F.sum("size").alias("source_size"), F.sum(F.col("w_") * F.col("size")).alias("ws_"), F.max("w_").alias("top_"), F.count("*").alias("rows_"))
+    sizes = written(sizes, "mix-sources")
+    sources = source_targets(sizes.select("s_", "source_size"), weights, share, float(most)).join(sizes.drop("source_size"), "s_")
+    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sources = (
+        sources.withColumn("e_", copies).withColumn("sure_", F.floor("e_")).withColumn("mean_", F.col("e_") - F.col("sure_"))
+        .withColumn("open_", F.col("target") - F.col("sure_") * F.col("source_size"))
+        .withColumn("slack_", F.when(F.col("top_") > 0, F.least("mean_", 1 - F.col("mean_")) / F.col("top_")).otherwise(F.lit(0.0)))
+        .withColumn("middle_", F.when(F.col("source_size") > 0, F.col("ws_") / F.col("source_size")).otherwise(F.lit(0.0)))
     )
+    sources = written(sources, "mix-targets")
     odds = lambda p: F.col(p) / (1 - F.col(p))
     keyed = (
-        drawn.join(per_source, "s_")
-        .withColumn("q_", F.when(F.col("p_") > 0, odds("u_") / odds("p_")).otherwise(F.lit(float("inf"))))
+        join_facts(rows, sources, ["s_"], "rows_")
+        .withColumn("p_", F.col("mean_") + F.col("slack_") * (F.col("w_") - F.col("middle_")))
+        .withColumn("q_", F.when(F.col("p_") >= 1, F.lit(0.0)).when(F.col("p_") > 0, odds("u_") / odds("p_")).otherwise(F.lit(float("inf"))))
         # scaled so that equal probabilities give back u: ranges of about the same size
         .withColumn("v_", F.col("q_") * F.when((F.col("mean_") > 0) & (F.col("mean_") < 1), odds("mean_")).otherwise(F.lit(1.0)))
         .withColumn("v_", F.when(F.col("q_") == float("inf"), F.lit(1.0)).otherwise(F.col("v_") / (1 + F.col("v_"))))

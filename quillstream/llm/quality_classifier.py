@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,35 +76,95 @@ class Classifier:
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """Minimise the non-negative unbiased risk of positive-unlabelled data with the logistic loss, by Adam.
+def standard(positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the positives' features."""
+    mean, spread = positive.mean(axis=0), positive.std(axis=0)
+    return mean, np.maximum(spread, 0.02 * np.maximum(1.0, np.abs(mean)))
+
 
-    Risk: prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]).  Where the second part, an estimate of the negatives'
-    risk, falls below 0, only its gradient is followed upwards, so that the model doesn't fit the sample's noise.
-    With no positives or no unlabelled rows every score is the prior.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, estimated from scores of either that no label but the positives' has shaped.
+
+    Whatever the threshold, the share of unlabelled rows above it over the share of positives above it is at least the prior, and
+    equals it where no negative scores as high: the estimate is the least ratio of upper confidence (the best bin).
     """
-    width = len(FEATURES)
-    if not len(positive) or not len(unlabelled):
-        p = min(max(prior, 1e-6), 1 - 1e-6)
-        return Classifier(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(p / (1 - p))), prior)
-    mean, spread = positive.mean(axis=0), positive.std(axis=0)
-    spread = np.maximum(spread, 0.02 * np.maximum(1.0, np.abs(mean)))
-    model = Classifier(mean, spread, np.zeros(width), 0.0, prior)
-    p = np.c_[model.standardised(positive), np.ones(len(positive))]
-    u = np.c_[model.standardised(unlabelled), np.ones(len(unlabelled))]
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    w[-1] = 1.0
-    for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        # l(g) = log(1 + exp(-g)): slopes of l(g) and l(-g) are s - 1 and s
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        slope_negative = su @ u / len(u) - prior * (sp @ p) / len(p)
-        slope = prior * ((sp - 1) @ p) / len(p) + slope_negative if negative >= 0 else -slope_negative
-        slope[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
-        w -= rate * (0.1 ** (t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Classifier(mean, spread, w[:-1], float(w[-1]), prior)
+    tops = np.sort(positive)[::-1]
+    rest = np.sort(unlabelled)[::-1]
+    at = np.unique(np.linspace(0, len(tops) - 1, min(len(tops), 400)).astype(int))
+    share_p = (at + 1) / len(tops)
+    share_u = np.searchsorted(-rest, -tops[at], side="right") / len(rest)
+    unsure = np.sqrt(np.log(4 / delta) / (2 * len(rest))) + np.sqrt(np.log(4 / delta) / (2 * len(tops)))
+    best = int(np.argmin((share_u + unsure) / share_p))
+    return float(min(1.0, share_u[best] / share_p[best]))
+
+
+class Risk:
+    """The positive-unlabelled risk of the logistic loss, with its slope and curvature.
+
+    prior * E_P[l(g)] + E_U[l(-g)] - prior * E_P[l(-g)], of which the last two terms estimate the negatives' risk.  ``unlabelled``
+    gives, for given weights, the sums over all unlabelled rows of l(-g), its slope and its curvature, and their number.
+    """
+
+    def __init__(self, positive: np.ndarray, unlabelled: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray, int]], prior: float, decay: float) -> None:
+        self.positive, self.unlabelled, self.prior, self.decay = positive, unlabelled, prior, decay
+
+    def at(self, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Risk, its part of the negatives, slope and curvature.  l(g) - l(-g) is -g, so the positives' part is linear."""
+        loss, slope, curve, n = self.unlabelled(w)
+        g = self.positive @ w
+        shrunk = self.decay * np.append(w[:-1], 0.0)
+        negative = loss / n - self.prior * np.logaddexp(0, g).mean()
+        risk = loss / n - self.prior * g.mean() + (shrunk @ w) / 2
+        return risk, negative, slope / n - self.prior * self.positive.mean(axis=0) + shrunk, curve / n + self.decay * np.diag(np.append(np.ones(len(w) - 1), 1e-3))
+
+
+def fit_positive_unlabelled(risk: Risk, width: int, steps: int = 12) -> np.ndarray:
+    """Minimise the non-negative risk by Newton's method, the step halved until the risk falls.
+
+    The risk is convex.  A step that takes the negatives' part, which no true risk can, below 0 is halved as well: there
+    the model fits the sample's noise, and the walk ends.
+    """
+    w = np.zeros(width)
+    value, _, slope, curve = risk.at(w)
+    for _ in range(steps):
+        step = np.linalg.solve(curve, slope)
+        for halves in range(6):
+            tried = w - step / 2**halves
+            new = risk.at(tried)
+            if new[0] <= value and new[1] >= 0:
+                break
+        else:
+            return w
+        done = value - new[0] < 1e-6
+        w, (value, _, slope, curve) = tried, new
+        if done:
+            return w
+    return w
+
+
+def _sums(mean: np.ndarray, spread: np.ndarray, w: np.ndarray):
+    """Per partition: sums of the loss, its slope and curvature over the rows as unlabelled ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + len(w) + len(w) ** 2)
+        for batch in batches:
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            x = np.clip((flat.reshape(-1, len(mean)) - mean) / spread, -CUT, CUT)
+            total += sums(np.c_[x, np.ones(len(x))], w)
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+
+    return run
+
+
+def sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of rows, loss, slope and curvature of l(-g) summed over rows, in one array."""
+    g = x @ w
+    s = 1 / (1 + np.exp(-g))
+    return np.concatenate(([len(x), np.logaddexp(0, g).sum()], s @ x, (x.T * (s * (1 - s)) @ x).ravel()))
+
+
+def _parted(total: np.ndarray, width: int) -> tuple[float, np.ndarray, np.ndarray, int]:
+    return total[1], total[2 : 2 + width], total[2 + width :].reshape(width, width), max(1, int(total[0]))
 
 
 def _matrix(rows: DataFrame, seed: str, most: int) -> np.ndarray:
@@ -112,6 +173,24 @@ def _matrix(rows: DataFrame, seed: str, most: int) -> np.ndarray:
     return np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
 
 
+def fitted(learned: DataFrame, positive: np.ndarray, sample: np.ndarray, decay: float = 1e-3) -> Classifier:
+    """The model of least risk over all rows of ``learned``; ``sample`` of them serves the prior."""
+    mean, spread = standard(positive)
+    with_one = lambda x: np.c_[np.clip((x - mean) / spread, -CUT, CUT), np.ones(len(x))]
+    p, u = with_one(positive), with_one(sample)
+    width = len(FEATURES) + 1
+    # told apart on every other row, the prior read off the rest
+    rough = fit_positive_unlabelled(Risk(p[::2], lambda w: _parted(sums(u[::2], w), width), 0.5, decay), width)
+    prior = class_prior(p[1::2] @ rough, u[1::2] @ rough) if min(len(p), len(u)) > 1 else 0.5
+
+    def everywhere(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
+        rows = learned.select("x").mapInArrow(_sums(mean, spread, w), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        return _parted(np.array([r["v"] for r in sorted(rows)]), width)
+
+    w = fit_positive_unlabelled(Risk(p, everywhere, prior, decay), width)
+    return Classifier(mean, spread, w[:-1], float(w[-1]), prior)
+
+
 def held_out(doc_id: Column) -> Column:
     """Is crc32 of the id as text, modulo 3, equal to 1?"""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
@@ -120,23 +199,26 @@ def held_out(doc_id: Column) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000) -> DataFrame:
     """Quality score of every whole text: ``doc_id, held_out, score, predicted``.
 
-    Trusted positives are documents whose labels in the training part are all 1; unlabelled rows are documents of the
-    training part whatever their label.  The class prior is the share of label 1 in the training part, taken over all its
-    labels.  Of either kind at most ``sample_rows`` rows, of least seeded hash, fit the model (labels, language, source and id are no
-    inputs); all documents are scored.  Null and empty texts are scored by their features like all others; null ids
-    and null labels train nothing; repeated rows are scored as rows; without training labels every score is 0.5; an empty
-    table gives no rows.  Other columns are ignored.
+    Trusted positives are documents whose labels in the training part are all 1: at most ``sample_rows`` of them, of least
+    seeded hash.  All documents of the training part are the unlabelled rows.  No label 0 is used.  The class
+    prior is estimated from positives and unlabelled rows (``class_prior``) by the scores of a model that tells one from the other,
+    on as many unlabelled rows; with it, the risk is minimised over all unlabelled rows, whose sums are taken where the rows are: a pass
+    for each step, of which the driver gets one row per entry of the curvature.
+    Labels, language, source and id are no inputs; all documents are scored.  Null and empty texts are scored by their features like
+    all others; null ids and null labels train nothing; repeated rows count and are scored as rows; without positives
+    or training documents every score is 0.5; an empty table gives no rows.  Other columns are ignored.
     """
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = written(few.mapInPandas(_features, "doc_id long, x array<double>"), "quality-x")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    share = known.agg(F.avg("label").alias("p")).first()["p"]
     trusted = known.groupBy("doc_id").agg(F.min("label").alias("l_")).where("l_ = 1").select("doc_id")
     learned = features.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     positive = _matrix(learned.join(trusted, "doc_id", "left_semi"), "positive", sample_rows)
     unlabelled = _matrix(learned, "unlabelled", sample_rows)
-    model = fit_positive_unlabelled(positive, unlabelled, 0.5 if share is None else float(share))
+    model = Classifier(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), 0.0, 0.5)
+    if len(positive) and len(unlabelled):
+        model = fitted(learned, positive, unlabelled)
     scored = features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import null_last_key, table, written
+from .common import join_facts, null_last_key, table, written
 
 #: Leading binary digits of a sketch's bins: integers below 2 ** DIGITS have bins of their own, wider ones lose their last digits.
 DIGITS = 11
@@ -130,7 +130,7 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, spread: int = 3, least_rows: int = 50) -> DataFrame:
-    """One row per language and source with ``<metric>_high`` (and ``_low``): quartile +- max(spread * range, margin).
+    """One row per language and source with ``rows_`` and ``<metric>_high`` (and ``_low``): quartile +- max(spread * range, margin).
 
     A group of fewer than ``least_rows`` rows takes its language's merged sketch, and that of all rows where
     the language has as few.
@@ -143,7 +143,7 @@ def thresholds(sketch: DataFrame, spread: int = 3, least_rows: int = 50) -> Data
         .withColumn("use", F.when(F.col("n") >= least_rows, F.struct("n", "q1", "q3")).when(F.col("lang_.n") >= least_rows, F.col("lang_")).otherwise(F.col("all_")))
         .withColumn("range", (F.col("use.q3") - F.col("use.q1")) * spread)
     )
-    columns = []
+    columns = [F.max("n").alias("rows_")]
     for m, (margin, low) in METRICS.items():
         of = F.col("metric") == m
         columns.append(F.max(F.when(of, F.col("use.q3") + F.greatest(F.col("range"), F.lit(margin)))).alias(f"{m}_high"))
@@ -161,7 +161,7 @@ def quality_rules(docs: DataFrame, **columns) -> DataFrame:
     judged as rows; an empty table gives no rows.  Other columns are ignored.
     """
     metrics = _with_metrics(quality_features(docs, **columns))
-    judged = metrics.join(thresholds(sketches(metrics)), ["l_", "s_"])
+    judged = join_facts(metrics, written(thresholds(sketches(metrics)), "quality-thresholds"), ["l_", "s_"], "rows_")
     rules = []
     for m, (_, low) in METRICS.items():
         rules.append(F.when(F.col(m) > F.col(f"{m}_high"), F.lit(m)))

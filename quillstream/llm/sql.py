@@ -45,14 +45,18 @@ levels as (
 level_ as (select level from levels where level <= c order by c, s limit 1),
 targets as (
   select s, source_size, coalesce(least((select level from level_) * w, 2.0::double * source_size), 2.0::double * source_size) as target from levels),
-drawn as (
-  select r.*, t.source_size, t.target,
-    least(2.0::double, case when t.source_size > 0 then t.target / t.source_size else 0 end) as e
-  from rows_ r join targets t using (s)),
-opened as (select *, floor(e) as sure, e - floor(e) as p, target - sum(floor(e) * size) over (partition by s) as open_ from drawn),
+facts as (
+  select s, any_value(t.source_size) as source_size, any_value(t.target) as target, any_value(case when t.source_size > 0 then t.target / t.source_size else 0 end) as e,
+    max(w) as top, sum(size * w) as ws
+  from (select *, size / (size + 100.0::double) as w from rows_) r join targets t using (s) group by s),
+opened as (
+  select r.*, f.source_size, f.target, floor(e) as sure, f.target - floor(e) * f.source_size as open_,
+    e - floor(e) + case when top > 0 then least(e - floor(e), 1 - (e - floor(e))) / top else 0 end
+      * (size / (size + 100.0::double) - case when f.source_size > 0 then ws / f.source_size else 0 end) as p
+  from rows_ r join facts f using (s)),
 ranked as (
   select *, sum(size) over (partition by s order by
-      case when p > 0 then (u / (1 - u)) / (p / (1 - p)) else 'infinity'::double end, u, doc_id nulls first, size
+      case when p >= 1 then 0 when p > 0 then (u / (1 - u)) / (p / (1 - p)) else 'infinity'::double end, u, doc_id nulls first, size
       rows between unbounded preceding and current row) - size / 2 as middle from opened),
 taken as (select *, cast(sure + case when middle <= open_ and sure < 2 then 1 else 0 end as integer) as copies from ranked)
 select doc_id, size, source_size, cast(target as double) as target, cast(copies * size as bigint) as taken, source, copies from taken
@@ -76,7 +80,7 @@ from sized group by conv_id
 """
 
 _METRICS = {"symbols": (50, False), "dup_lines": (300, False), "repeats": (300, False), "upper": (300, False), "word_length": (300, True)}
-_RATIO = "case when {down} > 0 then least(({up} * {by}) // {down}, 1000) else 0 end"
+_RATIO = "case when {down} > 0 then ({up} * {by}) // {down} else 0 end"
 
 
 def _quartile_sql(keys: str) -> str:
@@ -117,7 +121,9 @@ m as (
     {_RATIO.format(up="n_repeat_words", by=1000, down="n_words")} as repeats, {_RATIO.format(up="n_upper", by=1000, down="word_chars")} as upper,
     {_RATIO.format(up="word_chars", by=100, down="n_words")} as word_length,
     n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed from counted),
-sketch as (select l, s, metric, bin, count(*) as n from (unpivot (select l, s, symbols, dup_lines, repeats, upper, word_length from m) on symbols, dup_lines, repeats, upper, word_length into name metric value bin) group by all),
+sketch as (
+  select l, s, metric, case when value < 2048 then value else (value >> (length(bin(value)) - 11)) << (length(bin(value)) - 11) end as bin, count(*) as n
+  from (unpivot (select l, s, symbols, dup_lines, repeats, upper, word_length from m) on symbols, dup_lines, repeats, upper, word_length into name metric value value) group by all),
 fine as ({_quartile_sql("l, s, metric")}), by_lang as ({_quartile_sql("l, metric")}), overall as ({_quartile_sql("metric")}),
 used as (
   select f.l, f.s, f.metric, case when f.n >= 50 then f.q1 when b.n >= 50 then b.q1 else o.q1 end as q1,

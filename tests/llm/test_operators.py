@@ -362,3 +362,40 @@ def test_html_equals_a_plain_reading_of_all_pages(sf):
         parts = re.split(r"</?(?:h1|h2|h3|p|li|ul|div)(?:\s[^>]*)?>", article)
         texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br */?>", " ", t))).split()) for t in parts]
         assert html_text.main_text(page) == "\n\n".join(t for t in texts if t)
+
+
+def test_classifier_risk_slope_and_prior_against_plain_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    positive = np.c_[rng.normal(1, 1, (300, 3)), np.ones(300)]
+    mixed = np.c_[np.concatenate((rng.normal(1, 1, (700, 3)), rng.normal(-3, 1, (300, 3)))), np.ones(1000)]
+    parted = lambda w: quality_classifier._parted(quality_classifier.sums(mixed, w), 4)
+    risk = quality_classifier.Risk(positive, parted, 0.7, 1e-3)
+
+    def plain(w):
+        loss = lambda g: np.log(1 + np.exp(-g))
+        negative = loss(-(mixed @ w)).mean() - 0.7 * loss(-(positive @ w)).mean()
+        return 0.7 * loss(positive @ w).mean() + negative + 1e-3 * (w[:-1] @ w[:-1]) / 2, negative
+
+    w = rng.normal(0, 0.3, 4)
+    value, negative, slope, curve = risk.at(w)
+    assert np.allclose((value, negative), plain(w))
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-5
+        assert abs((plain(w + e)[0] - plain(w - e)[0]) / 2e-5 - slope[i]) < 1e-6
+        assert np.allclose((risk.at(w + e)[2] - risk.at(w - e)[2]) / 2e-5, curve[i], atol=2e-3)
+    found = quality_classifier.fit_positive_unlabelled(risk, 4)
+    assert plain(found)[0] < plain(w)[0] and plain(found)[1] >= 0
+    assert abs(quality_classifier.class_prior(positive @ found, mixed @ found) - 0.7) < 0.06
+
+
+def test_mixing_ranks_by_unequal_probabilities(spark):
+    """Short documents of a source that isn't taken whole come less often; targets hold all the same."""
+    many = [(i, "w " * (10 if i % 2 else 400), "en", f"s{i % 3}") for i in range(1800)]
+    out = mixing.pareto_mix(docs_of(spark, many)).collect()
+    for s in ("s1", "s2"):
+        own = [r for r in out if r.source == s]
+        share = lambda words: sum(r.copies for r in own if r.size == words) / sum(r.size == words for r in own)  # noqa: B023, E731
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 400
+        assert own[0].target % own[0].source_size == 0 or share(10) < share(400)
