@@ -82,17 +82,19 @@ def standard(positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.maximum(spread, 0.02 * np.maximum(1.0, np.abs(mean)))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, least_share: float = 0.8) -> float:
     """Share of positives among the unlabelled, estimated from scores of either that no label but the positives' has shaped.
 
     Whatever the threshold, the share of unlabelled rows above it over the share of positives above it is at least the prior, and
-    equals it where no negative scores as high: the estimate is the least ratio of upper confidence (the best bin).
+    equals it where no negative scores as high: the estimate is the ratio whose upper confidence is least (the best bin), among thresholds
+    that at least ``least_share`` of the positives pass, since few positives make a noisy ratio.
     """
     tops = np.sort(positive)[::-1]
     rest = np.sort(unlabelled)[::-1]
     at = np.unique(np.linspace(0, len(tops) - 1, min(len(tops), 400)).astype(int))
     share_p = (at + 1) / len(tops)
     share_u = np.searchsorted(-rest, -tops[at], side="right") / len(rest)
+    at, share_u, share_p = at[share_p >= least_share], share_u[share_p >= least_share], share_p[share_p >= least_share]
     unsure = np.sqrt(np.log(4 / delta) / (2 * len(rest))) + np.sqrt(np.log(4 / delta) / (2 * len(tops)))
     best = int(np.argmin((share_u + unsure) / share_p))
     return float(min(1.0, share_u[best] / share_p[best]))
@@ -179,9 +181,13 @@ def fitted(learned: DataFrame, positive: np.ndarray, sample: np.ndarray, decay:
     with_one = lambda x: np.c_[np.clip((x - mean) / spread, -CUT, CUT), np.ones(len(x))]
     p, u = with_one(positive), with_one(sample)
     width = len(FEATURES) + 1
-    # told apart on every other row, the prior read off the rest
-    rough = fit_positive_unlabelled(Risk(p[::2], lambda w: _parted(sums(u[::2], w), width), 0.5, decay), width)
-    prior = class_prior(p[1::2] @ rough, u[1::2] @ rough) if min(len(p), len(u)) > 1 else 0.5
+    # told apart on every other row, and scored on the others, both ways round
+    scores: list[list[np.ndarray]] = [[], []]
+    for one, other in ((0, 1), (1, 0)):
+        rough = fit_positive_unlabelled(Risk(p[one::2], lambda w: _parted(sums(u[one::2], w), width), 0.5, decay), width)  # noqa: B023
+        for kind, x in zip(scores, (p, u), strict=True):
+            kind.append(x[other::2] @ rough)
+    prior = class_prior(*map(np.concatenate, scores)) if min(len(p), len(u)) > 3 else 0.5
 
     def everywhere(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
         rows = learned.select("x").mapInArrow(_sums(mean, spread, w), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
