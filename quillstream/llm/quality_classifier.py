@@ -87,7 +87,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
 
     Whatever the threshold, the share of unlabelled rows above it over the share of positives above it is at least the prior, and
     equals it where no negative scores as high: the estimate is the ratio whose upper confidence is least (the best bin), among thresholds
-    that at least ``least_share`` of the positives pass, since few positives make a noisy ratio.
+    that at least ``least_share`` of the positives pass, since few positives make a noisy ratio.  Half of what is unsure is added, so
+    that with little data a document is rather kept; it vanishes as the rows grow.
     """
     tops = np.sort(positive)[::-1]
     rest = np.sort(unlabelled)[::-1]
@@ -97,7 +98,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
     at, share_u, share_p = at[share_p >= least_share], share_u[share_p >= least_share], share_p[share_p >= least_share]
     unsure = np.sqrt(np.log(4 / delta) / (2 * len(rest))) + np.sqrt(np.log(4 / delta) / (2 * len(tops)))
     best = int(np.argmin((share_u + unsure) / share_p))
-    return float(min(1.0, share_u[best] / share_p[best]))
+    return float(min(0.99, (share_u[best] + unsure / 2) / share_p[best]))
 
 
 class Risk:
@@ -180,6 +181,7 @@ def fitted(learned: DataFrame, positive: np.ndarray, sample: np.ndarray, decay:
     mean, spread = standard(positive)
     with_one = lambda x: np.c_[np.clip((x - mean) / spread, -CUT, CUT), np.ones(len(x))]
     p, u = with_one(positive), with_one(sample)
+    decay += 4 / len(p)  # few positives say little of single features
     width = len(FEATURES) + 1
     # told apart on every other row, and scored on the others, both ways round
     scores: list[list[np.ndarray]] = [[], []]
