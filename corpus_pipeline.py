@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import table, written
+from quillstream.llm.common import discard, scratch, table
 from quillstream.llm.jaccard import jaccard_join
 from quillstream.llm.mixing import mixed_documents
 from quillstream.llm.quality_classifier import quality_scores
@@ -24,34 +24,49 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts."""
+    """Documents that the positive-unlabelled classifier accepts.
+
+    Null and empty texts are judged by their features; repeated rows of one id go together if one of them is rejected; an empty table gives none.  Extra columns pass through but for the last stage.
+    """
     scores = quality_scores(docs, table(spark, sf_dir, "labels"))
     return _without(docs, scores.where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of 5-word shingle Jaccard 0.8 or more."""
+    """The smallest id of each component of 5-word shingle Jaccard 0.8 or more.
+
+    Null and wordless texts stay; rows that repeat an id stay together; ties have no part in it; an empty table gives none.  Extra columns pass through but for the last stage.
+    """
     components = jaccard_join(docs, percent=80, k=5)
     return _without(docs, components.where("doc_id <> component_id"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that smaller ids have too; documents of which nothing is left go."""
-    cut = suffix_dedup(docs, with_text=True).where("n_removed > 0 and doc_id is not null")
-    cut = written(cut.select(F.col("doc_id").alias("cut_id_"), F.col("kept").alias("cut_text_")), "pipeline-cut")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_id_"], "left").where("cut_id_ is null or cut_text_ <> ''")
-    is_cut = F.col("cut_id_").isNotNull()
-    new = {"text": F.when(is_cut, F.col("cut_text_")).otherwise(F.col("text")), "n_chars": F.when(is_cut, F.length("cut_text_").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    """Texts without the 50-byte strings that smaller ids have too; documents of which nothing is left go.
+
+    Null texts stay null, rows that share an id take nothing from each other; an empty table gives none.  Extra columns pass through but for the last stage.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    marked = docs.select("*", F.col("text").isNull().alias("no_text_"))
+    cut = suffix_dedup(marked, with_text=True, carry=[*others, "no_text_"]).where("n_removed = 0 or kept <> ''")
+    text = F.when(~F.col("carried.no_text_"), F.col("kept"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))}
+    return cut.select(*[(new[c] if c in new else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies of documents at the sources' target weights."""
+    """Whole copies of documents at the sources' target weights.
+
+    A null source is one source; texts without words are never counted; ties of the key are broken by id and size; an empty table gives none.  Extra columns pass through but for the last stage.
+    """
     return mixed_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row.
+
+    Null and empty texts have no ids; each copy of a row is a row; an empty table gives none.
+    """
     return encoded_documents(docs)
 
 
@@ -67,8 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` through all stages; each result is written and read again by the next."""
+    """``documents`` through all stages; each result is written and read again by the next, and a stage's own tables go."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:
+            docs, before = keep(stage(spark, docs, sf_dir), f"pipeline-{name}"), docs
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -392,13 +392,13 @@ def _merge(length: int):
     return run
 
 
-def _marked(length: int, with_text: bool):
+def _marked(length: int, with_text: bool, carried: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.string())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
+            out: list[list] = [[] for _ in schema]  # a row for each of the batch, in its order
             marks, blocks = batch.column("marks"), batch.column("blocks")
             cuts, ends = marks.offsets.to_numpy(), blocks.offsets.to_numpy()
             prints = marks.values.field("print").to_numpy(zero_copy_only=False)
@@ -437,19 +437,23 @@ def _marked(length: int, with_text: bool):
                         row.append(kept.decode("utf-8", "ignore"))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            columns = [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)]
+            if carried:
+                yield pa.record_batch([*columns, batch.column("carried")], names=[*schema.names, "carried"])
+            else:
+                yield pa.record_batch(columns, schema=schema)
 
     return run
 
 
 def suffix_dedup(
     docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-    hot_blocks: int = 4096, part_bytes: int = 16 << 20, run_entries: int = 250_000,
+    carry: list[str] | None = None, hot_blocks: int = 4096, part_bytes: int = 16 << 20, run_entries: int = 250_000,
 ) -> DataFrame:
     """Each whole text without the bytes covered by a ``length``-byte string that also starts in a smaller document.
 
     Returns ``doc_id, n_bytes, n_removed, spans (removed byte ranges: start, end, start, end, ...), kept_sha256`` and, if asked for, ``kept``
-    (the remaining bytes as text; characters cut in two are dropped).  Matches never cross documents and are judged on the
+    (the remaining bytes as text; characters cut in two are dropped) and ``carried``, a struct of the columns named by ``carry``.  Matches never cross documents and are judged on the
     input.  Null or short texts lose nothing; rows with a null id lose nothing and take nothing; rows that share an id
     are one document to each other: they take nothing from each other; an empty table gives no rows.  Other columns are ignored.
 
@@ -458,8 +462,9 @@ def suffix_dedup(
     """
     if not GRAM < length <= 63:
         raise ValueError(f"length must be from {GRAM + 1} to 63")
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    long = few.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[docs[c] for c in carry]).alias("carried")] if carry else []))
+    own = few.columns
+    long = few.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     size = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     parts = max(48, -(-size // part_bytes))
     # wide enough that few anchors meet by chance: an anchor for every 18 bytes or so, 4 values for every byte
@@ -468,16 +473,18 @@ def suffix_dedup(
     blocks = written(_blocks_of_documents(long, length, bits, hot_blocks), "suffix-blocks")
     # both joins read one and the same shuffle of the texts by id: for the runs, and again for the cutting
     texts = few.where("doc_id is not null")
-    runs = texts.join(blocks, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_runs(length, parts, run_entries), "part int, kind int, run binary")
+    runs = texts.join(blocks, "doc_id").select(*own, "blocks").mapInArrow(_runs(length, parts, run_entries), "part int, kind int, run binary")
     marks = runs.groupBy("part").applyInPandas(_merge(length), "doc_id long, print long, mask long")
 
     per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mask")).alias("marks"))
     no_block = F.array().cast("array<bigint>")
     none = F.array().cast("array<struct<print:bigint,mask:bigint>>")
-    ready = texts.join(blocks, "doc_id", "left").join(per_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("blocks", no_block).alias("blocks"), F.coalesce("marks", none).alias("marks"))
-    nameless = few.where("doc_id is null").select("doc_id", "text", no_block.alias("blocks"), none.alias("marks"))
+    ready = texts.join(blocks, "doc_id", "left").join(per_doc, "doc_id", "left").select(*own, F.coalesce("blocks", no_block).alias("blocks"), F.coalesce("marks", none).alias("marks"))
+    nameless = few.where("doc_id is null").select(*own, no_block.alias("blocks"), none.alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string" + (", kept string" if with_text else "")
-    cut = lambda df: df.mapInArrow(_marked(length, with_text), schema)
+    if carry:
+        schema += f", carried {few.schema['carried'].dataType.simpleString()}"
+    cut = lambda df: df.mapInArrow(_marked(length, with_text, bool(carry)), schema)
     return cut(ready).unionByName(cut(nameless))
 
 
