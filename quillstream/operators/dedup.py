@@ -9,7 +9,11 @@ from ..functions.text import jaccard, stems, tokens
 from .core import band_pairs
 
 #: Stop words, cut like stems.
-STOP = ("der", "die", "das", "den", "dem", "des", "ein", "eine", "und", "oder", "aber", "auch", "ist", "war", "the", "of", "and", "to", "in", "a", "de", "la", "que", "el", "en", "les", "le", "et")
+STOP = (
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "und", "oder", "aber", "auch", "noch", "dann", "ist", "war", "hat", "sind", "wird", "kann", "ich", "du", "er", "sie", "es", "wir", "ihr",
+    "nich", "sich", "mit", "von", "auf", "aus", "für", "als", "dass", "wie", "man", "hier", "in", "an", "zu", "so", "da", "nun", "wo", "vor", "nach", "bei", "bis", "nur",
+    "sehr", "scho", "wenn", "was", "zum", "zur", "denn", "doch", "mal", "eben", "dort", "imme",
+)
 
 
 def jaccard_window_dedup(df: DataFrame, by: list[str], order: str, k: int = 3, tau: float = 0.5, least_words: int = 6, least_stems: int = 3) -> DataFrame:

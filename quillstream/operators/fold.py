@@ -185,7 +185,7 @@ def ewma_step(alpha: float = 0.1) -> Step:
         floor = state.get("floor")
         if not row["speech"]:
             floor = row["level"] if floor is None else (1 - alpha) * floor + alpha * row["level"]
-        return {"floor": floor}, {"stream_id": row["stream_id"], "seq": row["seq"], "floor": None if floor is None else round(floor, 6)}
+        return {"floor": floor}, {"stream_id": row["stream_id"], "seq": row["seq"], "floor": floor}
 
     return step
 

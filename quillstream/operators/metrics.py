@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from .core import floor_rank_summary, rounded
 
 
-def stage_latencies(events: DataFrame, legs: dict[str, tuple[str, str]], tx: str = "tx_id") -> DataFrame:
+def stage_latencies(events: DataFrame, legs: dict[str, tuple[str, str]], tx: str = "tx_id", without: str | None = None) -> DataFrame:
     """Differences between stage times of each transaction; a later write (``seq``) of a stage wins, a missing stage gives null.
 
-    ``legs``: name -> (from stage, to stage).  A leg named ``capture`` is never negative.
+    ``legs``: name -> (from stage, to stage).  A leg named ``capture`` is never negative.  ``without``: only transactions that end
+    without this stage, whose legs to and from it are null.
     """
-    stages = sorted({s for pair in legs.values() for s in pair})
+    stages = sorted({s for pair in legs.values() for s in pair} | ({without} if without else set()))
     at = events.groupBy(tx).agg(*[F.max_by(F.when(F.col("stage") == s, F.col("ts_ms")), F.when(F.col("stage") == s, F.struct("seq", "ts_ms"))).alias(f"at_{s}") for s in stages])
     out = [(F.col(f"at_{b}") - F.col(f"at_{a}")).alias(n) if n != "capture" else F.greatest(F.col(f"at_{b}") - F.col(f"at_{a}"), F.lit(0)).alias(n) for n, (a, b) in legs.items()]
-    return at.select(tx, *out)
+    return (at.where(F.col(f"at_{without}").isNull()) if without else at).select(tx, *out)
 
 
 def first_ack_join(tx: DataFrame, acks: DataFrame, key: str = "tx_id") -> DataFrame:

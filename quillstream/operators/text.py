@@ -10,7 +10,12 @@ from ..functions.text import identity, tokens, words
 #: Sentence ends.
 _SENTENCE = r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+"
 #: Words that leave a construction open.
-OPEN_WORDS = ("und", "oder", "aber", "denn", "weil", "dass", "als", "wenn", "in", "an", "auf", "mit", "von", "zu", "bei", "nach", "der", "die", "das", "ein", "eine", "the", "of", "and", "to", "de", "la", "que", "en")
+OPEN_WORDS = (
+    "und", "oder", "aber", "denn", "weil", "dass", "als", "wenn", "sondern", "doch", "sowie", "obwohl", "damit", "falls", "bevor", "nachdem", "waehrend", "während", "sobald", "wie",
+    "in", "an", "auf", "fuer", "für", "mit", "von", "zu", "bei", "nach", "ueber", "über", "unter", "vor", "durch", "um", "aus", "gegen", "ohne", "seit", "trotz", "zwischen",
+    "der", "die", "das", "ein", "eine", "einen", "einem", "einer", "eines", "dem", "den", "des", "dieser", "diese", "dieses",
+    "was", "welche", "welcher", "welches", "welchem", "welchen", "deren", "dessen", "denen",
+)
 #: Patterns of text that addresses the translator.
 INJECTIONS = (
     r"ignore\s+(all\s+)?previous\s+instructions", r"you\s+are\s+now", r"system\s*:\s*", r"\[INST\]", r"forget\s+(everything|all|your)", r"act\s+as\s+(if|a)", r"new\s+instructions",

@@ -1,4 +1,8 @@
-"""Queries of sequential operators; SQL has no form for them, so tests compare them with plain folds."""
+"""Queries of sequential operators: a fold over each stream in order.
+
+SQL walks a stream by recursion, where a step is short (c6, j9, k4); the others have no SQL, and ``tests/test_queries.py`` asks only that
+they give rows.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,38 @@ from pyspark.sql import functions as F
 
 from ..operators import fold
 from ..sources import tables
+from ..sources.tables import DECISIONS, TELEMETRY
 from .registry import query
 
 
-@query()
+def _walk(source: str, columns: str, first: str, then: str, out: str) -> str:
+    """SQL that numbers each stream's rows and carries a state from one to the next."""
+    return f"""with recursive {source}, n as (select *, row_number() over (partition by stream_id order by ts_ms, seq) as i from (select {columns})),
+walk as (select n.*, {first} from n where i = 1 union all select n.*, {then} from walk w join n on n.stream_id = w.stream_id and n.i = w.i + 1)
+select stream_id, seq, {out} from walk"""
+
+
+_LIMIT = _walk(
+    TELEMETRY, "stream_id, ts_ms, seq from telemetry", "1::bigint as c, ts_ms + 7200000 as reset, false as warned",
+    "case when n.ts_ms > w.reset then 1 else w.c + 1 end, case when n.ts_ms > w.reset then n.ts_ms + 7200000 else w.reset end, n.ts_ms <= w.reset and (w.warned or w.c > 3)",
+    "c <= 3 as allowed, c > 3 and not warned as warn, c > 6 as close",
+)
+_FLOOR = _walk(
+    TELEMETRY, "stream_id, ts_ms, seq, value as level, k % 3 <> 0 as speech from telemetry", "case when not speech then level::double end as f",
+    "case when n.speech then w.f when w.f is null then n.level else 0.9::double * w.f + 0.1::double * n.level end", "f as floor",
+)
+_RATES = "case when {d} > 6 or {a} > 10000 then 1.2 when {d} >= 4 or {a} >= 6000 then 1.15 when {d} >= 2 or {a} >= 3000 then 1.08 else 1.0 end"
+_UP = _RATES.format(d="greatest(0, n.queue_depth)", a="greatest(0, n.age_ms)")
+_HELD = """case when w.r >= 1.2 and (greatest(0, n.queue_depth) > 5 or greatest(0, n.age_ms) > 9000) then 1.2
+  when w.r >= 1.15 and (greatest(0, n.queue_depth) >= 3 or greatest(0, n.age_ms) >= 5000) then 1.15
+  when w.r >= 1.08 and (greatest(0, n.queue_depth) >= 1 or greatest(0, n.age_ms) >= 2000) then 1.08 else """ + _UP + " end"
+_RATE = _walk(
+    DECISIONS, "stream_id, ts_ms, seq, queue_depth, age_ms from decisions", f"({_UP})::double as r",
+    f"(case when {_UP} < w.r then {_HELD} else {_UP} end)::double", "r as rate",
+)
+
+
+@query(_LIMIT)
 def c6_fixed_window_limit(spark, d):
     t = tables.telemetry(spark, d).select("stream_id", "ts_ms", "seq")
     return fold.ordered_fold(t, ["stream_id"], ["ts_ms", "seq"], fold.limit_step(3, 7_200_000), fold.LIMIT_SCHEMA)
@@ -49,13 +81,13 @@ def h6_utterances(spark, d):
     return fold.ordered_fold(t, ["stream_id"], ["ts_ms", "seq"], fold.utterance_step(), fold.UTTERANCE_SCHEMA)
 
 
-@query()
+@query(_RATE)
 def j9_playback_rate_replay(spark, d):
     t = tables.decisions(spark, d).select("stream_id", "ts_ms", "seq", "queue_depth", "age_ms")
     return fold.ordered_fold(t, ["stream_id"], ["ts_ms", "seq"], fold.playback_rate_step(), fold.RATE_SCHEMA)
 
 
-@query()
+@query(_FLOOR)
 def k4_noise_floor_ewma(spark, d):
     t = tables.telemetry(spark, d).select("stream_id", "ts_ms", "seq", F.col("value").alias("level"), (F.col("k") % 3 != 0).alias("speech"))
     return fold.ordered_fold(t, ["stream_id"], ["ts_ms", "seq"], fold.ewma_step(), fold.EWMA_SCHEMA)

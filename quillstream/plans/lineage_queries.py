@@ -34,6 +34,12 @@ def b1_stage_latencies(spark, d):
     return metrics.stage_latencies(_stage_events(spark, d), _LEGS)
 
 
+@query(f"""with {_STAGES}, a as (select tx_id, arg_max(ts_ms, (seq, ts_ms)) filter (stage = 'shipped') as s, arg_max(ts_ms, (seq, ts_ms)) filter (stage = 'received') as r, count(*) filter (stage = 'done') as d from stages group by tx_id)
+select tx_id, case when s is not null or r is not null then greatest(s - r, 0) end as capture, cast(null as bigint) as handling, cast(null as bigint) as whole from a where d = 0""")
+def b2_single_stage_latencies(spark, d):
+    return metrics.stage_latencies(_stage_events(spark, d), _LEGS, without="done")
+
+
 @query("""with acks as (select l_orderkey as tx_id, min(epoch_us(l_shipdate) // 1000) as ack_ms from lineitem where l_returnflag = 'N' group by l_orderkey)
 select o_orderkey as tx_id, ack_ms, greatest(0, ack_ms - epoch_us(o_orderdate) // 1000) + ack_ms * 0 as delivery_ms from orders left join acks on tx_id = o_orderkey""")
 def b3_first_ack_join(spark, d):
@@ -52,7 +58,6 @@ _PROVIDER = "select seq, stage, case when k % 4 = 0 then null else 399 + k * 2 e
 
 @query(f"with {TELEMETRY}, p as ({_PROVIDER}) select seq, case " + " ".join(f"when {c} then '{k}'" for k, c in _KINDS) + " else 'unknown' end as kind from p")
 def b13_provider_outcomes(spark, d):
-    tables.telemetry(spark, d)
     rows = tables.telemetry(spark, d).selectExpr("seq", "case when k % 4 = 0 then null else 399 + k * 2 end as status", "case when k % 10 = 3 then 'content_filter' else 'none' end as code", "case k % 3 when 0 then 'request timed out' when 1 then 'connection reset' else 'circuit is open' end as message")
     return rows.select("seq", F.coalesce(*[F.when(F.expr(c), F.lit(k)) for k, c in _KINDS], F.lit("unknown")).alias("kind"))
 
