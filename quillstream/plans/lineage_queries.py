@@ -76,11 +76,12 @@ def c2_stream_freshness(spark, d):
     return g.join(F.broadcast(now), F.lit(True)).select("stream_id", "stage", "newest", F.when(F.col("t") - F.col("newest") <= 86_400_000, "live").otherwise("stale").alias("status"))
 
 
-@query(f"""with {TEXTS}, t as (select doc_id, {_TOKENS.format(c='text')} as t from texts), g as (select distinct doc_id, array_to_string(t[i:i + n - 1], ' ') as norm from (select doc_id, t, n, unnest(range(1, len(t) - n + 2)) as i from t, range(1, 4) r(n) where len(t) >= n)),
-terms as (select item_id as term_id, array_to_string(({_TOKENS.format(c='text')})[1:2], ' ') as norm from benchmark), p as (select doc_id, norm, term_id, row_number() over (partition by doc_id order by length(norm) desc, norm, term_id) as place from g join terms using (norm))
+@query(f"""with {TEXTS}, t as (select doc_id, ' ' || array_to_string({_TOKENS.format(c='text')}, ' ') || ' ' as t from texts), terms as (select distinct item_id as term_id, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from benchmark),
+p as (select doc_id, norm, term_id, row_number() over (partition by doc_id order by length(norm) desc, norm, term_id) as place from t join terms on norm <> '' and contains(t, ' ' || norm || ' '))
 select doc_id, norm, term_id, cast(place as integer) as place from p where place <= 25""")
 def e10_match_terms(spark, d):
-    terms = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 2), " ").alias("norm"))
+    """Whole benchmark items as terms in every document."""
+    terms = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(tx.tokens(F.col("text")), " ").alias("norm")).where("norm <> ''").distinct()
     return text.match_terms(tables.texts(spark, d), terms, ["doc_id"]).select("doc_id", "norm", "term_id", "place")
 
 
