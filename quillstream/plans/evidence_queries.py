@@ -166,3 +166,39 @@ def a9_load_dictionary(spark, d):
     entries = tables.read(spark, d, "part").selectExpr("if(p_size % 3 = 0, 'default', concat('s', p_size % 3)) as scope", "p_name as term", "p_type as lang", "p_brand").groupBy("scope", "term", "lang").agg(F.min("p_brand").alias("target"))
     asked = entries.select(F.explode(F.array(F.lit("s1"), F.lit("s2"), F.lit("s3"))).alias("scope"), "term", "lang").distinct()
     return event_log.load_dictionary(entries, asked)
+
+
+def _one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"case when {column} <> '' then case when {column} in ({', '.join(repr(v) for v in values)}) then {column} else 'unclassified' end end"
+
+
+_RAW = (
+    "case when k % 11 = 0 then 'x' || seq when k % 11 = 1 then '' when k % 11 = 2 then seq || '.5' when k % 11 > 3 then cast(seq as varchar(30)) end as decode_id",
+    "case when k % 13 = 0 then 'slow' when k % 13 > 1 then k || '.25' end as inference_ms",
+    "case when k % 5 = 0 then 'ABC' when k % 5 > 1 then repeat('0f', 32) end as input_sha256",
+    "case when k % 3 = 0 then 'accepted' when k % 3 = 1 then 'said aloud' end as transcribe_status",
+    "case when k % 4 = 0 then 'complete' else '' end as provenance_status",
+    "case when k % 7 = 0 then 'missing_span' when k % 7 = 1 then 'word' end as provenance_reason",
+    "case when k % 2 = 0 then 'exact' end as alignment_status",
+    "case when k % 6 = 0 then 'non_word_level_chunk:tokens=' || k when k % 6 = 1 then 'invalid_timestamp:negative_start of a word' when k % 6 = 2 then 'Gelassenheit' when k % 6 = 3 then 'token_count_mismatch' end as alignment_reason",
+)
+_NUMBER = "case when abs(try_cast(nullif({c}, '') as double)) < 1e15 then try_cast(nullif({c}, '') as double) end"
+
+
+@query(f"""with {TELEMETRY}, raw as (select seq, k, {', '.join(_RAW)} from telemetry), t as (select *, {_NUMBER.format(c='decode_id')} as d, {_NUMBER.format(c='inference_ms')} as m from raw)
+select seq, case when d = floor(d) then cast(d as bigint) end as decode_id, m as inference_ms, case when regexp_full_match(input_sha256, '[0-9a-f]{{64}}') then input_sha256 end as input_sha256, {", ".join(_one_of(c, v) + " as " + c for c, v in event_log.PROVENANCE_ENUMS.items())},
+  case when alignment_reason is not null then case when starts_with(alignment_reason, 'non_word') then 'non_word_level_chunk' when k % 6 = 2 then 'unclassified' else split_part(alignment_reason, ' ', 1) end end as alignment_code, case when k % 6 = 0 then k end as chunk_tokens,
+  case when k % 3 <> 2 then k % 3 end as n_spans, case when k % 3 = 1 then k end as span_start, case when k % 3 = 1 then k + 5 end as span_end,
+  concat_ws(',', case when decode_id <> '' and (d is null or d <> floor(d)) then 'decode_id' end, case when inference_ms = 'slow' then 'inference_ms' end, case when input_sha256 = 'ABC' then 'input_sha256' end) as rejected from t""")
+def a8_sanitize_provenance(spark, d):
+    spans = "if(k % 3 = 2, null, if(k % 3 = 1, array(struct(k as start, k + 5 as end)), cast(array() as array<struct<start: bigint, end: bigint>>))) as spans"
+    rows = tables.telemetry(spark, d).selectExpr("seq", "k", *_RAW, spans)
+    out = event_log.sanitize_provenance(rows, ["seq"], ["decode_id"], ["inference_ms"], ["input_sha256"], "spans")
+    return out.withColumn("n_spans", F.col("n_spans").cast("long")).withColumn("rejected", F.array_join("rejected", ","))
+
+
+@query(f"""with {TELEMETRY} select seq, case when k % 5 > 0 then k end as queue_depth, seq as received, case when k % 3 > 0 then k * 2 else 0 end as played, case when k % 4 > 0 then case when k >= 3 then k - 3 end when k % 3 > 0 then k * 2 end as started, cast(null as bigint) as completed,
+  case when k % 5 > 0 then k end as pending, case when k % 2 = 0 then 1.0::double else 1.25::double end as rate, case when k % 7 > 0 then k * 1.5::double else 0.0::double end as age_ms, cast(null as double) as lag_ms, case when k % 6 > 0 then k * 100.0::double end as silence_ms, k as last_played, repeat('h', 64) as last_hash from telemetry""")
+def a10_listener_snapshot_fact(spark, d):
+    said = F.to_json(F.expr("struct(if(k % 5 > 0, k, null) as queueDepth, seq as chunksReceived, if(k % 3 > 0, k * 2, null) as chunksPlayed, if(k % 4 > 0, k - 3, null) as chunksStarted, if(k % 2 = 0, 0.0D, 1.25D) as currentPlaybackRate, if(k % 7 > 0, k * 1.5D, null) as chunkAgeAtPlay_avg_ms, if(k % 6 > 0, k * 100.0D, null) as realSilence_max_ms, k as last_release_seq_played, repeat('h', 90) as last_source_hash_played)"))
+    return event_log.listener_snapshot_fact(tables.telemetry(spark, d).select("seq", said.alias("snapshot")), ["seq"])

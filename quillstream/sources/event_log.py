@@ -76,3 +76,66 @@ def load_dictionary(entries: DataFrame, scopes: DataFrame) -> DataFrame:
     base = entries.where("scope = 'default'").select("term", "lang", F.col("target").alias("base_"))
     out = scopes.join(own, ["scope", "term", "lang"], "left").join(base, ["term", "lang"], "left")
     return out.select(*scopes.columns, F.coalesce("own_", "base_").alias("target")).where("target is not null")
+
+
+#: What a provenance field may hold.
+PROVENANCE_ENUMS = {
+    "transcribe_status": ("accepted", "filtered_preprocess", "filtered_chunk_rate", "empty_model_output"),
+    "provenance_status": ("complete", "incomplete_provenance", "no_delta", "delta_filtered", "no_confirmed_delta"),
+    "provenance_reason": ("invalid_timestamp", "missing_span", "non_monotonic"),
+    "alignment_status": ("exact", "unaligned", "filtered_window"),
+}
+#: Reasons of an alignment that may be logged.
+ALIGNMENT_REASONS = (
+    "invalid_timestamp:non_numeric", "invalid_timestamp:non_finite", "invalid_timestamp:negative_start", "invalid_timestamp:zero_or_reversed", "invalid_timestamp:rounds_to_empty",
+    "invalid_timestamp:beyond_input", "non_monotonic_start", "non_word_level_chunk", "no_word_timestamps", "token_count_mismatch", "token_sequence_mismatch",
+    "empty_accepted_text_without_filter_signal", "window_rejected_by_filter",
+)
+
+
+def _number(raw: Column) -> Column:
+    """A finite number below 1e15 that ``raw`` spells, else null."""
+    n = raw.try_cast("double")
+    return F.when(F.abs(n) < 1e15, n)
+
+
+def sanitize_provenance(df: DataFrame, key: list[str], ints: list[str], numbers: list[str], hashes: list[str], spans: str) -> DataFrame:
+    """Provenance whose columns hold raw text, as typed values; nothing else of the text comes through.
+
+    Integers, numbers and SHA-256 digests that don't parse become null and their names go to ``rejected``; null and empty fields are absent,
+    not rejected.  Enum columns (``PROVENANCE_ENUMS``) hold one of their values or ``unclassified``; ``alignment_reason`` becomes a listed code, with the
+    number of tokens apart.  ``spans``, an array of ``start, end``, becomes its size, least start and greatest end.
+    """
+    raw = lambda c: F.when(F.col(c) != "", F.col(c))
+    whole = lambda c: F.when(_number(raw(c)) == F.floor(_number(raw(c))), _number(raw(c)).cast("long"))
+    typed = {c: whole(c) for c in ints} | {c: _number(raw(c)) for c in numbers} | {c: F.when(raw(c).rlike("^[0-9a-f]{64}$"), raw(c)) for c in hashes}
+    rejected = F.array_compact(F.array(*[F.when(raw(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in typed.items()]))
+    enums = [F.when(raw(c).isNotNull(), F.when(raw(c).isin(*allowed), raw(c)).otherwise("unclassified")).alias(c) for c, allowed in PROVENANCE_ENUMS.items()]
+    code = F.regexp_extract("alignment_reason", "^([a-z_]+(:[a-z_]+)?)", 1)
+    tokens_ = F.regexp_extract("alignment_reason", r"^non_word_level_chunk:tokens=(\d+)$", 1).try_cast("long")
+    reason = F.when(raw("alignment_reason").isNotNull(), F.when(tokens_.isNotNull(), "non_word_level_chunk").when(code.isin(*ALIGNMENT_REASONS), code).otherwise("unclassified"))
+    edges = [F.size(spans).alias("n_spans"), F.array_min(F.transform(spans, lambda s: s["start"])).alias("span_start"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("span_end")]
+    counted = [F.when(F.col(spans).isNotNull(), edges[0]).alias("n_spans"), *edges[1:]]
+    return df.select(*key, *[v.alias(c) for c, v in typed.items()], *enums, reason.alias("alignment_code"), tokens_.alias("chunk_tokens"), *counted, rejected.alias("rejected"))
+
+
+SNAPSHOT = (
+    "queueDepth long, chunksReceived long, chunksPlayed long, chunksStarted long, chunksCompleted long, chunksPending long, currentPlaybackRate double, chunkAgeAtPlay_avg_ms double, "
+    "source_coverage_lag_ms double, realSilence_max_ms double, last_release_seq_played long, last_source_hash_played string"
+)
+
+
+def listener_snapshot_fact(df: DataFrame, key: list[str], snapshot: str = "snapshot") -> DataFrame:
+    """Typed facts of listener snapshots (JSON text), with what stands in for a count that an older client doesn't send.
+
+    Negative counts are null; starts fall back to plays and pending ones to the queue's depth; ages are 0 and the rate is 1 where absent or zero;
+    lags, silences and the last sequence stay null.  Null text and text that doesn't parse give the defaults.
+    """
+    s = df.select(*key, F.from_json(snapshot, SNAPSHOT).alias("s_")).select(*key, "s_.*")
+    count = lambda *cs: F.when(F.coalesce(*[F.col(c) for c in cs]) >= 0, F.coalesce(*[F.col(c) for c in cs]))
+    return s.select(
+        *key, F.col("queueDepth").alias("queue_depth"), F.col("chunksReceived").alias("received"), F.coalesce("chunksPlayed", F.lit(0)).alias("played"), count("chunksStarted", "chunksPlayed").alias("started"),
+        count("chunksCompleted").alias("completed"), count("chunksPending", "queueDepth").alias("pending"), F.coalesce(F.nullif("currentPlaybackRate", F.lit(0.0)), F.lit(1.0)).alias("rate"),
+        F.coalesce("chunkAgeAtPlay_avg_ms", F.lit(0.0)).alias("age_ms"), F.col("source_coverage_lag_ms").alias("lag_ms"), F.col("realSilence_max_ms").alias("silence_ms"),
+        F.col("last_release_seq_played").alias("last_played"), F.substring("last_source_hash_played", 1, 64).alias("last_hash"),
+    )

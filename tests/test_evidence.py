@@ -118,3 +118,15 @@ def test_open_cut_and_supersede_take_nulls(spark):
     assert got == {1: ("emit_tail", 2, 4), 2: ("suppress", 2, 1), 3: ("pass", None, None), 4: ("pass", None, None)}
     assert evidence.supersede(finals.limit(0), before, ["k"]).count() == 0
     assert evidence.late_rows(finals.withColumn("ts_ms", F.lit(None).cast("long")), ["k"], ["seq"], "ts_ms", 5).where("late").count() == 0
+
+
+def test_an_event_log_reads_back(spark, tmp_path):
+    from quillstream.sources import event_log
+
+    rows = spark.createDataFrame([(1, "2026-01-01 10:00:00", "a"), (2, "2026-01-02 10:00:00", None)], "seq long, ts string, said string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (rows, rows.limit(0)):
+        event_log.write_event_log(part, str(tmp_path / "log"))
+    (tmp_path / "log" / "day=2026-01-02" / "cut.json").write_text('\n{"seq": 3, "sa')
+    back = event_log.read_event_log(spark, str(tmp_path / "log"), rows.select("seq", "said").schema)
+    assert sorted((r.seq, r.said, str(r.day), r["_corrupt_record"]) for r in back.collect() if r["_corrupt_record"] is None) == [(1, "a", "2026-01-01", None), (2, None, "2026-01-02", None)]
+    assert [r["_corrupt_record"] for r in back.collect() if r["_corrupt_record"]] == ['{"seq": 3, "sa']
