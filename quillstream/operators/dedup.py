@@ -19,49 +19,61 @@ STOP = (
 def jaccard_window_dedup(df: DataFrame, by: list[str], order: str, k: int = 3, tau: float = 0.5, least_words: int = 6, least_stems: int = 3) -> DataFrame:
     """Best Jaccard of each text's content stems with those of the ``k`` qualifying texts before it; ``skip`` above ``tau``.
 
-    Texts with too few words or stems are neither compared nor remembered.
+    Texts with too few words or stems (or none) are emitted with a null ``best``, neither compared nor remembered.
     """
     content = F.filter(stems(F.col("text")), lambda s: (F.length(s) > 1) & ~s.isin(*STOP))
-    rows = df.withColumn("stems_", content).where((F.size(F.split("text", r"\s+")) >= least_words) & (F.size("stems_") >= least_stems))
-    rows = rows.withColumn("stems_", F.array_distinct("stems_"))
-    before = F.collect_list("stems_").over(Window.partitionBy(*by).orderBy(order).rowsBetween(-k, -1))
+    enough = F.coalesce((F.size(F.split("text", r"\s+")) >= least_words) & (F.size("stems_") >= least_stems), F.lit(False))
+    rows = df.withColumn("stems_", content).withColumn("enough_", enough).withColumn("stems_", F.array_distinct("stems_"))
+    before = F.collect_list("stems_").over(Window.partitionBy(*by, "enough_").orderBy(order).rowsBetween(-k, -1))
     best = F.coalesce(F.array_max(F.transform("before_", lambda b: jaccard(F.col("stems_"), b))), F.lit(0.0))
-    out = rows.withColumn("before_", before).withColumn("best", best)
+    out = rows.withColumn("before_", F.when(F.col("enough_"), before)).withColumn("best", F.when(F.col("enough_"), best))
     return out.select(*by, order, F.round("best", 6).alias("best"), F.when(F.col("best") > tau, "overlap").otherwise("emit").alias("action"))
 
 
 def ngram_history(df: DataFrame, by: list[str], order: str, n: int = 6) -> DataFrame:
-    """Share of each text's distinct stem ``n``-grams that an earlier text of the key had; emit to 0.2, warn above 0.3, skip above 0.7."""
+    """Share of each text's distinct stem ``n``-grams that an earlier text of the key had; emit to 0.2, warn above 0.3, skip above 0.7.
+
+    Texts of fewer than ``n`` stems have no n-grams and are emitted.
+    """
     s = stems(F.col("text"))
     grams = F.transform(F.sequence(F.lit(1), F.size("s_") - n + 1), lambda i: F.array_join(F.slice(F.col("s_"), i, n), " "))
     rows = df.withColumn("s_", s).where(F.size("s_") >= n).select(*by, order, F.explode(F.array_distinct(grams)).alias("gram"))
     first = rows.groupBy(*by, "gram").agg(F.min(order).alias("first_"))
     seen = rows.join(first, [*by, "gram"])
-    out = seen.groupBy(*by, order).agg(F.count("*").alias("grams"), F.count_if(F.col("first_") < F.col(order)).alias("old"))
-    share = F.col("old") / F.col("grams")
+    counts = seen.groupBy(*by, order).agg(F.count("*").alias("grams"), F.count_if(F.col("first_") < F.col(order)).alias("old"))
+    out = df.select(*by, order).join(counts, [*by, order], "left").fillna(0, ["grams", "old"])
+    share = F.col("old") / F.greatest("grams", F.lit(1))
     return out.withColumn("action", F.when(share > 0.7, "skip").when(share > 0.3, "warn").when(share > 0.2, "trim").otherwise("emit"))
 
 
 def semantic_repeats(units: DataFrame, by: list[str], window_ms: int = 150_000, cap: int = 32, tau: float = 0.7) -> DataFrame:
-    """Best cosine of each unit with the ``cap`` units before it in the window, and that unit; ties go to the newer unit."""
+    """Best cosine of each unit with the ``cap`` units before it in the window, and that unit; ties go to the newer unit.
+
+    A unit with none before it in the window is compared with 0 units and is no repeat.
+    """
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
     rows = units.withColumn("norm_", norm)
     pairs = band_pairs(rows, by, ["ts_ms", "seq"], cap).where(F.col("cur.ts_ms") - F.col("old.ts_ms") <= window_ms)
     dot = F.aggregate(F.zip_with("cur.vec", "old.vec", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     scored = pairs.select(*by, F.col("cur.seq").alias("seq"), F.col("old.seq").alias("old_seq"), F.round(dot / (F.col("cur.norm_") * F.col("old.norm_")), 5).alias("cosine"))
     best = scored.groupBy(*by, "seq").agg(F.max(F.struct("cosine", "old_seq")).alias("m"), F.count("*").alias("compared"))
-    return best.select(*by, "seq", "compared", F.col("m.cosine").alias("cosine"), F.col("m.old_seq").alias("match"), (F.col("m.cosine") >= tau).alias("repeat"))
+    all_ = units.select(*by, "seq").join(best, [*by, "seq"], "left")
+    return all_.select(*by, "seq", F.coalesce("compared", F.lit(0)).alias("compared"), F.col("m.cosine").alias("cosine"), F.col("m.old_seq").alias("match"), F.coalesce(F.col("m.cosine") >= tau, F.lit(False)).alias("repeat"))
 
 
 def text_replay_ledger(df: DataFrame, by: list[str], order: str, cap: int = 32, window_ms: int = 150_000) -> DataFrame:
-    """How each text replays one of the ``cap`` texts before it: exact, contained, contains or new; the best rank wins, then the newest."""
+    """How each text replays one of the ``cap`` texts before it: exact, contained, contains or new; the best rank wins, then the newest.
+
+    Texts without tokens and those with none before them in the window are ``new``.
+    """
     rows = df.withColumn("norm_", F.array_join(tokens(F.col("text")), " ")).where(F.length("norm_") > 0)
     pairs = band_pairs(rows, by, [order], cap).where(F.col("cur.ts_ms") - F.col("old.ts_ms") <= window_ms)
     a, b = F.concat(F.lit(" "), F.col("cur.norm_"), F.lit(" ")), F.concat(F.lit(" "), F.col("old.norm_"), F.lit(" "))
     rank = F.when(a == b, 3).when(F.contains(b, a), 2).when(F.contains(a, b), 1).otherwise(0)
     best = pairs.select(*by, F.col(f"cur.{order}").alias(order), rank.alias("rank"), F.col(f"old.{order}").alias("old")).groupBy(*by, order).agg(F.max(F.struct("rank", "old")).alias("m"))
     verdict = F.get(F.array(F.lit("new"), F.lit("contains"), F.lit("contained"), F.lit("exact")), F.col("m.rank"))
-    return best.select(*by, order, verdict.alias("verdict"), F.when(F.col("m.rank") > 0, F.col("m.old")).alias("match"))
+    every = df.select(*by, order).join(best, [*by, order], "left")
+    return every.select(*by, order, F.coalesce(verdict, F.lit("new")).alias("verdict"), F.when(F.col("m.rank") > 0, F.col("m.old")).alias("match"))
 
 
 def echo_ledger(df: DataFrame, by: list[str], order: str, n: int = 8) -> DataFrame:
@@ -73,11 +85,13 @@ def echo_ledger(df: DataFrame, by: list[str], order: str, n: int = 8) -> DataFra
 
 
 def intra_line_dedup(df: DataFrame, key: list[str], n: int = 6, apart: int = 12) -> DataFrame:
-    """Words covered by later copies of a text's own ``n``-grams, at least ``apart`` words behind the first; kept if over 70% would go."""
-    rows = df.withColumn("t_", tokens(F.col("text"))).where(F.size("t_") >= n)
+    """Words covered by later copies of a text's own ``n``-grams, at least ``apart`` words behind the first; kept if none or over 70% would go."""
+    every = df.withColumn("t_", tokens(F.col("text")))
+    rows = every.where(F.size("t_") >= n)
     at = rows.select(*key, F.size("t_").alias("n_words"), "t_", F.explode(F.sequence(F.lit(1), F.size("t_") - n + 1)).alias("i")).select(*key, "n_words", "i", F.array_join(F.slice("t_", F.col("i"), n), " ").alias("gram"))
     first = at.groupBy(*key, "gram").agg(F.min("i").alias("first_"))
     later = at.join(first, [*key, "gram"]).where(F.col("i") - F.col("first_") >= apart)
     covered = later.select(*key, "n_words", F.explode(F.sequence(F.col("i"), F.col("i") + n - 1)).alias("w")).distinct()
-    out = covered.groupBy(*key, "n_words").agg(F.count("*").alias("covered"))
-    return out.withColumn("action", F.when(F.col("covered") * 10 > F.col("n_words") * 7, "keep").otherwise("trim"))
+    counts = covered.groupBy(*key).agg(F.count("*").alias("covered"))
+    out = every.select(*key, F.size("t_").alias("n_words")).join(counts, key, "left").fillna(0, ["covered"])
+    return out.withColumn("action", F.when((F.col("covered") == 0) | (F.col("covered") * 10 > F.col("n_words") * 7), "keep").otherwise("trim"))

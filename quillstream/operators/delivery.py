@@ -26,10 +26,16 @@ def playback_report(plays: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def budget_drops(pending: DataFrame, by: list[str], most: int) -> DataFrame:
-    """Oldest rows of each key beyond the newest ``most``."""
-    newest = Window.partitionBy(*by).orderBy(F.desc("ts_ms"), F.desc("seq"))
-    return pending.withColumn("place", F.row_number().over(newest)).where(F.col("place") > most)
+def budget_drops(pending: DataFrame, by: list[str], age_ms: int = 10_000, backlog_ms: int = 15_000, chunk_ms: int = 4_000) -> DataFrame:
+    """Rows to drop, with the reason: those older than ``age_ms`` before ``now_ms``, then the oldest beyond a backlog of ``backlog_ms``.
+
+    ``pending``: by, seq, ts_ms, now_ms.  Each row stands for ``chunk_ms`` of the backlog; a null time has no age and is the oldest.
+    """
+    newest = Window.partitionBy(*by).orderBy(F.desc_nulls_last("ts_ms"), F.desc("seq"))
+    aged = F.coalesce(F.col("now_ms") - F.col("ts_ms") > age_ms, F.lit(False))
+    rows = pending.withColumn("aged_", aged).withColumn("kept_", F.sum((~F.col("aged_")).cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    reason = F.when(F.col("aged_"), "age_budget").when(F.col("kept_") * chunk_ms > backlog_ms, "backlog_budget")
+    return rows.withColumn("reason", reason).where("reason is not null").drop("aged_", "kept_")
 
 
 def next_pending(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:

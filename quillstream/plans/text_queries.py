@@ -162,14 +162,14 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in dedup.STOP) + "]"
 @query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, text, list_filter({_STEMS}, lambda s: length(s) > 1 and not list_contains({_STOP}, s)) as st from emissions),
 q as (select stream_id, release_seq, list_distinct(st) as st, row_number() over (partition by stream_id order by release_seq) as no from s where len(regexp_split_to_array(text, '\\s+')) >= 6 and len(st) >= 3),
 b as (select a.stream_id, a.release_seq, max(len(list_intersect(a.st, o.st)) * 1.0::double / len(list_distinct(list_concat(a.st, o.st)))) as best from q a left join q o on a.stream_id = o.stream_id and o.no between a.no - 3 and a.no - 1 group by all)
-select stream_id, release_seq, round(coalesce(best, 0), 6) as best, case when coalesce(best, 0) > 0.5 then 'overlap' else 'emit' end as action from b""")
+select e.stream_id, e.release_seq, case when b.stream_id is not null then round(coalesce(best, 0), 6) end as best, case when coalesce(best, 0) > 0.5 then 'overlap' else 'emit' end as action from emissions e left join b on e.stream_id = b.stream_id and e.release_seq = b.release_seq""")
 def g2_jaccard_window_dedup(spark, d):
     return dedup.jaccard_window_dedup(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
 
 @query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, {_STEMS} as st from emissions), g as (select distinct stream_id, release_seq, array_to_string(st[i:i + 5], ' ') as gram from (select *, unnest(range(1, len(st) - 4)) as i from s where len(st) >= 6)),
-f as (select *, min(release_seq) over (partition by stream_id, gram) as first_ from g), c as (select stream_id, release_seq, count(*) as grams, count(*) filter (first_ < release_seq) as old from f group by all)
-select *, case when old * 1.0::double / grams > 0.7 then 'skip' when old * 1.0::double / grams > 0.3 then 'warn' when old * 1.0::double / grams > 0.2 then 'trim' else 'emit' end as action from c""")
+f as (select *, min(release_seq) over (partition by stream_id, gram) as first_ from g), c as (select e.stream_id, e.release_seq, count(f.gram) as grams, count(*) filter (first_ < e.release_seq) as old from emissions e left join f on e.stream_id = f.stream_id and e.release_seq = f.release_seq group by all)
+select *, case when old * 1.0::double / greatest(grams, 1) > 0.7 then 'skip' when old * 1.0::double / greatest(grams, 1) > 0.3 then 'warn' when old * 1.0::double / greatest(grams, 1) > 0.2 then 'trim' else 'emit' end as action from c""")
 def g1_ngram_history(spark, d):
     return dedup.ngram_history(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
@@ -177,7 +177,7 @@ def g1_ngram_history(spark, d):
 @query("""with u as (select vec_id % 10 as stream_id, vec_id as seq, vec_id * 5000 as ts_ms, list_transform(embedding, lambda x: x::double) as vec, row_number() over (partition by vec_id % 10 order by vec_id) as no from embeddings),
 p as (select a.stream_id, a.seq, o.seq as old_seq, round(list_sum(list_transform(list_zip(a.vec, o.vec), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.vec, lambda x: x * x))) * sqrt(list_sum(list_transform(o.vec, lambda x: x * x)))), 5) as cosine
   from u a join u o on a.stream_id = o.stream_id and o.no between a.no - 32 and a.no - 1 and a.ts_ms - o.ts_ms <= 150000)
-select stream_id, seq, count(*) as compared, max(cosine) as cosine, max(old_seq) filter (cosine = m) as match, max(cosine) >= 0.7 as repeat from (select *, max(cosine) over (partition by stream_id, seq) as m from p) group by stream_id, seq""")
+select u.stream_id, u.seq, count(old_seq) as compared, max(cosine) as cosine, max(old_seq) filter (cosine = m) as match, coalesce(max(cosine) >= 0.7, false) as repeat from u left join (select *, max(cosine) over (partition by stream_id, seq) as m from p) p on u.stream_id = p.stream_id and u.seq = p.seq group by u.stream_id, u.seq""")
 def g9_semantic_repeats(spark, d):
     v = tables.read(spark, d, "embeddings")
     units = v.select((F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("seq"), (F.col("vec_id") * 5000).alias("ts_ms"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -188,7 +188,7 @@ def g9_semantic_repeats(spark, d):
 p as (select a.stream_id, a.release_seq, o.release_seq as old, case when a.norm = o.norm then 3 when contains(' ' || o.norm || ' ', ' ' || a.norm || ' ') then 2 when contains(' ' || a.norm || ' ', ' ' || o.norm || ' ') then 1 else 0 end as rank
   from q a join q o on a.stream_id = o.stream_id and o.no between a.no - 32 and a.no - 1 and a.ts_ms - o.ts_ms <= 150000),
 b as (select stream_id, release_seq, arg_max(rank, rank * 1000000 + old) as rank, arg_max(old, rank * 1000000 + old) as old from p group by all)
-select stream_id, release_seq, ['new', 'contains', 'contained', 'exact'][rank + 1] as verdict, case when rank > 0 then old end as match from b""")
+select e.stream_id, e.release_seq, ['new', 'contains', 'contained', 'exact'][coalesce(rank, 0) + 1] as verdict, case when rank > 0 then old end as match from emissions e left join b on e.stream_id = b.stream_id and e.release_seq = b.release_seq""")
 def g10_text_replay_ledger(spark, d):
     return dedup.text_replay_ledger(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
@@ -201,7 +201,7 @@ def g12_echo_ledger(spark, d):
 
 @query(f"""with {TEXTS}, t as (select doc_id, {_TOKENS.format(c='text')} as t from texts), g as (select doc_id, len(t) as n_words, i, array_to_string(t[i:i + 5], ' ') as gram from (select *, unnest(range(1, len(t) - 4)) as i from t where len(t) >= 6)),
 f as (select *, min(i) over (partition by doc_id, gram) as first_ from g), c as (select distinct doc_id, n_words, unnest(range(i, i + 6)) as w from f where i - first_ >= 12)
-select doc_id, n_words, count(*) as covered, case when count(*) * 10 > n_words * 7 then 'keep' else 'trim' end as action from c group by doc_id, n_words""")
+select t.doc_id, len(t.t) as n_words, count(w) as covered, case when count(w) = 0 or count(w) * 10 > len(t.t) * 7 then 'keep' else 'trim' end as action from t left join c on t.doc_id = c.doc_id group by t.doc_id, len(t.t)""")
 def g4_intra_line_dedup(spark, d):
     return dedup.intra_line_dedup(tables.texts(spark, d), ["doc_id"]).withColumn("n_words", F.col("n_words").cast("long"))
 
@@ -298,9 +298,12 @@ def j4_playback_report(spark, d):
     return delivery.playback_report(tables.spans(spark, d).withColumn("rate", F.col("word") * 0.4), ["id"])
 
 
-@query(f"with {tables.TELEMETRY} select stream_id, seq, cast(place as integer) as place from (select *, row_number() over (partition by stream_id order by ts_ms desc, seq desc) as place from telemetry) where place > 30")
+@query(f"""with {tables.TELEMETRY}, n as (select stream_id, seq, ts_ms, max(ts_ms) over (partition by stream_id) - ts_ms > 1000000000 as aged from telemetry),
+r as (select *, count(*) filter (not aged) over (partition by stream_id order by ts_ms desc, seq desc) as kept from n)
+select stream_id, seq, case when aged then 'age_budget' else 'backlog_budget' end as reason from r where aged or kept * 4000 > 60000""")
 def j5_budget_drops(spark, d):
-    return delivery.budget_drops(tables.telemetry(spark, d), ["stream_id"], 30).select("stream_id", "seq", "place")
+    pending = tables.telemetry(spark, d).withColumn("now_ms", F.max("ts_ms").over(Window.partitionBy("stream_id")))
+    return delivery.budget_drops(pending, ["stream_id"], 1_000_000_000, 60_000).select("stream_id", "seq", "reason")
 
 
 @query(f"with {SPANS}, n as (select *, row_number() over (partition by space order by id, word) as no from spans) select space, id, word from n where no = 1")
