@@ -149,3 +149,53 @@ pairs as (
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 10
 """
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12 = f"""
+with l as (
+  select doc_id, rid, unnest(lines) as line, generate_subscripts(lines, 1) as i
+  from (select doc_id, row_number() over () as rid, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LETTERS}) as key from l),
+common as (
+  select key, max(doc_id) as keeper from k where length(key) >= 40 group by key
+  having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= 5),
+judged as (select k.*, c.key is not null and k.doc_id is distinct from c.keeper as gone from k left join common c on k.key = c.key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from judged group by rid
+"""
+
+OP13 = f"""
+with crc as (select {_CRC_TABLE}::bigint[] as t),
+d as (select doc_id, row_number() over () as rid, false as target, text from documents union all select null, null, true, text from benchmark),
+w as (select doc_id, rid, target, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from d),
+f as (
+  select rid, target, unnest(ws) as feature from w
+  union all select rid, target, unnest(list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2])) from w where len(ws) > 1),
+kinds as (
+  select feature, [('0x' || substr(hex(encode(feature)), 2 * i - 1, 2))::bigint for i in range(1, strlen(feature) + 1)] as b
+  from (select distinct feature from f)),
+hashed as (
+  select feature, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket
+  from kinds, crc),
+counts as (
+  select bucket, count(*) filter (not target) as s, count(*) filter (target) as t from f join hashed using (feature) group by bucket),
+gains as (
+  select bucket, cast(floor(1000 * ln((t + 1)::double * ((sum(s) over ())::double + 10000) / ((s + 1)::double * ((sum(t) over ())::double + 10000)))) as bigint) as gain
+  from counts),
+weights as (
+  select rid, count(*) as n_features, cast(sum(gain) as bigint) as total
+  from f join hashed using (feature) join gains using (bucket) where not target group by rid),
+scored as (
+  select doc_id, rid, len(ws) as n_words, coalesce(n_features, 0) as n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) as weight,
+    ('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint as h
+  from w left join weights using (rid) where not target),
+noisy as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from scored),
+ranked as (
+  select *, row_number() over (order by score desc, doc_id nulls last, n_features) as r, count(*) over () as n
+  from noisy where n_words >= 20)
+select doc_id, n_features, weight, score, case when r * 100 <= n * 25 then r end as rank from ranked
+union all select doc_id, n_features, weight, score, null from noisy where n_words < 20
+"""
