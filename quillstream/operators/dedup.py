@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, stems, tokens
+from ..functions.text import jaccard, stems, tokens, words
 from .core import band_pairs
 
 #: Stop words, cut like stems.
@@ -16,34 +16,62 @@ STOP = (
 )
 
 
-def jaccard_window_dedup(df: DataFrame, by: list[str], order: str, k: int = 3, tau: float = 0.5, least_words: int = 6, least_stems: int = 3) -> DataFrame:
-    """Best Jaccard of each text's content stems with those of the ``k`` qualifying texts before it; ``skip`` above ``tau``.
+def _cut(words: Column, at: Column, within: int, ahead: bool) -> Column:
+    """The place nearest ``at``, by up to ``within`` words (looking back first, then ahead too), that follows a sentence end; else ``at``."""
+    places = [p for off in range(within + 1) for p in ([at - off, at + off] if ahead else [at - off])]
+    ended = lambda p: (p > 0) & ((p <= at) | (p < F.size(words))) & F.coalesce(F.get(words, p - 1).rlike("[.!?]$"), F.lit(False))
+    return F.coalesce(F.get(F.filter(F.array(*places), ended), F.lit(0)), at)
 
+
+def jaccard_window_dedup(
+    df: DataFrame, by: list[str], order: str, k: int = 3, tau: float = 0.5, least_words: int = 6, least_stems: int = 3, least_new: int = 5, snap: int = 3,
+) -> DataFrame:
+    """Best Jaccard of each text's content stems with those of the ``k`` qualifying texts before it; above ``tau`` only the new tail goes on.
+
+    The new tail follows the last word whose stem the ``k - 1`` texts before have: fewer than ``least_new`` words are a ``skip``, else
+    the text is cut there (``trim``, at a sentence end up to ``snap`` words before); ``cut`` counts the words that go.
     Texts with too few words or stems (or none) are emitted with a null ``best``, neither compared nor remembered.
     """
-    content = F.filter(stems(F.col("text")), lambda s: (F.length(s) > 1) & ~s.isin(*STOP))
-    enough = F.coalesce((F.size(F.split("text", r"\s+")) >= least_words) & (F.size("stems_") >= least_stems), F.lit(False))
-    rows = df.withColumn("stems_", content).withColumn("enough_", enough).withColumn("stems_", F.array_distinct("stems_"))
+    is_content = lambda s: (F.length(s) > 1) & ~s.isin(*STOP)
+    rows = df.withColumn("w_", words(F.col("text"))).withColumn("all_", stems(F.col("text"))).withColumn("stems_", F.filter("all_", is_content))
+    enough = F.coalesce((F.size("w_") >= least_words) & (F.size("stems_") >= least_stems), F.lit(False))
+    rows = rows.withColumn("enough_", enough).withColumn("stems_", F.array_distinct("stems_"))
     before = F.collect_list("stems_").over(Window.partitionBy(*by, "enough_").orderBy(order).rowsBetween(-k, -1))
     best = F.coalesce(F.array_max(F.transform("before_", lambda b: jaccard(F.col("stems_"), b))), F.lit(0.0))
     out = rows.withColumn("before_", F.when(F.col("enough_"), before)).withColumn("best", F.when(F.col("enough_"), best))
-    return out.select(*by, order, F.round("best", 6).alias("best"), F.when(F.col("best") > tau, "overlap").otherwise("emit").alias("action"))
+    old = F.flatten(F.slice("before_", F.greatest(F.lit(1), F.size("before_") - (k - 2)), k - 1))
+    last = F.array_max(F.transform("all_", lambda s, i: F.when(is_content(s) & F.array_contains("old_", s), i + 1).otherwise(0)))
+    out = out.withColumn("old_", old).withColumn("start_", F.when(F.col("best") > tau, last))
+    fresh = F.size("w_") - F.col("start_")
+    cut = F.when(F.col("start_").isNull(), 0).when(fresh < least_new, F.size("w_")).otherwise(_cut(F.col("w_"), F.col("start_"), snap, False))
+    action = F.when(F.col("start_").isNull(), "emit").when(fresh < least_new, "skip").otherwise("trim")
+    return out.select(*by, order, F.round("best", 6).alias("best"), action.alias("action"), cut.cast("long").alias("cut"))
 
 
-def ngram_history(df: DataFrame, by: list[str], order: str, n: int = 6) -> DataFrame:
-    """Share of each text's distinct stem ``n``-grams that an earlier text of the key had; emit to 0.2, warn above 0.3, skip above 0.7.
+def ngram_history(df: DataFrame, by: list[str], order: str, n: int = 6, misses: int = 4, old_words: int = 10, snap: int = 5) -> DataFrame:
+    """Share of each text's stem ``n``-grams that an earlier text of the key had, and where its old prefix ends.
 
-    Texts of fewer than ``n`` stems have no n-grams and are emitted.
+    A share up to 0.2 is emitted.  Above, ``misses`` new n-grams in a row end the old prefix: of ``old_words`` or more it is cut (``trim``, at a
+    sentence end within ``snap`` words), and ``cut`` counts the words that go.  Without such an end a share above 0.7 is a ``skip``; what is
+    left is emitted, above 0.3 with a ``warn``.  Texts of fewer than ``n`` words have no n-grams and are emitted.
     """
-    s = stems(F.col("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("s_") - n + 1), lambda i: F.array_join(F.slice(F.col("s_"), i, n), " "))
-    rows = df.withColumn("s_", s).where(F.size("s_") >= n).select(*by, order, F.explode(F.array_distinct(grams)).alias("gram"))
+    places = F.transform(F.sequence(F.lit(1), F.size("s_") - n + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("s_"), i, n), " ").alias("gram")))
+    rows = df.withColumn("s_", stems(F.col("text"))).where(F.size("s_") >= n).select(*by, order, F.explode(places).alias("p")).select(*by, order, "p.*")
     first = rows.groupBy(*by, "gram").agg(F.min(order).alias("first_"))
-    seen = rows.join(first, [*by, "gram"])
-    counts = seen.groupBy(*by, order).agg(F.count("*").alias("grams"), F.count_if(F.col("first_") < F.col(order)).alias("old"))
-    out = df.select(*by, order).join(counts, [*by, order], "left").fillna(0, ["grams", "old"])
+    marked = rows.join(first, [*by, "gram"]).groupBy(*by, order).agg(
+        F.count("*").alias("grams"), F.count_if(F.col("first_") < F.col(order)).alias("old"),
+        F.array_sort(F.collect_list(F.struct("i", F.when(F.col("first_") < F.col(order), "o").otherwise("n").alias("mark")))).alias("marks_"),
+    )
+    out = df.select(*by, order, words(F.col("text")).alias("w_")).join(marked, [*by, order], "left").fillna(0, ["grams", "old"])
     share = F.col("old") / F.greatest("grams", F.lit(1))
-    return out.withColumn("action", F.when(share > 0.7, "skip").when(share > 0.3, "warn").when(share > 0.2, "trim").otherwise("emit"))
+    at = F.locate("n" * misses, F.array_join(F.transform("marks_", lambda m: m["mark"]), "")) - 1
+    out = out.withColumn("at_", F.when(share > 0.2, at)).withColumn("snapped_", _cut(F.col("w_"), F.col("at_"), snap, True))
+    cut = F.when(F.col("at_") >= old_words, F.when(F.col("snapped_") >= old_words, F.col("snapped_")).otherwise(F.col("at_")))
+    rest = F.length(F.array_join(F.slice("w_", F.col("cut_") + 1, F.size("w_")), " "))
+    skip = F.coalesce(F.when(F.col("cut_").isNotNull(), rest < 3).otherwise((F.col("at_") < 0) & (share > 0.7)), F.lit(False))
+    action = F.when(skip, "skip").when(F.col("cut_").isNotNull(), "trim").when(F.col("at_").isNotNull() & (share > 0.3), "warn").otherwise("emit")
+    gone = F.when(skip, F.size("w_")).otherwise(F.coalesce("cut_", F.lit(0)))
+    return out.withColumn("cut_", cut).select(*by, order, "grams", "old", action.alias("action"), gone.cast("long").alias("cut"))
 
 
 def semantic_repeats(units: DataFrame, by: list[str], window_ms: int = 150_000, cap: int = 32, tau: float = 0.7) -> DataFrame:

@@ -159,17 +159,33 @@ _STEMS = "list_transform(" + _WORDS.format(c="text") + ", lambda w: substr(regex
 _STOP = "[" + ", ".join(f"'{w}'" for w in dedup.STOP) + "]"
 
 
-@query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, text, list_filter({_STEMS}, lambda s: length(s) > 1 and not list_contains({_STOP}, s)) as st from emissions),
-q as (select stream_id, release_seq, list_distinct(st) as st, row_number() over (partition by stream_id order by release_seq) as no from s where len(regexp_split_to_array(text, '\\s+')) >= 6 and len(st) >= 3),
-b as (select a.stream_id, a.release_seq, max(len(list_intersect(a.st, o.st)) * 1.0::double / len(list_distinct(list_concat(a.st, o.st)))) as best from q a left join q o on a.stream_id = o.stream_id and o.no between a.no - 3 and a.no - 1 group by all)
-select e.stream_id, e.release_seq, case when b.stream_id is not null then round(coalesce(best, 0), 6) end as best, case when coalesce(best, 0) > 0.5 then 'overlap' else 'emit' end as action from emissions e left join b on e.stream_id = b.stream_id and e.release_seq = b.release_seq""")
+def _snapped(within: int, ahead: bool) -> str:
+    """SQL of the place nearest ``cut0`` that follows a sentence end, else ``cut0``."""
+    places = ", ".join(p for off in range(within + 1) for p in ([f"cut0 - {off}", f"cut0 + {off}"] if ahead else [f"cut0 - {off}"]))
+    return f"coalesce(list_filter([{places}], lambda p: p > 0 and (p <= cut0 or p < len(w)) and coalesce(regexp_matches(w[p], '[.!?]$'), false))[1], cut0)"
+
+
+@query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, {_WORDS.format(c="text")} as w, {_STEMS} as sa from emissions),
+f as (select *, list_filter(sa, lambda s: length(s) > 1 and not list_contains({_STOP}, s)) as st from s),
+q as (select *, row_number() over (partition by stream_id order by release_seq) as no from f where len(w) >= 6 and len(st) >= 3),
+b as (select a.stream_id, a.release_seq, max(len(list_intersect(a.st, o.st)) * 1.0::double / len(list_distinct(list_concat(a.st, o.st)))) as best,
+  coalesce(flatten(list(o.st) filter (o.no >= a.no - 2)), []) as old from q a left join q o on a.stream_id = o.stream_id and o.no between a.no - 3 and a.no - 1 group by all),
+n as (select e.*, b.stream_id is not null as enough, best, case when best > 0.5 then coalesce(list_max(list_filter(range(1, len(w) + 1), lambda i: list_contains(old, sa[i]) and length(sa[i]) > 1 and not list_contains({_STOP}, sa[i]))), 0) end as cut0
+  from s e left join b on e.stream_id = b.stream_id and e.release_seq = b.release_seq)
+select stream_id, release_seq, case when enough then round(coalesce(best, 0), 6) end as best, case when cut0 is null then 'emit' when len(w) - cut0 < 5 then 'skip' else 'trim' end as action,
+  cast(case when cut0 is null then 0 when len(w) - cut0 < 5 then len(w) else {_snapped(3, False)} end as bigint) as cut from n""")
 def g2_jaccard_window_dedup(spark, d):
     return dedup.jaccard_window_dedup(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
 
-@query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, {_STEMS} as st from emissions), g as (select distinct stream_id, release_seq, array_to_string(st[i:i + 5], ' ') as gram from (select *, unnest(range(1, len(st) - 4)) as i from s where len(st) >= 6)),
-f as (select *, min(release_seq) over (partition by stream_id, gram) as first_ from g), c as (select e.stream_id, e.release_seq, count(f.gram) as grams, count(*) filter (first_ < e.release_seq) as old from emissions e left join f on e.stream_id = f.stream_id and e.release_seq = f.release_seq group by all)
-select *, case when old * 1.0::double / greatest(grams, 1) > 0.7 then 'skip' when old * 1.0::double / greatest(grams, 1) > 0.3 then 'warn' when old * 1.0::double / greatest(grams, 1) > 0.2 then 'trim' else 'emit' end as action from c""")
+@query(f"""with {EMISSIONS}, s as (select stream_id, release_seq, {_WORDS.format(c="text")} as w, {_STEMS} as st from emissions), g as (select stream_id, release_seq, i, array_to_string(st[i:i + 5], ' ') as gram from (select *, unnest(range(1, len(st) - 4)) as i from s where len(st) >= 6)),
+f as (select *, min(release_seq) over (partition by stream_id, gram) < release_seq as seen from g),
+m as (select stream_id, release_seq, count(*) as grams, count(*) filter (seen) as old, string_agg(case when seen then 'o' else 'n' end, '' order by i) as marks from f group by all),
+t as (select s.*, coalesce(grams, 0) as grams, coalesce(old, 0) as old, case when old > 0.2 * grams then instr(marks, 'nnnn') - 1 end as cut0 from s left join m on s.stream_id = m.stream_id and s.release_seq = m.release_seq),
+c as (select *, case when cut0 >= 10 then case when {_snapped(5, True)} >= 10 then {_snapped(5, True)} else cut0 end end as c from t),
+a as (select *, case when c is not null then length(array_to_string(w[c + 1:], ' ')) < 3 else coalesce(cut0 < 0 and old > 0.7 * grams, false) end as skip from c)
+select stream_id, release_seq, grams, old, case when skip then 'skip' when c is not null then 'trim' when cut0 is not null and old > 0.3 * grams then 'warn' else 'emit' end as action,
+  cast(case when skip then len(w) else coalesce(c, 0) end as bigint) as cut from a""")
 def g1_ngram_history(spark, d):
     return dedup.ngram_history(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
