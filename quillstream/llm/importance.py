@@ -96,7 +96,7 @@ def feature_buckets(texts: Sequence[str | None], buckets: int) -> tuple[np.ndarr
 
 
 #: Texts are worked on together up to this many characters, so a task's dictionary of features is bounded.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
