@@ -99,7 +99,11 @@ GONE, COLD, HOT = 0, 1, 2
 
 
 def _found(length: int, bits: int):
-    """Distinct blocks of a slice: ``key`` (anchor, even), fingerprint, smallest document; and the others' (odd key), which are gone."""
+    """Distinct blocks of a slice: ``key`` (anchor, even), fingerprint, smallest document; and the others', which are gone.
+
+    What is gone needs to meet nothing but its own document's list, so its (odd) key is the document's: a line that all documents
+    share has as many keys as documents.
+    """
     schema = pa.schema([("key", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64())])
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -111,7 +115,8 @@ def _found(length: int, bits: int):
         new = block.copy()
         new[1:] |= doc[1:] != doc[:-1]
         least = doc[np.flatnonzero(block)][np.cumsum(block) - 1] == doc
-        key = np.where(least, anchor << 1, ((print_ & ((1 << 40) - 1)) << 1) | 1)
+        own = (mix(doc.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+        key = np.where(least, anchor << 1, own << 1 | 1)
         order = np.argsort(doc[new], kind="stable")  # runs of one document pack better
         return pa.record_batch([pa.array(x[new][order]) for x in (key, print_, doc)], schema=schema)
 
