@@ -1,6 +1,6 @@
 """Sequential operators: an ordered fold of each key, in batch.
 
-A step function takes (state, row as dict) and returns (state, row to give or None); the streaming form in
+A step function takes (state, row as dict) and returns (state, row to give, list of rows or None); the streaming form in
 ``quillstream.streaming.stateful`` calls the same step.  Rows are dealt by key and sorted within partitions, and the fold
 reads them as a stream, so a task holds one batch and one key's state, however long the key.  A key itself can't be
 split: an accepted row changes what later rows meet.
@@ -15,27 +15,49 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 State = dict
-Step = Callable[[State, dict], tuple[State, dict | None]]
+Step = Callable[[State, dict], tuple[State, dict | list[dict] | None]]
+#: Rows to give when a key's state ends: at the end of its rows, or when its time is over.
+AtEnd = Callable[[State], list[dict]]
 
 
-def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Step, schema: str) -> DataFrame:
-    """Results of ``step`` over each key's rows in order; the state of a key starts empty."""
-    by = list(by)
+def values_of(got: dict | list[dict] | None, names: Sequence[str]) -> list[list]:
+    """A step's result as rows of values."""
+    return [[r.get(n) for n in names] for r in ([] if got is None else got if isinstance(got, list) else [got])]
+
+
+def whole_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")]
+
+
+def records(frame: pd.DataFrame, whole: Sequence[str]) -> list[dict]:
+    """Rows as dicts; whole numbers stay whole (and null None) beside nulls, which pandas reads as floats."""
+    for c in whole:
+        if frame[c].dtype.kind == "f":
+            frame[c] = pd.Series([None if v != v else int(v) for v in frame[c]], index=frame.index, dtype=object)
+    return frame.to_dict("records")
+
+
+def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Step, schema: str, at_end: AtEnd | None = None) -> DataFrame:
+    """Results of ``step`` over each key's rows in order, then of ``at_end``; the state of a key starts empty."""
+    by, whole = list(by), whole_columns(df)
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, {}
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
+            for row in records(frame, whole):
                 own = tuple(None if v is None or v != v else v for v in (row[c] for c in by))
                 if own != key:
+                    if at_end and state:
+                        out += values_of(at_end(state), names)
                     key, state = own, {}
                 state, got = step(state, row)
-                if got is not None:
-                    out.append([got.get(n) for n in names])
+                out += values_of(got, names)
             if out:
                 yield pd.DataFrame(out, columns=names)
+        if at_end and state and (out := values_of(at_end(state), names)):
+            yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 

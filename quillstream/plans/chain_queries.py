@@ -1,14 +1,16 @@
-"""Queries of the filter chain and of unit clean-up.
+"""Queries of the filter chain, of unit clean-up and of operators whose state ends by time.
 
-Their steps depend on what earlier texts became, so SQL has none but for the tail; ``tests/test_chain.py`` holds them against plain
-restatements, stage by stage.
+Their steps depend on what earlier rows became, so there is no SQL; ``tests/test_chain.py`` and ``tests/test_timed.py`` hold them against plain
+restatements and stated cases.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chain, fold, units
+from ..functions import text as tx
+from ..operators import chain, fold, timed, units
 from ..sources import tables
 from .registry import query
 
@@ -28,3 +30,33 @@ def g6_unit_pair_cleanup_vectors(spark, d):
 @query()
 def g13_filter_chain(spark, d):
     return fold.ordered_fold(tables.emissions(spark, d), ["stream_id"], ["release_seq"], chain.chain_step(), chain.CHAIN_SCHEMA)
+
+
+@query()
+def h3_word_time_dedup(spark, d):
+    """Each emission as a pass over a buffer that is cut every other pass; a word takes 0.35 s."""
+    word = lambda w, i: F.struct(w.alias("text"), (i * 0.35).alias("start"), (i * 0.35 + 0.3).alias("end"))
+    passes = tables.emissions(spark, d).select(
+        "stream_id", F.col("release_seq").alias("pass"), "ts_ms", (F.floor(F.col("release_seq") / 2) * 7.0).alias("offset_s"), F.transform(tx.words(F.col("text")), word).alias("words"),
+    )
+    return fold.ordered_fold(passes, ["stream_id"], ["pass"], timed.word_time_step(), timed.WORD_TIME_SCHEMA)
+
+
+@query()
+def h1_local_agreement_fuzzy(spark, d):
+    return fold.ordered_fold(tables.emissions(spark, d), ["stream_id"], ["release_seq"], timed.agreement_step(3), timed.AGREEMENT_SCHEMA).drop("sentence")
+
+
+@query()
+def h2_stable_sentences(spark, d):
+    return fold.ordered_fold(tables.emissions(spark, d), ["stream_id"], ["release_seq"], timed.agreement_step(2, sentence_words=3), timed.AGREEMENT_SCHEMA)
+
+
+@query()
+def g16_fallback_windows(spark, d):
+    t = tables.telemetry(spark, d)
+    origin = F.when(F.col("k") % 3 == 0, "partial_fallback").when(F.col("k") % 3 == 1, "deadline_fallback").otherwise("confirmed")
+    kind = F.when(F.col("k") % 11 == 0, "commit").when(F.col("k") % 13 == 0, "broadcast").when(F.col("k") % 17 == 0, "cancel").otherwise("enqueue")
+    release = F.when(kind == "enqueue", F.col("seq")).otherwise(F.lag("seq", 1).over(Window.partitionBy("stream_id").orderBy("ts_ms", "seq")))
+    rows = t.select("stream_id", "ts_ms", "seq", origin.alias("origin"), kind.alias("kind"), F.lit("e").alias("epoch"), release.alias("release_seq"))
+    return fold.ordered_fold(rows, ["stream_id"], ["ts_ms", "seq"], timed.fallback_step(40_000_000, 80_000_000), timed.WINDOW_SCHEMA, timed.window_at_end(80_000_000))
