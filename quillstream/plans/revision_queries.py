@@ -6,6 +6,7 @@ holds them against plain restatements and stated cases.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fold, revisions
@@ -32,9 +33,10 @@ def g11_boundary_overlap_trim(spark, d):
     return fold.ordered_fold(rows, ["stream_id", "lang"], ["release_seq"], revisions.boundary_step(), revisions.BOUNDARY_SCHEMA)
 
 
-_UNITS = """w as (
-  select l_orderkey as id, l_linenumber - 1 as word, cast(l_orderkey % 97 as varchar) as space, l_orderkey * 4000 + l_linenumber * 100 as start, l_orderkey * 4000 + l_linenumber * 100 + 100 as "end",
-    l_orderkey * 3 + (l_linenumber * l_suppkey) % 3 as release, (l_orderkey * 31 + l_suppkey * 17 + l_linenumber // 3) % 1000 as committed_at, l_partkey % 8 as k from lineitem),
+_UNITS = """o as (select l_orderkey as id, l_suppkey as s, l_partkey as p, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_extendedprice) as n from lineitem),
+w as (
+  select id, n - 1 as word, cast(id % 97 as varchar) as space, id * 4000 + n * 100 as start, id * 4000 + n * 100 + 100 as "end",
+    id * 3 + (n * s) % 3 as release, (id * 31 + s * 17 + n // 3) % 1000 as committed_at, p % 8 as k from o),
 r as (select space, case when k = 1 then start + 40 else start - 5 end as start, case when k = 2 then "end" + 150 else "end" + 5 end as "end", release, committed_at from w where k > 0)"""
 
 
@@ -64,12 +66,12 @@ select id, n as n_words, topology, at_ as frontier, cast(covered as bigint) as c
   cut as safe_word, case when topology <> 'full' and cut > 0 then at_ - cut else 0 end as bridge from cut""")
 def i15_committed_prefix_plan(spark, d):
     """Orders as units of words; ranges committed by up to three releases each, some too short, some over two words."""
-    li = tables.read(spark, d, "lineitem")
-    start = F.col("l_orderkey") * 4000 + F.col("l_linenumber") * 100
-    w = li.select(
-        F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 1).cast("long").alias("word"), (F.col("l_orderkey") % 97).cast("string").alias("space"), start.cast("long").alias("start"), (start + 100).cast("long").alias("end"),
-        (F.col("l_orderkey") * 3 + F.col("l_linenumber") * F.col("l_suppkey") % 3).alias("release"),
-        ((F.col("l_orderkey") * 31 + F.col("l_suppkey") * 17 + F.floor(F.col("l_linenumber") / 3)) % 1000).alias("committed_at"), (F.col("l_partkey") % 8).alias("k"),
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")).cast("long")
+    o = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), place.alias("n"))
+    start = F.col("id") * 4000 + F.col("n") * 100
+    w = o.select(
+        "id", (F.col("n") - 1).alias("word"), (F.col("id") % 97).cast("string").alias("space"), start.alias("start"), (start + 100).alias("end"),
+        (F.col("id") * 3 + F.col("n") * F.col("s") % 3).alias("release"), ((F.col("id") * 31 + F.col("s") * 17 + F.floor(F.col("n") / 3)) % 1000).alias("committed_at"), (F.col("p") % 8).alias("k"),
     )
     r = w.where("k > 0").select(
         "space", F.when(F.col("k") == 1, F.col("start") + 40).otherwise(F.col("start") - 5).alias("start"), F.when(F.col("k") == 2, F.col("end") + 150).otherwise(F.col("end") + 5).alias("end"), "release", "committed_at",
