@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity, tokens, words
+from .dictionary import SHIPPED_CHARS, phrases_in, shipped_phrases
 
 #: Sentence ends.
 _SENTENCE = r"[^.!?。！？]+[.!?。！？]*|[.!?。！？]+"
@@ -89,29 +90,36 @@ def text_identity(df: DataFrame, text: str = "text") -> DataFrame:
     return out.join(counts, "identity")
 
 
-def phrases_within(texts: DataFrame, phrases: DataFrame, key: list[str], head: int = 4) -> DataFrame:
+def phrases_within(texts: DataFrame, phrases: DataFrame, key: list[str], head: int = 4, shipped_chars: int = SHIPPED_CHARS) -> DataFrame:
     """Distinct rows of ``key``, ``text_`` and the phrase's columns where the phrase's tokens lie in a row in the text.
 
-    ``texts``: key and tokens ``t_``; ``phrases``: tokens ``p_`` and other columns.  Joined on the phrase's first ``head`` tokens (all
-    of a shorter phrase), then the whole phrase is checked.  The phrases' size is left to the optimiser.
+    ``texts``: key and tokens ``t_``; ``phrases``: tokens ``p_`` and other columns.  Phrases of ``shipped_chars`` in all go to the tasks as one
+    automaton, and each text is read once, where it lies.  More phrases are joined on their first ``head`` tokens (all of a shorter
+    phrase), and the whole phrase is checked; both ways give the same rows.
     """
-    p = phrases.where(F.size("p_") > 0).withColumn("head_", F.array_join(F.slice("p_", 1, head), " ")).withColumn("norm_", F.array_join("p_", " ")).drop("p_")
+    p = phrases.where(F.size("p_") > 0).withColumn("norm_", F.array_join("p_", " "))
+    whole = texts.where(F.size("t_") > 0).select(*key, F.array_join("t_", " ").alias("text_"))
+    shipped = shipped_phrases(p, "norm_", shipped_chars)
+    if shipped is not None:
+        found = phrases_in(whole, [*key, "text_"], "text_", shipped, "norm_")
+        return found.join(p.drop("p_"), "norm_").select(*key, "text_", *[c for c in p.columns if c not in ("p_", "norm_")]).distinct()
+    p = p.withColumn("head_", F.array_join(F.slice("p_", 1, head), " ")).drop("p_")
     t = texts.where(F.size("t_") > 0)
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size("t_"), F.lit(head))), lambda n: F.transform(F.sequence(F.lit(1), F.size("t_") - n + 1), lambda i: F.array_join(F.slice(F.col("t_"), i, n), " "))))
     near = t.select(*[F.col(c).alias(f"key_{c}") for c in key], F.explode(F.array_distinct(grams)).alias("head_")).join(p, "head_").drop("head_").distinct()
-    whole = t.select(*key, F.array_join("t_", " ").alias("text_"))
     same = [F.col(c).eqNullSafe(F.col(f"key_{c}")) for c in key]
     found = near.join(whole, same).where(F.contains(F.concat(F.lit(" "), "text_", F.lit(" ")), F.concat(F.lit(" "), "norm_", F.lit(" "))))
     return found.select(*key, "text_", *[c for c in p.columns if c not in ("head_", "norm_")]).distinct()
 
 
-def match_terms(df: DataFrame, terms: DataFrame, key: list[str], k: int = 25) -> DataFrame:
+def match_terms(df: DataFrame, terms: DataFrame, key: list[str], k: int = 25, shipped_chars: int = SHIPPED_CHARS) -> DataFrame:
     """Whole-word terms of any length in each text, longest first, at most ``k`` (the feature's limit).
 
-    ``terms``: ``term_id, norm`` with the tokens joined by spaces.
+    ``terms``: ``term_id, norm`` with the tokens joined by spaces.  ``dictionary.with_targets`` takes terms to their translations,
+    with English and German to fall back on, before they are matched: terms without any don't count.
     """
     t = df if "t_" in df.columns else df.select(*key, tokens(F.col("text")).alias("t_"))
-    found = phrases_within(t, terms.select("term_id", "norm", F.split("norm", " ").alias("p_")), key).select(*key, "norm", "term_id")
+    found = phrases_within(t, terms.select("term_id", "norm", F.split("norm", " ").alias("p_")), key, shipped_chars=shipped_chars).select(*key, "norm", "term_id").distinct()
     w = Window.partitionBy(*key).orderBy(F.desc(F.length("norm")), "norm", "term_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import lineage, metrics, policy, stabilize, text
+from ..operators import dictionary, lineage, metrics, policy, stabilize, text
 from ..sources import tables
 from ..sources.tables import DECISIONS, EMISSIONS, SPANS, TELEMETRY, TEXTS
 from .registry import query
@@ -94,7 +94,7 @@ _TOKENS = "regexp_extract_all(translate(lower({c}), '" + tx.MARKED + "', '" + tx
 @query(f"""with {TEXTS}, t as (select doc_id, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from texts), p as (select item_id, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from benchmark)
 select doc_id, item_id, case when t.norm = p.norm then 'exact' else 'contains' end as tier from t join p on contains(' ' || t.norm || ' ', ' ' || p.norm || ' ') where length(p.norm) > 15""")
 def e12_match_phrases(spark, d):
-    """Phrases of over 15 characters in texts, by joining on their first four tokens (or all) and checking the rest."""
+    """Phrases of over 15 characters in texts, by one automaton."""
     tokens = tx.tokens(F.col("text"))
     p = tables.read(spark, d, "benchmark").select("item_id", tokens.alias("p_")).withColumn("norm", F.array_join("p_", " ")).where("length(norm) > 15")
     met = text.phrases_within(tables.texts(spark, d).select("doc_id", tokens.alias("t_")), p, ["doc_id"])
@@ -106,3 +106,14 @@ def q9_session_summary(spark, d):
     return tables.decisions(spark, d).groupBy("stream_id").agg(
         F.count("*").alias("emissions"), F.count_if(F.col("controller_action") != "emit").alias("filtered"), F.round(F.avg("age_ms"), 6).alias("mean_age"), F.max("queue_depth").alias("deepest")
     )
+
+
+@query()
+def e9_normalize_dialect(spark, d):
+    """Texts with a mapping made from the benchmark: its items' first three words as phrases, their longer words as words."""
+    w = tables.read(spark, d, "benchmark").select("item_id", tx.words(F.col("text")).alias("w"))
+    phrase = w.where("size(w) >= 3").select(F.lit("phrase").alias("tier"), F.array_join(F.slice("w", 1, 3), " ").alias("dialect"), F.concat(F.lit("<item "), F.col("item_id").cast("string"), F.lit(">")).alias("standard"))
+    word = w.select(F.explode("w").alias("x")).select(F.regexp_replace("x", r"[^\p{L}]", "").alias("dialect")).where("length(dialect) > 4").distinct()
+    mapping = phrase.unionByName(word.select(F.lit("word").alias("tier"), "dialect", F.reverse("dialect").alias("standard")))
+    out = dictionary.normalize_dialect(tables.texts(spark, d), mapping, ["doc_id"])
+    return out.select("doc_id", F.sha2("normalized", 256).alias("normalized"), "n_phrases", "n_words")
