@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, stems, tokens, words
-from .core import band_pairs
+from ..functions.text import TOKEN, jaccard, stems, tokens, words
+from .core import band_pairs, bucketed_overlap_join
 
 #: Stop words, cut like stems.
 STOP = (
@@ -89,19 +89,99 @@ def semantic_repeats(units: DataFrame, by: list[str], window_ms: int = 150_000,
     return all_.select(*by, "seq", F.coalesce("compared", F.lit(0)).alias("compared"), F.col("m.cosine").alias("cosine"), F.col("m.old_seq").alias("match"), F.coalesce(F.col("m.cosine") >= tau, F.lit(False)).alias("repeat"))
 
 
-def text_replay_ledger(df: DataFrame, by: list[str], order: str, cap: int = 32, window_ms: int = 150_000) -> DataFrame:
-    """How each text replays one of the ``cap`` texts before it: exact, contained, contains or new; the best rank wins, then the newest.
+#: Negations of a hard negative.
+NEGATIONS = ("nicht", "nichts", "nie", "niemals", "kein", "keine", "keinen", "keinem", "keiner", "ohne")
+_QUOTE = "[\"“”„«»]"
 
-    Texts without tokens and those with none before them in the window are ``new``.
+
+def plain_words(text: Column) -> Column:
+    """Letter and digit runs of the lower-cased text, marks kept."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def text_replay_ledger(df: DataFrame, by: list[str], order: str, cap: int = 32, window_ms: int = 150_000, least: int = 3, most_words: int = 256) -> DataFrame:
+    """How each text replays one of the ``cap`` texts before it: the best rank wins, then the most words covered, then the newest.
+
+    exact; contained (inside the older text); overlap (the older text is its prefix, or the older one's last words are its first, and a new tail
+    follows); partial (``least`` distinct words shared); else new.  ``signals`` speak against a replay: other numbers or negations, a
+    quotation, a short exact repeat.  Texts of fewer than ``least`` words are ``unscorable`` but remembered; longer ones than ``most_words`` are
+    ``unscorable_truncated`` and no match for others.  Texts with none before them in the window are new.
+    """
+    w = F.col("w_")
+    rows = df.withColumn("w_", plain_words(F.col("text"))).select(
+        *by, order, "ts_ms", F.when(F.size("w_") <= most_words, w).alias("w_"), F.size("w_").alias("n_"), F.col("text").rlike(_QUOTE).alias("quote_"),
+        F.array_sort(F.filter("w_", lambda x: x.rlike("^[0-9]+$"))).alias("numbers_"), F.array_sort(F.filter("w_", lambda x: x.isin(*NEGATIONS))).alias("no_words_"),
+    )
+    pairs = band_pairs(rows, by, [order], cap).where((F.col("cur.ts_ms") - F.col("old.ts_ms") <= window_ms) & F.col("old.w_").isNotNull() & (F.col("cur.n_") >= least))
+    a, b, n, m = F.col("cur.w_"), F.col("old.w_"), F.col("cur.n_"), F.col("old.n_")
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    lengths = F.when(F.least(n - 1, m) >= least, F.sequence(F.lit(least), F.least(n - 1, m))).otherwise(F.array().cast("array<int>"))
+    suffix = F.array_max(F.filter(lengths, lambda k: F.slice(a, 1, k) == F.slice(b, m - k + 1, k)))
+    pairs = pairs.where(a.isNotNull()).withColumn("suffix_", suffix).withColumn("shared_", F.size(F.array_intersect(a, b)))
+    kind = (
+        F.when(a == b, "exact").when(F.contains(spaced(b), spaced(a)), "current_inside_previous").when((m >= least) & F.startswith(spaced(a), spaced(b)), "previous_is_current_prefix")
+        .when(F.col("suffix_").isNotNull(), "previous_suffix_current_prefix").when(F.col("shared_") >= least, "lexical_partial")
+    )
+    covered = F.when(F.col("kind_").isin("exact", "current_inside_previous"), n).when(F.col("kind_") == "previous_is_current_prefix", m).when(F.col("kind_") == "previous_suffix_current_prefix", F.col("suffix_"))
+    rank = F.when(F.col("kind_") == "exact", 4).when(F.col("kind_") == "current_inside_previous", 3).when(F.col("kind_") == "lexical_partial", 1).otherwise(2)
+    signals = F.array_join(F.array_compact(F.array(
+        F.when(F.col("cur.numbers_") != F.col("old.numbers_"), "number_changed"), F.when(F.col("cur.no_words_") != F.col("old.no_words_"), "negation_changed"),
+        F.when(F.col("cur.quote_") | F.col("old.quote_"), "quote_present"), F.when((F.col("kind_") == "exact") & (n <= 8), "short_exact_repeat"),
+    )), ",")
+    told = pairs.withColumn("kind_", kind).where("kind_ is not null").withColumn("covered_", covered)
+    best = told.select(*by, F.col(f"cur.{order}").alias(order), F.struct(
+        rank.alias("rank"), F.coalesce("covered_", "shared_").alias("strength"), F.col("old.no_").alias("recency"), F.col(f"old.{order}").alias("match"), F.col("kind_").alias("kind"),
+        F.col("covered_").alias("covered"), (n - F.col("covered_")).alias("tail"), F.when(F.col("kind_") == "lexical_partial", F.col("shared_")).alias("shared"),
+        (F.col("cur.ts_ms") - F.col("old.ts_ms")).alias("delta"), signals.alias("signals"),
+    ).alias("m")).groupBy(*by, order).agg(F.max("m").alias("m"))
+    verdict = F.element_at(F.array(*[F.lit(x) for x in ("partial_overlap_guarded", "overlap_with_new_tail", "contained_replay", "exact_replay")]), F.col("m.rank"))
+    verdict = F.when(F.col("n_") > most_words, "unscorable_truncated").when(F.col("n_") < least, "unscorable").when(F.col("m").isNull(), "new_content").otherwise(verdict)
+    every = rows.select(*by, order, "n_").join(best, [*by, order], "left")
+    return every.select(
+        *by, order, F.col("n_").cast("long").alias("n_words"), verdict.alias("verdict"), F.coalesce("m.kind", F.lit("none")).alias("kind"), F.col("m.match").alias("match"), F.col("m.covered").cast("long").alias("covered"),
+        F.col("m.tail").cast("long").alias("new_tail"), F.col("m.shared").cast("long").alias("shared"), F.col("m.delta").alias("delta_ms"), F.coalesce("m.signals", F.lit("")).alias("signals"),
+    )
+
+
+#: How far the ends of a same span may lie apart, and negations of an echo.
+TOLERANCE_SAMPLES, ECHO_NEGATIONS = 160, ("nicht", "nie", "kein", "keine", "keinen", "nichts", "ohne")
+
+
+def echo_candidates(df: DataFrame, by: list[str], order: str, n: int = 8, width: int = 65_536) -> DataFrame:
+    """Each token ``n``-gram that a stream has had before, with the audio it stands on now and stood on first.
+
+    ``df``: ``text, tokens``, their ``starts`` and ``ends`` (samples, one for each token), ``taints`` (array of start and end). The class is
+    ``fuzzy_replacement_tainted`` where a range replaced by then overlaps either place, ``timestamp_dedup_escape`` on the same span,
+    ``intentional_repeat_possible`` with numbers, negations or quotations in the text, else ``stale_echo_new_audio``.  Rows whose arrays differ in
+    length, and n-grams with an invalid span, are neither remembered nor told.
+
+    First places come from one aggregation per n-gram; taints meet them by an interval join.
     """
-    rows = df.withColumn("norm_", F.array_join(tokens(F.col("text")), " ")).where(F.length("norm_") > 0)
-    pairs = band_pairs(rows, by, [order], cap).where(F.col("cur.ts_ms") - F.col("old.ts_ms") <= window_ms)
-    a, b = F.concat(F.lit(" "), F.col("cur.norm_"), F.lit(" ")), F.concat(F.lit(" "), F.col("old.norm_"), F.lit(" "))
-    rank = F.when(a == b, 3).when(F.contains(b, a), 2).when(F.contains(a, b), 1).otherwise(0)
-    best = pairs.select(*by, F.col(f"cur.{order}").alias(order), rank.alias("rank"), F.col(f"old.{order}").alias("old")).groupBy(*by, order).agg(F.max(F.struct("rank", "old")).alias("m"))
-    verdict = F.get(F.array(F.lit("new"), F.lit("contains"), F.lit("contained"), F.lit("exact")), F.col("m.rank"))
-    every = df.select(*by, order).join(best, [*by, order], "left")
-    return every.select(*by, order, F.coalesce(verdict, F.lit("new")).alias("verdict"), F.when(F.col("m.rank") > 0, F.col("m.old")).alias("match"))
+    fits = (F.size("tokens") == F.size("starts")) & (F.size("tokens") == F.size("ends")) & (F.size("tokens") >= n)
+    gram = lambda i: F.struct(
+        i.alias("i"), F.array_join(F.slice("tokens", i, n), " ").alias("gram"), F.get("starts", i - 1).alias("start"), F.get("ends", i + n - 2).alias("end"),
+        F.forall(F.sequence(i - 1, i + n - 2), lambda k: F.coalesce(F.get("ends", k) > F.get("starts", k), F.lit(False))).alias("sound"),
+    )
+    signals = F.array_join(F.array_compact(F.array(
+        F.when(F.exists("tokens", lambda t: t.rlike("^[0-9]+$")), "contains_number"), F.when(F.exists("tokens", lambda t: t.isin(*ECHO_NEGATIONS)), "contains_negation"),
+        F.when(F.col("text").rlike("[\"«»„“]"), "quotation"),
+    )), ",")
+    at = df.where(fits).select(*by, order, signals.alias("signals"), "taints", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), gram)).alias("g")).where("g.sound")
+    touched = F.exists(F.coalesce("taints", F.array().cast(df.schema["taints"].dataType)), lambda t: (F.col("g.start") < t["end"]) & (F.col("g.end") > t["start"]))
+    at = at.select(*by, order, "signals", touched.alias("own_taint"), "g.i", "g.gram", "g.start", "g.end")
+    first = at.groupBy(*by, "gram").agg(F.min(F.struct(order, "i", "start", "end")).alias("f"), F.count("*").alias("times")).where("times > 1")
+    ranges = df.select(*by, F.col(order).alias("since"), F.explode("taints").alias("t")).select(*by, F.col("since").alias("b_id"), F.col("t.start").alias("b_start"), F.col("t.end").alias("b_end"))
+    places = first.select(*by, F.struct("gram", F.col(f"f.{order}").alias("from_")).alias("a_id"), F.col("f.start").alias("a_start"), F.col("f.end").alias("a_end"))
+    tainted = bucketed_overlap_join(places, ranges, by, width).where("b_id >= a_id.from_").groupBy(*by, F.col("a_id.gram").alias("gram")).agg(F.min("b_id").alias("tainted_from"))
+    told = at.join(first.join(tainted, [*by, "gram"], "left"), [*by, "gram"]).where((F.col(order) != F.col(f"f.{order}")) | (F.col("i") != F.col("f.i")))
+    same = (F.abs(F.col("start") - F.col("f.start")) <= TOLERANCE_SAMPLES) & (F.abs(F.col("end") - F.col("f.end")) <= TOLERANCE_SAMPLES)
+    relation = F.when(same, "same").when((F.col("start") < F.col("f.end")) & (F.col("end") > F.col("f.start")), "overlapping").otherwise("disjoint")
+    taint = F.col("own_taint") | F.coalesce(F.col("tainted_from") <= F.col(order), F.lit(False))
+    kind = F.when(taint, "fuzzy_replacement_tainted").when(same, "timestamp_dedup_escape").when(F.col("signals") != "", "intentional_repeat_possible").otherwise("stale_echo_new_audio")
+    return told.select(
+        *by, order, (F.col("i") - 1).cast("long").alias("first_word"), F.col(f"f.{order}").alias("prior"), F.when(F.col(order) == F.col(f"f.{order}"), "intra").otherwise("cross").alias("scope"),
+        F.substring(F.sha2("gram", 256), 1, 16).alias("fingerprint"), relation.alias("relation"), kind.alias("class"), taint.alias("tainted"), "signals", F.greatest(F.lit(0), F.col("end") - F.col("f.end")).alias("age_samples"),
+    )
 
 
 def echo_ledger(df: DataFrame, by: list[str], order: str, n: int = 8) -> DataFrame:

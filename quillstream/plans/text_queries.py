@@ -200,11 +200,22 @@ def g9_semantic_repeats(spark, d):
     return dedup.semantic_repeats(units, ["stream_id"])
 
 
-@query(f"""with {EMISSIONS}, n as (select *, array_to_string({_TOKENS.format(c='text')}, ' ') as norm from emissions), q as (select *, row_number() over (partition by stream_id order by release_seq) as no from n where length(norm) > 0),
-p as (select a.stream_id, a.release_seq, o.release_seq as old, case when a.norm = o.norm then 3 when contains(' ' || o.norm || ' ', ' ' || a.norm || ' ') then 2 when contains(' ' || a.norm || ' ', ' ' || o.norm || ' ') then 1 else 0 end as rank
-  from q a join q o on a.stream_id = o.stream_id and o.no between a.no - 32 and a.no - 1 and a.ts_ms - o.ts_ms <= 150000),
-b as (select stream_id, release_seq, arg_max(rank, rank * 1000000 + old) as rank, arg_max(old, rank * 1000000 + old) as old from p group by all)
-select e.stream_id, e.release_seq, ['new', 'contains', 'contained', 'exact'][coalesce(rank, 0) + 1] as verdict, case when rank > 0 then old end as match from emissions e left join b on e.stream_id = b.stream_id and e.release_seq = b.release_seq""")
+_NO = "[" + ", ".join(f"'{w}'" for w in dedup.NEGATIONS) + "]"
+
+
+@query(f"""with {EMISSIONS}, n as (select stream_id, release_seq, ts_ms, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w, regexp_matches(text, '["“”„«»]') as quote, row_number() over (partition by stream_id order by release_seq) as no from emissions),
+q as (select *, len(w) as n, ' ' || array_to_string(w, ' ') || ' ' as s, list_sort(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+'))) as numbers, list_sort(list_filter(w, lambda x: list_contains({_NO}, x))) as negs from n),
+p as (select a.stream_id, a.release_seq, o.release_seq as match, o.no, a.n, o.n as m, a.ts_ms - o.ts_ms as delta_ms, len(list_intersect(a.w, o.w)) as shared, a.w = o.w as same, contains(o.s, a.s) as inside, o.n >= 3 and starts_with(a.s, o.s) as headed,
+    list_max(list_filter(range(3, least(a.n - 1, o.n) + 1), lambda k: a.w[1:k] = o.w[o.n - k + 1:o.n])) as suffix,
+    concat_ws(',', case when a.numbers <> o.numbers then 'number_changed' end, case when a.negs <> o.negs then 'negation_changed' end, case when a.quote or o.quote then 'quote_present' end, case when a.w = o.w and a.n <= 8 then 'short_exact_repeat' end) as signals
+  from q a join q o on a.stream_id = o.stream_id and o.no between a.no - 32 and a.no - 1 and a.ts_ms - o.ts_ms <= 150000 where a.n between 3 and 256 and o.n <= 256),
+k as (select *, case when same then 'exact' when inside then 'current_inside_previous' when headed then 'previous_is_current_prefix' when suffix is not null then 'previous_suffix_current_prefix' when shared >= 3 then 'lexical_partial' end as kind from p),
+c as (select *, case kind when 'exact' then n when 'current_inside_previous' then n when 'previous_is_current_prefix' then m when 'previous_suffix_current_prefix' then suffix end as covered,
+  case kind when 'exact' then 4 when 'current_inside_previous' then 3 when 'lexical_partial' then 1 else 2 end as rank from k where kind is not null),
+b as (select *, row_number() over (partition by stream_id, release_seq order by rank desc, coalesce(covered, shared) desc, no desc) as place from c)
+select q.stream_id, q.release_seq, q.n as n_words, case when q.n > 256 then 'unscorable_truncated' when q.n < 3 then 'unscorable' when b.kind is null then 'new_content' else ['partial_overlap_guarded', 'overlap_with_new_tail', 'contained_replay', 'exact_replay'][rank] end as verdict,
+  coalesce(kind, 'none') as kind, match, cast(covered as bigint) as covered, cast(b.n - covered as bigint) as new_tail, case when kind = 'lexical_partial' then shared end as shared, delta_ms, coalesce(signals, '') as signals
+from q left join b on q.stream_id = b.stream_id and q.release_seq = b.release_seq and b.place = 1""")
 def g10_text_replay_ledger(spark, d):
     return dedup.text_replay_ledger(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
@@ -215,6 +226,32 @@ def g12_echo_ledger(spark, d):
     return dedup.echo_ledger(tables.emissions(spark, d), ["stream_id"], "release_seq")
 
 
+_ECHO = """d as (select *, stream_id * 7 + release_seq as code, release_seq * 40000 - case when (stream_id + release_seq) % 3 = 0 then 40000 else 0 end as base, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as tokens from emissions),
+w as (select *, case when code % 11 = 0 then [{'s': base + 5000, 'e': base + 9000}] else [] end as taints, unnest(range(len(tokens) - 7)) as i from d where len(tokens) >= 8),
+g as (select stream_id, release_seq, i, array_to_string(tokens[i + 1:i + 8], ' ') as gram, base + i * 4800 as start, base + (i + 7) * 4800 + case when (i + 7) % 50 = 49 then 0 else 4000 end as "end", taints, tokens, text from w where len(list_filter(range(i, i + 8), lambda k: k % 50 = 49)) = 0),
+f as (select *, first_value({'r': release_seq, 'i': i, 's': start, 'e': "end"}) over (partition by stream_id, gram order by release_seq, i) as f from g),
+r as (select stream_id, release_seq as since, unnest(taints) as t from (select distinct stream_id, release_seq, taints from w)),
+c as (select f.*, len(list_filter(f.taints, lambda t: f.start < t.e and f."end" > t.s)) > 0 or exists (select 1 from r where r.stream_id = f.stream_id and r.since >= f.f.r and r.since <= f.release_seq and f.f.s < r.t.e and f.f.e > r.t.s) as tainted,
+  abs(start - f.f.s) <= 160 and abs("end" - f.f.e) <= 160 as same,
+  concat_ws(',', case when len(list_filter(tokens, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 then 'contains_number' end, case when len(list_intersect(tokens, ['nicht', 'nie', 'kein', 'keine', 'keinen', 'nichts', 'ohne'])) > 0 then 'contains_negation' end,
+    case when regexp_matches(text, '["«»„“]') then 'quotation' end) as signals from f where f.f.r <> f.release_seq or f.f.i <> f.i)"""
+
+
+@query(f"""with {EMISSIONS}, {_ECHO} select stream_id, release_seq, i as first_word, f.r as prior, case when f.r = release_seq then 'intra' else 'cross' end as scope, substr(sha256(gram), 1, 16) as fingerprint,
+  case when same then 'same' when start < f.e and "end" > f.s then 'overlapping' else 'disjoint' end as relation,
+  case when tainted then 'fuzzy_replacement_tainted' when same then 'timestamp_dedup_escape' when signals <> '' then 'intentional_repeat_possible' else 'stale_echo_new_audio' end as class, tainted, signals, greatest(0, "end" - f.e) as age_samples from c""")
+def g12_echo_candidates(spark, d):
+    """Emissions as decodes, some over the audio of the one before; every fiftieth word has an empty span."""
+    base = F.col("release_seq") * 40000 - F.when((F.col("stream_id") + F.col("release_seq")) % 3 == 0, 40000).otherwise(0)
+    x = tables.emissions(spark, d).withColumn("tokens", dedup.plain_words(F.col("text"))).withColumn("base", base)
+    taint = F.array(F.struct((F.col("base") + 5000).alias("start"), (F.col("base") + 9000).alias("end")))
+    x = x.select(
+        "stream_id", "release_seq", "text", "tokens", F.transform("tokens", lambda t, i: F.col("base") + i * 4800).alias("starts"),
+        F.transform("tokens", lambda t, i: F.col("base") + i * 4800 + F.when(i % 50 == 49, 0).otherwise(4000)).alias("ends"), F.when((F.col("stream_id") * 7 + F.col("release_seq")) % 11 == 0, taint).otherwise(F.slice(taint, 1, 0)).alias("taints"),
+    )
+    return dedup.echo_candidates(x, ["stream_id"], "release_seq")
+
+
 @query(f"""with {TEXTS}, t as (select doc_id, {_TOKENS.format(c='text')} as t from texts), g as (select doc_id, len(t) as n_words, i, array_to_string(t[i:i + 5], ' ') as gram from (select *, unnest(range(1, len(t) - 4)) as i from t where len(t) >= 6)),
 f as (select *, min(i) over (partition by doc_id, gram) as first_ from g), c as (select distinct doc_id, n_words, unnest(range(i, i + 6)) as w from f where i - first_ >= 12)
 select t.doc_id, len(t.t) as n_words, count(w) as covered, case when count(w) = 0 or count(w) * 10 > len(t.t) * 7 then 'keep' else 'trim' end as action from t left join c on t.doc_id = c.doc_id group by t.doc_id, len(t.t)""")
