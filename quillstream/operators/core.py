@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_rank_summary(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+def floor_rank_summary(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[float] = (0.5, 0.95, 0.99), weight: str | None = None) -> DataFrame:
     """count, min, max, avg and the values at 0-based index min(n - 1, floor(p n)) of each group; null values are left out.
 
+    With ``weight`` a row stands for as many.
+
     Equal values are counted before the shuffle, so a group costs its distinct values, not its rows.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v_")).agg((F.sum(weight) if weight else F.count("*")).alias("c_"))
     own = Window.partitionBy(*by)
     placed = counts.withColumn("upto_", F.sum("c_").over(own.orderBy("v_"))).withColumn("n_", F.sum("c_").over(own))
     index = lambda p: F.least(F.col("n_") - 1, F.floor(F.lit(p) * F.col("n_")))
