@@ -267,3 +267,78 @@ def committed_prefix_plan(
         action.alias("action"), reason.alias("reason"), F.col("cut").cast("long").alias("safe_word"),
         F.when(action == "resegment", F.col("frontier") - F.col("cut")).otherwise(0).cast("long").alias("bridge"),
     )
+
+
+# --- playout ---------------------------------------------------------------------------------------------------------------
+
+#: Outcomes that end a chunk unheard, and those that change nothing.
+DROPS, NOTICES = ("explicit_drop", "superseded", "null_audio", "playback_error"), ("chunk_received", "supersession_shadow")
+
+
+def playout_end(ttl_ms: int = 6 * 3_600_000):
+    """When a listener's ledger is over: ``ttl_ms`` after its last change."""
+
+    def end(state: State) -> int | None:
+        return state["touched"] + ttl_ms if state else None
+
+    return end
+
+
+def playout_step(ttl_ms: int = 6 * 3_600_000) -> Step:
+    """Broadcasts and outcomes of a listener in the order in which they arrive: is each accepted, a duplicate, worth sending again, or why not?
+
+    A chunk's first broadcast counts; the same again is a duplicate, another ``payload`` under its key a conflict, after which no
+    outcome of the chunk is accepted.  An outcome id seen before is a duplicate, or a conflict if it says something else.  An
+    outcome before its broadcast is ``retryable``.  A start after a drop, a completion without a start, another epoch and an unknown outcome are refused, and
+    leave the chunk and the id untouched.  ``started``, ``completed`` and ``dropped`` are the chunk's state after the row.  Entries rest
+    ``ttl_ms`` after their last change.  Rows without a chunk, and outcomes without an id, are invalid.
+    """
+
+    def step(state: State, row: dict) -> tuple[State, dict]:
+        ts, chunk, kind = row["ts_ms"], row["chunk_key"], row["kind"]
+        chunks = {k: c for k, c in state.get("chunks", {}).items() if c["at"] >= ts - ttl_ms}
+        seen = {k: o for k, o in state.get("seen", {}).items() if o[1] >= ts - ttl_ms}
+        entry = chunks.get(chunk)
+        accepted, duplicate, retryable, reason = False, False, False, None
+        if chunk is None or kind == "outcome" and row["outcome_id"] is None:
+            reason = "invalid_identity"
+        elif kind == "broadcast":
+            if entry is None:
+                accepted, chunks[chunk] = True, {"print": (row["payload"], row["epoch"]), "epoch": row["epoch"], "started": False, "completed": False, "dropped": False, "conflicted": False, "at": ts}
+            elif entry["print"] == (row["payload"], row["epoch"]):
+                accepted = duplicate = True
+            else:
+                reason, chunks[chunk] = "broadcast_fingerprint_conflict", entry | {"conflicted": True, "at": ts}
+        else:
+            said = (chunk, row["epoch"], row["outcome"], row["occurred_ms"], row["reason"])
+            before, new = seen.get(row["outcome_id"]), dict(entry or {})
+            if before is not None:
+                accepted = duplicate = before[0] == said
+                reason = None if duplicate else "outcome_id_conflict"
+            elif entry is None:
+                retryable, reason = True, "broadcast_not_observed"
+            elif entry["epoch"] != row["epoch"]:
+                reason = "epoch_mismatch"
+            elif entry["conflicted"]:
+                reason = "broadcast_conflicted"
+            elif row["outcome"] == "play_started":
+                reason = "start_after_terminal_drop" if entry["dropped"] and not entry["started"] else None
+                new["started"] = True
+            elif row["outcome"] == "play_completed":
+                reason = None if entry["started"] else "completed_without_start"
+                new["completed"] = True
+            elif row["outcome"] in DROPS:
+                new["dropped"] = True
+            elif row["outcome"] not in NOTICES:
+                reason = "unsupported_outcome"
+            if before is None and entry is not None and reason is None:
+                accepted, chunks[chunk], seen[row["outcome_id"]] = True, new | {"at": ts}, (said, ts)
+        now = chunks.get(chunk) or {}
+        flags = {f: bool(now.get(f)) for f in ("started", "completed", "dropped", "conflicted")}
+        out = {"stream_id": row["stream_id"], "seq": row["seq"], "accepted": accepted, "duplicate": duplicate, "retryable": retryable, "reason": reason, **flags}
+        return {"chunks": chunks, "seen": seen, "touched": ts}, out
+
+    return step
+
+
+PLAYOUT_SCHEMA = "stream_id long, seq long, accepted boolean, duplicate boolean, retryable boolean, reason string, started boolean, completed boolean, dropped boolean, conflicted boolean"

@@ -79,3 +79,16 @@ def i15_committed_prefix_plan(spark, d):
     last = w.groupBy("id").agg(F.max("word").alias("m"))
     b = last.select("id", F.explode(F.array((1 + F.floor(F.col("m") / 2)).cast("long"), F.col("m"))).alias("boundary"))
     return revisions.committed_prefix_plan(w, r, b, ["id"])
+
+
+@query()
+def j1_playout_ledger(spark, d):
+    """Events as broadcasts and outcomes of chunks: some come early, twice, with another payload or epoch."""
+    t = tables.telemetry(spark, d)
+    outcome = F.get(F.array(*[F.lit(o) for o in ("play_started", "play_completed", "chunk_received", "explicit_drop", "play_started", "other")]), (F.col("k") % 6).cast("int"))
+    rows = t.select(
+        "stream_id", "seq", "ts_ms", F.when(F.col("stage").isin("click", "view"), "broadcast").otherwise("outcome").alias("kind"), F.concat(F.lit("c"), F.col("k") % 7).alias("chunk_key"),
+        F.concat(F.lit("p"), (F.col("k") % 29 == 0).cast("int")).alias("payload"), F.when(F.col("k") % 31 == 0, "f").otherwise("e").alias("epoch"), outcome.alias("outcome"),
+        F.concat(F.lit("o"), F.floor(F.col("seq") / 2)).alias("outcome_id"), F.col("ts_ms").alias("occurred_ms"), F.lit(None).cast("string").alias("reason"),
+    )
+    return fold.ordered_fold(rows, ["stream_id"], ["ts_ms", "seq"], revisions.playout_step(7 * 86_400_000), revisions.PLAYOUT_SCHEMA)

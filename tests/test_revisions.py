@@ -230,3 +230,92 @@ def test_committed_prefix_plan_edges(spark):
     b = spark.createDataFrame([], "id long, boundary long")
     assert {x.id: x.reason for x in revisions.committed_prefix_plan(words, r, b, ["id"]).collect()} == {1: "source_not_provable", 2: "source_not_provable"}
     assert revisions.committed_prefix_plan(words.limit(0), r, b, ["id"]).count() == 0
+
+
+# --- playout ---------------------------------------------------------------------------------------------------------------
+
+
+def sent(seq, chunk="c", payload="p", epoch="e", ts=None):
+    return {"stream_id": 1, "seq": seq, "ts_ms": seq if ts is None else ts, "kind": "broadcast", "chunk_key": chunk, "payload": payload, "epoch": epoch, "outcome": None, "outcome_id": None, "occurred_ms": None, "reason": None}
+
+
+def told(seq, outcome, oid=None, chunk="c", epoch="e", at=5, ts=None):
+    return {"stream_id": 1, "seq": seq, "ts_ms": seq if ts is None else ts, "kind": "outcome", "chunk_key": chunk, "payload": None, "epoch": epoch, "outcome": outcome, "outcome_id": oid or f"o{seq}", "occurred_ms": at, "reason": None}
+
+
+def ledger(*rows, **kw):
+    return [(r["accepted"], r["duplicate"], r["retryable"], r["reason"]) for r in play(revisions.playout_step(**kw), rows)[1]]
+
+
+YES, AGAIN = (True, False, False, None), (True, True, False, None)
+
+
+def no(reason, retryable=False):
+    return (False, False, retryable, reason)
+
+
+def test_playout_identities():
+    assert ledger(told(1, "play_started"), sent(2), told(1, "play_started", ts=3), told(1, "play_started", ts=4), told(5, "play_completed", "o1"), sent(6), sent(7, payload="q"), told(8, "play_completed")) == [
+        no("broadcast_not_observed", True), YES, YES, AGAIN, no("outcome_id_conflict"), AGAIN, no("broadcast_fingerprint_conflict"), no("broadcast_conflicted")]
+    assert ledger(sent(1), told(2, "play_started", epoch="x"), told(3, "weird"), told(4, "chunk_received"), sent(5, chunk=None)) == [YES, no("epoch_mismatch"), no("unsupported_outcome"), YES, no("invalid_identity")]
+
+
+def test_playout_transitions():
+    assert ledger(sent(1), told(2, "play_completed"), told(3, "play_started"), told(4, "play_completed"), told(5, "explicit_drop"), told(6, "play_started")) == [YES, no("completed_without_start"), YES, YES, YES, YES]
+    assert ledger(sent(1), told(2, "superseded"), told(3, "play_started")) == [YES, YES, no("start_after_terminal_drop")]
+    # a refused outcome doesn't use up its id
+    assert ledger(sent(1), told(2, "play_completed", "o"), told(3, "play_started"), told(4, "play_completed", "o")) == [YES, no("completed_without_start"), YES, YES]
+
+
+def test_playout_entries_rest():
+    assert ledger(sent(1, ts=0), told(2, "play_started", ts=1001), ttl_ms=1000) == [YES, no("broadcast_not_observed", True)]
+    assert ledger(sent(1, ts=0), told(2, "play_started", ts=900), told(3, "play_completed", ts=1800), ttl_ms=1000) == [YES, YES, YES]
+
+
+def test_playout_against_scans_of_the_past(spark):
+    """Each row judged by reading all accepted rows before it."""
+    rng = random.Random(12)
+    rows = []
+    for seq in range(500):
+        chunk = rng.choice("abcd")
+        if rng.random() < 0.3:
+            rows.append(sent(seq, chunk, rng.choice("pppq"), rng.choice("eeeeef")))
+        else:
+            rows.append(told(seq, rng.choice(["play_started", "play_completed", "explicit_drop", "chunk_received", "odd"]), f"o{rng.randrange(250)}", chunk, rng.choice("eeeef"), at=rng.randrange(2)))
+    rows = [r | {"stream_id": r["seq"] % 9} for r in rows]
+    state_of, want = {}, {}
+    for r in rows:
+        past = state_of.setdefault(r["stream_id"], [])
+        own = [p for p in past if p["chunk_key"] == r["chunk_key"]]
+        first = next((p for p in own if p["kind"] == "broadcast"), None)
+        done = {p["outcome"] for p in own if p["kind"] == "outcome"}
+        if r["kind"] == "broadcast":
+            same = first and (first["payload"], first["epoch"]) == (r["payload"], r["epoch"])
+            got = YES if not first else AGAIN if same else no("broadcast_fingerprint_conflict")
+            if got == YES or not (got == AGAIN):
+                past.append(r if got == YES else r | {"kind": "conflict"})
+        else:
+            twin = next((p for p in past if p["kind"] == "outcome" and p["outcome_id"] == r["outcome_id"]), None)
+            key = lambda p: (p["chunk_key"], p["epoch"], p["outcome"], p["occurred_ms"])
+            if twin:
+                got = AGAIN if key(twin) == key(r) else no("outcome_id_conflict")
+            elif not first:
+                got = no("broadcast_not_observed", True)
+            elif first["epoch"] != r["epoch"]:
+                got = no("epoch_mismatch")
+            elif any(p["kind"] == "conflict" for p in own):
+                got = no("broadcast_conflicted")
+            elif r["outcome"] == "odd":
+                got = no("unsupported_outcome")
+            elif r["outcome"] == "play_started" and "explicit_drop" in done and "play_started" not in done:
+                got = no("start_after_terminal_drop")
+            elif r["outcome"] == "play_completed" and "play_started" not in done:
+                got = no("completed_without_start")
+            else:
+                got = YES
+                past.append(r)
+        want[r["stream_id"], r["seq"]] = got
+    schema = "stream_id long, seq long, ts_ms long, kind string, chunk_key string, payload string, epoch string, outcome string, outcome_id string, occurred_ms long, reason string"
+    out = fold.ordered_fold(spark.createDataFrame(rows, schema), ["stream_id"], ["ts_ms", "seq"], revisions.playout_step(), revisions.PLAYOUT_SCHEMA).collect()
+    assert {(r.stream_id, r.seq): (r.accepted, r.duplicate, r.retryable, r.reason) for r in out} == want
+    assert len({w[3] for w in want.values()}) >= 7
