@@ -169,12 +169,12 @@ def recovery_step(first_ms: int = 60_000, most_ms: int = 600_000, successes: int
             state = {}
         elif state:
             state = state | {"good": state["good"] + 1}
-        return state, {"stream_id": row["stream_id"], "seq": row["seq"], "mode": mode}
+        return state, {"stream_id": row["stream_id"], "lang": row.get("lang"), "seq": row["seq"], "mode": mode}
 
     return step
 
 
-RECOVERY_SCHEMA = "stream_id long, seq long, mode string"
+RECOVERY_SCHEMA = "stream_id long, lang string, seq long, mode string"
 
 
 def utterance_step(silence: int = 500, most: int = 30_000) -> Step:
@@ -233,16 +233,4 @@ def sentence_step(sentences: int = 2, chars: int = 50, early_ms: int = 7_000, ti
 SENTENCE_SCHEMA = "stream_id long, release_seq long, reason string, chars long"
 
 
-def tail_overlap_step(least: int = 4, tail: int = 20) -> Step:
-    """Words of a text's head that repeat the tail of what was emitted (longest run of ``least`` or more); the tail is that of the trimmed output."""
-
-    def step(state: State, row: dict) -> tuple[State, dict]:
-        words, last = str(row["text"] or "").split(), state.get("tail", [])
-        bare = [w.lower().strip(".,;:!?") for w in words]
-        cut = next((n for n in range(min(len(bare), len(last)), least - 1, -1) if bare[:n] == last[-n:]), 0)
-        return {"tail": (last + bare[cut:])[-tail:]}, {"stream_id": row["stream_id"], "release_seq": row["release_seq"], "n_words": len(words), "trimmed": cut}
-
-    return step
-
-
 TAIL_SCHEMA = "stream_id long, release_seq long, n_words long, trimmed long"

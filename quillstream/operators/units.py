@@ -6,8 +6,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[^.!?]+[.!?]+[\"'»”]?|[^.!?]+$")
 _QUOTED = re.compile(r"«[^«»]*»|„[^„“”]*[“”]|\"[^\"]{3,}\"")
 _MARKER = re.compile(r"^\d+[.)]|\b\d+\s*[,.:]\s*\d+\b", re.ASCII)
+_NUMBER = re.compile("[0-9]+")
+_MARKS = re.compile("[\u0300-\u036f]")
 _LIST = re.compile(r"(?:^|\s)\d+[.)]\s+[^\W\d_]")
 
 
@@ -53,8 +55,8 @@ def units_of(text: str) -> list[str]:
 
 def tokens_of(text: str) -> list[str]:
     """Letter and digit runs in lower case without marks."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not "̀" <= c <= "ͯ")
-    return _TOKEN.findall(plain.replace("ß", "ss"))
+    low = text.lower()
+    return _TOKEN.findall(low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", low)).replace("ß", "ss"))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -92,12 +94,16 @@ def _first_square(codes: np.ndarray, least: int) -> tuple[int, int] | None:
     return None
 
 
-def collapsed(text: str, least: int = 4, most: int = 50) -> tuple[str, list[str]]:
-    """The text without the first copy of each block of ``least`` tokens or more that follows itself, and what was cut."""
+def collapsed(text: str, least: int = 4, most: int = 50) -> tuple[str, list[str], list[str] | None]:
+    """The text without the first copy of each block of ``least`` tokens or more that follows itself, what was cut, and its tokens if known."""
 
     def tidy(s: str) -> str:
         return re.sub(r"\s{2,}", " ", re.sub(r"\s+([,.;:!?])", r"\1", s)).strip()
 
+    tokens = tokens_of(text)
+    whole = len(_TOKEN.findall(text)) == len(tokens)  # no token falls apart when its marks go
+    if whole and (len(tokens) < 2 * least or len(grams_of(tokens, least)) == len(tokens) - least + 1):
+        return text if "  " not in text and text.isprintable() else re.sub(r"\s{2,}", " ", text).strip(), [], tokens
     cut: list[str] = []
     while len(cut) < most:
         places = [m.start() for m in _TOKEN.finditer(text)]
@@ -110,7 +116,7 @@ def collapsed(text: str, least: int = 4, most: int = 50) -> tuple[str, list[str]
         start, end = places[found[0]], places[sum(found)]
         cut.append(tidy(text[start:end]))
         text = tidy(text[:start] + text[end:])
-    return re.sub(r"\s{2,}", " ", text).strip(), cut
+    return re.sub(r"\s{2,}", " ", text).strip(), cut, None
 
 
 def common_run(a: Sequence[str], b: Sequence[str]) -> int:
@@ -127,34 +133,38 @@ def common_run(a: Sequence[str], b: Sequence[str]) -> int:
 
 
 def _shared_prefix(a: Sequence[str], b: Sequence[str]) -> int:
+    if not a or not b or a[0] != b[0]:
+        return 0
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-@dataclass
 class Unit:
-    """One unit with what pairs of units are judged by."""
-
-    text: str
-    tokens: list[str] = field(init=False)
-    content: list[str] = field(init=False)
-    bag: set[str] = field(init=False)
-    numbers: set[str] = field(init=False)
-    protected: bool = field(init=False)
-    negated: bool = field(init=False)
-    _grams: set[tuple[str, ...]] | None = field(init=False, default=None)
+    """One unit with what pairs of units are judged by; most of it is only worked out for units that have something in common."""
 
-    def grams(self, n: int) -> set[tuple[str, ...]]:
-        if self._grams is None:
-            self._grams = grams_of(self.tokens, n)
-        return self._grams
-
-    def __post_init__(self) -> None:
-        self.tokens = tokens_of(self.text)
+    def __init__(self, text: str, tokens: list[str] | None = None) -> None:
+        self.text = text
+        self.tokens = tokens_of(text) if tokens is None else tokens
         self.content = [t for t in self.tokens if len(t) > 2 and t not in COMMON]
         self.bag = set(self.content)
-        self.numbers = set(re.findall(r"[0-9]+", self.text))
-        self.protected = bool(_QUOTED.search(self.text) or _MARKER.search(self.text.strip()))
-        self.negated = not NEGATIONS.isdisjoint(self.tokens)
+        self._grams: dict[int, set[tuple[str, ...]]] = {}
+
+    @cached_property
+    def numbers(self) -> set[str]:
+        return set(_NUMBER.findall(self.text))
+
+    @cached_property
+    def protected(self) -> bool:
+        quoted = any(q in self.text for q in "«„\"") and _QUOTED.search(self.text)
+        return bool(quoted or self.numbers and _MARKER.search(self.text.strip()))
+
+    @cached_property
+    def negated(self) -> bool:
+        return not NEGATIONS.isdisjoint(self.tokens)
+
+    def grams(self, n: int) -> set[tuple[str, ...]]:
+        if n not in self._grams:
+            self._grams[n] = grams_of(self.tokens, n)
+        return self._grams[n]
 
 
 def guard(a: Unit, b: Unit) -> str | None:
@@ -168,6 +178,9 @@ def guard(a: Unit, b: Unit) -> str | None:
 
 def pair_verdict(a: Unit, b: Unit, limits: Limits = Limits(), similarity: float | None = None) -> tuple[str, str]:
     """(action, reason) for unit ``b`` after unit ``a``: drop the previous one, drop the current one, keep both or blocked."""
+    apart = a.bag.isdisjoint(b.bag) and a.grams(limits.run).isdisjoint(b.grams(limits.run))
+    if apart and similarity is None:  # nothing to drop, guarded or not
+        return "keep", "too_short" if min(len(a.bag), len(b.bag)) < limits.content else "different_content"
     alike = similarity is not None and similarity >= limits.cosine
     why = guard(a, b)
     if why:
@@ -224,7 +237,7 @@ def clean_units(text: str | None, limits: Limits = Limits(), vectors: Callable[[
     if _LIST.search(text):
         return out
     pieces = [collapsed(u, limits.run) for u in units_of(text)]
-    units, folds = [Unit(p) for p, _ in pieces], sum(len(c) for _, c in pieces)
+    units, folds = [Unit(p, tokens) for p, _, tokens in pieces], sum(len(c) for _, c, _ in pieces)
     out |= {"n_units": len(units), "collapsed": folds, "reasons": ["internal_repeat"] * folds}
     if len(units) < 2 and not folds:
         return out
