@@ -54,35 +54,70 @@ _INSIDE = r"\p{L}\p{N}\p{M}_"
 _TOKENS = regex.compile(rf"[{_INSIDE}]+")
 
 
+def _fold(token: str) -> str:
+    return token.lower().replace("ς", "σ")
+
+
 class Mapping:
     """Replacements that neither start nor end inside a word, longest first; each sees what the ones before have made.
 
-    Only replacements whose first token stands in the text are tried, so a text costs its tokens and its matches.
+    Entries of one token are looked up, all those between two longer entries in one pass over the text; a longer entry is
+    tried where its first two tokens stand side by side.  So a text costs a pass, and one more for each longer entry it may have.
     """
 
     def __init__(self, pairs: Sequence[tuple[str, str]]) -> None:
         ordered = sorted(pairs, key=lambda p: -len(p[0]))
         self.standard = [s for _, s in ordered]
-        self.patterns = [regex.compile(rf"(?<![{_INSIDE}]){regex.escape(d, literal_spaces=True)}(?![{_INSIDE}])", regex.IGNORECASE) for d, _ in ordered]
-        self.by_token: dict[str | None, list[int]] = {}
+        self.single: dict[str, list[int]] = {}
+        self.longer: dict[tuple[str, ...], list[tuple[int, regex.Pattern]]] = {}
         for i, (d, _) in enumerate(ordered):
-            first = _TOKENS.search(d)
-            self.by_token.setdefault(first.group().casefold() if first else None, []).append(i)
-
-    def _due(self, text: str, after: int) -> set[int]:
-        tokens = {t.casefold() for t in _TOKENS.findall(text)} | {None}
-        return {i for t in tokens for i in self.by_token.get(t, ()) if i > after}
+            tokens = [_fold(t) for t in _TOKENS.findall(d)]
+            if tokens == [_fold(d)]:
+                self.single.setdefault(tokens[0], []).append(i)
+            else:
+                pattern = regex.compile(rf"(?<![{_INSIDE}]){regex.escape(d, literal_spaces=True)}(?![{_INSIDE}])", regex.IGNORECASE)
+                self.longer.setdefault(tuple(tokens[:2]), []).append((i, pattern))
+        #: Tokens that entries of one token make, and the longer entries that may come to stand by them.
+        self.made = {_fold(t) for found in self.single.values() for i in found for t in _TOKENS.findall(self.standard[i])}
+        self.loose = [k for k in self.longer if not self.made.isdisjoint(k)]
+
+    def _due(self, text: str, after: int) -> dict[int, regex.Pattern]:
+        """Longer entries behind ``after`` that the text may have, now or once entries of one token have made theirs."""
+        if not self.longer:
+            return {}
+        tokens = [_fold(t) for t in _TOKENS.findall(text)]
+        there = set(tokens)
+        keys = {()} | {(t,) for t in tokens} | set(zip(tokens, tokens[1:], strict=False))
+        keys |= {k for k in self.loose if all(t in there or t in self.made for t in k)}
+        return {i: p for k in keys & self.longer.keys() for i, p in self.longer[k] if i > after}
+
+    def _looked_up(self, text: str, after: int, before: int) -> tuple[str, int]:
+        """The text with all entries of one token between two places of the order."""
+        made = 0
+
+        def standard(m: regex.Match) -> str:
+            nonlocal made
+            at = next((i for i in self.single.get(_fold(m.group()), ()) if after < i < before), None)
+            if at is None:
+                return m.group()
+            out, more = self._looked_up(self.standard[at], at, before)
+            made += 1 + more
+            return out
+
+        return (_TOKENS.sub(standard, text), made) if self.single else (text, 0)
 
     def apply(self, text: str) -> tuple[str, int]:
         """The text with all replacements, and their number."""
-        at, made, due = -1, 0, self._due(text, -1)
-        while due:
-            at = min(due)
-            due.discard(at)
-            standard = self.standard[at]
-            text, n = self.patterns[at].subn(lambda _: standard, text)  # noqa: B023
-            if n:
-                made, due = made + n, due | self._due(text, at)
+        at, made, end = -1, 0, len(self.standard)
+        while at < end:
+            due = self._due(text, at)
+            after, at = at, min(due, default=end)
+            text, n = self._looked_up(text, after, at)
+            made += n
+            if at < end:
+                standard = self.standard[at]
+                text, n = due[at].subn(lambda _: standard, text)  # noqa: B023
+                made += n
         return text, made
 
 
