@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import words
 
@@ -20,7 +25,7 @@ PATTERNS = (
     ("subtitles", rf"[Tt]hanks?[{_SPACE}]*for[{_SPACE}]*watching"),
     ("subtitles", rf"[Pp]lease[{_SPACE}]*(like|subscribe|comment)"),
     ("subtitles", rf"[Ss]ubscribe[{_SPACE}]*(to|now|here)"),
-    ("repetition", r"(?d)(.{5,}?)\1{3,}"),
+    ("repetition", r"(.{5,}?)\1{3,}"),  # found by ``loop``, in linear time for each power of two
     ("music", rf"[♪♫]|[Mm]usic[{_SPACE}]*playing"),
     ("bracketed", r"(?d)\[.*\]"),
     ("punctuation", rf"^[{_SPACE}\.\,\!\?]+$"),
@@ -28,6 +33,66 @@ PATTERNS = (
 )
 
 
+def _repeats(line: str, least: int, times: int) -> Iterator[tuple[int, int]]:
+    """(start, period) of blocks of ``least`` characters or more that come ``times`` times in a row; the first start of each run.
+
+    Of grams of length L, a power of two, a repeat of primitive period p <= L has its next occurrence exactly p places on, all along the run; so one
+    sort of the grams of each length finds all periods from L / 2 to L.  Periods below ``least`` count by their multiples.
+    """
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(codes)
+    for q in range(1, least):
+        p = q * -(-least // q)
+        if n >= times * p:
+            yield from ((s, p) for s, run in _runs(codes[:-q] == codes[q:]) if run + q >= times * p)
+    ranks, size = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while 2 * size <= n and n >= times * least:
+        ranks = np.unique(ranks[: n - 2 * size + 1] * (n + 1) + ranks[size : n - size + 1], return_inverse=True)[1].astype(np.int64)
+        size *= 2
+        if size < least:
+            continue
+        order = np.argsort(ranks, kind="stable")
+        follows = np.flatnonzero(ranks[order[1:]] == ranks[order[:-1]])
+        ahead = np.zeros(len(ranks), dtype=np.int64)
+        ahead[order[follows]] = order[follows + 1] - order[follows]
+        ahead[(ahead > size) | (ahead <= size // 2) & (ahead >= least) | (ahead < least)] = 0
+        for start, run in _runs((ahead[1:] == ahead[:-1]) & (ahead[1:] > 0)) if len(ahead) > 1 else ():
+            # run + 1 places in a row with one period, the last of which reaches size + period on
+            if run + 1 + int(ahead[start]) + size - 1 >= times * int(ahead[start]):
+                yield start, int(ahead[start])
+
+
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True))
+
+
+def loop(text: str | None, least: int = 5, times: int = 4) -> tuple[str | None, int | None]:
+    """The first block of ``least`` characters or more that comes ``times`` times in a row inside a line: all its copies (cut to 200 characters) and its start.
+
+    Of the blocks at that start the shortest one counts.  None where there is no such block.
+    """
+    at = 0
+    for line in (text or "").split("\n"):
+        if len(line) >= times * least:
+            best = min(_repeats(line, least, times), default=None)
+            if best is not None:
+                start, p = best
+                block, end = line[start : start + p], start + p
+                while line.startswith(block, end):
+                    end += p
+                return line[start:end][:200], at + start
+        at += len(line) + 1
+    return None, None
+
+
+@F.pandas_udf(StructType([StructField("span", StringType()), StructField("start", IntegerType())]))
+def _loops(texts: pd.Series) -> pd.DataFrame:
+    found = pd.DataFrame([loop(t) for t in texts], columns=["span", "start"])
+    return found.astype({"start": "Int32"})
+
+
 def detect_patterns(text: Column, guard: bool = True) -> Column:
     """First reason whose pattern is found in a text of 3 or more characters: ``reason, span, loop_start``, or null.
 
@@ -37,12 +102,14 @@ def detect_patterns(text: Column, guard: bool = True) -> Column:
     t = F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
     def hit(reason: str, pattern: str) -> Column:
+        if reason == "repetition":
+            found = _loops(t)
+            return F.when(found["span"].isNotNull(), F.struct(F.lit(reason).alias("reason"), found["span"].alias("span"), found["start"].alias("loop_start")))
         is_hit = t.rlike(pattern)
         if reason == "comma_list" and guard:
             is_hit = is_hit & ~prose_guard(t)
         match = F.regexp_extract(t, pattern, 0)
-        start = F.instr(t, match) - 1 if reason == "repetition" else F.lit(None).cast("int")
-        return F.when(is_hit, F.struct(F.lit(reason).alias("reason"), F.substring(match, 1, 200).alias("span"), start.alias("loop_start")))
+        return F.when(is_hit, F.struct(F.lit(reason).alias("reason"), F.substring(match, 1, 200).alias("span"), F.lit(None).cast("int").alias("loop_start")))
 
     return F.when(F.length(t) >= 3, F.coalesce(*[hit(reason, p) for reason, p in PATTERNS]))
 
@@ -91,7 +158,7 @@ def guillemets(text: Column, most: int = 10) -> Column:
 def detect_repetition(df: DataFrame, key: list[str], text: str = "text", least: int = 10) -> DataFrame:
     """Texts of ``least`` or more words with a 3-word phrase more than twice, a 2-word phrase four times, or a word four times running.
 
-    Phrases are token windows, counted per text and phrase before the shuffle.
+    Phrases are token windows (the reference counts substrings), counted per text and phrase before the shuffle.
     """
     rows = df.select(*key, F.posexplode(words(F.col(text))).alias("i", "w"))
     own = Window.partitionBy(*key).orderBy("i")

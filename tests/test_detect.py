@@ -7,11 +7,19 @@ import pytest
 from pyspark.sql import functions as F
 from quillstream.operators import detect
 
-LISTED = r"[\w\sÀ-ɏß«»„“‚‘]+"
+#: The reference's reasons and patterns, in its order.
 REFERENCE = [
-    ("subtitles", r"[Ss]ubtitles?\s*(by|created|provided)"), ("subtitles", r"[Aa]mara\.org"), ("subtitles", r"[Tt]hanks?\s*for\s*watching"), ("subtitles", r"[Pp]lease\s*(like|subscribe|comment)"),
-    ("subtitles", r"[Ss]ubscribe\s*(to|now|here)"), ("repetition", r"(.{5,}?)\1{3,}"), ("music", r"[♪♫]|[Mm]usic\s*playing"), ("bracketed", r"\[.*\]"), ("punctuation", r"^\s*\.\s*$"),
-    ("punctuation", r"^[\s\.\,\!\?]+$"), ("comma_list", "^" + LISTED + r"(?:,\s*" + LISTED + r"){4,}\.{0,4}$"),
+    ("subtitles", r"[Ss]ubtitles?\s*(by|created|provided)"),
+    ("subtitles", r"[Aa]mara\.org"),
+    ("subtitles", r"[Tt]hanks?\s*for\s*watching"),
+    ("subtitles", r"[Pp]lease\s*(like|subscribe|comment)"),
+    ("subtitles", r"[Ss]ubscribe\s*(to|now|here)"),
+    ("repetition", r"(.{5,}?)\1{3,}"),
+    ("music", r"[♪♫]|[Mm]usic\s*playing"),
+    ("bracketed", r"\[.*\]"),
+    ("punctuation", r"^\s*\.\s*$"),
+    ("punctuation", r"^[\s\.\,\!\?]+$"),
+    ("comma_list", r"^[\w\sÀ-ɏß«»„“‚‘]+(?:,\s*[\w\sÀ-ɏß«»„“‚‘]+){4,}\.{0,4}$"),
 ]
 
 
@@ -41,3 +49,26 @@ def test_patterns_equal_the_reference(spark, guard):
     got = {r.id: None if r.found is None else tuple(r.found) for r in df.collect()}
     assert got == {i: brute(t, guard) for i, t in enumerate(texts)}
     assert "comma_list" in {g[0] for g in got.values() if g}
+
+
+def test_loops_equal_the_pattern():
+    rng = random.Random(3)
+    pattern = re.compile(r"(.{5,}?)\1{3,}")
+    for _ in range(3000):
+        block = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 14)))
+        text = "".join(rng.choice("abc\n") for _ in range(rng.randrange(0, 20))) + block * rng.randrange(1, 30) + "".join(rng.choice("ab\n") for _ in range(rng.randrange(0, 20))) + "xyzuv" * rng.randrange(0, 6)
+        m = pattern.search(text)
+        assert detect.loop(text) == ((m.group(0)[:200], m.start()) if m else (None, None)), text
+    assert detect.loop(None) == detect.loop("") == (None, None)
+
+
+def test_loops_of_long_texts_are_found_fast():
+    import time
+
+    words = [f"wort{i * 7919 % 20011}" for i in range(20_000)]
+    began = time.perf_counter()
+    assert detect.loop(" ".join(words)) == (None, None)
+    span, start = detect.loop(" ".join(words) + "langer block, der wiederkehrt " * 5000)
+    assert start == len(" ".join(words)) and span.startswith("langer block") and len(span) == 200
+    assert detect.loop("x" * 200_000)[1] == 0
+    assert time.perf_counter() - began < 20
