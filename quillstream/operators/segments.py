@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import words
+from .fold import State, ordered_fold
 
 #: German words that begin a new thought.
 STARTERS = (
@@ -67,28 +68,27 @@ def split_long_segments(df: DataFrame, key: list[str], text: str = "text", most:
 def segment_by_pauses(words_: DataFrame, by: list[str], order: list[str], gap_ms: int = 800, least: int = 15) -> DataFrame:
     """Segments of ``word, start, end`` rows: cut at a pause of ``gap_ms`` once ``least`` characters are held.
 
-    Pauses are places in order, not word texts.  Words between pauses are joined first, so the fold takes one step a pause.  A null
-    time makes no pause; a null word is empty; words that tie in ``order`` are ordered by start, end and word.
+    Pauses are places in order, not word texts.  Words between pauses are joined first, so the fold takes one step a pause and holds
+    one segment.  A null time makes no pause; a null word is empty; words that tie in ``order`` are ordered by start, end and word.
     """
     w = Window.partitionBy(*by).orderBy(*order, "start", "end", "word")
     pause = F.coalesce(F.col("start") - F.lag("end").over(w) >= gap_ms, F.lit(False))
     rows = words_.withColumn("pause_", pause).withColumn("run_", F.sum(F.col("pause_").cast("long")).over(w)).withColumn("i_", F.row_number().over(w))
     in_order = lambda name: F.array_sort(F.collect_list(F.struct("i_", name)))
-    runs = rows.withColumn("word_", F.coalesce(F.col("word").cast("string"), F.lit(""))).groupBy(*by, "run_").agg(F.min("i_").alias("i_"), F.count("*").alias("n_"), F.array_join(F.transform(in_order("word_"), lambda s: s["word_"]), " ").alias("said_"))
-    empty = F.expr("struct(cast(array() as array<struct<text: string, n_words: bigint>>) as done, '' as held, 0L as n)")
+    runs = rows.withColumn("word_", F.coalesce(F.col("word").cast("string"), F.lit(""))).groupBy(*by, "run_").agg(F.count("*").alias("n_"), F.array_join(F.transform(in_order("word_"), lambda s: s["word_"]), " ").alias("said_"))
 
-    def add(acc: Column, run: Column) -> Column:
-        held = F.when(acc["n"] == 0, run["said_"]).otherwise(F.concat(acc["held"], F.lit(" "), run["said_"]))
-        n = acc["n"] + run["n_"]
-        cut = F.length(held) >= least
-        done = F.when(cut, F.concat(acc["done"], F.array(F.struct(held.alias("text"), n.alias("n_words"))))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(cut, "").otherwise(held).alias("held"), F.when(cut, F.lit(0).cast("long")).otherwise(n).alias("n"))
+    def told(state: State) -> list[dict]:
+        return [{**state["key"], "segment": state["segment"], "text": " ".join(state["said"]), "n_words": state["n"]}] if state["said"] else []
 
-    def last(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["held"].alias("text"), acc["n"].alias("n_words"))))).otherwise(acc["done"])
+    def step(state: State, row: dict) -> tuple[State, list[dict]]:
+        state = state or {"key": {c: row[c] for c in by}, "segment": 0, "said": [], "chars": 0, "n": 0}
+        state = state | {"said": [*state["said"], row["said_"]], "chars": state["chars"] + len(row["said_"]) + bool(state["said"]), "n": state["n"] + row["n_"]}
+        if state["chars"] < least:
+            return state, []
+        return state | {"segment": state["segment"] + 1, "said": [], "chars": 0, "n": 0}, told(state)
 
-    folded = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i_", "n_", "said_"))).alias("runs_"))
-    return folded.select(*by, F.posexplode(F.aggregate("runs_", empty, add, last)).alias("segment", "s_")).select(*by, "segment", "s_.text", "s_.n_words")
+    schema = ", ".join(f"{c} {words_.schema[c].dataType.simpleString()}" for c in by)
+    return ordered_fold(runs, by, ["run_"], step, f"{schema}, segment int, text string, n_words long", told)
 
 
 _EDGES = regex.compile(r"^\p{P}+|\p{P}+$")

@@ -252,3 +252,67 @@ def fallback_step(ttl_ms: int = 5_000, keep_ms: int = 60_000) -> Step:
 
 
 WINDOW_SCHEMA = "stream_id long, seq long, ts_ms long, decision string, winner_origin string, winner_release long, age_ms long, waiting long, overflow long, candidates string"
+
+
+# --- provisional texts -----------------------------------------------------------------------------------------------------
+
+#: Negations that make a short tail matter.
+TURNS = frozenset("nicht kein keine keinen keinem keiner niemals nie nichts niemand ohne nein weder noch".split())
+_WORD = re.compile(r"[^\W_]+")
+_SAID = re.compile(r"\S+")
+
+
+def _said(text: str) -> list[tuple[str, int]]:
+    """(normal form, start) of each word that has letters or digits."""
+    return [(name, m.start()) for m in _SAID.finditer(text) if (name := "".join(_WORD.findall(m.group().lower())))]
+
+
+def supersede_end(ttl_ms: int = 25_000):
+    def end(state: State) -> int | None:
+        return max((e["at"] for e in state["ledger"]), default=0) + ttl_ms if state else None
+
+    return end
+
+
+def supersede_step(ttl_ms: int = 25_000, least: int = 3, cumulative: bool = False, least_tail: int | None = None) -> Step:
+    """Rows of ``kind`` provisional and final in order: what becomes of each final, ``pass``, ``suppress`` or ``emit_tail``.
+
+    The longest provisional text of the last ``ttl_ms`` that begins the final covers it, and is withdrawn: no later final meets it again.  A tail
+    of fewer than ``least`` words is suppressed with it, a longer one is given alone, as it stands in the final.  With ``cumulative``
+    all provisional words since the last final count as one text: a final inside it is suppressed, one that leaves it passes, a tail below
+    ``least_tail`` words goes out all the same if it has digits or a negation; every final closes the text.  Words are compared in lower case by
+    letters and digits.  Texts without words pass; provisional rows give no row.
+    """
+    floor = least if least_tail is None else least_tail
+
+    def step(state: State, row: dict) -> tuple[State, dict | None]:
+        text, now = row["text"] or "", row["ts_ms"]
+        ledger = [e for e in state.get("ledger", []) if now - e["at"] <= ttl_ms]
+        if row["kind"] == "provisional":
+            words = _WORD.findall(text.lower())
+            if cumulative and ledger and words:
+                ledger = [{"words": ledger[0]["words"] + words, "at": now}]
+            elif words:
+                ledger = [*ledger, {"words": words, "at": now}]
+            return ({"ledger": ledger} if ledger else {}), None
+        words, said = _WORD.findall(text.lower()), _said(text)
+        out = {"stream_id": row["stream_id"], "seq": row["seq"], "action": "pass", "covered": None, "tail_words": None, "text": text}
+        covering = [e for e in ledger if words[: len(e["words"])] == e["words"]]
+        best = max(covering, key=lambda e: len(e["words"]), default=None)
+        if cumulative and words and ledger and ledger[0]["words"][: len(words)] == words:
+            out |= {"action": "suppress", "covered": len(words), "tail_words": 0, "text": None}
+        elif best is not None and words:
+            covered = len(best["words"])
+            tail, rest = len(words) - covered, text[said[covered][1] :].strip() if covered < len(said) else ""
+            matters = cumulative and (any(c.isdigit() for c in rest) or not TURNS.isdisjoint(_WORD.findall(rest.lower())))
+            gone = not rest or tail < (floor if cumulative else least) and not matters
+            out |= {"action": "suppress" if gone else "emit_tail", "covered": covered, "tail_words": tail, "text": None if gone else rest}
+            ledger = [e for e in ledger if e is not best]
+        if cumulative:
+            ledger = []
+        return ({"ledger": ledger} if ledger else {}), out
+
+    return step
+
+
+SUPERSEDE_SCHEMA = "stream_id long, seq long, action string, covered long, tail_words long, text string"

@@ -60,3 +60,14 @@ def g16_fallback_windows(spark, d):
     release = F.when(kind == "enqueue", F.col("seq")).otherwise(F.lag("seq", 1).over(Window.partitionBy("stream_id").orderBy("ts_ms", "seq")))
     rows = t.select("stream_id", "ts_ms", "seq", origin.alias("origin"), kind.alias("kind"), F.lit("e").alias("epoch"), release.alias("release_seq"))
     return fold.ordered_fold(rows, ["stream_id"], ["ts_ms", "seq"], timed.fallback_step(40_000_000, 80_000_000), timed.WINDOW_SCHEMA, timed.window_at_end(80_000_000))
+
+
+@query()
+def g15_supersede_ledger(spark, d):
+    """Every third emission is provisional, with its first words or whole, and comes before the finals of its time."""
+    e = tables.emissions(spark, d)
+    said = F.when(F.col("release_seq") % 2 == 0, F.array_join(F.slice(tx.words(F.col("text")), 1, 4), " ")).otherwise(F.col("text"))
+    early = e.where("release_seq % 3 = 0").select("stream_id", F.lit(None).cast("long").alias("seq"), "ts_ms", F.lit("provisional").alias("kind"), said.alias("text"))
+    finals = e.select("stream_id", F.col("release_seq").alias("seq"), (F.col("ts_ms") + F.col("release_seq") % 4 * 9000).alias("ts_ms"), F.lit("final").alias("kind"), "text")
+    rows = early.unionByName(finals).withColumn("late_", (F.col("kind") == "final").cast("int"))
+    return fold.ordered_fold(rows, ["stream_id"], ["ts_ms", "late_", "seq"], timed.supersede_step(), timed.SUPERSEDE_SCHEMA)

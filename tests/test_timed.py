@@ -238,3 +238,65 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
         source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         run(stream_fold(source, ["stream_id"], ["ts_ms", "seq"], step, timed.WINDOW_SCHEMA, event_time="at", late="0 seconds", expires=timed.window_end(1000), at_end=end), tmp_path)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+# --- provisional texts -----------------------------------------------------------------------------------------------------
+
+
+def early(ts, text):
+    return {"stream_id": 1, "seq": None, "ts_ms": ts, "kind": "provisional", "text": text}
+
+
+def final(seq, text, ts=None):
+    return {"stream_id": 1, "seq": seq, "ts_ms": seq if ts is None else ts, "kind": "final", "text": text}
+
+
+def finals(*rows, **kw):
+    return [(r["action"], r["text"]) for r in play(timed.supersede_step(**kw), rows)[1]]
+
+
+def test_a_provisional_text_covers_one_final():
+    assert finals(early(0, "Das ist der Anfang"), final(1, "Das ist der Anfang, und noch mehr davon."), final(2, "Das ist der Anfang, und noch mehr davon.")) == [
+        ("emit_tail", "und noch mehr davon."), ("pass", "Das ist der Anfang, und noch mehr davon.")]
+    assert finals(early(0, "Das ist der Anfang"), final(1, "Das ist der Anfang von etwas")) == [("suppress", None)]
+    assert finals(early(0, "eins zwei"), early(1, "eins zwei drei"), final(2, "eins zwei drei vier fünf sechs"), final(3, "eins zwei drei")) == [("emit_tail", "vier fünf sechs"), ("suppress", None)]
+    assert finals(early(0, "eins zwei"), final(1, "eins zwei", ts=25_001)) == [("pass", "eins zwei")]
+    assert finals(early(0, "eins zwei"), final(1, "zwei eins"), final(2, None), final(3, "...")) == [("pass", "zwei eins"), ("pass", ""), ("pass", "...")]
+
+
+def test_provisional_texts_add_up():
+    kw = {"cumulative": True}
+    assert finals(early(0, "eins zwei"), early(1, "drei vier"), final(2, "eins zwei drei vier fünf sechs sieben"), **kw) == [("emit_tail", "fünf sechs sieben")]
+    assert finals(early(0, "eins zwei drei"), final(1, "eins zwei"), final(2, "eins zwei"), **kw) == [("suppress", None), ("pass", "eins zwei")]
+    assert finals(early(0, "eins zwei"), final(1, "eins zwei nicht"), **kw) == [("emit_tail", "nicht")]
+    assert finals(early(0, "Hiob sagt"), final(1, "Hiob sagt 42"), **kw) == [("emit_tail", "42")]
+    assert finals(early(0, "Hiob sagt"), final(1, "Hiob sagt etwas"), **kw) == [("suppress", None)]
+    assert finals(early(0, "Hiob sagt"), final(1, "Hiob fragt etwas"), **kw) == [("pass", "Hiob fragt etwas")]
+    assert finals(early(0, "Hiob sagt"), final(1, "Hiob sagt etwas"), least_tail=1, **kw) == [("emit_tail", "etwas")]
+
+
+def test_withdrawal_against_a_plain_ledger(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for stream in range(6):
+        book = []
+        for i in range(80):
+            ts = i * 1000
+            words = [rng.choice("abc") for _ in range(rng.randrange(0, 7))]
+            if rng.random() < 0.5:
+                rows.append((stream, 1000 + i, ts, "provisional", " ".join(words)))
+                book.append([ts, words, False])
+                continue
+            rows.append((stream, i, ts, "final", " ".join(words) + "."))
+            open_ = [b for b in book if not b[2] and b[1] and ts - b[0] <= 25_000 and b[1] == words[: len(b[1])]]
+            longest = max((len(b[1]) for b in open_), default=0)
+            if not open_:
+                want[stream, i] = ("pass", " ".join(words) + ".")
+            else:
+                next(b for b in open_ if len(b[1]) == longest)[2] = True
+                tail = words[longest:]
+                want[stream, i] = ("suppress", None) if len(tail) < 3 else ("emit_tail", " ".join(tail) + ".")
+    df = spark.createDataFrame(rows, "stream_id long, seq long, ts_ms long, kind string, text string")
+    out = fold.ordered_fold(df, ["stream_id"], ["ts_ms", "seq"], timed.supersede_step(), timed.SUPERSEDE_SCHEMA).collect()
+    assert {(r.stream_id, r.seq): (r.action, r.text) for r in out} == want
+    assert {a for a, _ in want.values()} == {"pass", "suppress", "emit_tail"}
