@@ -26,6 +26,7 @@ _UNIT = re.compile(r"[^.!?]+[.!?]+[\"'»”]?|[^.!?]+$")
 _QUOTED = re.compile(r"«[^«»]*»|„[^„“”]*[“”]|\"[^\"]{3,}\"")
 _MARKER = re.compile(r"^\d+[.)]|\b\d+\s*[,.:]\s*\d+\b", re.ASCII)
 _NUMBER = re.compile("[0-9]+")
+_GAPS = re.compile(r"\s{2,}")
 _MARKS = re.compile("[\u0300-\u036f]")
 _LIST = re.compile(r"(?:^|\s)\d+[.)]\s+[^\W\d_]")
 
@@ -76,8 +77,10 @@ def _first_square(codes: np.ndarray, least: int) -> tuple[int, int] | None:
     ``least``-gram comes again are looked at.
     """
     n = len(codes)
-    grams = np.lib.stride_tricks.sliding_window_view(codes, least)
-    _, which, counts = np.unique(grams, axis=0, return_inverse=True, return_counts=True)
+    grams = np.zeros(n - least + 1, dtype=np.uint64)
+    for i in range(least):  # a hash of each gram: equal ones only add distances to look at
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : n - least + 1 + i].astype(np.uint64)
+    _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
     again = np.flatnonzero(counts[which.ravel()] > 1)
     if not len(again):
         return None
@@ -94,16 +97,16 @@ def _first_square(codes: np.ndarray, least: int) -> tuple[int, int] | None:
     return None
 
 
-def collapsed(text: str, least: int = 4, most: int = 50) -> tuple[str, list[str], list[str] | None]:
-    """The text without the first copy of each block of ``least`` tokens or more that follows itself, what was cut, and its tokens if known."""
+def collapsed(text: str, least: int = 4, most: int = 50) -> tuple[str, list[str], tuple | None]:
+    """The text without the first copy of each block of ``least`` tokens or more that follows itself, what was cut, and its tokens and grams if known."""
 
     def tidy(s: str) -> str:
         return re.sub(r"\s{2,}", " ", re.sub(r"\s+([,.;:!?])", r"\1", s)).strip()
 
     tokens = tokens_of(text)
-    whole = len(_TOKEN.findall(text)) == len(tokens)  # no token falls apart when its marks go
-    if whole and (len(tokens) < 2 * least or len(grams_of(tokens, least)) == len(tokens) - least + 1):
-        return text if "  " not in text and text.isprintable() else re.sub(r"\s{2,}", " ", text).strip(), [], tokens
+    grams = grams_of(tokens, least)
+    if len(grams) == max(0, len(tokens) - least + 1) and (text.isascii() or len(_TOKEN.findall(text)) == len(tokens)):  # else a token falls apart without its marks
+        return (text if "  " not in text and text.isprintable() else _GAPS.sub(" ", text).strip()), [], (tokens, grams)
     cut: list[str] = []
     while len(cut) < most:
         places = [m.start() for m in _TOKEN.finditer(text)]
@@ -141,12 +144,15 @@ def _shared_prefix(a: Sequence[str], b: Sequence[str]) -> int:
 class Unit:
     """One unit with what pairs of units are judged by; most of it is only worked out for units that have something in common."""
 
-    def __init__(self, text: str, tokens: list[str] | None = None) -> None:
+    def __init__(self, text: str, known: tuple[list[str], set[tuple[str, ...]]] | None = None, n: int = 0) -> None:
         self.text = text
-        self.tokens = tokens_of(text) if tokens is None else tokens
-        self.content = [t for t in self.tokens if len(t) > 2 and t not in COMMON]
-        self.bag = set(self.content)
-        self._grams: dict[int, set[tuple[str, ...]]] = {}
+        self.tokens, grams = known or (tokens_of(text), None)
+        self.bag = {t for t in self.tokens if len(t) > 2} - COMMON
+        self._grams = {} if grams is None else {n: grams}
+
+    @cached_property
+    def content(self) -> list[str]:
+        return [t for t in self.tokens if t in self.bag]
 
     @cached_property
     def numbers(self) -> set[str]:
@@ -237,7 +243,7 @@ def clean_units(text: str | None, limits: Limits = Limits(), vectors: Callable[[
     if _LIST.search(text):
         return out
     pieces = [collapsed(u, limits.run) for u in units_of(text)]
-    units, folds = [Unit(p, tokens) for p, _, tokens in pieces], sum(len(c) for _, c, _ in pieces)
+    units, folds = [Unit(p, known, limits.run) for p, _, known in pieces], sum(len(c) for _, c, _ in pieces)
     out |= {"n_units": len(units), "collapsed": folds, "reasons": ["internal_repeat"] * folds}
     if len(units) < 2 and not folds:
         return out
