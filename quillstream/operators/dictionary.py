@@ -85,7 +85,7 @@ class Mapping:
         """Longer entries behind ``after`` that the text may have, now or once entries of one token have made theirs."""
         if not self.longer:
             return {}
-        tokens = [_fold(t) for t in _TOKENS.findall(text)]
+        tokens = _TOKENS.findall(_fold(text))
         there = set(tokens)
         keys = {()} | {(t,) for t in tokens} | set(zip(tokens, tokens[1:], strict=False))
         keys |= {k for k in self.loose if all(t in there or t in self.made for t in k)}
@@ -97,9 +97,10 @@ class Mapping:
 
         def standard(m: regex.Match) -> str:
             nonlocal made
-            at = next((i for i in self.single.get(_fold(m.group()), ()) if after < i < before), None)
+            entries = self.single.get(_fold(m[0]))
+            at = next((i for i in entries if after < i < before), None) if entries else None
             if at is None:
-                return m.group()
+                return m[0]
             out, more = self._looked_up(self.standard[at], at, before)
             made += 1 + more
             return out

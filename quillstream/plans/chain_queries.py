@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as tx
-from ..operators import chain, fold, timed, units
+from ..operators import chain, fold, semantic, timed, units
 from ..sources import tables
 from .registry import query
 
@@ -71,3 +72,11 @@ def g15_supersede_ledger(spark, d):
     finals = e.select("stream_id", F.col("release_seq").alias("seq"), (F.col("ts_ms") + F.col("release_seq") % 4 * 9000).alias("ts_ms"), F.lit("final").alias("kind"), "text")
     rows = early.unionByName(finals).withColumn("late_", (F.col("kind") == "final").cast("int"))
     return fold.ordered_fold(rows, ["stream_id"], ["ts_ms", "late_", "seq"], timed.supersede_step(), timed.SUPERSEDE_SCHEMA)
+
+
+@query()
+def g9_semantic_verdicts(spark, d):
+    """Emissions as units, with their content words hashed as vectors."""
+    vectors = F.pandas_udf(lambda texts: texts.map(lambda t: units.hashed_vectors([t or ""])[0]), ArrayType(DoubleType()))
+    rows = tables.emissions(spark, d).select("stream_id", F.col("release_seq").alias("seq"), "release_seq", "ts_ms", "text", vectors(F.col("text")).alias("vec"))
+    return semantic.semantic_verdicts(rows, ["stream_id"])
