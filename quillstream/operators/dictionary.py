@@ -52,6 +52,7 @@ def phrases_in(texts: DataFrame, key: Sequence[str], column: str, phrases: Seque
 
 _INSIDE = r"\p{L}\p{N}\p{M}_"
 _TOKENS = regex.compile(rf"[{_INSIDE}]+")
+_PIECES = regex.compile(rf"([{_INSIDE}]+)")
 
 
 def _fold(token: str) -> str:
@@ -79,42 +80,40 @@ class Mapping:
                 self.longer.setdefault(tuple(tokens[:2]), []).append((i, pattern))
         #: Tokens that entries of one token make, and the longer entries that may come to stand by them.
         self.made = {_fold(t) for found in self.single.values() for i in found for t in _TOKENS.findall(self.standard[i])}
+        self.heads = {k[0] for k in self.longer if k}
         self.loose = [k for k in self.longer if not self.made.isdisjoint(k)]
 
-    def _due(self, text: str, after: int) -> dict[int, regex.Pattern]:
-        """Longer entries behind ``after`` that the text may have, now or once entries of one token have made theirs."""
+    def _due(self, tokens: list[str], after: int) -> dict[int, regex.Pattern]:
+        """Longer entries behind ``after`` that a text may have, now or once entries of one token have made theirs."""
         if not self.longer:
             return {}
-        tokens = _TOKENS.findall(_fold(text))
-        there = set(tokens)
-        keys = {()} | {(t,) for t in tokens} | set(zip(tokens, tokens[1:], strict=False))
+        there, heads = set(tokens), self.heads
+        keys = {()} | {(t,) for t in there & heads} | {(t, tokens[i + 1]) for i, t in enumerate(tokens[:-1]) if t in heads}
         keys |= {k for k in self.loose if all(t in there or t in self.made for t in k)}
         return {i: p for k in keys & self.longer.keys() for i, p in self.longer[k] if i > after}
 
-    def _looked_up(self, text: str, after: int, before: int) -> tuple[str, int]:
-        """The text with all entries of one token between two places of the order."""
+    def _looked_up(self, pieces: list[str], tokens: list[str], after: int, before: int) -> int:
+        """Put all entries of one token between two places of the order into ``pieces``; how many were there?"""
         made = 0
-
-        def standard(m: regex.Match) -> str:
-            nonlocal made
-            entries = self.single.get(_fold(m[0]))
-            at = next((i for i in entries if after < i < before), None) if entries else None
-            if at is None:
-                return m[0]
-            out, more = self._looked_up(self.standard[at], at, before)
-            made += 1 + more
-            return out
-
-        return (_TOKENS.sub(standard, text), made) if self.single else (text, 0)
+        for place, token in enumerate(tokens):
+            if token in self.single:
+                at = next((i for i in self.single[token] if after < i < before), None)
+                if at is not None:
+                    inner = _PIECES.split(self.standard[at])
+                    made += 1 + self._looked_up(inner, [_fold(t) for t in inner[1::2]], at, before)
+                    pieces[2 * place + 1] = "".join(inner)
+        return made
 
     def apply(self, text: str) -> tuple[str, int]:
         """The text with all replacements, and their number."""
         at, made, end = -1, 0, len(self.standard)
         while at < end:
-            due = self._due(text, at)
+            pieces = _PIECES.split(text)  # between tokens, and tokens at odd places
+            tokens = _fold("\n".join(pieces[1::2])).split("\n")
+            due = self._due(tokens, at)
             after, at = at, min(due, default=end)
-            text, n = self._looked_up(text, after, at)
-            made += n
+            n = self._looked_up(pieces, tokens, after, at)
+            made, text = made + n, "".join(pieces) if n else text
             if at < end:
                 standard = self.standard[at]
                 text, n = due[at].subn(lambda _: standard, text)  # noqa: B023
