@@ -79,3 +79,40 @@ def objective_score(log: DataFrame, sessions: DataFrame, by: list[str]) -> DataF
         F.when(rejection.isNotNull(), F.lit(1e9)).otherwise(rounded(base / confidence)).alias("weighted_score"), rounded(confidence, 3).alias("confidence"),
         ((F.col("segments") < 150) | (F.col("duration_min") < 15)).alias("low_confidence"),
     )
+
+
+BUCKETS = ("0-3s", "3-7s", "7-15s", ">15s")
+
+
+def _spread(log: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Least, most, rounded mean and floor-rank median of a column's values per key."""
+    s = floor_rank_summary(log, by, column, (0.5,))
+    return s.select(*by, F.col("min").alias(f"{name}_min"), F.col("max").alias(f"{name}_max"), F.floor(F.col("avg") + 0.5).alias(f"{name}_avg"), F.col("p50").alias(f"{name}_median"))
+
+
+def language_report(log: DataFrame, by: list[str]) -> DataFrame:
+    """Each key's emissions: repeats of words, 2-grams and 3-grams, pauses by bucket and speaker, and how pauses and latencies spread.
+
+    ``log``: a row per emission with ``repeats, bigrams, trigrams, pause_ms, speaker, latency_ms``.  Only pauses above 0 count; missing ones
+    and missing latencies are left out, and a key without any has nulls there.
+    """
+    paused = log.withColumn("pause_ms", F.when(F.col("pause_ms") > 0, F.col("pause_ms")))
+    bucket = pause_bucket(F.col("pause_ms"))
+    counts = paused.groupBy(*by).agg(
+        F.count("*").alias("emissions"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("repeats", "bigrams", "trigrams")],
+        *[F.count_if(bucket == b).alias(f"pauses_{b}") for b in BUCKETS], F.count_if(F.col("pause_ms").isNotNull() & F.coalesce("speaker", F.lit(False))).alias("speaker_pauses"),
+        F.count_if(bucket.isin(*BUCKETS[2:]) & ~F.coalesce("speaker", F.lit(False))).alias("long_pauses"),
+    )
+    return counts.join(_spread(paused, by, "pause_ms", "pause"), by, "left").join(_spread(log, by, "latency_ms", "latency"), by, "left")
+
+
+def session_summary(log: DataFrame, sessions: DataFrame, actions: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Roll-up of each session: its report over all languages, what filters did (``actions``: by, action), and its objective.
+
+    ``log`` as for ``language_report``, with ``lang``; ``sessions``: ``segments, duration_min``.  Sessions without filter actions have zeros.
+    """
+    report = language_report(log, by)
+    scored = objective_score(log.withColumn("long_pause", pause_bucket(F.col("pause_ms")).isin(*BUCKETS[2:]) & ~F.coalesce("speaker", F.lit(False))), sessions, by)
+    tally = filter_tally(actions, by, names)
+    out = report.join(scored.drop("emissions"), by).join(tally, by, "left")
+    return out.fillna(0, names)

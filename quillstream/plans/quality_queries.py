@@ -1,14 +1,15 @@
-"""Live quality of streams, and the SQL that gives the same rows."""
+"""Live quality of streams and roll-ups of sessions, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import live_quality
+from ..operators import live_quality, session
 from ..operators.live_quality import CAUSES, COUNTERS, EMISSION_STAGES, LIMITS, OF_LISTENER, SERIES, STREAMS
 from ..sources import tables
 from ..sources.tables import TELEMETRY
 from .registry import query
+from .stream_queries import _SCORE
 
 _STAGES = ("listener_telemetry", "whisper", "translation", "tts", "emission_decision", "fallback", "source_stall", "emission_controller_runtime", "other", "whisper", "translation")
 _DECISIONS = ("emit", "drop", "audio_skip", "emit", "text_only", "fallback", "emit", "emit")
@@ -78,3 +79,48 @@ select stream_id, end_ms, case when {_FIRST(2)} is not null then 'critical' when
 @query(_SQL)
 def c1_live_quality(spark, d):
     return live_quality.live_quality(quality_records(spark, d), ["stream_id"], _WINDOW, _SLIDE, _LISTENER)
+
+
+def quality_log(spark, d):
+    """Events as emissions of a session in a language."""
+    t = tables.telemetry(spark, d)
+    pause = F.when(F.col("seq") % 7 != 0, (F.col("value") * 200).cast("long") % 20_000)
+    return t.select(
+        "stream_id", F.col("stage").alias("lang"), (F.col("k") % 3).alias("repeats"), (F.col("k") % 2).alias("bigrams"), (F.col("k") % 5 == 0).cast("long").alias("trigrams"), pause.alias("pause_ms"),
+        F.when(F.col("k") % 4 != 0, F.col("k") % 3 == 0).alias("speaker"), F.when(F.col("k") % 6 != 0, F.col("value") * 100).alias("latency_ms"),
+    )
+
+
+_LOG = f"""{TELEMETRY}, qlog as (select stream_id, stage as lang, k % 3 as repeats, k % 2 as bigrams, cast(k % 5 = 0 as bigint) as trigrams, case when seq % 7 <> 0 then cast(floor(value * 200) as bigint) % 20000 end as pause0,
+    case when k % 4 <> 0 then k % 3 = 0 end as speaker, case when k % 6 <> 0 then value * 100 end as latency_ms from telemetry),
+plog as (select *, case when pause0 > 0 then pause0 end as p from qlog)"""
+
+
+def _report(keys: str, one: bool) -> str:
+    bucket = {"0-3s": "p < 3000", "3-7s": "p >= 3000 and p < 7000", "7-15s": "p >= 7000 and p < 15000", ">15s": "p >= 15000"}
+    spread = lambda c, name: f"""min({c}) as {name}_min, max({c}) as {name}_max, cast(floor(avg({c}) + 0.5) as bigint) as {name}_avg, list_sort(list({c}) filter ({c} is not null))[cast(least(count({c}) - 1, floor(0.5 * count({c}))) as integer) + 1] as {name}_median"""
+    return f"""select {keys}, count(*) as emissions, cast(sum(repeats) as bigint) as repeats, cast(sum(bigrams) as bigint) as bigrams, cast(sum(trigrams) as bigint) as trigrams,
+  {", ".join(f'count(*) filter ({c}) as "pauses_{b}"' for b, c in bucket.items())}, count(*) filter (p is not null and coalesce(speaker, false)) as speaker_pauses, count(*) filter (p >= 7000 and not coalesce(speaker, false)) as long_pauses,
+  {spread("p", "pause")}, {spread("latency_ms", "latency")} from plog group by {keys}"""
+
+
+@query(f"with {_LOG} {_report('stream_id, lang', False)}")
+def q10_language_pauses(spark, d):
+    return session.language_report(quality_log(spark, d), ["stream_id", "lang"])
+
+
+_NAMES = ("pass", "skip", "trim")
+_OBJECTIVE = _SCORE.split("log as (", 1)[1].split("s as (", 1)[1]
+_OBJECTIVE = _OBJECTIVE.replace("md as (select stream_id, list_sort(list(latency_ms))[cast(least(count(*) - 1, floor(0.5 * count(*))) as integer) + 1] as median_ms from log", "md as (select stream_id, latency_median as median_ms from rep").replace("from log", "from olog").replace("from rep group by stream_id", "from rep")
+
+
+@query(f"""with {_LOG}, rep as ({_report('stream_id', True)}), olog as (select stream_id, lang, repeats, coalesce(pause0 >= 7000 and not coalesce(speaker, false), false) as long_pause, latency_ms from qlog),
+s as ({_OBJECTIVE}, o as (select stream_id, segments, langs, rejection, case when rejection is not null then 1e9 else floor((r_norm + 2 * p_norm + 5 * s_norm) * 10000 + 0.5) / 10000 end as score,
+  case when rejection is not null then 1e9 else floor((r_norm + 2 * p_norm + 5 * s_norm) / conf * 10000 + 0.5) / 10000 end as weighted_score, floor(conf * 1000 + 0.5) / 1000 as confidence, segments < 150 or duration_min < 15 as low_confidence from y),
+f as (select stream_id, {", ".join(f"count(*) filter (k % 11 = {i}) as {n}" for i, n in enumerate(_NAMES))} from telemetry where k % 11 < 3 group by stream_id)
+select rep.*, o.segments, o.langs, o.rejection, o.score, o.weighted_score, o.confidence, o.low_confidence, {", ".join(f"coalesce({n}, 0) as {n}" for n in _NAMES)} from rep join o using (stream_id) left join f using (stream_id)""")
+def q9_session_rollup(spark, d):
+    t = tables.telemetry(spark, d)
+    sessions = t.groupBy("stream_id").agg(F.count("*").alias("segments"), ((F.max("ts_ms") - F.min("ts_ms")) / 60000.0 / 100).alias("duration_min"))
+    actions = t.where(F.col("k") % 11 < 3).select("stream_id", F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("k") % 11).cast("int")).alias("action"))
+    return session.session_summary(quality_log(spark, d), sessions, actions, ["stream_id"], list(_NAMES))
