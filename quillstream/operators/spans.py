@@ -66,3 +66,35 @@ def committed_prefix(words: DataFrame, ranges: DataFrame, by: list[str], key: li
     return marked.groupBy(*by, *key).agg(F.count("*").alias("n_words"), F.min(F.when(F.col("in_").isNull(), F.col("word"))).alias("first_open"), F.max("word").alias("last")).select(
         *by, *key, "n_words", F.coalesce(F.col("first_open") - 1, F.col("last")).alias("committed")
     )
+
+
+def token_sequence_audit(df: DataFrame, by: list[str], order: list[str], value: str, digits: int = 2) -> DataFrame:
+    """How timestamps of a sequence step: equal, equal only when rounded, or back; runs of equal values; zeros that lead it.
+
+    A null or non-finite value is unmeasurable: it makes no pair and breaks a run.  ``runs`` and ``rounded_runs`` list the lengths of two and more with
+    their counts, ``longest`` and ``rounded_longest`` the longest run (1 where nothing repeats, 0 without values).  ``monotone`` is null without pairs.
+    Counts come from one sort per key; runs are counted after they are grouped.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    x = F.col(value).cast("double")
+    rows = df.select(*by, F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).alias("v_"), F.row_number().over(w).alias("i_"))
+    own = Window.partitionBy(*by).orderBy("i_")
+    rows = rows.withColumn("r_", F.round("v_", digits)).withColumn("p_", F.lag("v_").over(own)).withColumn("q_", F.lag("r_").over(own))
+    new = lambda now, before: F.coalesce((F.col(now) != F.col(before)), F.lit(True)).cast("int")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("run_", F.sum(new("v_", "p_")).over(upto)).withColumn("rrun_", F.sum(new("r_", "q_")).over(upto))
+    step = F.col("v_") - F.col("p_")
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count("v_").alias("measurable"), F.countDistinct("v_").alias("distinct_values"), F.countDistinct("r_").alias("distinct_rounded"), F.count(step).alias("pairs"),
+        F.count_if(step == 0).alias("equal_steps"), F.count_if((step != 0) & (F.col("r_") == F.col("q_"))).alias("rounded_steps"), F.count_if(step < 0).alias("negative_steps"),
+        F.round(F.min(F.when(step > 0, step)), 6).alias("least_step"), F.coalesce(F.min(F.when(F.coalesce(F.col("v_") != 0, F.lit(True)), F.col("i_"))) - 1, F.count("*")).alias("leading_zeros"),
+    )
+
+    def lengths(island: str, name: str, longest: str) -> DataFrame:
+        each = rows.where("v_ is not null").groupBy(*by, island).agg(F.count("*").alias("len_")).groupBy(*by, "len_").agg(F.count("*").alias("c_"))
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("len_") > 1, F.struct("len_", "c_")))), lambda s: F.concat_ws(":", s["len_"].cast("string"), s["c_"].cast("string"))), ",")
+        return each.groupBy(*by).agg(F.max("len_").alias(longest), listed.alias(name))
+
+    out = counts.join(lengths("run_", "runs", "longest"), by, "left").join(lengths("rrun_", "rounded_runs", "rounded_longest"), by, "left")
+    out = out.fillna(0, ["longest", "rounded_longest"]).fillna("", ["runs", "rounded_runs"])
+    return out.withColumn("monotone", F.when(F.col("pairs") > 0, F.col("negative_steps") == 0))

@@ -1,10 +1,10 @@
-"""Live quality of streams and roll-ups of sessions, and the SQL that gives the same rows."""
+"""Live quality of streams, roll-ups of sessions and audits of sequences, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import live_quality, session
+from ..operators import live_quality, session, spans
 from ..operators.live_quality import CAUSES, COUNTERS, EMISSION_STAGES, LIMITS, OF_LISTENER, SERIES, STREAMS
 from ..sources import tables
 from ..sources.tables import TELEMETRY
@@ -124,3 +124,21 @@ def q9_session_rollup(spark, d):
     sessions = t.groupBy("stream_id").agg(F.count("*").alias("segments"), ((F.max("ts_ms") - F.min("ts_ms")) / 60000.0 / 100).alias("duration_min"))
     actions = t.where(F.col("k") % 11 < 3).select("stream_id", F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("k") % 11).cast("int")).alias("action"))
     return session.session_summary(quality_log(spark, d), sessions, actions, ["stream_id"], list(_NAMES))
+
+
+_TIMES = f"""{TELEMETRY}, ts as (select stream_id, seq, case when k % 23 = 0 then null when seq < 900 then 0.0 else cast(floor(seq / 160) as double) / 8 - case when k % 19 = 0 then 0.5 when k % 5 = 0 then 0.001 else 0 end end as v from telemetry),
+n as (select *, round(v, 2) as r, row_number() over w as i, lag(v) over w as p, lag(round(v, 2)) over w as q from ts window w as (partition by stream_id order by seq)),
+m as (select *, sum(case when v = p then 0 else 1 end) over (partition by stream_id order by i) as run, sum(case when r = q then 0 else 1 end) over (partition by stream_id order by i) as rrun from n)"""
+_RUNS = "select stream_id, max(len) as {longest}, coalesce(string_agg(len || ':' || c, ',' order by len) filter (len > 1), '') as {name} from (select stream_id, len, count(*) as c from (select stream_id, count(*) as len from m where v is not null group by stream_id, {island}) group by stream_id, len) group by stream_id"
+
+
+@query(f"""with {_TIMES}, a as ({_RUNS.format(longest="longest", name="runs", island="run")}), b as ({_RUNS.format(longest="rounded_longest", name="rounded_runs", island="rrun")}),
+c as (select stream_id, count(*) as n, count(v) as measurable, count(distinct v) as distinct_values, count(distinct r) as distinct_rounded, count(v - p) as pairs, count(*) filter (v = p) as equal_steps, count(*) filter (v <> p and r = q) as rounded_steps,
+  count(*) filter (v < p) as negative_steps, round(min(v - p) filter (v > p), 6) as least_step, coalesce(min(i) filter (v is null or v <> 0) - 1, count(*)) as leading_zeros from m group by stream_id)
+select c.*, coalesce(longest, 0) as longest, coalesce(runs, '') as runs, coalesce(rounded_longest, 0) as rounded_longest, coalesce(rounded_runs, '') as rounded_runs, case when pairs > 0 then negative_steps = 0 end as monotone
+from c left join a using (stream_id) left join b using (stream_id)""")
+def i8_token_sequence_audit(spark, d):
+    """Events as timestamps: zeros first, then slow steps with nulls, steps back and steps that only rounding hides."""
+    off = F.when(F.col("k") % 19 == 0, 0.5).when(F.col("k") % 5 == 0, 0.001).otherwise(0.0)
+    v = F.when(F.col("k") % 23 == 0, None).when(F.col("seq") < 900, 0.0).otherwise(F.floor(F.col("seq") / 160).cast("double") / 8 - off)
+    return spans.token_sequence_audit(tables.telemetry(spark, d).select("stream_id", "seq", v.alias("v")), ["stream_id"], ["seq"], "v")
