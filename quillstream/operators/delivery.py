@@ -57,3 +57,17 @@ def dedupe_idempotent(df: DataFrame, key: list[str], payload: Column, order: lis
     first = F.min(F.struct(*order, digest.alias("digest")))
     out = df.groupBy(*key).agg(first.alias("f_"), F.count("*").alias("writes"), F.countDistinct(digest).alias("payloads"))
     return out.select(*key, *[F.col(f"f_.{o}").alias(o) for o in order], "writes", (F.col("payloads") > 1).alias("conflict"))
+
+
+def accepted_writes(df: DataFrame, session: list[str], key: str, payload: Column, order: list[str], most: int = 500) -> DataFrame:
+    """What becomes of each write: ``accepted`` (the first of its id), ``duplicate``, ``conflict`` (another payload), or ``full`` beyond the session's ``most`` ids.
+
+    Ids count in the order of their first writes; later writes of an id that was full are full too.  Rows that tie in ``order`` are ordered by payload.
+    """
+    digest = F.sha2(payload, 256)
+    own = Window.partitionBy(*session, key).orderBy(*order, "digest_")
+    rows = df.withColumn("digest_", digest).withColumn("no_", F.row_number().over(own)).withColumn("first_", F.first("digest_").over(own))
+    ids = rows.where("no_ = 1").withColumn("place_", F.row_number().over(Window.partitionBy(*session).orderBy(*order, key))).select(*session, key, "place_")
+    x = rows.join(ids, [*session, key])
+    verdict = F.when(F.col("place_") > most, "full").when(F.col("no_") == 1, "accepted").when(F.col("digest_") == F.col("first_"), "duplicate").otherwise("conflict")
+    return x.withColumn("verdict", verdict).drop("digest_", "no_", "first_", "place_")

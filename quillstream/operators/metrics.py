@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import floor_rank_summary, rounded
+from .core import bucketed_overlap_join, floor_rank_summary, rounded
 
 
 def stage_latencies(events: DataFrame, legs: dict[str, tuple[str, str]], tx: str = "tx_id", without: str | None = None) -> DataFrame:
@@ -94,3 +94,20 @@ def chunk_rate_anomaly(df: DataFrame, by: Sequence[str], duration_ms: int, most:
     counted = df.groupBy(*by, F.floor(F.col("ts_ms") / duration_ms).alias("window")).agg(F.count("*").alias("chunks"))
     rate = F.col("chunks") * 1000.0 / duration_ms
     return counted.select(*by, "window", "chunks", rounded(rate, 6).alias("rate"), (rate > most).alias("anomalous"))
+
+
+def in_flight_at(requests: DataFrame, probes: DataFrame, by: Sequence[str], width: int = 65_536) -> DataFrame:
+    """At each probe: requests in flight, the oldest one's id, age and age of its attempt.
+
+    ``requests``: by, ``id, start, end`` and ``attempt_start``, in flight on [start, end); ``probes``: by, ``at``.  The oldest is the one that started
+    first (ties: the smallest id).  Both meet by an interval join on buckets; probes without any have 0 and nulls, probes that repeat are one.
+    """
+    by = list(by)
+    a = probes.select(*by, F.col("at").alias("a_id"), F.col("at").alias("a_start"), (F.col("at") + 1).alias("a_end")).distinct()
+    b = requests.select(*by, F.struct("start", "id", "attempt_start").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    met = bucketed_overlap_join(a, b, by, width).groupBy(*by, F.col("a_id").alias("at")).agg(F.count("*").alias("in_flight"), F.min("b_id").alias("o_"))
+    out = a.select(*by, F.col("a_id").alias("at")).join(met, [*by, "at"], "left")
+    return out.select(
+        *by, "at", F.coalesce("in_flight", F.lit(0)).alias("in_flight"), F.col("o_.id").alias("oldest"), (F.col("at") - F.col("o_.start")).alias("oldest_age"),
+        (F.col("at") - F.greatest("o_.start", F.least(F.col("at"), F.col("o_.attempt_start")))).alias("oldest_attempt_age"),
+    )

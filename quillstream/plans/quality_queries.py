@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import live_quality, session, spans
+from ..operators import delivery, live_quality, metrics, session, spans
 from ..operators.live_quality import CAUSES, COUNTERS, EMISSION_STAGES, LIMITS, OF_LISTENER, SERIES, STREAMS
 from ..sources import tables
-from ..sources.tables import TELEMETRY
+from ..sources.tables import SPANS, TELEMETRY
 from .registry import query
 from .stream_queries import _SCORE
 
@@ -142,3 +142,20 @@ def i8_token_sequence_audit(spark, d):
     off = F.when(F.col("k") % 19 == 0, 0.5).when(F.col("k") % 5 == 0, 0.001).otherwise(0.0)
     v = F.when(F.col("k") % 23 == 0, None).when(F.col("seq") < 900, 0.0).otherwise(F.floor(F.col("seq") / 160).cast("double") / 8 - off)
     return spans.token_sequence_audit(tables.telemetry(spark, d).select("stream_id", "seq", v.alias("v")), ["stream_id"], ["seq"], "v")
+
+
+@query(f"""with {SPANS}, r as (select space, id * 10 + word as rid, start, max("end") as "end" from spans group by all), p as (select distinct space, start + 7 as at_ from spans where word % 3 = 1),
+j as (select p.space, p.at_, rid, start from p join r on r.space = p.space and r.start <= p.at_ and p.at_ < r."end"), c as (select space, at_, count(*) as n, min((start, rid)) as o from j group by all)
+select p.space, p.at_ as "at", coalesce(n, 0) as in_flight, o[2] as oldest, p.at_ - o[1] as oldest_age, p.at_ - greatest(o[1], least(p.at_, o[1] + 50)) as oldest_attempt_age from p left join c on p.space = c.space and p.at_ = c.at_""")
+def b11_in_flight_at(spark, d):
+    s = tables.spans(spark, d)
+    requests = s.groupBy("space", (F.col("id") * 10 + F.col("word")).alias("id"), "start").agg(F.max("end").alias("end")).withColumn("attempt_start", F.col("start") + 50)
+    return metrics.in_flight_at(requests, s.where("word % 3 = 1").select("space", (F.col("start") + 7).alias("at")), ["space"])
+
+
+@query(f"""with {TELEMETRY}, r as (select stream_id, seq, k, stage, ts_ms, row_number() over w as no, first_value(stage) over w as f from telemetry window w as (partition by stream_id, k order by ts_ms, seq)),
+i as (select stream_id, k, row_number() over (partition by stream_id order by ts_ms, seq, k) as place from r where no = 1)
+select r.stream_id, r.seq, case when place > 40 then 'full' when no = 1 then 'accepted' when stage = f then 'duplicate' else 'conflict' end as verdict from r join i on r.stream_id = i.stream_id and r.k = i.k""")
+def a5_accepted_writes(spark, d):
+    t = tables.telemetry(spark, d)
+    return delivery.accepted_writes(t, ["stream_id"], "k", F.col("stage"), ["ts_ms", "seq"], 40).select("stream_id", "seq", "verdict")
