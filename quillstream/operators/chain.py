@@ -7,10 +7,13 @@ carries one state, in batch (``fold.ordered_fold``) and in streams (``streaming.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import islice
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from .dedup import STOP
 from .fold import State, Step, _cosine
 from .units import Limits, clean_units
@@ -107,6 +110,28 @@ def without_echoes(words: Sequence[str], n: int = GRAM) -> list[str]:
     return out
 
 
+def echoes_cut(text: str) -> str:
+    """The text without its echoes; as it is where it has none, is short, or over 70% of it would go."""
+    words = text.split()
+    kept = " ".join(without_echoes(words)) if len(words) >= 2 * GRAM else text
+    return text if len(kept) < len(text) * 0.3 or len(kept.split()) == len(words) else kept
+
+
+def echo_trim(df: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
+    """``key, kept, n_words, n_cut`` of every text, row by row where it lies.  Null and empty texts come back as they are."""
+    key = list(key)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            kept = [None if t is None else echoes_cut(t) for t in f["text_"]]
+            n = [len((t or "").split()) for t in f["text_"]]
+            out = pd.DataFrame({"kept": kept, "n_words": n, "n_cut": [m - len((k or "").split()) for m, k in zip(n, kept, strict=True)]})
+            yield pd.concat([f[key].reset_index(drop=True), out], axis=1)
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    return df.select(*key, df[text_col].cast("string").alias("text_")).mapInPandas(run, f"{schema}, kept string, n_words long, n_cut long")
+
+
 def gate(text: str) -> str | None:
     """Why a text goes no further: few letters, or a short piece without a sentence end."""
     solid = re.sub(r"\s", "", text)
@@ -200,10 +225,7 @@ class _Pass:
         return None if self.becomes("tail", " ".join(words[cut:]) if cut else self.text) else "tail"
 
     def echo(self) -> str | None:
-        words = self.text.split()
-        kept = " ".join(without_echoes(words)) if len(words) >= 2 * GRAM else self.text
-        if len(kept) < len(self.text) * 0.3 or len(kept.split()) == len(words):
-            kept = self.text
+        kept = echoes_cut(self.text)
         self.actions["echo"] = "emit" if kept == self.text else "trim"
         return None if self.becomes("echo", kept) else "echo"
 

@@ -16,6 +16,11 @@ from ..sources import tables
 from .registry import query
 
 
+@query()
+def g4_echo_trim(spark, d):
+    return chain.echo_trim(tables.texts(spark, d), ["doc_id"]).select("doc_id", "n_words", "n_cut", F.sha2("kept", 256).alias("kept"))
+
+
 @query()
 def g5_unit_pair_cleanup(spark, d):
     out = units.unit_pair_cleanup(tables.texts(spark, d), ["doc_id"])

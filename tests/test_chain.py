@@ -303,3 +303,15 @@ def test_native_history_and_overlap_equal_the_restated_ones(spark):
                 n = len(next(t for k, q, t in rows if (k, q) == (s, seq)).split())
                 want[s, seq] = (action, n - len((text or "").split()))
         assert got == want
+
+
+def test_echo_trim_equals_the_restated_one(spark):
+    rng = random.Random(6)
+    texts = [None, "", "kurz", "a b c d e f " * 40]
+    for _ in range(80):
+        block = " ".join(rng.choice("alpha beta gamma delta eins zwei drei vier".split()) + rng.choice(["", ".", "n"]) for _ in range(rng.randrange(6, 25)))
+        texts.append(" ".join([block, *(f"wort{rng.randrange(999)}" for _ in range(rng.randrange(0, 20))), block, "ende"]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
+    got = {r.doc_id: (r.kept, r.n_cut) for r in chain.echo_trim(df, ["doc_id"]).collect()}
+    assert got == {i: (t if t is None else restated_echo(t), len((t or "").split()) - len((t if t is None else restated_echo(t)) .split() if t else [])) for i, t in enumerate(texts)}
+    assert sum(n > 0 for _, n in got.values()) > 20
