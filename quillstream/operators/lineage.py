@@ -76,3 +76,38 @@ def speech_segments(frames: DataFrame, by: list[str], order: list[str], speech:
     marked = frames.withColumn("on_", speech).withColumn("new_", F.col("on_") & ~F.coalesce(F.lag("on_").over(w), F.lit(False)))
     run = marked.withColumn("segment", F.sum(F.col("new_").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("on_")
     return run.groupBy(*by, "segment").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("rows"))
+
+
+#: Least and most level, target level, least, good and excellent signal to noise (dB), volume gate (dB).
+LEVELS, SNRS, GATE_DB = (0.01, 0.9, 0.2), (10.0, 20.0, 30.0), -45.0
+
+
+def audio_quality(frames: DataFrame, by: list[str], samples: str = "samples") -> DataFrame:
+    """Level of each key's audio in numbers and decibels, its noise floor, what a transcriber would do with it, score, level and issues.
+
+    The level is that of all samples; the noise floor the mean level of the quietest 20% of frames (one at least), signal to noise 0 where either is
+    silent.  The gate opens above -45 dB.  Decibels of silence are null.  The score starts at 100: too quiet, too loud, far from the target, noise and
+    clipping take from it, an excellent signal adds 5.  Empty frames and null samples are left out.
+    """
+    clean = F.filter(F.coalesce(F.col(samples), F.array().cast("array<double>")), lambda x: x.isNotNull())
+    sums = frames.withColumn("s_", clean).where(F.size("s_") > 0).select(
+        *by, "frame", F.aggregate("s_", F.lit(0.0), lambda a, x: a + x * x).alias("e_"), F.size("s_").alias("k_"), F.array_max(F.transform("s_", F.abs)).alias("p_"),
+    ).withColumn("level_", F.sqrt(F.col("e_") / F.col("k_")))
+    own = Window.partitionBy(*by)
+    ranked = sums.withColumn("r_", F.row_number().over(own.orderBy("level_", "frame"))).withColumn("n_", F.count("*").over(own))
+    quiet = F.when(F.col("r_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * 0.2)), F.col("level_"))
+    x = ranked.groupBy(*by).agg(F.count("*").alias("frames"), F.sqrt(F.sum("e_") / F.sum("k_")).alias("rms"), F.max("p_").alias("peak"), F.avg(quiet).alias("noise"))
+    db = lambda c: F.when(F.col(c) > 0, 20 * F.log10(c))
+    x = x.select("*", db("rms").alias("db"), db("peak").alias("peak_db"), db("noise").alias("noise_db"))
+    x = x.withColumn("snr", F.coalesce(F.col("db") - F.col("noise_db"), F.lit(0.0))).withColumn("gate", F.coalesce(20 * F.log10(F.col("rms") + 1e-10) > GATE_DB, F.lit(False)))
+    (low, high, target), (least, good, best) = LEVELS, SNRS
+    level = F.when(F.col("rms") < low, 30 * (1 - F.col("rms") / low)).when(F.col("rms") > high, 40).when(F.col("rms") < target / 2, 15).when(F.col("rms") > target * 2, 10).otherwise(0)
+    noise = F.when(F.col("snr") < least, 30 * (1 - F.col("snr") / least)).when(F.col("snr") < good, 10).when(F.col("snr") >= best, -5).otherwise(0)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100 - level - noise - F.when(F.col("peak") >= 0.99, 20).when(F.col("peak") >= 0.95, 10).otherwise(0) + 0.5)))
+    issues = F.array_join(F.array_compact(F.array(
+        F.when(F.col("rms") < low, "too_quiet"), F.when(F.col("peak") >= 0.99, "clipping").when(F.col("peak") >= 0.95, "near_clipping"), F.when(F.col("snr") < least, "high_noise").when(F.col("snr") < good, "moderate_noise"),
+    )), ",")
+    name = F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 75, "good").when(F.col("score") >= 50, "acceptable").when(F.col("score") >= 25, "poor").otherwise("unusable")
+    out = x.withColumn("score", score).withColumn("quality", name)
+    numbers = ("rms", "peak", "noise", "db", "peak_db", "noise_db", "snr")
+    return out.select(*by, "frames", *[F.round(c, 5).alias(c) for c in numbers], F.round(F.col("peak_db") - F.col("noise_db"), 5).alias("dynamic_range"), "gate", "score", "quality", issues.alias("issues"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import delivery, live_quality, metrics, session, spans
+from ..operators import delivery, lineage, live_quality, metrics, session, spans
 from ..operators.live_quality import CAUSES, COUNTERS, EMISSION_STAGES, LIMITS, OF_LISTENER, SERIES, STREAMS
 from ..sources import tables
 from ..sources.tables import SPANS, TELEMETRY
@@ -159,3 +159,23 @@ select r.stream_id, r.seq, case when place > 40 then 'full' when no = 1 then 'ac
 def a5_accepted_writes(spark, d):
     t = tables.telemetry(spark, d)
     return delivery.accepted_writes(t, ["stream_id"], "k", F.col("stage"), ["ts_ms", "seq"], 40).select("stream_id", "seq", "verdict")
+
+
+_DB = "case when {c} > 0 then 20 * log10({c}) end"
+
+
+@query(f"""with f as (select label, vec_id as frame, list_transform(embedding, lambda v: v::double * case label % 3 when 0 then 0.02 when 1 then 1 else 4 end * case when vec_id % 4 = 0 then 0.05 else 1 end) as s from embeddings),
+e as (select label, frame, list_sum(list_transform(s, lambda v: v * v)) as e, len(s) as k, list_max(list_transform(s, lambda v: abs(v))) as p from f where len(s) > 0),
+r as (select *, sqrt(e / k) as lv, row_number() over (partition by label order by sqrt(e / k), frame) as r, count(*) over (partition by label) as n from e),
+x as (select label, count(*) as frames, sqrt(sum(e) / sum(k)) as rms, max(p) as peak, avg(lv) filter (r <= greatest(1, floor(n * 0.2))) as noise from r group by label),
+y as (select *, {_DB.format(c="rms")} as db, {_DB.format(c="peak")} as peak_db, {_DB.format(c="noise")} as noise_db from x), z as (select *, coalesce(db - noise_db, 0) as snr from y),
+s as (select *, greatest(0, least(100, floor(100 - case when rms < 0.01 then 30 * (1 - rms / 0.01) when rms > 0.9 then 40 when rms < 0.1 then 15 when rms > 0.4 then 10 else 0 end
+  - case when snr < 10 then 30 * (1 - snr / 10) when snr < 20 then 10 when snr >= 30 then -5 else 0 end - case when peak >= 0.99 then 20 when peak >= 0.95 then 10 else 0 end + 0.5))) as score from z)
+select label, frames, {", ".join(f"round({c}, 5) as {c}" for c in ("rms", "peak", "noise", "db", "peak_db", "noise_db", "snr"))}, round(peak_db - noise_db, 5) as dynamic_range, 20 * log10(rms + 1e-10) > -45 as gate, cast(score as bigint) as score,
+  case when score >= 90 then 'excellent' when score >= 75 then 'good' when score >= 50 then 'acceptable' when score >= 25 then 'poor' else 'unusable' end as quality,
+  concat_ws(',', case when rms < 0.01 then 'too_quiet' end, case when peak >= 0.99 then 'clipping' when peak >= 0.95 then 'near_clipping' end, case when snr < 10 then 'high_noise' when snr < 20 then 'moderate_noise' end) as issues from s""")
+def k1_audio_quality(spark, d):
+    """Vectors as frames of samples; labels differ in gain, and every fourth frame is quiet."""
+    gain = F.when(F.col("label") % 3 == 0, 0.02).when(F.col("label") % 3 == 1, 1.0).otherwise(4.0) * F.when(F.col("vec_id") % 4 == 0, 0.05).otherwise(1.0)
+    frames = tables.read(spark, d, "embeddings").select("label", F.col("vec_id").alias("frame"), F.transform(F.col("embedding").cast("array<double>"), lambda v: v * gain).alias("samples"))
+    return lineage.audio_quality(frames, ["label"])
