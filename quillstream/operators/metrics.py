@@ -109,5 +109,5 @@ def in_flight_at(requests: DataFrame, probes: DataFrame, by: Sequence[str], widt
     out = a.select(*by, F.col("a_id").alias("at")).join(met, [*by, "at"], "left")
     return out.select(
         *by, "at", F.coalesce("in_flight", F.lit(0)).alias("in_flight"), F.col("o_.id").alias("oldest"), (F.col("at") - F.col("o_.start")).alias("oldest_age"),
-        (F.col("at") - F.greatest("o_.start", F.least(F.col("at"), F.col("o_.attempt_start")))).alias("oldest_attempt_age"),
+        F.when(F.col("o_").isNotNull(), F.col("at") - F.greatest("o_.start", F.least(F.col("at"), F.col("o_.attempt_start")))).alias("oldest_attempt_age"),
     )

@@ -146,7 +146,7 @@ def i8_token_sequence_audit(spark, d):
 
 @query(f"""with {SPANS}, r as (select space, id * 10 + word as rid, start, max("end") as "end" from spans group by all), p as (select distinct space, start + 7 as at_ from spans where word % 3 = 1),
 j as (select p.space, p.at_, rid, start from p join r on r.space = p.space and r.start <= p.at_ and p.at_ < r."end"), c as (select space, at_, count(*) as n, min((start, rid)) as o from j group by all)
-select p.space, p.at_ as "at", coalesce(n, 0) as in_flight, o[2] as oldest, p.at_ - o[1] as oldest_age, p.at_ - greatest(o[1], least(p.at_, o[1] + 50)) as oldest_attempt_age from p left join c on p.space = c.space and p.at_ = c.at_""")
+select p.space, p.at_ as "at", coalesce(n, 0) as in_flight, o[2] as oldest, p.at_ - o[1] as oldest_age, case when o is not null then p.at_ - greatest(o[1], least(p.at_, o[1] + 50)) end as oldest_attempt_age from p left join c on p.space = c.space and p.at_ = c.at_""")
 def b11_in_flight_at(spark, d):
     s = tables.spans(spark, d)
     requests = s.groupBy("space", (F.col("id") * 10 + F.col("word")).alias("id"), "start").agg(F.max("end").alias("end")).withColumn("attempt_start", F.col("start") + 50)
