@@ -63,7 +63,12 @@ def overlap_words(words_: DataFrame, cuts: DataFrame, by: list[str], k: int = 15
 
 
 #: Announcements that a repeat is meant.
-REPEAT_CUES = r"(?i)\bich\s+sage\s+es\s+(?:nochmals|noch\s+einmal|wieder)\b|\bich\s+wiederhole\s+(?:es|das|dies)\b|\bich\s+möchte\s+(?:es|das|dies)\s+wiederholen\b"
+CUES = (
+    r"\bich\s+sage\s+es\s+(?:nochmals|noch\s+einmal|wieder)\b",
+    r"\bich\s+wiederhole\s+(?:es|das|dies)\b",
+    r"\bich\s+möchte\s+(?:es|das|dies)\s+wiederholen\b",
+)
+REPEAT_CUES = "(?i)" + "|".join(CUES)
 
 
 def protect_rhetorical(df: DataFrame, by: list[str], order: str) -> DataFrame:
