@@ -98,6 +98,34 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str) -
     return rows.join(heavy, keys).unionByName(rest.join(light, keys))
 
 
+#: Bits of a bitmap of keys: for each key, and at most (32 MB).
+KEY_BITS, MOST_BITS = 32, 1 << 28
+#: Bits of a row of it, which Spark's bitmap functions fix.
+ROW_BITS = 1 << 15
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str, wanted_key: str | None = None) -> DataFrame:
+    """The rows whose ``key`` is among the keys of ``wanted``, and about one in 250 of the others; the rows stay where they are.
+
+    Two bits for each wanted key are broadcast as a bitmap, so wide rows that nothing wants are not shuffled.  More
+    keys than ``MOST_BITS`` has room for (an eighth of the bits) are met by an exact semi join instead.  ``wanted`` is read
+    twice and should be a written table; its keys may repeat.  Null keys are dropped.
+    """
+    keys = wanted.select(F.col(wanted_key or key).alias("key_"))
+    n = keys.count()
+    if 8 * n > MOST_BITS:
+        return rows.join(keys, rows[key] == keys["key_"], "left_semi")
+    chunks = min(MOST_BITS, max(16 * ROW_BITS, KEY_BITS * n)) // ROW_BITS
+    spots = lambda c: [F.pmod(F.shiftright(F.xxhash64(c), by), F.lit(ROW_BITS)) for by in (0, 20)]
+    chunk = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 40), F.lit(chunks))
+    told = keys.where("key_ is not null").select(chunk("key_").alias("chunk_"), F.explode(F.array(*spots("key_"))).alias("spot_"))
+    bitmap = told.repartition("chunk_").groupBy("chunk_").agg(F.bitmap_construct_agg("spot_").alias("bits_"))
+    byte = lambda at: F.conv(F.hex(F.substring(F.col("bits_"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = [F.getbit(byte(at), F.pmod(at, F.lit(8)).cast("int")) == 1 for at in spots(key)]
+    met = rows.withColumn("chunk_", chunk(key)).where(F.col(key).isNotNull()).join(F.broadcast(bitmap), "chunk_")
+    return met.where(held[0] & held[1]).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

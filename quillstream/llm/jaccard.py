@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_facts, scratch, table, written
+from .common import discard, join_facts, likely, scratch, table, written
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -79,6 +79,12 @@ def fingerprints(values: np.ndarray) -> tuple[int, int]:
     return int(values.sum(dtype=np.uint64).astype(np.int64)), int(spread.sum(dtype=np.uint64).astype(np.int64))
 
 
+def _told(places: list[int], batch: pa.RecordBatch, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets, but for those of other rows of an id: where a batch names an id's fingerprints, its set has these."""
+    named = zip(*(batch.column(c).take(pa.array(places)).to_pylist() for c in ("f1", "f2")), strict=True)
+    return [v if e[0] is None or fingerprints(v) == e else v[:0] for v, e in zip(sets, named, strict=True)]
+
+
 def _rows(k: int, percent: int):
     names = ["doc_id", "n", "f1", "f2", *_PARITY, "credit"]
     schema = pa.schema([(c, pa.int64()) for c in names] + [("of_slice", pa.bool_()), ("keys", pa.list_(pa.int64()))])
@@ -108,8 +114,7 @@ def _entries(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places, batch, sets in _slices(batches, k):
-            expected = np.stack([batch.column(c).to_numpy()[places] for c in ("f1", "f2")], axis=1).tolist()
-            sets = [v if list(fingerprints(v)) == e else v[:0] for v, e in zip(sets, expected, strict=True)]  # another row of the same id
+            sets = _told(places, batch, sets)
             flat, docs = np.concatenate(sets), np.repeat(batch.column("doc_id").to_numpy()[places], [len(v) for v in sets])
             order = np.argsort(flat, kind="stable")
             flat, docs = flat[order], docs[order]
@@ -124,15 +129,18 @@ def _entries(k: int):
 def _blocks(k: int):
     """Each set cut into column blocks, which are equal ranges of the hash."""
     edges = (np.arange(1, PRODUCT_BLOCKS, dtype=np.float64) * (2.0**64 / PRODUCT_BLOCKS)).astype(np.uint64)
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("blocks", pa.list_(pa.list_(pa.int64())))])
+    schema = pa.schema([("doc_id", pa.int64()), ("blocks", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places, batch, sets in _slices(batches, k):
+            kept = [(i, v) for i, v in zip(places, _told(places, batch, sets), strict=True) if len(v)]
+            if not kept:
+                continue
+            places, sets = [list(x) for x in zip(*kept, strict=True)]
             cuts = np.array([np.concatenate(([0], np.searchsorted(v, edges), [len(v)])) for v in sets])
             blocks = _lists(np.concatenate(sets), np.diff(cuts, axis=1).ravel())
             outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PRODUCT_BLOCKS, pa.int32()), blocks)
-            prints = np.array([fingerprints(v) for v in sets], dtype=np.int64)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(places)), *(pa.array(x) for x in prints.T), outer], schema=schema)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(places)), outer], schema=schema)
 
     return run
 
@@ -153,8 +161,8 @@ def accumulated(x: Column, y: Column, need: Column) -> Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (with the sum ``n`` of their sizes) whose overlap is as large as their sizes require."""
-    of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("blocks").alias(s))
+    """Pairs (with the sum ``n`` of their sizes) whose overlap is as large as their sizes require; only sets of the pairs are shuffled."""
+    of = lambda c, s: likely(sets, pairs, "doc_id", c).select(F.col("doc_id").alias(c), F.col("blocks").alias(s))
     need = F.expr(f"cast((n * {percent} + {99 + percent}) div {100 + percent} as int)")
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", accumulated(F.col("x"), F.col("y"), need).alias("overlap"), need.alias("need"))
     return both.where("overlap >= need").select("a", "b")
@@ -163,7 +171,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _entering(texts: DataFrame, distinct: DataFrame, k: int, percent: int) -> DataFrame:
     """``key, parts, doc_id, place``: the columns with which each row enters the product, and their place in its order by rarity.
 
-    ``distinct`` has ``doc_id, n, f1, f2`` of the rows; ``parts``: into how many parts the column's rows are dealt.
+    ``distinct`` has ``doc_id, n`` of the rows; ``texts`` may hold more, whose columns count in the order, which any one order
+    may be.  ``parts``: into how many parts the column's rows are dealt.
     """
     entries = texts.mapInArrow(_entries(k), "key long, doc_id long, more array<long>")
     counted = entries.withColumn("rows_", F.sum(F.array_size("more") + 1).over(Window.partitionBy("key"))).where("rows_ > 1")
@@ -217,12 +226,14 @@ def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: st
     discard(rows)
 
     # 2. the rows' rarest columns
-    texts = written(named.join(distinct.select("doc_id", "f1", "f2"), "doc_id"), "jaccard-texts")
+    of_id = all_ids.where("doc_id is not null").groupBy("doc_id")
+    several = of_id.agg(F.min(F.struct("n", "f1", "f2")).alias("least"), F.max(F.struct("n", "f1", "f2")).alias("most")).where("least <> most")
+    several = written(several.select("doc_id").join(distinct.select("doc_id", "f1", "f2"), "doc_id"), "jaccard-several")
+    texts = written(likely(named, distinct, "doc_id").join(several, "doc_id", "left"), "jaccard-texts")
     members = written(_entering(texts, distinct, k, percent), "jaccard-entering")
     nodes = written(members.select("doc_id").distinct().join(distinct, "doc_id").select("doc_id", "n", "f1", "f2", *_PARITY), "jaccard-nodes")
-    sets = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").mapInArrow(_blocks(k), "doc_id long, f1 long, f2 long, blocks array<array<long>>")
-    sets = sets.join(nodes.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").groupBy("doc_id").agg(F.first("blocks").alias("blocks"))
-    sets = written(sets, "jaccard-sets")
+    sets = likely(texts, nodes, "doc_id").mapInArrow(_blocks(k), "doc_id long, blocks array<array<long>>")
+    sets = written(sets.groupBy("doc_id").agg(F.first("blocks").alias("blocks")), "jaccard-sets")
     discard(texts)
 
     # 3. product by rounds of pivots
@@ -252,9 +263,10 @@ def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: st
         pairs = pairs.select(p["doc_id"].alias("a"), F.col("doc_id").alias("b"), both.alias("n"), F.least(most, F.floor((both - differ) / 2)).alias("most"))
         # the product's entries: columns so far, and the least bound of what all columns can give
         summed = pairs.where(F.col("most") * (100 + percent) >= F.col("n") * percent).groupBy("a", "b", "n").agg(F.count("*").alias("so_far"), F.min("most").alias("most"))
-        if tested is not None:
-            summed = summed.join(tested, ["a", "b"], "left_anti")
         pairs = written(summed.select("a", "b", "n"), "jaccard-pairs")
+        if tested is not None:  # written first: else the optimiser compares every entry of the product instead of every pair
+            pairs, found = written(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs"), pairs
+            discard(found)
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
         labels = connected_components(written(_linked(pairs, sets, percent), "jaccard-links"), labels)

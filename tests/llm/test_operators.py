@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import chat, html_text, jaccard, mixing, quality_classifier, quality_rules, sentencepiece_ops, sharding, suffix_dedup, topk
+from quillstream.llm import chat, common, html_text, jaccard, mixing, quality_classifier, quality_rules, sentencepiece_ops, sharding, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, n string, key string, taken string"
 
@@ -173,6 +173,52 @@ def test_jaccard_components_of_large_groups(spark, percent, k, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == label
 
 
+def test_likely_rows(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("if(id = 7, null, id * 7 - 9000) as id", "'t' as text").union(spark.createDataFrame([(-8993, "u")], "id long, text string"))
+    wanted = common.written(spark.createDataFrame([(i * 7 - 9000,) for i in range(1, 4000, 40)] + [(-8993,), (5,), (None,)], "w long"), "likely-test")
+    exact = sorted((r.id, r.text) for r in rows.join(wanted.distinct(), F.col("id") == F.col("w"), "left_semi").collect())
+    met = common.likely(rows, wanted, "id", "w")
+    got = sorted((r.id, r.text) for r in met.collect())
+    assert met.columns == rows.columns and len(exact) == 101
+    assert set(exact) <= set(got) and len(got) == len(set(got)) <= len(exact) + 40
+    assert common.likely(rows, wanted.where("w is null"), "id", "w").count() == 0
+    monkeypatch.setattr(common, "MOST_BITS", 8)
+    assert sorted((r.id, r.text) for r in common.likely(rows, wanted, "id", "w").collect()) == exact
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 15, 1 << 28])
+def test_jaccard_moves_only_what_links(spark, bits, monkeypatch):
+    """Texts and sets stay where they are unless rows of the product need them; pairs are told apart as pairs, not as entries."""
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    plans, write = {}, jaccard.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    rng = random.Random(5)
+    shared = [f"licence{j}" for j in range(44)]
+    many = []
+    for i in range(120):  # under the bound by two, all with all; some copies, some texts of their own
+        own = [f"own{i % 110}x{rng.randrange(3) if i % 9 == 0 else j}" for j in range(12)]
+        many.append((i, " ".join(shared + own if i % 5 else [f"alone{i}x{j}" for j in range(30)]), "en", "s0"))
+    # ids with two texts, of which the larger counts; one of them repeated
+    many += [(3, many[4][1] + " more", "en", "s0"), (8, "few words of it", "en", "s0"), (8, "few words of it", "en", "s0"), (6, many[6][1], "en", "s0")]
+    one = {}
+    for r in many:
+        if r[0] not in one or len(set(r[1].split())) > len(set(one[r[0]][1].split())):
+            one[r[0]] = r
+    label = brute_components(list(one.values()), 80, 2)
+    out = jaccard.jaccard_join(docs_of(spark, many), percent=80, k=2).collect()
+    assert len(out) == len(many)
+    assert {r.doc_id: r.component_id for r in out} == label
+    told = [p for p in plans["jaccard-pairs"] if "LeftAnti" in p]
+    assert told and not any("Aggregate" in p for p in told)
+    if bits > 8:
+        assert all("strategy=broadcast" in plans[n][0] for n in ("jaccard-texts", "jaccard-sets", "jaccard-links"))
+
+
 def brute_suffix(rows, length):
     seen, out = {}, []
     for i, t, *_ in rows:
