@@ -115,7 +115,7 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str, wanted_key: str | None
     n = keys.count()
     if 8 * n > MOST_BITS:
         return rows.join(keys, rows[key] == keys["key_"], "left_semi")
-    chunks = min(MOST_BITS, max(16 * ROW_BITS, KEY_BITS * n)) // ROW_BITS
+    chunks = max(1, min(MOST_BITS, max(16 * ROW_BITS, KEY_BITS * n)) // ROW_BITS)
     spots = lambda c: [F.pmod(F.shiftright(F.xxhash64(c), by), F.lit(ROW_BITS)) for by in (0, 20)]
     chunk = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 40), F.lit(chunks))
     told = keys.where("key_ is not null").select(chunk("key_").alias("chunk_"), F.explode(F.array(*spots("key_"))).alias("spot_"))

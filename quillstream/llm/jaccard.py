@@ -9,10 +9,11 @@ The product is taken where it can be that large, and nowhere else:
    one slice hold are counted there and sent once, so a frequent column sends as many rows as there are slices.
 2. *Rarity.*  All columns of the rows left are counted.  Columns of one row come first in the order by count, then by hash; a row
    with more than e of them leaves, and the columns up to place e + 1 are the row's part of the product.
-3. *Product by rounds.*  Each column offers its first rows as pivots (1, then 16, 256, ...).  Products of pivots and rows that are
-   not connected yet are summed over the columns; sizes and 256 parity bits bound the overlap from above, and
-   for pairs within the bound the overlap is accumulated over the remaining columns block by block until it is
-   reached or out of reach.  Links join components, and columns whose rows lie in one component are finished.
+3. *Product by rounds.*  Each column offers its first rows as pivots (1, then 16, 256, ...).  The product goes row by row: a row
+   unites the pivots of its columns that are not connected with it yet, so a pair is one entry however many columns it
+   shares.  Columns of one row, which surely differ, and 256 parity bits of all others bound the overlap from above; for pairs
+   within the bound it is accumulated over the columns block by block until it is reached or out of reach.
+   Links join components, and columns whose rows lie in one component are finished.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ PRODUCT_BLOCKS = 8
 SLICE_ENTRIES = 1 << 20
 #: Rows of one column that a task multiplies with the column's pivots.
 PART_ROWS = 4096
+#: Pivots of one column that are united in one go, about.
+GO_PIVOTS = 256
 _PARITY = ["p1", "p2", "p3", "p4"]
+_FACTS = ["doc_id", "label", "n", "alone", *_PARITY]
 
 
 def lacking(n: int, percent: int) -> int:
@@ -48,10 +52,11 @@ def sure(n: int, percent: int) -> int:
     return min(n - e, e // 2 + 1)
 
 
-def parity(values: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the shingles that hash to it: two sets differ in as many shingles as bits at least."""
-    odd = np.bincount((mix(values ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(keys: Column, word: int) -> Column:
+    """64 of 256 bits, each the parity of the keys that hash to it: two sets differ in as many keys as bits at least."""
+    none = F.lit(0).cast("long")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, none, lambda odd, x: odd.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(3) == word, bit(x)).otherwise(none)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], pa.RecordBatch, list[np.ndarray]]]:
@@ -86,7 +91,7 @@ def _told(places: list[int], batch: pa.RecordBatch, sets: list[np.ndarray]) -> l
 
 
 def _rows(k: int, percent: int):
-    names = ["doc_id", "n", "f1", "f2", *_PARITY, "credit"]
+    names = ["doc_id", "n", "f1", "f2", "credit"]
     schema = pa.schema([(c, pa.int64()) for c in names] + [("of_slice", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +101,9 @@ def _rows(k: int, percent: int):
             _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
             local = times[which] > 1
             prints = np.array([fingerprints(v) for v in sets], dtype=np.int64)
-            bits = np.array([parity(v) for v in sets], dtype=np.int64)
             credit = np.bincount(row[local], minlength=len(sets))
             own = np.bincount(row[~local], minlength=len(sets))
-            columns = [pa.array(x, pa.int64()) for x in ([len(v) for v in sets], *prints.T, *bits.T, credit)]
+            columns = [pa.array(x, pa.int64()) for x in ([len(v) for v in sets], *prints.T, credit)]
             rows = [batch.column("doc_id").take(pa.array(places)), *columns, pa.array(np.zeros(len(sets), dtype=bool)), _lists(flat[~local], own)]
             yield pa.record_batch(rows, schema=schema)
             again = np.unique(flat[local])
@@ -162,17 +166,18 @@ def accumulated(x: Column, y: Column, need: Column) -> Column:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (with the sum ``n`` of their sizes) whose overlap is as large as their sizes require; only sets of the pairs are shuffled."""
-    of = lambda c, s: likely(sets, pairs, "doc_id", c).select(F.col("doc_id").alias(c), F.col("blocks").alias(s))
+    of = lambda c, s: likely(sets, pairs.select(c).distinct(), "doc_id", c).select(F.col("doc_id").alias(c), F.col("blocks").alias(s))
     need = F.expr(f"cast((n * {percent} + {99 + percent}) div {100 + percent} as int)")
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", accumulated(F.col("x"), F.col("y"), need).alias("overlap"), need.alias("need"))
     return both.where("overlap >= need").select("a", "b")
 
 
 def _entering(texts: DataFrame, distinct: DataFrame, k: int, percent: int) -> DataFrame:
-    """``key, parts, doc_id, place``: the columns with which each row enters the product, and their place in its order by rarity.
+    """Each row of the product: ``doc_id, n``, ``alone`` (how many of its columns no other row has), parity bits of all others, and
+    ``columns`` (``rows_, key``) with which it enters, in its order by rarity.
 
     ``distinct`` has ``doc_id, n`` of the rows; ``texts`` may hold more, whose columns count in the order, which any one order
-    may be.  ``parts``: into how many parts the column's rows are dealt.
+    may be.
     """
     entries = texts.mapInArrow(_entries(k), "key long, doc_id long, more array<long>")
     counted = entries.withColumn("rows_", F.sum(F.array_size("more") + 1).over(Window.partitionBy("key"))).where("rows_ > 1")
@@ -181,9 +186,28 @@ def _entering(texts: DataFrame, distinct: DataFrame, k: int, percent: int) -> Da
     ordered = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("rows_", "key"))).alias("c_"))
     ordered = ordered.join(distinct.select("doc_id", "n"), "doc_id").withColumn("alone", F.col("n") - F.size("c_"))
     lack = F.expr(f"n * {100 - percent} div 100")
-    ordered = ordered.where(F.col("alone") <= lack).select("doc_id", "alone", F.posexplode(F.slice("c_", 1, (lack + 1 - F.col("alone")).cast("int"))).alias("at", "c_"))
-    parts = F.ceil(F.col("c_.rows_") / PART_ROWS).cast("int")
-    return ordered.select(F.col("c_.key").alias("key"), parts.alias("parts"), "doc_id", (F.col("alone") + F.col("at") + 1).alias("place"))
+    bits = [parity(F.col("c_.key"), word).alias(c) for word, c in enumerate(_PARITY)]
+    return ordered.where(F.col("alone") <= lack).select("doc_id", "n", "alone", *bits, F.slice("c_", 1, (lack + 1 - F.col("alone")).cast("int")).alias("columns"))
+
+
+def within(x: Column, y: Column, percent: int) -> Column:
+    """Whether two rows may overlap as much as their sizes require; each has ``n, alone`` and parity bits.  A link is never ruled out."""
+    both = x["n"] + y["n"]
+    # a column that a row has alone is one in which they differ
+    differ = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in _PARITY), x["alone"] + y["alone"])
+    enough = lambda most: most * (100 + percent) >= both * percent
+    return enough(F.least(x["n"] - x["alone"], y["n"] - y["alone"])) & enough(F.floor((both - differ) / 2))
+
+
+def _meeting(now: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n``: each row ``b`` with each smaller pivot ``a`` of its columns that is not connected with it and within the bound, once."""
+    spread = chosen.select("key", "go", "ps", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    row = {c: F.col(c) for c in _FACTS}
+    apart = lambda p: (p["doc_id"] < row["doc_id"]) & (p["label"] != row["label"]) & within(p, row, percent)
+    pair = lambda p: F.struct(p["doc_id"].alias("a"), (p["n"] + row["n"]).alias("n"))
+    met = now.join(spread, ["key", "part"]).select("doc_id", "go", F.transform(F.filter("ps", apart), pair).alias("ps")).where(F.size("ps") > 0)
+    met = met.groupBy("doc_id", "go").agg(F.collect_set("ps").alias("ps")).select("doc_id", F.explode(F.array_distinct(F.flatten("ps"))).alias("p"))
+    return met.select("p.a", F.col("doc_id").alias("b"), "p.n")
 
 
 def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +232,7 @@ def jaccard_join(docs: DataFrame, *, percent: int = 90, k: int = 3, id_col: str
 def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = few.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    numbers = ["n", "f1", "f2", *_PARITY, "credit"]
+    numbers = ["n", "f1", "f2", "credit"]
     rows = few.mapInArrow(_rows(k, percent), "doc_id long, " + ", ".join(f"{c} long" for c in numbers) + ", of_slice boolean, keys array<long>")
     rows = written(rows, "jaccard-rows")
     all_ids = written(rows.where("not of_slice").select("doc_id", *numbers), "jaccard-ids")
@@ -219,9 +243,9 @@ def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: st
     met = second.groupBy("doc_id").agg(F.count("*").alias("met"))
     lack = f"n * {100 - percent} div 100"
     able = all_ids.where("doc_id is not null and n > 0").join(met, "doc_id", "left").where(f"credit + coalesce(met, 0) >= least(n - {lack}, {lack} div 2 + 1)")
-    able = able.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2", *_PARITY)).alias("s_")).select("doc_id", "s_.*")
+    able = able.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("s_")).select("doc_id", "s_.*")
     about = written(able, "jaccard-able")
-    distinct = about.groupBy("n", "f1", "f2", *_PARITY).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    distinct = about.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     distinct = written(distinct, "jaccard-distinct")
     discard(rows)
 
@@ -230,50 +254,47 @@ def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: st
     several = of_id.agg(F.min(F.struct("n", "f1", "f2")).alias("least"), F.max(F.struct("n", "f1", "f2")).alias("most")).where("least <> most")
     several = written(several.select("doc_id").join(distinct.select("doc_id", "f1", "f2"), "doc_id"), "jaccard-several")
     texts = written(likely(named, distinct, "doc_id").join(several, "doc_id", "left"), "jaccard-texts")
-    members = written(_entering(texts, distinct, k, percent), "jaccard-entering")
-    nodes = written(members.select("doc_id").distinct().join(distinct, "doc_id").select("doc_id", "n", "f1", "f2", *_PARITY), "jaccard-nodes")
+    nodes = written(_entering(texts, distinct, k, percent), "jaccard-nodes")
     sets = likely(texts, nodes, "doc_id").mapInArrow(_blocks(k), "doc_id long, blocks array<array<long>>")
     sets = written(sets.groupBy("doc_id").agg(F.first("blocks").alias("blocks")), "jaccard-sets")
     discard(texts)
 
     # 3. product by rounds of pivots
-    dealt = members.withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int"))
-    members, entering = written(dealt.join(nodes.drop("f1", "f2"), "doc_id"), "jaccard-members"), members
-    discard(entering)
+    parts = F.ceil(F.col("c_.rows_") / PART_ROWS).cast("int")
+    facts = nodes.drop("columns")
+    members = nodes.select(*facts.columns, F.explode("columns").alias("c_")).select(F.col("c_.key").alias("key"), parts.alias("parts"), *facts.columns)
+    members = members.withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int"))
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    p = F.col("p")
-    facts = ["doc_id", "place", "label", "n", *_PARITY]
     tested = None
     pivots = 1
     while True:
-        now = written(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id"), "jaccard-now")
-        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct(*facts)).alias("p"), F.first("parts").alias("parts")).where("l1 < l2")
-        if pivots > 1:
+        now = members.withColumn("label", F.col("doc_id")) if tested is None else members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").join(facts, "doc_id")
+        now = written(now, "jaccard-now")
+        first = F.min(F.struct(*_FACTS)).alias("p")
+        open_ = now.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), first, F.first("parts").alias("parts")).where("l1 < l2")
+        if pivots == 1:
+            chosen = open_.select("key", "parts", F.lit(0).alias("go"), F.array("p").alias("ps"))
+        else:
             ranked = now.withColumn("r_", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("r_") <= pivots)
-            open_ = ranked.select("key", "parts", F.struct(*facts).alias("p")).join(open_.select("key"), "key")
-        chosen = written(open_.select("key", "parts", "p"), "jaccard-pivots")
+            ranked = ranked.join(open_.select("key"), "key").withColumn("go", F.expr(f"pmod(xxhash64(doc_id), {max(1, pivots // GO_PIVOTS)})").cast("int"))
+            chosen = ranked.groupBy("key", "parts", "go").agg(F.collect_list(F.struct(*_FACTS)).alias("ps"))
+        chosen = written(chosen, "jaccard-pivots")
         if chosen.isEmpty():
             break
-        spread = chosen.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "p")
-        both = F.col("n") + p["n"]
-        # the columns before, at and behind this one; and those in which parity bits differ
-        most = F.least(F.col("place"), p["place"]) + F.least(F.col("n") - F.col("place"), p["n"] - p["place"])
-        differ = sum((F.bit_count(F.col(c).bitwiseXOR(p[c])) for c in _PARITY), F.lit(0))
-        pairs = now.join(spread, ["key", "part"]).where((F.col("doc_id") > p["doc_id"]) & (F.col("label") != p["label"]))
-        pairs = pairs.select(p["doc_id"].alias("a"), F.col("doc_id").alias("b"), both.alias("n"), F.least(most, F.floor((both - differ) / 2)).alias("most"))
-        # the product's entries: columns so far, and the least bound of what all columns can give
-        summed = pairs.where(F.col("most") * (100 + percent) >= F.col("n") * percent).groupBy("a", "b", "n").agg(F.count("*").alias("so_far"), F.min("most").alias("most"))
-        pairs = written(summed.select("a", "b", "n"), "jaccard-pairs")
-        if tested is not None:  # written first: else the optimiser compares every entry of the product instead of every pair
+        pairs = written(_meeting(now, chosen, percent), "jaccard-pairs")
+        if tested is not None:
             pairs, found = written(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs"), pairs
             discard(found)
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
         labels = connected_components(written(_linked(pairs, sets, percent), "jaccard-links"), labels)
-        used = chosen.select("key", p["doc_id"].alias("doc_id"))
-        still = spread.select("key", "part").distinct()
-        members, before = written(now.drop("label").join(still, ["key", "part"], "left_semi").join(used, ["key", "doc_id"], "left_anti"), "jaccard-members"), members
-        discard(now, before, chosen)
+        # rows behind the pivots of a column that was open stay
+        last = chosen.groupBy("key", "parts").agg(F.max(F.array_max(F.col("ps.doc_id"))).alias("last"))
+        last = last.select("key", "last", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        members, before = written(now.select("key", "parts", "part", "doc_id").join(last, ["key", "part"]).where("doc_id > last").drop("last"), "jaccard-members"), members
+        discard(now, chosen)
+        if pivots > 1:
+            discard(before)
         pivots *= 16
 
     component = distinct.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")

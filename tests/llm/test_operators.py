@@ -219,6 +219,60 @@ def test_jaccard_moves_only_what_links(spark, bits, monkeypatch):
         assert all("strategy=broadcast" in plans[n][0] for n in ("jaccard-texts", "jaccard-sets", "jaccard-links"))
 
 
+def test_jaccard_product_of_near_misses(spark, monkeypatch):
+    """Edited copies just under the bound: a pair is one entry of the product, and few pairs that don't link get their sets read."""
+    tables, write = {}, jaccard.written
+
+    def seen(df, name):
+        out = write(df, name)
+        tables.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    monkeypatch.setattr(jaccard, "GO_PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "PART_ROWS", 16)
+    entries, meeting = [], jaccard._meeting
+
+    def met(*args):
+        out = meeting(*args)
+        entries.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_meeting", met)
+    rng = random.Random(11)
+    base = [f"base{j}" for j in range(200)]
+    many = []
+    for i in range(90):  # pairs of the first differ in some 60 of 400 columns, where 44 are allowed; the others link
+        words = list(base)
+        for j in rng.sample(range(200), 16 if i < 80 else 3):
+            words[j] = f"own{i}x{j}"
+        many.append((i, " ".join(words), "en", "s0"))
+    label = brute_components(many, 80, 2)
+    assert len(set(label.values())) == 81
+    out = jaccard.jaccard_join(docs_of(spark, many), percent=80, k=2).collect()
+    assert {r.doc_id: r.component_id for r in out} == label
+    assert all(rows == pairs for rows, pairs in entries)
+    assert len(entries) > 2 and sum(tables["jaccard-pairs"]) < 300  # of 3,160 pairs that don't link
+
+
+def test_jaccard_bound_never_rules_out_a_link(spark):
+    rng, rows = random.Random(3), []
+    for _ in range(300):
+        shared = {rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(1, 60))}
+        x, y = ([v for v in shared if rng.random() < 0.9] for _ in range(2))
+        rows.append((x, y, rng.randrange(4), rng.randrange(4)))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, i long, j long")
+    of = lambda c, alone: {"n": F.size(c) + F.col(alone), "alone": F.col(alone)} | {p: jaccard.parity(F.col(c), w) for w, p in enumerate(jaccard._PARITY)}
+    bits = sum(F.bit_count(of("x", "i")[p].bitwiseXOR(of("y", "j")[p])) for p in jaccard._PARITY)
+    told = 0
+    for r in df.select("*", jaccard.within(of("x", "i"), of("y", "j"), 80).alias("in_"), bits.alias("bits")).collect():
+        both, apart = len(set(r.x) & set(r.y)), len(set(r.x) ^ set(r.y))
+        assert r.bits <= apart and (apart - r.bits) % 2 == 0
+        assert r.in_ or 180 * both < 80 * (len(r.x) + len(r.y) + r.i + r.j)
+        told += not r.in_
+    assert told > 100
+
+
 def brute_suffix(rows, length):
     seen, out = {}, []
     for i, t, *_ in rows:
