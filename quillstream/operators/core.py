@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,26 @@ def floor_rank_summary(df: DataFrame, by: Sequence[str], value: str, ranks: Sequ
     )
 
 
+def half_up_mean(found: DataFrame, df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """``found`` with ``avg`` rounded half up to a whole number, as its sum in ``order`` (ties by value) has it, however the rows are dealt.
+
+    ``found``: a row per key with ``n, min, max, avg`` of the values in ``df``.  A sum of doubles differs in its last bits with the order of its terms, and
+    these decide a mean that lies at a half.  Two orders of n terms differ by at most n * 2^-52 times the sum of their absolute values; only keys for
+    which that leaves two answers (rounding of mean and products included) are summed in order, from rows that a semi join picks.
+    """
+    by = list(by)
+    slack = (F.col("n") + 4) * 2.0**-51 * (F.greatest(F.abs("min"), F.abs("max")) + 1)
+    found = found.withColumn("open_", F.floor(F.col("avg") + 0.5 - slack) != F.floor(F.col("avg") + 0.5 + slack))
+    keyed = lambda a: [F.col(c).alias(f"{c}{a}") for c in by]
+    same = lambda a: reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}{a}")) for c in by])
+    rows = df.where(F.col(value).isNotNull()).join(found.where("open_").select(*keyed("_o")), same("_o"), "left_semi")
+    own = Window.partitionBy(*by).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = rows.select(*keyed("_m"), F.sum(value).over(own).alias("sum_"), F.count(value).over(own).alias("no_"))
+    means = upto.groupBy(*[f"{c}_m" for c in by]).agg((F.max_by("sum_", "no_") / F.max("no_")).alias("mean_"))
+    mean = F.when(F.col("open_"), F.col("mean_")).otherwise(F.col("avg"))
+    return found.join(means, same("_m"), "left").withColumn("avg", F.floor(mean + 0.5).cast("long")).drop("open_", "mean_", *[f"{c}_m" for c in by])
+
+
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], starts: Column, name: str = "island") -> DataFrame:
     """Number of the island that a row is in: it grows by one where ``starts`` holds."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

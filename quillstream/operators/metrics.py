@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import bucketed_overlap_join, floor_rank_summary, rounded
+from .core import bucketed_overlap_join, floor_rank_summary, half_up_mean, rounded
 
 
 def stage_latencies(events: DataFrame, legs: dict[str, tuple[str, str]], tx: str = "tx_id", without: str | None = None) -> DataFrame:
@@ -40,9 +40,10 @@ def recent_top_k(df: DataFrame, by: Sequence[str], k: int = 10, order: Sequence[
     return df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= k)
 
 
-def stream_breakdown(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Rows and half-up rounded average of each key."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.floor(F.avg(value) + 0.5).cast("long").alias("avg"))
+def stream_breakdown(df: DataFrame, by: Sequence[str], value: str = "value", order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Rows and half-up rounded average (of the sum in ``order``) of each key."""
+    found = df.groupBy(*by).agg(F.count("*").alias("rows_"), F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"))
+    return half_up_mean(found, df, by, value, order).select(*by, F.col("rows_").alias("n"), "avg")
 
 
 def emission_summary(df: DataFrame) -> DataFrame:

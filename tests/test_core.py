@@ -1,6 +1,6 @@
 import random
 
-from quillstream.operators import core, fold, health, stabilize, text
+from quillstream.operators import core, fold, health, metrics, stabilize, text
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,15 @@ def test_stream_fold_equals_the_batch_fold(spark, tmp_path):
     got = sorted(map(tuple, spark.table("limited").collect()))
     want = sorted(map(tuple, fold.ordered_fold(df, ["stream_id"], ["ts_ms", "seq"], step, schema).collect()))
     assert got == want and want
+
+
+#: A mean of 40.5; the sum in this order is a little less.
+HALF = [12.48, 39.79, 15.88, 99.52, 86.33, 11.96, 26.14, 49.52, 15.32, 48.06]
+
+
+def test_a_mean_at_a_half_is_rounded_as_its_sum_in_order_whatever_the_dealing(spark):
+    rows = [(k, "a", i, v) for k in (1, None) for i, v in enumerate(HALF)] + [(2, "a", i, v) for i, v in enumerate(reversed(HALF))] + [(3, "a", 0, None), (4, None, 0, 1.25), (4, None, 1, None)]
+    columns = "stream_id long, stage string, seq long, value double"
+    for dealt in (spark.createDataFrame(rows, columns).coalesce(1), spark.createDataFrame(rows[::-1], columns).coalesce(1), spark.createDataFrame(rows, columns).repartition(7)):
+        got = {(r.stream_id, r.stage): (r.n, r.avg) for r in metrics.stream_breakdown(dealt, ["stream_id", "stage"]).collect()}
+        assert got == {(1, "a"): (10, 40), (None, "a"): (10, 40), (2, "a"): (10, 41), (3, "a"): (1, None), (4, None): (2, 1)}
