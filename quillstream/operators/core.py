@@ -34,9 +34,12 @@ def half_up_mean(found: DataFrame, df: DataFrame, by: Sequence[str], value: str,
 
     ``found``: a row per key with ``n, min, max, avg`` of the values in ``df``.  A sum of doubles differs in its last bits with the order of its terms, and
     these decide a mean that lies at a half.  Two orders of n terms differ by at most n * 2^-52 times the sum of their absolute values; only keys for
-    which that leaves two answers (rounding of mean and products included) are summed in order, from rows that a semi join picks.
+    which that leaves two answers (rounding of mean and products included) are summed in order, from rows that a semi join picks.  Whole numbers add up
+    to the same in any order.
     """
     by = list(by)
+    if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint"):
+        return found.withColumn("avg", F.floor(F.col("avg") + 0.5).cast("long"))
     slack = (F.col("n") + 4) * 2.0**-51 * (F.greatest(F.abs("min"), F.abs("max")) + 1)
     found = found.withColumn("open_", F.floor(F.col("avg") + 0.5 - slack) != F.floor(F.col("avg") + 0.5 + slack))
     keyed = lambda a: [F.col(c).alias(f"{c}{a}") for c in by]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .core import floor_rank_summary, islands, rounded
+from .core import floor_rank_summary, half_up_mean, islands, rounded
 
 
 def adjacent_repeats(text: Column) -> Column:
@@ -84,17 +87,17 @@ def objective_score(log: DataFrame, sessions: DataFrame, by: list[str]) -> DataF
 BUCKETS = ("0-3s", "3-7s", "7-15s", ">15s")
 
 
-def _spread(log: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Least, most, rounded mean and floor-rank median of a column's values per key."""
-    s = floor_rank_summary(log, by, column, (0.5,))
-    return s.select(*by, F.col("min").alias(f"{name}_min"), F.col("max").alias(f"{name}_max"), F.floor(F.col("avg") + 0.5).alias(f"{name}_avg"), F.col("p50").alias(f"{name}_median"))
+def _spread(log: DataFrame, by: list[str], column: str, name: str, order: list[str]) -> DataFrame:
+    """Least, most, rounded mean (of the sum in ``order``) and floor-rank median of a column's values per key, whose columns end in ``_``."""
+    s = half_up_mean(floor_rank_summary(log, by, column, (0.5,)), log, by, column, order)
+    return s.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("min").alias(f"{name}_min"), F.col("max").alias(f"{name}_max"), F.col("avg").alias(f"{name}_avg"), F.col("p50").alias(f"{name}_median"))
 
 
 def language_report(log: DataFrame, by: list[str]) -> DataFrame:
     """Each key's emissions: repeats of words, 2-grams and 3-grams, pauses by bucket and speaker, and how pauses and latencies spread.
 
-    ``log``: a row per emission with ``repeats, bigrams, trigrams, pause_ms, speaker, latency_ms``.  Only pauses above 0 count; missing ones
-    and missing latencies are left out, and a key without any has nulls there.
+    ``log``: a row per emission with ``seq, repeats, bigrams, trigrams, pause_ms, speaker, latency_ms``.  Only pauses above 0 count; missing ones
+    and missing latencies are left out, and a key without any has nulls there.  Means are those of sums in order of ``seq``.
     """
     paused = log.withColumn("pause_ms", F.when(F.col("pause_ms") > 0, F.col("pause_ms")))
     bucket = pause_bucket(F.col("pause_ms"))
@@ -103,7 +106,10 @@ def language_report(log: DataFrame, by: list[str]) -> DataFrame:
         *[F.count_if(bucket == b).alias(f"pauses_{b}") for b in BUCKETS], F.count_if(F.col("pause_ms").isNotNull() & F.coalesce("speaker", F.lit(False))).alias("speaker_pauses"),
         F.count_if(bucket.isin(*BUCKETS[2:]) & ~F.coalesce("speaker", F.lit(False))).alias("long_pauses"),
     )
-    return counts.join(_spread(paused, by, "pause_ms", "pause"), by, "left").join(_spread(log, by, "latency_ms", "latency"), by, "left")
+    for df, column, name in ((paused, "pause_ms", "pause"), (log, "latency_ms", "latency")):
+        spread = _spread(df, by, column, name, ["seq"])
+        counts = counts.join(spread, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by]), "left").drop(*[f"{c}_" for c in by])
+    return counts
 
 
 def session_summary(log: DataFrame, sessions: DataFrame, actions: DataFrame, by: list[str], names: list[str]) -> DataFrame:

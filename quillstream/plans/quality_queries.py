@@ -86,7 +86,7 @@ def quality_log(spark, d):
     t = tables.telemetry(spark, d)
     pause = F.when(F.col("seq") % 7 != 0, (F.col("value") * 200).cast("long") % 20_000)
     return t.select(
-        "stream_id", F.col("stage").alias("lang"), (F.col("k") % 3).alias("repeats"), (F.col("k") % 2).alias("bigrams"), (F.col("k") % 5 == 0).cast("long").alias("trigrams"), pause.alias("pause_ms"),
+        "stream_id", "seq", F.col("stage").alias("lang"), (F.col("k") % 3).alias("repeats"), (F.col("k") % 2).alias("bigrams"), (F.col("k") % 5 == 0).cast("long").alias("trigrams"), pause.alias("pause_ms"),
         F.when(F.col("k") % 4 != 0, F.col("k") % 3 == 0).alias("speaker"), F.when(F.col("k") % 6 != 0, F.col("value") * 100).alias("latency_ms"),
     )
 

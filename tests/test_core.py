@@ -1,6 +1,6 @@
 import random
 
-from quillstream.operators import core, fold, health, metrics, stabilize, text
+from quillstream.operators import core, fold, health, metrics, session, stabilize, text
 from pyspark.sql import functions as F
 
 
@@ -106,3 +106,11 @@ def test_a_mean_at_a_half_is_rounded_as_its_sum_in_order_whatever_the_dealing(sp
     for dealt in (spark.createDataFrame(rows, columns).coalesce(1), spark.createDataFrame(rows[::-1], columns).coalesce(1), spark.createDataFrame(rows, columns).repartition(7)):
         got = {(r.stream_id, r.stage): (r.n, r.avg) for r in metrics.stream_breakdown(dealt, ["stream_id", "stage"]).collect()}
         assert got == {(1, "a"): (10, 40), (None, "a"): (10, 40), (2, "a"): (10, 41), (3, "a"): (1, None), (4, None): (2, 1)}
+
+
+def test_the_report_of_a_language_rounds_latencies_in_order_and_has_keys_without_a_name(spark):
+    rows = [(k, i, 0, 0, 0, 1000 * i, False, v) for k in (1, None) for i, v in enumerate(HALF)]
+    columns = "stream_id long, seq long, repeats long, bigrams long, trigrams long, pause_ms long, speaker boolean, latency_ms double"
+    for dealt in (spark.createDataFrame(rows, columns).coalesce(1), spark.createDataFrame(rows[::-1], columns).coalesce(1), spark.createDataFrame(rows, columns).repartition(7)):
+        got = {r.stream_id: (r.emissions, r.pause_min, r.pause_avg, r.latency_max, r.latency_avg, r.latency_median) for r in session.language_report(dealt, ["stream_id"]).collect()}
+        assert got == {1: (10, 1000, 5000, 99.52, 40, 39.79), None: (10, 1000, 5000, 99.52, 40, 39.79)}
