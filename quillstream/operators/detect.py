@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,18 +20,20 @@ FUNCTION_WORDS = ("die", "der", "das", "des", "dem", "den", "wobei", "dass", "we
 _SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters, digits, white space and quotes of a comma list's item; combining marks stand for composed letters.
 _ITEM = rf"[\p{{L}}\p{{M}}\p{{N}}_{_SPACE}\u00c0-\u024f\u00ab\u00bb\u201e\u201c\u201a\u2018]"
-#: Reason and pattern, in order; the first that is found is the reason.
+#: White space as characters, Java's ``\s`` included, to trim by.
+_BLANK = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Reason, pattern and strings of which a match holds one (none: the pattern is for the whole of a trimmed text), in order; the first that is found is the reason.
 PATTERNS = (
-    ("subtitles", rf"[Ss]ubtitles?[{_SPACE}]*(by|created|provided)"),
-    ("subtitles", r"[Aa]mara\.org"),
-    ("subtitles", rf"[Tt]hanks?[{_SPACE}]*for[{_SPACE}]*watching"),
-    ("subtitles", rf"[Pp]lease[{_SPACE}]*(like|subscribe|comment)"),
-    ("subtitles", rf"[Ss]ubscribe[{_SPACE}]*(to|now|here)"),
-    ("repetition", r"(.{5,}?)\1{3,}"),  # found by ``loop``, in linear time for each power of two
-    ("music", rf"[♪♫]|[Mm]usic[{_SPACE}]*playing"),
-    ("bracketed", r"(?d)\[.*\]"),
-    ("punctuation", rf"^[{_SPACE}\.\,\!\?]+$"),
-    ("comma_list", rf"^{_ITEM}++(?:,{_ITEM}++){{4,}}+\.{{0,4}}$"),
+    ("subtitles", rf"[Ss]ubtitles?[{_SPACE}]*(by|created|provided)", ("ubtitle",)),
+    ("subtitles", r"[Aa]mara\.org", ("mara.org",)),
+    ("subtitles", rf"[Tt]hanks?[{_SPACE}]*for[{_SPACE}]*watching", ("watching",)),
+    ("subtitles", rf"[Pp]lease[{_SPACE}]*(like|subscribe|comment)", ("lease",)),
+    ("subtitles", rf"[Ss]ubscribe[{_SPACE}]*(to|now|here)", ("ubscribe",)),
+    ("repetition", r"(.{5,}?)\1{3,}", ()),  # found by ``loops``, by sorted grams
+    ("music", rf"[♪♫]|[Mm]usic[{_SPACE}]*playing", ("♪", "♫", "usic")),
+    ("bracketed", r"(?d)\[.*\]", ("[",)),
+    ("punctuation", rf"^[{_SPACE}\.\,\!\?]+$", ()),
+    ("comma_list", rf"^{_ITEM}++(?:,{_ITEM}++){{4,}}+\.{{0,4}}$", ()),
 )
 
 
@@ -68,29 +72,88 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True))
 
 
-def loop(text: str | None, least: int = 5, times: int = 4) -> tuple[str | None, int | None]:
-    """The first block of ``least`` characters or more that comes ``times`` times in a row inside a line: all its copies (cut to 200 characters) and its start.
+#: Characters that are looked through at once in a task, and rounds of the filter before what is left counts as a candidate; both bear on the time only.
+_CHARS_AT_ONCE, _ROUNDS = 1 << 20, 30
+
+
+def _candidates(codes: np.ndarray, least: int, times: int) -> list[tuple[int, int]]:
+    """(start, end) of stretches that may hold a block that comes ``times`` times in a row inside a line; every such block lies in one, starts too.
+
+    All but the last ``least`` - 1 places of all copies but the last of a block of p characters have their gram of ``least`` characters again p places on, so
+    no place's next one is further than p, and (times - 1) * p - least + 1 places in a row are of this kind.  Grams are told apart by hashes: equal ones by
+    chance may leave more candidates, not fewer.
+    """
+    n = len(codes) - least + 1
+    if n <= 0:
+        return []
+    upto = np.concatenate(([0], np.cumsum(codes == 10)))
+    hashes = upto[:n].astype(np.uint64)
+    for j in range(least):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[j : n + j]
+        hashes ^= hashes >> np.uint64(29)
+    bits = np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    places = (hashes * np.uint64(0xBF58476D1CE4E5B9) & ~low | np.arange(n, dtype=np.uint64))[upto[least:] == upto[:n]]
+    places.sort()
+    at = (places & low).astype(np.int64)
+    again = np.flatnonzero((places[1:] ^ places[:-1]) <= low)
+    ahead = np.zeros(n, dtype=np.int64)
+    ahead[at[again]] = at[again + 1] - at[again]
+    at = np.flatnonzero(ahead)
+    ahead = ahead[at]
+    for _ in range(_ROUNDS):
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]))
+        run = np.repeat(np.diff(edges), np.diff(edges))
+        stays = (run >= (times - 2) * least + 1) & (ahead * (times - 1) <= run + least - 1)
+        if stays.all():
+            break
+        at, ahead = at[stays], ahead[stays]
+    edges = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    lengths = np.diff(edges, append=len(at))
+    breaks = np.append(np.flatnonzero(codes == 10), len(codes))
+    starts = at[edges]
+    ends = np.minimum(starts + lengths + (lengths + least - 1) // (times - 1) + least, breaks[np.searchsorted(breaks, starts)])
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def loops(texts: Sequence[str | None], least: int = 5, times: int = 4) -> list[tuple[str | None, int | None]]:
+    """Of each text the first block of ``least`` characters or more that comes ``times`` times in a row inside a line: all its copies (cut to 200 characters) and its start.
 
     Of the blocks at that start the shortest one counts.  None where there is no such block.
     """
-    at = 0
-    for line in (text or "").split("\n"):
-        if len(line) >= times * least:
-            best = min(_repeats(line, least, times), default=None)
-            if best is not None:
-                start, p = best
-                block, end = line[start : start + p], start + p
-                while line.startswith(block, end):
-                    end += p
-                return line[start:end][:200], at + start
-        at += len(line) + 1
-    return None, None
+    joined = "\n".join(t or "" for t in texts)
+    begins = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
+    best: dict[int, tuple[int, int]] = {}
+    for a, b in _candidates(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), least, times):
+        i = int(np.searchsorted(begins, a, "right")) - 1
+        if i not in best or a <= best[i][0]:
+            found = min(_repeats(joined[a:b], least, times), default=None)
+            if found is not None:
+                best[i] = min(best.get(i, (b, 0)), (a + found[0], found[1]))
+    out: list[tuple[str | None, int | None]] = [(None, None)] * len(texts)
+    for i, (start, p) in best.items():
+        block, end = joined[start : start + p], start + p
+        while end < start + 200 and joined.startswith(block, end):
+            end += p
+        out[i] = joined[start:end][:200], start - int(begins[i])
+    return out
+
+
+def loop(text: str | None, least: int = 5, times: int = 4) -> tuple[str | None, int | None]:
+    """``loops`` of one text."""
+    return loops([text], least, times)[0]
 
 
 @F.pandas_udf(StructType([StructField("span", StringType()), StructField("start", IntegerType())]))
 def _loops(texts: pd.Series) -> pd.DataFrame:
-    found = pd.DataFrame([loop(t) for t in texts], columns=["span", "start"])
-    return found.astype({"start": "Int32"})
+    found, some, size = [], [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "") + 1
+        if size >= _CHARS_AT_ONCE:
+            found.extend(loops(some))
+            some, size = [], 0
+    return pd.DataFrame(found + loops(some), columns=["span", "start"]).astype({"start": "Int32"})
 
 
 def detect_patterns(text: Column, guard: bool = True) -> Column:
@@ -99,19 +162,20 @@ def detect_patterns(text: Column, guard: bool = True) -> Column:
     ``span`` is the match, cut to 200 characters; ``loop_start`` is where a repetition begins, from 0.  With ``guard`` (a flag
     of the reference), a comma list that is prose is no reason.
     """
-    t = F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    t = F.btrim(text, F.lit(_BLANK))
 
-    def hit(reason: str, pattern: str) -> Column:
+    def hit(reason: str, pattern: str, parts: tuple[str, ...]) -> Column:
         if reason == "repetition":
             found = _loops(t)
             return F.when(found["span"].isNotNull(), F.struct(F.lit(reason).alias("reason"), found["span"].alias("span"), found["start"].alias("loop_start")))
-        is_hit = t.rlike(pattern)
+        inside = text if parts else t  # no match with such a part begins or ends with white space, so the text needs no trimming first
+        is_hit = reduce(or_, [text.contains(p) for p in parts]) & text.rlike(pattern) if parts else t.rlike(pattern)
         if reason == "comma_list" and guard:
             is_hit = is_hit & ~prose_guard(t)
-        match = F.regexp_extract(t, pattern, 0)
+        match = F.regexp_extract(inside, pattern, 0)
         return F.when(is_hit, F.struct(F.lit(reason).alias("reason"), F.substring(match, 1, 200).alias("span"), F.lit(None).cast("int").alias("loop_start")))
 
-    return F.when(F.length(t) >= 3, F.coalesce(*[hit(reason, p) for reason, p in PATTERNS]))
+    return F.when(F.length(t) >= 3, F.coalesce(*[hit(*p) for p in PATTERNS]))
 
 
 def comma_items(text: Column) -> Column:

@@ -72,3 +72,33 @@ def test_loops_of_long_texts_are_found_fast():
     assert start == len(" ".join(words)) and span.startswith("langer block") and len(span) == 200
     assert detect.loop("x" * 200_000)[1] == 0
     assert time.perf_counter() - began < 20
+
+
+def test_loops_of_many_texts_equal_the_pattern(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(9)
+    pattern = re.compile(r"(.{5,}?)\1{3,}")
+    texts = [None, "", "\n"]
+    for _ in range(800):
+        blocks = ["".join(rng.choice("ab \U0001f600") for _ in range(rng.randrange(1, 25))) * rng.choice([1, 3, 4, 5, 60]) for _ in range(rng.randrange(4))]
+        texts.append(rng.choice(["", "\n", "c"]).join(blocks))
+    want = [(m.group(0)[:200], m.start()) if (m := pattern.search(t or "")) else (None, None) for t in texts]
+    assert detect.loops(texts) == want and len({w[0] for w in want}) > 100
+    monkeypatch.setattr(detect, "_CHARS_AT_ONCE", 500)
+    found = detect._loops.func(pd.Series(texts))
+    assert [(None, None) if pd.isna(s) else (s, i) for s, i in zip(found["span"], found["start"], strict=True)] == want
+
+
+def test_ordinary_text_is_not_looked_through_gram_by_gram(monkeypatch):
+    rng = random.Random(1)
+    seen, repeats = [], detect._repeats
+    monkeypatch.setattr(detect, "_repeats", lambda line, *a: seen.append(len(line)) or repeats(line, *a))
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(30)] + ["before " + "again and " * 6 + "after"]
+    assert [detect.loop(t)[1] for t in texts] == [None] * 30 + [6]
+    assert 0 < sum(seen) < sum(map(len, texts)) / 20
+
+
+def test_the_blanks_that_are_trimmed_are_the_reference_s():
+    assert set(detect._BLANK) == {c for c in map(chr, range(0x110000)) if c.isspace()}
