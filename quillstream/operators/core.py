@@ -32,7 +32,7 @@ def floor_rank_summary(df: DataFrame, by: Sequence[str], value: str, ranks: Sequ
 def half_up_mean(found: DataFrame, df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """``found`` with ``avg`` rounded half up to a whole number, as its sum in ``order`` (ties by value) has it, however the rows are dealt.
 
-    ``found``: a row per key with ``n, min, max, avg`` of the values in ``df``.  A sum of doubles differs in its last bits with the order of its terms, and
+    ``found``: a row per key with ``n, min, max, avg`` of the values in ``df`` (``n`` may count nulls too).  A sum of doubles differs in its last bits with the order of its terms, and
     these decide a mean that lies at a half.  Two orders of n terms differ by at most n * 2^-52 times the sum of their absolute values; only keys for
     which that leaves two answers (rounding of mean and products included) are summed in order, from rows that a semi join picks.  Whole numbers add up
     to the same in any order.
